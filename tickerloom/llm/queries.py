@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import exact_dedup
+from tickerloom.llm import chat_format, exact_dedup, secret_scan
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, secret_scan, chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
