@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chat_format, exact_dedup, secret_scan, warc
+from tickerloom.llm import chat_format, exact_dedup, packing, secret_scan, warc
 
-MODULES = (exact_dedup, secret_scan, warc, chat_format)
+MODULES = (exact_dedup, secret_scan, warc, chat_format, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
