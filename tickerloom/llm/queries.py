@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chat_format, exact_dedup, language_id, packing, secret_scan, warc
+from tickerloom.llm import chat_format, exact_dedup, fingerprints, language_id, packing, secret_scan, warc
 
-MODULES = (exact_dedup, language_id, secret_scan, warc, chat_format, packing)
+MODULES = (exact_dedup, language_id, secret_scan, warc, chat_format, fingerprints, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
