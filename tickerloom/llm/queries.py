@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import chat_format, exact_dedup, fingerprints, jaccard_join, language_id, packing, secret_scan, warc
+from tickerloom.llm import bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, packing, secret_scan, warc
 
-MODULES = (jaccard_join, exact_dedup, language_id, secret_scan, warc, chat_format, fingerprints, packing)
+MODULES = (bpe, jaccard_join, exact_dedup, language_id, secret_scan, warc, chat_format, fingerprints, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
