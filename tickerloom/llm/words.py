@@ -8,12 +8,18 @@ import re
 
 import numpy as np
 
-#: Words in a process's cache; past that it is emptied, so memory stays bounded.
-CACHE_WORDS = 300_000
+#: Entries in a process's caches of words, and of the letters and marks in them; a full cache is emptied, so memory stays
+#: bounded. The first is made again from the second at little cost.
+CACHE_WORDS, CACHE_PIECES = 400_000, 800_000
 #: Texts are handled in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 #: Tokenizers that drop white space can't have a token across ASCII white space.
 WORD = re.compile(r"[^ \t-\r]+")
+#: What str.split() takes for white space though Unicode doesn't.
+NO_SPACE = re.compile("[\x1c-\x1f]")
+#: Lower-case Latin letters; and marks that may follow them: two pieces for any tokenizer that parts letters from marks.
+#: No apostrophe, which may begin a contraction.
+LETTERS, MARKS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+"), "!#$%&*+,./:;=?@|)\\]}-"
 
 
 @functools.lru_cache(maxsize=4)
@@ -34,21 +40,41 @@ def encode_words(path: str, words: list[str]) -> list[bytes]:
     return [np.array(x.ids, "<u4").tobytes() for x in encode(words, add_special_tokens=False)]
 
 
-_caches: dict[str, dict[str, bytes]] = {}
+_caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+
+def _add_words(path: str, whole: dict[str, bytes], pieces: dict[str, bytes], new: set[str]) -> None:
+    """Puts the words new into whole. Words of letters and marks share the encodings of both, in lower case."""
+    parted, plain = [], []
+    for word in new:
+        letters = (low := word.lower()).rstrip(MARKS)
+        if letters.isalpha() and (letters.isascii() or LETTERS.fullmatch(letters)):
+            parted.append((word, letters, low[len(letters) :]))
+        elif low.isascii():
+            parted.append((word, low, ""))
+        else:
+            plain.append(word)
+    wanted = {x for _, letters, marks in parted for x in (letters, marks)}.union(plain)
+    if len(pieces) + len(wanted) > CACHE_PIECES:
+        pieces.clear()
+    pieces[""] = b""
+    some = list(wanted.difference(pieces))
+    for at in range(0, len(some), 20_000):
+        pieces.update(zip(some[at : at + 20_000], encode_words(path, some[at : at + 20_000])))
+    whole.update((word, pieces[letters] + pieces[marks]) for word, letters, marks in parted)
+    whole.update((word, pieces[word]) for word in plain)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids, for a tokenizer that drops white space."""
-    cache = _caches.setdefault(path, {})
-    split = [WORD.findall(text) for text in texts]
-    new = list(set().union(*split).difference(cache)) if split else []
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = list(set().union(*split))
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        cache.update(zip(some, encode_words(path, some)))
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    """Each text's ids, for a tokenizer that lower-cases, drops white space, and parts letters from marks."""
+    whole, pieces = _caches.setdefault(path, ({}, {}))
+    split = [WORD.findall(text) if NO_SPACE.search(text) else text.split() for text in texts]
+    new = set().union(*split).difference(whole)
+    if len(whole) + len(new) > CACHE_WORDS:
+        whole.clear()
+        new = set().union(*split)
+    _add_words(path, whole, pieces, new)
+    return [b"".join(map(whole.__getitem__, words)) for words in split]
 
 
 def groups(texts: list[str | None]):
