@@ -43,6 +43,6 @@ def test_stages(spark):
 
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{n}" for n in (1, 2, 3, 4, 5, 6, 8, 9, 10)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.queries()) <= names and "pipeline" in names
     assert jaccard_join.QUERIES and secret_scan.QUERIES
