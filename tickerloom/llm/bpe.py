@@ -1,15 +1,16 @@
 """BPE encoding and decoding by a distinct-word table.
 
-1. Split: a task cuts its texts into words that no token can cross and numbers the distinct ones. Of a block of texts it
-   keeps the numbers by position (one compressed row) and the distinct words, dealt out by hash into buckets.
+1. Split: a task cuts its texts into words that no token can cross. The distinct words of a block of texts are dealt out
+   by hash into buckets.
 2. Encode: a bucket gets each block's distinct words once, so the commonest word comes as often as there are blocks.
    It joins them to one table of distinct words, has the library encode each once, and sends the ids to the blocks.
-3. Join back: a block puts the ids in place of its numbers, by position.
+3. Join back: a block puts its words' ids in their places, by position.
 4. Decode: ids are joined to the table of pieces (id to bytes; as many rows as the vocabulary has, a fixed bound).
 
 Blocks hold about BLOCK_CHARS characters and the number of buckets follows the number of rows, so memory is bounded at
-any size of the corpus; texts aren't shuffled, only numbers and distinct words. Everything is written to the shared
-folder before it is used twice, so a lost executor can't renumber a block.
+any size of the corpus. Texts are shuffled once, compressed by block. A block's words are found by their own text, so a
+task that runs again after an executor is lost needn't see its rows in the same order; a word that its block's table
+lacks then is encoded where it stands.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ import re
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm import words
-from tickerloom.llm.common import materialise, table
+from tickerloom.llm.common import table
 
-BLOCK_CHARS, BUCKET_ROWS = 24_000_000, 8_000
+BLOCK_CHARS, BUCKET_ROWS = 30_000_000, 8_000
 #: What Unicode calls white space. Words are a run of other characters with one blank before it, or a run of
 #: white space without the blank that goes to the next word.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -44,10 +46,6 @@ class _Numbers(dict):
         return number
 
 
-def _special(tokenizer: str) -> list[str]:
-    return sorted((t.content for t in words.load(tokenizer).get_added_tokens_decoder().values()), key=len, reverse=True)
-
-
 def split_words(text: str, special: re.Pattern | None) -> list[str]:
     """The words of text; special tokens are words of their own."""
     if special is None or not special.search(text):
@@ -65,76 +63,79 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(n)
 
 
-SPLIT = "block long, bucket int, doc_ids array<bigint>, counts binary, n long, data binary"
-_SPLIT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("n", pa.int64()), ("data", pa.binary())])
+def _pattern(tokenizer: str) -> re.Pattern | None:
+    special = sorted((t.content for t in words.load(tokenizer).get_added_tokens_decoder().values()), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
 
-def _split(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
-    """For each block a row with its numbers by position, and a row with the words of each bucket: their texts, and in
-    counts their numbers."""
+def _zipped(text: str) -> bytes:
+    data = text.encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(data, asbytes=True)
 
-    def flush(block: int, ids: list, numbers: _Numbers, codes: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
-        rows = [(block, None, ids, np.array([len(c) for c in codes], "<u4").tobytes(), len(flat), _packed(flat))]
-        by: list[list[str]] = [[] for _ in range(buckets)]
-        for word in numbers:
-            by[hash_of(word) % buckets].append(word)
-        for bucket, some in enumerate(by):
-            if some:
-                data = json.dumps(some, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
-                here = np.fromiter(map(numbers.__getitem__, some), np.uint32, len(some))
-                rows.append((block, bucket, None, _packed(here), len(some), np.uint32(len(data)).tobytes() + pa.compress(data, "zstd", asbytes=True)))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SPLIT)], schema=_SPLIT)
 
-    def split(batches):
-        special = _special(tokenizer)
-        special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        block = TaskContext.get().partitionId() << 32
-        ids, numbers, codes, held = [], _Numbers(), [], 0
-        for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = split_words(text or "", special)
-                ids.append(doc_id)
-                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-                held += len(text or "")
-                if held >= BLOCK_CHARS:
-                    yield flush(block, ids, numbers, codes)
-                    block, ids, numbers, codes, held = block + 1, [], _Numbers(), [], 0
-        if ids:
-            yield flush(block, ids, numbers, codes)
+def _unzipped(data: bytes) -> str:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, SPLIT)
+def _blocks(batches):
+    """(block, doc_ids, texts) of a task's rows."""
+    block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            ids.append(doc_id)
+            texts.append(text or "")
+            held += len(text or "")
+            if held >= BLOCK_CHARS:
+                yield block, ids, texts
+                block, ids, texts, held = block + 1, [], [], 0
+    if ids:
+        yield block, ids, texts
 
 
-def hash_of(word: str) -> int:
-    import xxhash
+def _texts(docs: DataFrame) -> DataFrame:
+    """block, doc_ids, sizes, data: each block's texts, one after the other, compressed."""
 
-    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+    def gather(batches):
+        for block, ids, texts in _blocks(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([_zipped("".join(texts))], pa.binary())],
+                names=["block", "doc_ids", "sizes", "data"],
+            )
 
+    return docs.mapInArrow(gather, "block long, doc_ids array<bigint>, sizes array<bigint>, data binary")
+
+
+def _words(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
+    """block, bucket, words: each block's distinct words by bucket."""
+
+    def split(batches):
+        special = _pattern(tokenizer)
+        for block, _, texts in _blocks(batches):
+            by: list[list[str]] = [[] for _ in range(buckets)]
+            for word in {w for text in texts for w in split_words(text, special)}:
+                by[xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
+            rows = [(block, k, _zipped(json.dumps(sorted(some), ensure_ascii=False, separators=(",", ":")))) for k, some in enumerate(by) if some]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "words"])
 
-def _words(data: bytes) -> list[str]:
-    size = int(np.frombuffer(data[:4], np.uint32)[0])
-    return json.loads(pa.decompress(data[4:], size, "zstd", asbytes=True).decode("utf-8", "surrogatepass"))
+    return docs.mapInArrow(split, "block long, bucket int, words binary")
 
 
 def _encode(split: DataFrame, tokenizer: str) -> DataFrame:
-    """block, n, numbers, lengths, ids: of each block's words of a bucket, encoded once for all blocks."""
-    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
+    """block, words, lengths, ids: of each block's words of a bucket, encoded once for all blocks."""
 
     def encode(bucket: pa.Table) -> pa.Table:
         distinct = _Numbers()  # this bucket's part of the table of distinct words
-        held = [np.fromiter(map(distinct.__getitem__, _words(x.as_py())), np.int64) for x in bucket["data"]]
+        held = [np.fromiter(map(distinct.__getitem__, json.loads(_unzipped(x.as_py()))), np.int64) for x in bucket["words"]]
         texts, encoded = list(distinct), []
         for at in range(0, len(texts), 20_000):
             encoded += words.encode_words(tokenizer, texts[at : at + 20_000])
         lengths = np.array([len(x) // 4 for x in encoded], np.uint32)
-        rows = []
-        for block, numbers, here in zip(bucket["block"].to_pylist(), bucket["counts"].to_pylist(), held):
-            ids = np.frombuffer(b"".join([encoded[k] for k in here]), "<u4")
-            rows.append((block, len(here), numbers, _packed(lengths[here]), np.uint32(len(ids)).tobytes() + _packed(ids)))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        flat = [np.frombuffer(b"".join([encoded[k] for k in here]), "<u4") for here in held]
+        columns = [bucket["block"], bucket["words"], pa.array([_packed(lengths[here]) for here in held], pa.binary()), pa.array([_packed(x) for x in flat], pa.binary()), pa.array([len(x) for x in flat], pa.int64())]
+        return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["block", "words", "lengths", "ids", "n"])
 
-    return split.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(encode, "block long, n long, numbers binary, lengths binary, ids binary")
+    return split.groupBy("bucket").applyInArrow(encode, "block long, words binary, lengths binary, ids binary, n long")
 
 
 @functools.lru_cache(maxsize=2)
@@ -157,46 +158,55 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, digests: boo
     own; null doc_ids stay; no rows, no result. Other columns aren't read.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BUCKET_ROWS))
-    split = materialise(_split(docs, tokenizer, buckets), "split")
-    numbered = split.where("bucket IS NULL").select("block", "doc_ids", "counts", "n", "data")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BUCKET_ROWS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    encoded = _encode(_words(rows, tokenizer, buckets), tokenizer)
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     types = [pa.int64(), pa.int64(), *([pa.string(), pa.string()] if digests else [pa.list_(pa.int32())])]
     names = ["doc_id", "n_tokens", *[x.split()[0] for x in more.split(", ")]]
 
     def join_back(block: pa.Table, encoded: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        total = sum(encoded["n"].to_pylist())
-        ids: list = [None] * total
-        for n, numbers, lengths, data in zip(*(encoded[c].to_pylist() for c in ("n", "numbers", "lengths", "ids"))):
-            ends = np.cumsum(_unpacked(lengths, n), dtype=np.int64)
-            flat = _unpacked(data[4:], int(np.frombuffer(data[:4], np.uint32)[0]))
-            begin = 0
-            for number, end in zip(_unpacked(numbers, n).tolist(), ends.tolist()):
-                ids[number] = flat[begin:end]
-                begin = end
-        codes, at = _unpacked(row["data"], row["n"]).tolist(), 0
-        size = [len(x) for x in ids]
-        if digests:
-            table_ = pieces(tokenizer)
+        known = _Known(tokenizer, digests)
+        for some, lengths, ids, n in zip(*(encoded[c].to_pylist() for c in ("words", "lengths", "ids", "n"))):
+            some = json.loads(_unzipped(some))
+            known.add(some, np.split(_unpacked(ids, n), np.cumsum(_unpacked(lengths, len(some)), dtype=np.int64)[:-1]))
+        special, tables = _pattern(tokenizer), []
+        for ids, sizes, data in zip(*(block[c].to_pylist() for c in ("doc_ids", "sizes", "data"))):
+            texts, at, out = _unzipped(data), 0, []
+            for doc_id, size in zip(ids, sizes):
+                out.append((doc_id, *known.row(split_words(texts[at : at + size], special))))
+                at += size
+            tables.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names))
+        return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+
+    return _texts(rows).groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join_back, f"doc_id long, n_tokens long, {more}")
+
+
+class _Known(dict):
+    """A block's words with (number of ids, ids in decimal, decoded bytes) or (number of ids, ids)."""
+
+    def __init__(self, tokenizer: str, digests: bool):
+        super().__init__()
+        self.tokenizer, self.digests, self.pieces = tokenizer, digests, pieces(tokenizer)
+
+    def add(self, some: list[str], ids: list[np.ndarray]) -> None:
+        if self.digests:
             lists = [x.tolist() for x in ids]
-            decimal = [",".join(map(str, x)).encode() for x in lists]
-            decoded = [b"".join([table_[k] for k in x]) for x in lists]
-        out = []
-        for doc_id, n in zip(row["doc_ids"], np.frombuffer(row["counts"], "<u4").tolist()):
-            here = codes[at : at + n]
-            at += n
-            tokens = sum(map(size.__getitem__, here))
-            if digests:
-                text = b"".join(map(decoded.__getitem__, here)).decode("utf-8", "replace").encode("utf-8")
-                out.append((doc_id, tokens, hashlib.sha256(b",".join(map(decimal.__getitem__, here))).hexdigest(), hashlib.sha256(text).hexdigest()))
-            else:
-                out.append((doc_id, tokens, np.concatenate([ids[k] for k in here]).astype(np.int32) if n else []))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-
-    encoded = _encode(split, tokenizer)
-    return numbered.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join_back, f"doc_id long, n_tokens long, {more}")
+            self.update((w, (len(x), ",".join(map(str, x)).encode(), b"".join([self.pieces[k] for k in x]))) for w, x in zip(some, lists))
+        else:
+            self.update((w, (len(x), x)) for w, x in zip(some, ids))
+
+    def __missing__(self, word: str) -> tuple:
+        self.add([word], [np.frombuffer(x, "<u4") for x in words.encode_words(self.tokenizer, [word])])
+        return self[word]
+
+    def row(self, some: list[str]) -> tuple:
+        found = list(map(self.__getitem__, some))
+        n = sum([x[0] for x in found])
+        if not self.digests:
+            return n, np.concatenate([x[1] for x in found]).astype(np.int32) if found else []
+        text = b"".join([x[2] for x in found]).decode("utf-8", "replace").encode("utf-8")
+        return n, hashlib.sha256(b",".join([x[1] for x in found])).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
