@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from tickerloom.plans import panel_queries
+
+MODULES: tuple = (panel_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
