@@ -170,7 +170,7 @@ _PATHS = {f"trend_efficiency_{k}d": _eff(k) for k in (10, 15, 20)} | {
     "stale_age": "(max(rn) FILTER (rn <= 21 AND p >= high21 - 1e-12) - 1) * greatest(max(r) FILTER (rn BETWEEN 4 AND 21), 0)",
     "max_dd_pct": "min(p / top - 1) * 100",
     "dd_recovery": f"CASE WHEN min(p / top - 1) >= -0.01 THEN 1 ELSE ({_at(0)} - arg_min(p, p / top)) / (arg_min(top, p / top) - arg_min(p, p / top)) END",
-    "range_compression_20d": f"{_width(1, 20)} / {_width(21, 40)}",
+    "range_compression_20d": f"{_width(1, 20)} / nullif({_width(21, 40)}, 0)",
     "jump_discontinuity_3m": f"CASE WHEN sum(greatest(r, 0)) > 0 THEN greatest(max(r3), 0) / sum(greatest(r, 0)) * greatest(0.5::DOUBLE - {_eff(20)}, 0) ELSE 0 END",
 }
 _PATH_ROWS = """(SELECT *, max(CASE WHEN rn <= 21 THEN p END) OVER (PARTITION BY symbol) AS high21,
@@ -222,7 +222,7 @@ f AS (SELECT *, least(1, greatest(0, coalesce(recent_jump_share_5d, 0))) AS jump
 scores AS (SELECT symbol, {FMS} AS fms FROM f)"""
 
 
-@query(f"WITH {SCORES} SELECT symbol, round(fms, 6) AS fms, row_number() OVER (ORDER BY round(fms, 6) DESC, symbol) AS rank FROM scores")
+@query(f"WITH {SCORES} SELECT symbol, fms, row_number() OVER (ORDER BY fms DESC, symbol) AS rank FROM (SELECT symbol, round(fms, 6) + 0.0 AS fms FROM scores)")
 def score_snapshot(spark, sf_dir):
     found = I.rounded(K.snapshot(P.clean(I.prices(spark, sf_dir))).select("symbol", "fms"))
     return found.withColumn("rank", F.row_number().over(_ranked()))
@@ -255,7 +255,7 @@ def filter_details(spark, sf_dir):
 
 
 @query(f"""WITH {SCORES}, {_TRADE.replace(I.PRICES + ', ', '')}, c AS (SELECT symbol, count(*) < 63 OR count(*) FILTER (rn <= 63 AND tr > 0.30) > 0 OR count(*) FILTER (rn <= 20 AND dl < -0.07) >= 4 AS dq FROM t GROUP BY 1)
-SELECT symbol, round(CASE WHEN dq THEN -999 ELSE fms END, 6) AS fms, dq AS disqualified FROM scores JOIN c USING (symbol)""")
+SELECT symbol, round(CASE WHEN dq THEN -999 ELSE fms END, 6) + 0.0 AS fms, dq AS disqualified FROM scores JOIN c USING (symbol)""")
 def filtered_scan(spark, sf_dir):
     return I.rounded(K.snapshot(P.clean(I.prices(spark, sf_dir)), I.ohlc(spark, sf_dir)).select("symbol", "fms", "disqualified"))
 
@@ -268,7 +268,7 @@ def _lagged_scores(lag: int) -> str:
     return SCORES.replace(whole, cut)
 
 
-_MOMENTUM = "SELECT symbol, round(a.fms, 6) AS fms, round(a.fms - b.fms, 6) AS d1, round(a.fms - c.fms, 6) AS d5 FROM " + " JOIN ".join(
+_MOMENTUM = "SELECT symbol, round(a.fms, 6) + 0.0 AS fms, round(a.fms - b.fms, 6) + 0.0 AS d1, round(a.fms - c.fms, 6) + 0.0 AS d5 FROM " + " JOIN ".join(
     f"(WITH {_lagged_scores(lag)} SELECT symbol, fms FROM scores) {name}" + ("" if name == "a" else " USING (symbol)") for name, lag in (("a", 0), ("b", 1), ("c", 5))
 )
 
