@@ -97,4 +97,4 @@ def compare_paths(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two tables of symbol, fms: n, only_a, only_b, the largest and the mean difference, how many differ by 0.1."""
     both = a.select("symbol", F.col("fms").alias("x")).join(b.select("symbol", F.col("fms").alias("y")), "symbol", "full")
     d = F.abs(F.col("x") - F.col("y"))
-    return both.agg(F.count(d).alias("n"), F.count_if(F.col("y").isNull()).alias("only_a"), F.count_if(F.col("x").isNull()).alias("only_b"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"), F.count_if(d >= 0.1).alias("n_large"))
+    return both.agg(F.count(d).alias("n"), F.count_if(F.col("y").isNull()).alias("only_a"), F.count_if(F.col("x").isNull()).alias("only_b"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"), F.count_if(F.round(d, 9) >= 0.1).alias("n_large"))
