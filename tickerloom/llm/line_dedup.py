@@ -8,6 +8,7 @@ are constant, so lines of prose that only begin alike are left alone.
 
 Leaves with too few documents are left out before any line is shuffled a second time. All counts combine before their
 shuffle, so a line that a third of all documents share is no single task's work; joins on a hot leaf are split by AQE.
+Lines, tokens and templates go by 64-bit hashes, within a leaf's 64-bit hash.
 """
 
 from __future__ import annotations
@@ -31,32 +32,37 @@ def _needed(size: Column) -> Column:
     return F.when(size >= LONG_TOKENS, LONG_DOCS).otherwise(SHORT_DOCS)
 
 
+def _tokens(line: str) -> Column:
+    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, place, tokens, size, leaf of each line with LEAST_TOKENS tokens or more."""
+    """doc_id, place, line, size, leaf of each line with LEAST_TOKENS tokens or more."""
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("place", "line"))
-    tokens = F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    sized = lines.select("doc_id", "place", tokens.alias("tokens")).withColumn("size", F.size("tokens")).where(F.col("size") >= LEAST_TOKENS)
-    return sized.withColumn("leaf", F.xxhash64("size", *[_masked(F.get("tokens", F.lit(k))) for k in range(DEPTH)]))
+    sized = lines.withColumn("tokens", _tokens("line")).withColumn("size", F.size("tokens")).where(F.col("size") >= LEAST_TOKENS)
+    leaf = F.xxhash64("size", *[_masked(F.get("tokens", F.lit(k))) for k in range(DEPTH)])
+    return sized.select("doc_id", "place", "line", "size", leaf.alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id, place, template of the lines to drop: their template recurs, and a smaller doc_id holds it too."""
     lines = lines_of(docs)
     leaves = lines.select("leaf", "size", "doc_id").distinct().groupBy("leaf", "size").agg(F.count("*").alias("docs")).where(F.col("docs") >= _needed(F.col("size")))
-    held = lines.join(leaves.select("leaf"), "leaf").select("doc_id", "place", "leaf", "size", F.array_join(F.transform("tokens", _masked), " ").alias("line"))
+    masked = F.array_join(F.transform(_tokens("line"), _masked), " ")
+    held = lines.join(leaves.select("leaf"), "leaf").select("doc_id", "place", "leaf", "size", masked.alias("line")).withColumn("line_id", F.xxhash64("line"))
     held = materialise(held, "lines")
-    distinct = held.select("leaf", "size", "line", "doc_id").distinct().groupBy("leaf", "size", "line").agg(F.count("*").alias("docs"))
-    distinct = materialise(distinct, "distinct_lines")
-    tokens = distinct.select("leaf", "size", "line", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    line = ["leaf", "size", "line_id"]
+    distinct = held.groupBy(*line, "doc_id").agg(F.first("line").alias("line")).groupBy(*line).agg(F.count("*").alias("docs"), F.first("line").alias("line"))
+    hashed = F.transform(F.split("line", " "), lambda t: F.when(t != FIELD, F.xxhash64(t)))
+    distinct = materialise(distinct.select(*line, "docs", hashed.alias("tokens")), "distinct_lines")
+    tokens = distinct.select(*line, "docs", F.posexplode("tokens").alias("at", "token")).where("token IS NOT NULL")
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
-    known = tokens.join(support, ["leaf", "at", "token"])
-    constant = (F.col("token") != FIELD) & (F.col("support") >= _needed(F.col("size")))
-    made = known.groupBy("leaf", "size", "line", "docs").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(constant, F.col("token")).otherwise(FIELD).alias("t")))), lambda x: x["t"]), " ").alias("template"),
-        F.avg(constant.cast("int")).alias("share"),
-    )
-    made = materialise(made.where(F.col("share") >= LEAST_SHARE).select("leaf", "size", "line", "template"), "templates")
-    found = held.join(made, ["leaf", "size", "line"]).select("leaf", "size", "template", "doc_id", "place")
+    constant = tokens.join(support, ["leaf", "at", "token"]).where(F.col("support") >= _needed(F.col("size")))
+    made = constant.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constants"))
+    made = made.where(F.size("constants") >= LEAST_SHARE * F.col("size"))
+    template = F.xxhash64(F.transform("constants", lambda c: c["at"].cast("long")), F.transform("constants", lambda c: c["token"]))
+    made = materialise(made.select(*line, template.alias("template")), "templates")
+    found = held.join(made, line).select("leaf", "size", "template", "doc_id", "place")
     each = found.select("leaf", "size", "template", "doc_id").distinct()
     recurring = each.groupBy("leaf", "size", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= _needed(F.col("size")))
     return found.join(recurring, ["leaf", "size", "template"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "place", "template")
