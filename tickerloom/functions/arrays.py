@@ -38,21 +38,41 @@ def diffs(a: Column, step: int = 1) -> Column:
     return F.when(n > step, F.transform(F.sequence(F.lit(step), n - 1), lambda i: F.get(a, i) - F.get(a, i - step))).otherwise(F.array().cast(DOUBLES))
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def variance(a: Column, ddof: int = 0) -> Column:
-    m = mean(a)
-    return F.when(F.size(a) > ddof, F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(a) - ddof))
+    squares = lambda a, m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+    return let(a, lambda a: F.when(F.size(a) > ddof, let(mean(a), lambda m: squares(a, m)) / (F.size(a) - ddof)))
+
+
+def _moments(y: Column) -> Column:
+    """n, sxy, sxx, syy of y on 0, 1, 2, ..."""
+
+    def about(y: Column, m: Column) -> Column:
+        n = F.size(y)
+        middle = (n - 1) / 2.0
+        products = F.transform(y, lambda v, k: (k - middle) * (v - m))
+        flat = F.array_max(y) == F.array_min(y)
+        squares = F.aggregate(y, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+        return F.struct(n.alias("n"), F.when(flat, 0.0).otherwise(total(products)).alias("sxy"), (n * (n * n - 1) / 12.0).alias("sxx"), F.when(flat, 0.0).otherwise(squares).alias("syy"))
+
+    return let(y, lambda y: let(mean(y), lambda m: about(y, m)))
 
 
 def line_fit(y: Column) -> tuple[Column, Column]:
     """(slope, R2) of y on 0, 1, 2, ...; a flat or single value: 0 and 1; none: NULL."""
-    n = F.size(y)
-    m, middle = mean(y), (n - 1) / 2.0
-    sxy = F.aggregate(F.zip_with(y, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda v, k: (k - middle) * (v - m)), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    sxx = n * (n * n - 1) / 12.0
-    syy = F.when(F.array_max(y) > F.array_min(y), F.aggregate(y, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))).otherwise(0.0)
-    slope = F.when((n > 1) & (syy == 0), 0.0).when(n > 1, sxy / F.when(n > 1, sxx)).otherwise(F.when(n == 1, 0.0))
-    fit = F.when((n > 1) & (syy > 0), sxy * sxy / (F.when(n > 1, sxx) * F.when(syy > 0, syy))).otherwise(F.when(n > 0, 1.0))
-    return slope, fit
+
+    def slope(s: Column) -> Column:
+        return F.when(s["n"] > 1, s["sxy"] / F.when(s["n"] > 1, s["sxx"])).otherwise(F.when(s["n"] == 1, 0.0))
+
+    def fit(s: Column) -> Column:
+        some = (s["n"] > 1) & (s["syy"] > 0)
+        return F.when(some, s["sxy"] * s["sxy"] / F.when(some, s["sxx"] * s["syy"])).otherwise(F.when(s["n"] > 0, 1.0))
+
+    return let(_moments(y), slope), let(_moments(y), fit)
 
 
 def ema(a: Column, days: int) -> Column:
@@ -64,8 +84,9 @@ def ema(a: Column, days: int) -> Column:
 
 def efficiency(returns: Column) -> Column:
     """The sum over the sum of absolute values; 0 if all are 0, NULL without any."""
-    path = F.aggregate(returns, F.lit(0.0), lambda s, x: s + F.abs(x))
-    return F.when(F.size(returns) > 0, F.when(path > 0, total(returns) / F.when(path > 0, path)).otherwise(0.0))
+    path = lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + F.abs(x))
+    share = lambda r, p: F.when(p > 0, total(r) / F.when(p > 0, p)).otherwise(0.0)
+    return let(returns, lambda r: F.when(F.size(r) > 0, let(path(r), lambda p: share(r, p))))
 
 
 def running_max(a: Column) -> Column:
