@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import materialise, table, text_of
+from tickerloom.llm.exact_dedup import normal_form
 
 DEPTH, LEAST_TOKENS, LEAST_SHARE = 3, 3, 0.6
 #: Documents that a template needs: long lines (LONG_TOKENS or more) hardly recur by chance.
@@ -24,32 +25,27 @@ LONG_TOKENS, SHORT_DOCS, LONG_DOCS = 12, 5, 2
 FIELD = "<*>"
 
 
-def _masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), FIELD).otherwise(token)
+def _masked(line: Column) -> Column:
+    return F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)
 
 
 def _needed(size: Column) -> Column:
     return F.when(size >= LONG_TOKENS, LONG_DOCS).otherwise(SHORT_DOCS)
 
 
-def _tokens(line: str) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, place, line, size, leaf of each line with LEAST_TOKENS tokens or more."""
+    """doc_id, place, line (tokens with one space between), size, leaf of each line with LEAST_TOKENS tokens or more."""
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("place", "line"))
-    sized = lines.withColumn("tokens", _tokens("line")).withColumn("size", F.size("tokens")).where(F.col("size") >= LEAST_TOKENS)
-    leaf = F.xxhash64("size", *[_masked(F.get("tokens", F.lit(k))) for k in range(DEPTH)])
-    return sized.select("doc_id", "place", "line", "size", leaf.alias("leaf"))
+    plain = lines.withColumn("line", F.btrim(normal_form(F.col("line"))))
+    sized = plain.withColumn("size", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).where(F.col("size") >= LEAST_TOKENS)
+    return sized.withColumn("leaf", F.xxhash64("size", _masked(F.substring_index("line", " ", DEPTH))))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id, place, template of the lines to drop: their template recurs, and a smaller doc_id holds it too."""
     lines = lines_of(docs)
     leaves = lines.select("leaf", "size", "doc_id").distinct().groupBy("leaf", "size").agg(F.count("*").alias("docs")).where(F.col("docs") >= _needed(F.col("size")))
-    masked = F.array_join(F.transform(_tokens("line"), _masked), " ")
-    held = lines.join(leaves.select("leaf"), "leaf").select("doc_id", "place", "leaf", "size", masked.alias("line")).withColumn("line_id", F.xxhash64("line"))
+    held = lines.join(leaves.select("leaf"), "leaf").select("doc_id", "place", "leaf", "size", _masked(F.col("line")).alias("line")).withColumn("line_id", F.xxhash64("line"))
     held = materialise(held, "lines")
     line = ["leaf", "size", "line_id"]
     distinct = held.groupBy(*line, "doc_id").agg(F.first("line").alias("line")).groupBy(*line).agg(F.count("*").alias("docs"), F.first("line").alias("line"))
