@@ -68,3 +68,15 @@ def test_odd_tables(spark):
     frame = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in ld.drop_lines(frame).collect()) == [(0, "a b c d", 0), (7, "a b c d", 0), (7, "a b c d", 0)]
     assert ld.drop_lines(frame.where("false")).count() == 0
+
+
+def test_a_template_is_found_at_every_size(spark):
+    """Each name and city is held by n / 100 documents; a rare template and a rare passage are in the common one's leaf."""
+    word = lambda kind, i: f"{kind}{chr(97 + i // 10)}{chr(97 + i % 10)}"
+    for n in (60, 3000):
+        docs = [(i, f"This work by {word('n', i % 100)} of {word('c', (i // 100 + i) % 100)} is licensed under the terms of that licence") for i in range(n)]
+        docs += [(n + i, f"This work by hand was made in a single winter by {word('n', i)} for us") for i in range(3)]
+        docs += [(n + 3 + i, "This work by nobody was lost before any of you could ever read it") for i in range(2)]
+        docs += [(n + 5 + i, f"All goods by {word('n', i % 100)} of {word('c', (i // 100 + i) % 100)} stay ours till then") for i in range(n)]
+        got = ld.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("n_dropped = 0").collect()
+        assert sorted(r.doc_id for r in got) == [0, n, n + 3, n + 5]

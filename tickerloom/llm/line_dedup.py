@@ -1,10 +1,13 @@
 """Line dedup by a log-template tree: lines that are one template in several documents stay in the first of them only.
 
 The tree has a fixed depth: a line's number of tokens, then its DEPTH leading tokens, where a token that holds a digit is
-a variable field. A leaf holds the lines that agree in these. Within a leaf a token is constant at its position if as many
-documents have it there as a template needs; all other tokens, and those with digits, are variable fields. The constant
-tokens and the places of the fields are the template. It recurs if enough documents hold it and LEAST_SHARE of its tokens
-are constant, so lines of prose that only begin alike are left alone.
+a variable field. A leaf holds the lines that agree in these. A token's support is the number of the leaf's documents that
+have it at its position. A line's level is the support that LEAST_SHARE of its tokens reach: about the documents of the
+lines that are like it. A token is constant if its support is TOKEN_SHARE of its line's level, and what a template needs;
+all other tokens, and those with digits, are variable fields. Supports and levels grow alike with the table, so a field
+that is told from the constants at one size is told at every size; a rare template in a leaf of a common one has its own
+level. The constant tokens and the places of the fields are the template. It recurs if enough documents hold it. Lines
+that have no level, as most prose that only begins alike, are left alone.
 
 Leaves with too few documents are left out before any line is shuffled a second time. All counts combine before their
 shuffle, so a line that a third of all documents share is no single task's work; joins on a hot leaf are split by AQE.
@@ -20,6 +23,8 @@ from tickerloom.llm.common import materialise, table, text_of
 from tickerloom.llm.exact_dedup import normal_form
 
 DEPTH, LEAST_TOKENS, LEAST_SHARE = 3, 3, 0.6
+#: Of a line's level, the least support of a constant token.
+TOKEN_SHARE = 0.05
 #: Documents that a template needs: long lines (LONG_TOKENS or more) hardly recur by chance.
 LONG_TOKENS, SHORT_DOCS, LONG_DOCS = 12, 5, 2
 FIELD = "<*>"
@@ -54,8 +59,11 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     tokens = distinct.select(*line, "docs", F.posexplode("tokens").alias("at", "token")).where("token IS NOT NULL")
     support = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
     constant = tokens.join(support, ["leaf", "at", "token"]).where(F.col("support") >= _needed(F.col("size")))
-    made = constant.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constants"))
+    made = constant.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("at", "token", "support"))).alias("constants"))
     made = made.where(F.size("constants") >= LEAST_SHARE * F.col("size"))
+    level = F.element_at(F.sort_array("constants.support", asc=False), F.ceil(LEAST_SHARE * F.col("size")).cast("int"))
+    # in an array of one, so that the level isn't worked out again for each token
+    made = made.withColumn("constants", F.transform(F.array(level), lambda n: F.filter("constants", lambda c: c["support"] >= TOKEN_SHARE * n))[0])
     template = F.xxhash64(F.transform("constants", lambda c: c["at"].cast("long")), F.transform("constants", lambda c: c["token"]))
     made = materialise(made.select(*line, template.alias("template")), "templates")
     found = held.join(made, line).select("leaf", "size", "template", "doc_id", "place")
