@@ -146,3 +146,13 @@ def test_fingerprints_of_odd_tables(spark):
     one = fingerprints.fingerprint_documents(spark.createDataFrame([(None, "only")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.near_next) for r in one] == [(None, 1.0)]
     assert fingerprints.fingerprint_documents(spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "doc_id long, text string")).count() == 3
+
+
+def test_one_of_each_group_without_or_with_repeated_ids(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(None, one), (7, one + " more"), (7, one + " more"), (None, two), (None, two + " more"), (5, three), (5, four), (9, four), (3, four + " more"), (None, None), (None, ""), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    found = jaccard_join.one_of_each_group(docs)
+    got = sorted(((r.doc_id or 0, (r.text or "")[:1]) for r in found.collect()))
+    assert found.columns == docs.columns
+    assert got == [(0, ""), (0, ""), (0, "b"), (3, "d"), (5, "c"), (7, "a"), (8, "")]

@@ -73,9 +73,17 @@ def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text equals that of a row with a smaller doc_id. doc_id must be unique."""
-    keep = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one row of each group of equal texts: that with the smallest doc_id, null ids last; of rows that repeat
+    doc_id and text, the smallest by the other columns. Nothing else goes, so rows with null doc_id stay if no other
+    row has their text. The columns of docs must be of types that can be ordered.
+
+    The row itself goes through the combining, so nothing is joined back and the text is shuffled once. Equal texts are
+    combined in each input partition first, so of a hot text a task gets a row for each input partition at most.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.struct(*docs.columns).alias("row"))
+    rows = docs.select(normal_form(text_of()).alias("content"), row.alias("best"))
+    rows = rows.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
+    return rows.groupBy("digest", "content").agg(F.min("best").alias("best")).select("best.row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,9 +352,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one row of each component: that with the smallest doc_id, null ids last; of rows that repeat it, any.
+
+    Each row gets a key of its own, so rows are compared by text whatever their doc_id: rows with null doc_id, and rows
+    that repeat one, go if they are copies and stay if they aren't. Rows without shingles stay, but of those that repeat
+    a doc_id one.
+    """
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    rows = found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").join(keyed.select("_row", "doc_id"), "_row")
+    empty = F.col("n_shingles") == 0
+    group = F.when(~empty, F.col("component_id")).when(F.col("doc_id").isNull(), F.col("_row")), F.when(empty, F.col("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    keep = rows.groupBy(group[0].alias("component"), group[1].alias("empty_id"), empty.alias("empty")).agg(least["_row"].alias("_row"))
+    return keyed.join(keep.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
