@@ -95,3 +95,20 @@ def test_language_id_of_empty_tables(spark):
     got = language_id.identify(docs, language_id.model_of(docs)).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * 2
     assert language_id.accepted_documents(docs.where("false")).count() == 0
+
+
+def test_limits_of_common_and_rare_languages(spark):
+    """A common language's limit is that of all its rows; one with a single row has a limit that good texts pass."""
+    rng = random.Random(5)
+    rows = [(speech(rng, "abcdefg", rng.randrange(5, 25)), "xx") for _ in range(6000)] + [(speech(rng, "mnopqrs", 20), "qq")]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.train(frame)
+    assert sorted(model.limits) == model.langs == ["qq", "xx"] and model.limits["qq"] == -model.uniform
+    own = language_id.identify(frame, model).where("lang_pred = 'xx' AND n_letters >= 20").collect()
+    cost, other = [r.cross_entropy for r in own], sum(r.runner_up for r in own) / len(own)
+    mean = sum(cost) / len(cost)
+    sd = (sum((c - mean) ** 2 for c in cost) / len(cost)) ** 0.5
+    assert model.limits["xx"] == pytest.approx(min(max(mean + 8 * max(sd, 0.1), other), -model.uniform), rel=1e-9)
+    good = " ".join(rows[-1][0].split(" ")[::-1])
+    more = spark.createDataFrame([(good,), ("漢字仮名交文" * 40,)], "text string")
+    assert {r.text: r.accepted for r in language_id.identify(more, model).collect()} == {good: True, "漢字仮名交文" * 40: False}

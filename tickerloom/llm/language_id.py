@@ -10,8 +10,9 @@ side by side.
 The language with the lowest cross-entropy per symbol wins. A text is rejected if it has no letter, or if it fits its
 language no better than texts of other languages do: its cross-entropy is over the mean that training texts have under
 the second-best language, and over REJECT_SD standard deviations above the mean under their own; or over that of symbols
-drawn at random. The means and deviations come from a sample of about CALIBRATION_ROWS training rows. A text that mixes
-two languages stays.
+drawn at random. The means and deviations are aggregated over all training rows, by the language they are given. Where
+those are fewer than LEAST_ROWS, they say little of other texts (a model fits what it was trained on), and only the cost
+of symbols drawn at random rejects. A text that mixes two languages stays.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from tickerloom.llm.common import table
 ORDER, BITS = 4, 16
 #: Bounds of a model's size: four-grams of a language, languages (those with the most training rows).
 MAX_GRAMS, MAX_LANGUAGES = 200_000, 64
-#: The bound of the sample that the rejection is calibrated on; the deviations; texts with fewer letters stay.
-CALIBRATION_ROWS, REJECT_SD, LEAST_SD, LEAST_LETTERS = 4_000, 8.0, 0.1, 20
+#: The rows that a language's limit is told from, at least; the deviations; texts with fewer letters stay.
+LEAST_ROWS, REJECT_SD, LEAST_SD, LEAST_LETTERS = 30, 8.0, 0.1, 20
 #: Symbols that count for the score: more don't make it surer.
 SCORE_SYMBOLS = 50
 #: Texts are handled in groups of about so many characters.
@@ -214,11 +215,10 @@ def train(labelled: DataFrame) -> Model:
     common = found.groupby("lang")["n"].sum().nlargest(MAX_LANGUAGES).index
     model = Model({lang: (x["gram"].to_numpy().view(np.uint64), x["n"].to_numpy()) for lang, x in found.groupby("lang") if lang in common})
     if model.langs:
-        total = rows.count()
-        some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * CALIBRATION_ROWS // max(total, 1)))
-        scored = identify(some.select("text"), model).where(F.col("n_letters") >= LEAST_LETTERS)
-        own = scored.groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("sd"), F.avg("runner_up").alias("other"))
-        for r in own.collect():
+        scored = identify(rows.select("text"), model).where(F.col("n_letters") >= LEAST_LETTERS)
+        own = scored.groupBy("lang_pred").agg(F.count("*").alias("rows"), F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("sd"), F.avg("runner_up").alias("other"))
+        model.limits = dict.fromkeys(model.langs, -model.uniform)
+        for r in own.where(F.col("rows") >= LEAST_ROWS).collect():
             model.limits[r["lang_pred"]] = min(max(r["mean"] + REJECT_SD * max(r["sd"], LEAST_SD), r["other"]), -model.uniform)
     return model
 
@@ -238,7 +238,7 @@ def identify(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataF
     def predict(batches):
         model = shared.value
         names = np.array([*model.langs, "und"], object)
-        limits = np.array([model.limits.get(x, np.inf) for x in model.langs] + [-np.inf])
+        limits = np.array([model.limits.get(x, -model.uniform) for x in model.langs] + [-np.inf])
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             found = []
