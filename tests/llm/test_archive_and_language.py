@@ -112,3 +112,14 @@ def test_limits_of_common_and_rare_languages(spark):
     good = " ".join(rows[-1][0].split(" ")[::-1])
     more = spark.createDataFrame([(good,), ("漢字仮名交文" * 40,)], "text string")
     assert {r.text: r.accepted for r in language_id.identify(more, model).collect()} == {good: True, "漢字仮名交文" * 40: False}
+
+
+def test_a_model_holds_all_grams_and_languages(spark):
+    rng = random.Random(6)
+    rows = [("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(5000)), "cjk") for _ in range(60)]
+    rows += [(speech(rng, "abcdefg", 20), f"l{i:02}") for i in range(70)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == sorted({lang for _, lang in rows})
+    grams = {(" " * 3 + t)[i : i + 4] for t, lang in rows if lang == "cjk" for i in range(len(t))}
+    found = model.grams[4]
+    assert len(grams) > 200_000 and (found & 0xFFFF >= 0x4E00).sum() == len(grams)

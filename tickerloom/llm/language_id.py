@@ -3,9 +3,8 @@
 A text becomes symbols: lower-cased letters (and marks), each run of anything else one space. A gram of up to four
 symbols is a 64-bit number, 16 bits a symbol (beyond the Basic Multilingual Plane: hashed into the private-use area),
 so a lower order is a mask away. Counting is one Spark aggregation over all training rows; the lower orders'
-continuation counts follow from the distinct four-grams. A model keeps the MAX_GRAMS commonest four-grams of a
-language at most, which bounds what is broadcast: sorted arrays of grams, with the log-probabilities of all languages
-side by side.
+continuation counts and the discounts follow from all distinct four-grams of all languages. What is broadcast is sorted
+arrays of grams, with the log-probabilities of all languages side by side; it grows with the distinct four-grams.
 
 The language with the lowest cross-entropy per symbol wins. A text is rejected if it has no letter, or if it fits its
 language no better than texts of other languages do: its cross-entropy is over the mean that training texts have under
@@ -23,14 +22,12 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import table
 
 ORDER, BITS = 4, 16
-#: Bounds of a model's size: four-grams of a language, languages (those with the most training rows).
-MAX_GRAMS, MAX_LANGUAGES = 200_000, 64
 #: The rows that a language's limit is told from, at least; the deviations; texts with fewer letters stay.
 LEAST_ROWS, REJECT_SD, LEAST_SD, LEAST_LETTERS = 30, 8.0, 0.1, 20
 #: Symbols that count for the score: more don't make it surer.
@@ -208,12 +205,8 @@ class Model:
 def train(labelled: DataFrame) -> Model:
     """The model of all rows of lang, text where neither is null. No such rows: a model without languages."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = gram_counts(rows)
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= MAX_GRAMS).select("lang", "gram", "n")
-    found = kept.toPandas()
-    common = found.groupby("lang")["n"].sum().nlargest(MAX_LANGUAGES).index
-    model = Model({lang: (x["gram"].to_numpy().view(np.uint64), x["n"].to_numpy()) for lang, x in found.groupby("lang") if lang in common})
+    found = gram_counts(rows).toPandas()
+    model = Model({lang: (x["gram"].to_numpy().view(np.uint64), x["n"].to_numpy()) for lang, x in found.groupby("lang")})
     if model.langs:
         scored = identify(rows.select("text"), model).where(F.col("n_letters") >= LEAST_LETTERS)
         own = scored.groupBy("lang_pred").agg(F.count("*").alias("rows"), F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("sd"), F.avg("runner_up").alias("other"))
