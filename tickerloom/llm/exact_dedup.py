@@ -77,13 +77,15 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     doc_id and text, the smallest by the other columns. Nothing else goes, so rows with null doc_id stay if no other
     row has their text. The columns of docs must be of types that can be ordered.
 
-    The row itself goes through the combining, so nothing is joined back and the text is shuffled once. Equal texts are
-    combined in each input partition first, so of a hot text a task gets a row for each input partition at most.
+    Rows are joined by digest and doc_id, which nulls take part in, with the row of each group that exact_dedup keeps;
+    what repeats both is combined where the join has put it, so without another shuffle.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.struct(*docs.columns).alias("row"))
-    rows = docs.select(normal_form(text_of()).alias("content"), row.alias("best"))
-    rows = rows.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
-    return rows.groupBy("digest", "content").agg(F.min("best").alias("best")).select("best.row.*")
+    key = ["digest", "last", "id"]
+    id_ = F.col("doc_id").isNull().alias("last"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    keep = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias("digest"), *id_)
+    digest = F.sha2(normal_form(text_of()).cast("binary"), 256).alias("digest")
+    rows = docs.select(digest, *id_, F.struct(*docs.columns).alias("row")).join(keep, key, "left_semi")
+    return rows.groupBy(*key).agg(F.min("row").alias("row")).select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
