@@ -53,6 +53,48 @@ def test_common_shingles_and_large_keys(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == component
 
 
+def test_each_allocation_finds_the_same(spark, monkeypatch):
+    docs = planted(4)
+    _, component = brute.near_components(docs)
+    frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs], "doc_id long, text string")
+    for option in jaccard_join.OPTIONS[1:3]:
+        monkeypatch.setattr(jaccard_join, "allocate", lambda *_, o=option: {band: o for band in range(20)})
+        assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame).collect()} == component
+
+
+def test_hashes_tell_apart_what_a_polynomial_cannot(spark):
+    """Two Thue-Morse words of opposite letters are equal under any polynomial hash modulo 2**64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"w1 w2 w3 w4 {word}"), (2, f"w1 w2 w3 w4 {other}"), (3, f"W1 w2  w3 w4 {word}")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_goes_by_words(monkeypatch):
+    """Where hashes clash, the words decide; and one text of a million words, one of a single long word."""
+    from tickerloom.llm import shingles
+
+    x, y = shingles.shingles(["a b c d e f g h", "a b c d e f g i"])
+    assert not shingles.near(x, y) and shingles.near(x, x)
+    y.hashes = x.hashes
+    assert not shingles.near(x, y)
+    long = " ".join(f"w{i % 999_983}" for i in range(1_000_000))
+    one, two, three = shingles.shingles([long, long + " end", "z" * 5_000_000])
+    assert shingles.near(one, two) and not shingles.near(one, three) and len(three.hashes) == 1
+
+
+def test_repeats_of_a_passage_are_one_class(spark):
+    """Equal sets of different words in order are compared, and linked."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    looped = " ".join([passage] * 3)
+    docs = [(1, looped), (2, " ".join([passage] * 5)), (3, passage), (4, "other words than these are here")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_jaccard_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(empty).count() == 0

@@ -77,7 +77,7 @@ def test_packing_of_ties(spark, monkeypatch):
     layout_holds(rows)
 
 
-@pytest.mark.parametrize("groups", [8, 64, 0])
+@pytest.mark.parametrize("groups", [8, 64, 512])
 def test_plan(groups):
     rng = np.random.default_rng(groups)
     lengths = np.minimum(2048, rng.lognormal(5.5, 1.2, 20_000).astype(int) + 1)
@@ -97,4 +97,5 @@ def test_plan(groups):
     for length, _, n, sequence, _ in places:
         fill[sequence : sequence + n] += length
     assert fill.max() <= 2048
+    assert packing.best_plan(dict(hist))[0] <= sequences
     assert sequences <= 1.02 * math.ceil(lengths.sum() / 2048) + 1

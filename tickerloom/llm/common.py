@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local
 
 
+def trim() -> None:
+    """Gives the memory that a task has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _local: str | None = None
 _written: list[str] = []
 

@@ -3,91 +3,116 @@
 Let sets of sizes a and b have a Jaccard similarity of 3/4 at least. Then they differ in (a + b) / 7 shingles at most,
 so in floor(a / 3) at most, and in 1/4 of either's at most. All that follows loses no such pair.
 
-* Equal sets are one class, by a 128-bit hash of the set; the join is between classes.
-* Size bands: a band's sizes go from 4**k to 4**(k+1). Its universe, the hash range, is cut into a fixed number of
-  segments. A set emits keys in its own band, and in the one below if a partner may be there.
+* Equal sets are one class, by a 128-bit hash of the set; the join is between classes. Members whose words aren't those of
+  their class's first are compared with it like any pair.
+* Size bands: a band's sizes go from 4**k to 4**(k+1). Its universe, the hash range, is cut into segments. A set emits
+  keys in its own band, and in the one below if a partner may be there.
 * Common shingles, found in a sample, are left out of the segments; they are a bitmap of a bounded size. Whichever
   shingles are left out, the rest of two sets still differs in floor(a / 3) at most.
-* A set emits the keys (segment and content) of its first floor(a / 3) + 1 segments that aren't empty. Before the first
-  segment that two partners share, each segment that one of them counts holds a difference: so both emit that segment.
-* A set with fewer such segments is short. Pairs with a set that isn't short are found as above. Short sets also emit
-  neighbourhoods: each segment's content, and it with one shingle left out. A segment counts one exactly, two with its
-  neighbourhood (two shingles at least); if that makes up floor(a / 3) + 1, pairs of two short sets are found.
+* A segment of a set is a key by its content; in a band that is allocated neighbourhoods, its content less each one of its
+  shingles (if there are two or more) are keys too. Where two sets share no key of a segment that isn't empty, they differ
+  in one shingle there at least, in two if it has neighbourhoods and two shingles. A set emits its first segments, until
+  these numbers add up to floor(a / 3) + 1. Before the first segment that two partners share a key of, the numbers of either
+  add up to no more than they differ in: so both emit that segment.
+* A set whose segments don't add up to that is short. It emits all segments with neighbourhoods, and its partners their
+  plain contents as before; if that makes up floor(a / 3) + 1, pairs of two short sets are found.
 * Sets for which even that doesn't do emit floor(a / 4) + 1 shingles one by one, by rarity, then hash: the prefix filter.
 
-This is the allocation by cost: a key exactly where that suffices, neighbourhoods where it doesn't, single shingles
-last. Keys are dealt out in buckets whose number follows the number of shingles. Of a key with up to PAIRS_UP_TO sets
+Allocation by cost: for each band, each of OPTIONS (how many segments; with neighbourhoods or not) is tried on the sample.
+Its keys, and the pairs of sets that share one, are counted and carried on to all sets; the cheapest option is taken.
+
+Keys are dealt out in buckets whose number follows the number of shingles. Of a key with up to PAIRS_UP_TO sets
 all pairs are candidates. Of a larger one, each set is a candidate with the key's first set only. The best candidate of
 each set is checked first, then those that this doesn't connect. Keys whose sets aren't all connected then are taken in
-blocks of BLOCK sets, so that no task holds more than two blocks; there each set is compared with those of other
-components, and only links leave the task. Keys that share such sets are one, so that each set comes once. Nothing is lost, and what is
-near throughout, as a group of copies mostly is, costs a check for each set. Checks compare whole sets.
+blocks of BLOCK sets, so that no task holds more than two blocks; there each set outside the key's largest component is
+compared with those of other components, and a link for each of these leaves the task. Keys that share such sets are one, so
+that each set comes once. Nothing is lost, and what is near throughout, as a group of copies mostly is, costs a check for
+each set. Whatever belongs to a whole key is joined by the key and one of several parts of it, so a hot key is many tasks'
+work. Checks compare whole sets, word by word: hashes only say which words to compare.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import materialise, table
+from tickerloom.llm.common import materialise, table, text_of, trim
 from tickerloom.llm.components import components
-from tickerloom.llm.shingles import mix, shingle_sets
+from tickerloom.llm.shingles import Shingles, mix, near, shingle_sets, shingles, words_of
 
 PAIRS_UP_TO, BLOCK = 12, 1024
-BAND, SEGMENTS = 4, 0.45
+BAND = 4
+#: Segments for each shingle of a band's largest size, and whether with neighbourhoods.
+OPTIONS = ((0.45, False), (0.7, False), (0.2, True), (0.3, True))
+#: Of the costs of a key that is shuffled and sorted, that of a candidate pair.
+PAIR_COST = 8.0
 #: Keys of a bucket on average, and of a task's buffer.
-BUCKET_KEYS, FLUSH_KEYS = 1_500_000, 400_000
+BUCKET_KEYS, FLUSH_KEYS = 800_000, 400_000
 #: Pairs whose sets a task holds at once.
 CHECKED = 100
-#: One in SAMPLE sets is looked at for common shingles: those in COMMON of these at least, and those in the larger numbers,
-#: by which rarity is told. Bits of a bitmap of them.
-SAMPLE, COMMON, BITMAP_BITS = 16, (4, 16, 64), 1 << 25
+#: Members of a key's part, on average, where a key has a third of all.
+PART_ROWS, LEAST_PARTS = 100_000, 64
+#: One in SAMPLE texts is looked at for common shingles: those in COMMON of these at least, and those in the larger numbers,
+#: by which rarity is told. Bits of a bitmap of them. One in KEY_SAMPLE keys is counted for the allocation.
+SAMPLE, COMMON, BITMAP_BITS, KEY_SAMPLE = 16, (4, 16, 64), 1 << 25, 16
 
 
 def _binary(x: np.ndarray) -> bytes:
     return x.tobytes()
 
 
+def _hashes(s: np.ndarray) -> tuple[int, int]:
+    return tuple(int(mix(s, k).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2))
+
+
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 of every row: the set's size and 128-bit hash."""
+    """doc_id, n, h1, h2, words of every row: the set's size and 128-bit hash, and a digest of the words in order."""
 
     def describe(batches):
         for batch in batches:
-            n, one, two = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
-                n.append(len(s))
-                one.append(int(mix(s, 1).sum(dtype=np.uint64).view(np.int64)))
-                two.append(int(mix(s, 2).sum(dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "n", "h1", "h2"])
+            rows, texts = [], batch.column(1).to_pylist()
+            for text, s in zip(texts, shingle_sets(texts)):
+                rows.append((len(s), *_hashes(s), hashlib.blake2b(words_of(text), digest_size=16).digest()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "h1", "h2", "words"])
+        trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, words binary")
 
 
-def _set_id(s: np.ndarray) -> np.uint64:
-    return mix(s, 1).sum(dtype=np.uint64)
+def sampled(docs: DataFrame) -> DataFrame:
+    """text: one in SAMPLE distinct texts, as often as they come; told before any is taken apart."""
+    return docs.select("text").where(F.pmod(F.xxhash64(text_of()), F.lit(SAMPLE)) == 0)
+
+
+def _distinct_sets(batches):
+    """The distinct sets of a task's texts, but for empty ones."""
+    seen = set()
+    for batch in batches:
+        for s in shingle_sets(batch.column(0).to_pylist()):
+            if len(s) and (id_ := _hashes(s)) not in seen:
+                seen.add(id_)
+                yield id_[0], s
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """For each number in COMMON the bitmap (64-bit words) of shingles that so many sets of the sample hold."""
 
     def count(batches):
-        seen, held = set(), []
-        for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                if len(s) and (id_ := int(_set_id(s))) % SAMPLE == 0 and id_ not in seen:
-                    seen.add(id_)
-                    held.append(s)
+        held = [s for _, s in _distinct_sets(batches)]
         if held:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             for at in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["shingle", "n"])
+        trim()
 
-    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON[0])
+    counts = sampled(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON[0])
     own = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
     bits = [F.bit_or(F.when(F.col("n") >= least, own).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k, least in enumerate(COMMON)]
     words = counts.groupBy(F.shiftright(F.col("shingle").bitwiseAND(BITMAP_BITS - 1), 6).alias("word")).agg(*bits).toPandas()
@@ -103,44 +128,89 @@ def _commonness(s: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
     return sum((b[bit >> 6] >> (bit & 63)) & 1 for b in bitmaps)
 
 
-def _segments(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where runs of one segment begin in the sorted s, their segments)."""
-    n = max(4, int(SEGMENTS * BAND ** (band + 1)))
-    segment = (s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-    return first, segment[first]
-
-
-def keys_of(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The keys that the set s (sorted, not empty) emits. common: how common its shingles are; only rare ones (0) get into
-    segments."""
-    n = len(s)
+def _bands(n: int) -> tuple[int, ...]:
+    """The bands that a set of n shingles emits keys in: the own one first."""
     band = 0
     while BAND ** (band + 1) <= n:
         band += 1
-    rest, need, out = s[common == 0], n // 3 + 1, []
-    for b in (band, band - 1) if band and 3 * n < 4 * BAND**band else (band,):
-        q, first = 0, np.empty(0, np.int64)
-        if len(rest):
-            first, segment = _segments(rest, b)
-            own = mix(rest, 3)
-            content = np.add.reduceat(own, first)
-            q = len(first)
-            place = mix(segment, 16 + b)
-            out.append(mix(content[:need] + place[:need], 4))
-        if q >= need:
-            continue
-        sizes = np.diff(np.r_[first, len(rest)])
-        if q:
-            out.append(mix(content + place, 5))
-            many = np.repeat(sizes >= 2, sizes)
-            out.append(mix((np.repeat(content + place, sizes) - own)[many], 5))
-        if q + np.count_nonzero(sizes >= 2) < need:
+    return (band, band - 1) if band and 3 * n < 4 * BAND**band else (band,)
+
+
+def _band_keys(rest: np.ndarray, n: int, band: int, factor: float, neighbours: bool) -> tuple[list[np.ndarray], bool]:
+    """(the keys in a band of a set of n shingles, rest of them rare ones; whether they make up floor(n / 3) + 1)."""
+    need, segments = n // 3 + 1, max(4, int(factor * BAND ** (band + 1)))
+    if not len(rest):
+        return [], False
+    segment = (rest >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    sizes, own = np.diff(np.r_[first, len(rest)]), mix(rest, 3)
+    content = np.add.reduceat(own, first) + mix(segment[first], 16 + band)
+
+    def less_one(some: int) -> np.ndarray:
+        """The first some segments' contents less each one of their shingles."""
+        many = np.repeat(sizes[:some], sizes[:some]) >= 2
+        return (np.repeat(content[:some], sizes[:some]) - own[: len(many)])[many]
+
+    worth = np.cumsum(1 + (sizes >= 2)) if neighbours else np.arange(1, len(first) + 1)
+    out = []
+    if worth[-1] >= need:
+        some = int(np.searchsorted(worth, need)) + 1
+        out.append(mix(content[:some], 4))
+        if neighbours:
+            out.append(mix(less_one(some), 4))
+        return out, True
+    out.append(mix(content, 4))
+    if not neighbours:
+        out.append(mix(content, 5))
+        out.append(mix(less_one(len(first)), 5))
+    else:
+        out.append(mix(less_one(len(first)), 4))
+    return out, len(first) + int(np.count_nonzero(sizes >= 2)) >= need
+
+
+def keys_of(s: np.ndarray, common: np.ndarray, allocation: dict[int, tuple[float, bool]]) -> np.ndarray:
+    """The keys that the set s (sorted, not empty) emits. common: how common its shingles are; only rare ones (0) get into
+    segments. allocation: each band's option."""
+    n, rest, out = len(s), s[common == 0], []
+    for band in _bands(n):
+        keys, done = _band_keys(rest, n, band, *allocation.get(band, OPTIONS[0]))
+        out += keys
+        if not done:
             out.append(mix(s[np.argsort(common, kind="stable")[: n // 4 + 1]], 6))
     return np.unique(np.concatenate(out))
 
 
-def _emit(docs: DataFrame, bitmap, buckets: int) -> DataFrame:
+def allocate(docs: DataFrame, bitmap) -> dict[int, tuple[float, bool]]:
+    """The cheapest option for each band: by the keys of the sample's sets, and the pairs of sets that share one."""
+
+    def count(batches):
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        for _, s in _distinct_sets(batches):
+            rest = s[_commonness(s, bitmap.value) == 0]
+            for band in _bands(len(s)):
+                for k, option in enumerate(OPTIONS):
+                    keys, done = _band_keys(rest, len(s), band, *option)
+                    if not done:  # the prefix filter's keys, as many
+                        keys = [*keys, mix(s[: len(s) // 4 + 1], 6)]
+                    held.setdefault((band, k), []).append(np.unique(np.concatenate(keys)))
+        for (band, k), parts in held.items():
+            keys = np.concatenate(parts)
+            some, n = np.unique(keys[keys % np.uint64(KEY_SAMPLE) == 0], return_counts=True)
+            columns = [[band] * (len(some) + 1), [k] * (len(some) + 1), [None, *some.view(np.int64).tolist()], [len(keys), *n.tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["band", "option", "key", "n"])
+        trim()
+
+    found = sampled(docs).mapInArrow(count, "band int, option int, key long, n long").groupBy("band", "option", "key").agg(F.sum("n").alias("n"))
+    pairs = F.when(F.col("key").isNotNull(), F.col("n") * (F.col("n") - 1) / 2).otherwise(0.0)
+    costs = found.groupBy("band", "option").agg(F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("keys"), F.sum(pairs).alias("pairs")).collect()  # a few for each band
+    best: dict[int, tuple[float, int]] = {}
+    for r in costs:
+        cost = SAMPLE * r["keys"] + PAIR_COST * SAMPLE**2 * KEY_SAMPLE * r["pairs"]
+        best[r["band"]] = min(best.get(r["band"], (cost, r["option"])), (cost, r["option"]))
+    return {band: OPTIONS[k] for band, (_, k) in best.items()}
+
+
+def _emit(docs: DataFrame, bitmap, allocation: dict, buckets: int) -> DataFrame:
     """bucket, ids, counts, keys: the keys of every distinct set of a task, packed by bucket."""
 
     def flush(keys: list[np.ndarray], ids: list[np.uint64]):
@@ -157,20 +227,17 @@ def _emit(docs: DataFrame, bitmap, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "ids", "counts", "keys"])
 
     def emit(batches):
-        seen, keys, ids, held = set(), [], [], 0
-        for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                if not len(s) or (id_ := _set_id(s)) in seen:
-                    continue
-                seen.add(id_)
-                keys.append(keys_of(s, _commonness(s, bitmap.value)))
-                ids.append(id_)
-                held += len(keys[-1])
-                if held >= FLUSH_KEYS:
-                    yield flush(keys, ids)
-                    keys, ids, held = [], [], 0
+        keys, ids, held = [], [], 0
+        for id_, s in _distinct_sets(batches):
+            keys.append(keys_of(s, _commonness(s, bitmap.value), allocation))
+            ids.append(np.int64(id_).view(np.uint64))
+            held += len(keys[-1])
+            if held >= FLUSH_KEYS:
+                yield flush(keys, ids)
+                keys, ids, held = [], [], 0
         if keys:
             yield flush(keys, ids)
+        trim()
 
     return docs.select("text").mapInArrow(emit, "bucket int, ids binary, counts binary, keys binary")
 
@@ -212,6 +279,10 @@ def _candidates(packed: pa.Table) -> pa.Table:
     return pa.concat_tables([pairs, many])
 
 
+def _unzipped(z: bytes) -> str:
+    return zlib.decompress(z).decode("utf-8", "surrogatepass")
+
+
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """doc_id, z: the compressed whole texts of the documents in needed."""
 
@@ -219,6 +290,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
         for batch in batches:
             found = [zlib.compress((x or "").encode("utf-8", "surrogatepass"), 6) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "z"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
     return materialise(rows.mapInArrow(compress, "doc_id long, z binary").dropDuplicates(["doc_id"]), "texts")
@@ -228,20 +300,18 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) of doc_ids, those whose sets are similar; by the whole sets."""
 
     def check(batches):
-        held: dict[bytes, np.ndarray] = {}
+        held: dict[bytes, Shingles] = {}
         for batch in batches:
             one, two = (batch.column(k).to_pylist() for k in (2, 3))
             for at in range(0, len(one), CHECKED):
                 some = [*dict.fromkeys(one[at : at + CHECKED] + two[at : at + CHECKED])]
                 new = [z for z in some if z not in held]
                 held = {z: held[z] for z in some if z in held}
-                held |= zip(new, shingle_sets([zlib.decompress(z).decode("utf-8", "surrogatepass") for z in new]))
-                good = []
-                for x, y in zip(one[at : at + CHECKED], two[at : at + CHECKED]):
-                    both = np.sort(np.concatenate([held[x], held[y]]))
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    good.append(100 * shared >= 75 * (len(both) - shared))
+                held |= zip(new, shingles(map(_unzipped, new)))
+                good = [near(held[x], held[y]) for x, y in zip(one[at : at + CHECKED], two[at : at + CHECKED])]
                 yield pa.RecordBatch.from_arrays([c.slice(at, CHECKED) for c in batch.columns[:2]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        del held
+        trim()
 
     one, two = (texts.select(F.col("doc_id").alias(c), F.col("z").alias(z)) for c, z in (("a", "one"), ("b", "two")))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
@@ -254,45 +324,65 @@ def _between(pairs: DataFrame, connected: DataFrame) -> DataFrame:
     return both.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select(*pairs.columns)
 
 
-def _apart(members: DataFrame, connected: DataFrame) -> DataFrame:
+def _joined_by_parts(rows: DataFrame, facts: DataFrame, key: str, parts: int) -> DataFrame:
+    """rows (with an id) and the columns of facts, which has a row for each key. The join is by the key and one of parts
+    parts of it, so a hot key is dealt out; facts are repeated for the parts that rows have, so no oftener than rows."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
+    dealt = rows.select(key, part).distinct().join(facts, key)
+    return rows.select("*", part).join(dealt, [key, "part"]).drop("part")
+
+
+def _apart(members: DataFrame, connected: DataFrame, parts: int) -> DataFrame:
     """grp, id, component of the members of groups that aren't connected throughout."""
-    labelled = members.join(connected, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component"))
+    labelled = materialise(members.join(connected, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component")), "labelled")
     open_ = labelled.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    return labelled.join(open_, "grp")
+    return _joined_by_parts(labelled, open_, "grp", parts)
 
 
-def _clustered(left: DataFrame) -> DataFrame:
-    """grp, id, component: keys that share a set outside their largest component are one, so each set comes once."""
-    sizes = left.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outside = left.join(sizes, "grp").where("component <> largest").select("grp", "id")
-    lead = outside.groupBy("grp").agg(F.min("id").alias("lead"))
-    joined = components(outside.join(lead, "grp").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    of_grp = lead.join(joined.select(F.col("id").alias("lead"), F.col("component").alias("cluster")), "lead", "left").select("grp", F.coalesce("cluster", "lead").alias("cluster"))
-    return materialise(left.join(of_grp, "grp").select(F.col("cluster").alias("grp"), "id", "component").distinct(), "clusters")
+def _clustered(left: DataFrame, parts: int) -> DataFrame:
+    """grp, id, component, inside: keys that share a set outside their largest component are one, so each set comes once.
+    inside: in the largest component."""
 
+    def largest(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("grp", "component").agg(F.count("*").alias("n"))
+        return sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
 
-def _within(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: the links between components among the members (grp, id, component) of keys."""
-    left = _clustered(left)
-    blocks = left.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    each = left.join(blocks, "grp").select("grp", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = each.select("grp", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    outside = materialise(_joined_by_parts(left, largest(left), "grp", parts).where("component <> largest").select("grp", "id"), "outside")
+    lead = outside.groupBy("grp").agg(F.min("id").alias("lead"))
+    joined = components(_joined_by_parts(outside, lead, "grp", parts).select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    of_grp = lead.join(joined.select(F.col("id").alias("lead"), F.col("component").alias("cluster")), "lead", "left").select("grp", F.coalesce("cluster", "lead").alias("cluster"))
+    merged = materialise(_joined_by_parts(left, of_grp, "grp", parts).select(F.col("cluster").alias("grp"), "id", "component").distinct(), "clusters")
+    return _joined_by_parts(merged, largest(merged), "grp", parts).select("grp", "id", "component", (F.col("component") == F.col("largest")).alias("inside"))
+
+
+def _within(left: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """a, b: links between components among the members (grp, id, component) of keys, such that all components that a
+    set is linked with are. Blocks of sets outside the largest component meet each other and the blocks inside."""
+    left = materialise(_clustered(left, parts), "clusters")
+    blocks = left.groupBy("grp").agg(*[F.greatest(F.ceil(F.count_if(c) / BLOCK), F.lit(1)).cast("int").alias(n) for n, c in (("outer", ~F.col("inside")), ("inner", F.col("inside")))])
+    sized = _joined_by_parts(left, blocks, "grp", parts)
+    own = F.pmod(F.hash("id"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    outer = F.concat(to(F.col("outer"), lambda k: place(0, F.least("own", k), F.greatest("own", k))), to(F.col("inner"), lambda k: place(1, F.col("own"), k)))
+    inner = to(F.col("outer"), lambda k: place(1, k, F.col("own")))
+    each = sized.withColumn("own", own).select("grp", "id", "component", "inside", "own", F.explode(F.when(F.col("inside"), inner).otherwise(outer)).alias("place"))
+    placed = each.select("grp", "id", "component", "inside", "own", "place.*")
 
     def compare(rows: pa.Table) -> pa.Table:
-        i, j = (rows[c][0].as_py() for c in ("i", "j"))
-        ids, component, own = (rows[c].to_numpy() for c in ("id", "component", "own"))
-        sets = list(shingle_sets([zlib.decompress(z).decode("utf-8", "surrogatepass") for z in rows["z"].to_pylist()]))
-        size = np.array([len(x) for x in sets])
+        kind, i, j = (rows[c][0].as_py() for c in ("kind", "i", "j"))
+        ids, component, own, inside = (rows[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "own", "inside"))
+        sets = list(shingles(map(_unzipped, rows["z"].to_pylist())))
+        size = np.array([len(x.hashes) for x in sets])
         starts = np.cumsum(size) - size
-        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        largest = Counter(component.tolist()).most_common(1)[0][0]
-        mark, left_, right = np.zeros(len(known), bool), [], []
-        for x in np.flatnonzero(component != largest):
+        known, codes = np.unique(np.concatenate([x.hashes for x in sets]), return_inverse=True)
+        mark, links = np.zeros(len(known), bool), []
+        for x in np.flatnonzero(~inside):
             wanted = (component != component[x]) & (4 * size >= 3 * size[x]) & (4 * size[x] >= 3 * size)
-            wanted &= (component == largest) | (np.arange(len(ids)) > x)
-            if i != j:
-                wanted &= own != own[x]
+            if kind:
+                wanted &= inside
+            else:
+                wanted &= (own != own[x]) if i != j else np.arange(len(ids)) > x
             y = np.flatnonzero(wanted)
             if not len(y):
                 continue
@@ -300,13 +390,15 @@ def _within(left: DataFrame, texts: DataFrame) -> DataFrame:
             mark[mine] = True
             shared = np.add.reduceat(mark[codes], starts)[y]
             mark[mine] = False
-            y = y[100 * shared >= 75 * (size[x] + size[y] - shared)]
-            left_.append(np.minimum(ids[x], ids[y]))
-            right.append(np.maximum(ids[x], ids[y]))
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(left_ or none), "b": np.concatenate(right or none)})
+            met = set()
+            for other in y[100 * shared >= 75 * (size[x] + size[y] - shared)]:
+                if component[other] not in met and near(sets[x], sets[other]):  # one link with a component does
+                    met.add(component[other])
+                    links.append((min(ids[x], ids[other]), max(ids[x], ids[other])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return placed.join(texts.withColumnRenamed("doc_id", "id"), "id").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+    return placed.join(texts.withColumnRenamed("doc_id", "id"), "id").groupBy("grp", "kind", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -315,27 +407,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     class_id is the smallest doc_id with an equal set, component_id the smallest that links reach. Null text, or none
     but white space: n_shingles 0, a component of its own. Rows that repeat a doc_id count as one document if their
     texts are equal, and should not differ. Null doc_ids stay out of the join. An empty table gives an empty result.
-    Other columns aren't read.
+    Other columns aren't read. Raises in the case (a chance of 2**-64 a pair) that two texts' sets have equal hashes though
+    they aren't near.
     """
     spark = docs.sparkSession
     described = materialise(describe_sets(docs), "described")
-    classes = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
-    classes = materialise(classes, "classes")
-    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    variants = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n", "words").agg(F.min("doc_id").alias("id"))
+    variants = materialise(variants, "variants")
+    classes = materialise(variants.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id")), "classes")
+    shingles_ = classes.agg(F.sum("n")).first()[0] or 0
     bitmap = spark.sparkContext.broadcast(common_shingles(docs))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * shingles // (5 * BUCKET_KEYS)))
-    packed = _emit(docs, bitmap, buckets)
+    allocation = allocate(docs, bitmap)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * shingles_ // (5 * BUCKET_KEYS)))
+    packed = _emit(docs, bitmap, allocation, buckets)
     found = materialise(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long, grp long, n long"), "candidates")
+    bitmap.unpersist()
     ids = classes.select(F.col("h1"), F.col("class_id"), "n")
     a, b = (ids.select(F.col("h1").alias(c), F.col("class_id").alias(f"{c}_id"), F.col("n").alias(f"{c}_n")) for c in "ab")
     sums = found.where("grp IS NULL").groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    near = sums.join(a, "a").join(b, "b").where("a_id <> b_id AND 4 * a_n >= 3 * b_n AND 4 * b_n >= 3 * a_n")
-    pairs = near.groupBy(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).agg(F.max("shared").alias("shared"))
+    close = sums.join(a, "a").join(b, "b").where("a_id <> b_id AND 4 * a_n >= 3 * b_n AND 4 * b_n >= 3 * a_n")
+    pairs = close.groupBy(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).agg(F.max("shared").alias("shared"))
     pairs = materialise(pairs, "pairs")
     members = found.where("grp IS NOT NULL").select("grp", F.col("a").alias("h1")).join(ids, "h1").select("grp", F.col("class_id").alias("id"))
     members = materialise(members, "members")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("id")).distinct()
+    # equal sets of different words in order: mostly repeats of some of them
+    same = materialise(variants.join(classes, ["h1", "h2", "n"]).where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b")), "same")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("id")).union(same.select("a")).union(same.select("b")).distinct()
     texts = _texts(docs, needed)
+    if _checked(same, texts).count() != same.count():
+        raise ValueError("two texts that aren't near have sets of equal hashes: choose another salt in mix()")
     # first each set with the one it shares most keys with; most of what is similar is connected then
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     links = materialise(_checked(best, texts), "checked")
@@ -343,9 +443,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = materialise(_between(pairs.join(best, ["a", "b"], "left_anti"), connected), "pairs")
     links = materialise(links.unionByName(_checked(rest, texts)), "checked")
     connected = components(links)
-    left = materialise(_apart(members, connected), "apart")
+    parts = max(LEAST_PARTS, -(-members.count() // PART_ROWS))
+    left = materialise(_apart(members, connected, parts), "apart")
     if not left.isEmpty():
-        connected = components(materialise(links.unionByName(_within(left, texts)), "checked"))
+        connected = components(materialise(links.unionByName(_within(left, texts, parts)), "checked"))
     rows = described.join(classes, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     component = F.coalesce("component", "class_id").alias("component_id")
     return rows.join(connected.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "n_shingles", component, "class_id")

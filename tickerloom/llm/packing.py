@@ -9,7 +9,8 @@ from the histogram of lengths (2048 rows at most, however large the corpus) and
 3. the documents themselves take the places of the rounded sizes; sequences that then hold the same lengths are a run;
 4. small lengths go, the longest first, where the least room is left that still holds them.
 
-Several numbers of groups are tried; the plan with the fewest sequences stays. A piece's place follows from its rank
+The number of groups is doubled from FEWEST_GROUPS until the plan reaches the lower bound, all tokens over the capacity,
+or there are four groups to a size; the plan with the fewest sequences stays. A piece's place follows from its rank
 among the pieces of its length. Ranks are counted in (length, bucket) groups of bounded size, so that a length that a
 third of all pieces share is no single task's work.
 """
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm import words
-from tickerloom.llm.common import materialise, table
+from tickerloom.llm.common import materialise, table, trim
 
 CAPACITY, SMALL = 2048, 1 / 8
-#: Numbers of groups to try; 0 stands for one group for each length.
-GROUPS = (32, 128, 0)
+#: Groups of large lengths that are tried first. There are no more sizes than the capacity, so finer ones end there.
+FEWEST_GROUPS = 32
 #: Mean number of pieces in a bucket.
 BUCKET_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,15 +45,18 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches):
+        encoder = words.Encoder(tokenizer)
         for batch in batches:
             for a, b in words.groups(texts := [x or "" for x in batch.column(1).to_pylist()]):
                 rows = []
-                for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), words.encode_texts(tokenizer, texts[a:b])):
+                for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts[a:b])):
                     ids += last
                     for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * at : 4 * (at + capacity)]
                         rows.append((doc_id, k, at, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        del encoder
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
@@ -81,15 +85,15 @@ class _Group:
 def _grouped(hist: list[tuple[int, int]], n_groups: int) -> list[_Group]:
     """Groups of equal cardinality, the largest lengths first; a length may be divided between two."""
     total = sum(n for _, n in hist)
-    each = math.ceil(total / n_groups) if n_groups else 0
+    each = math.ceil(total / n_groups)
     out, now, room = [], [], each
     for length, n in sorted(hist, reverse=True):
         rank = 0
         while n:
-            some = min(n, room) if n_groups else n
+            some = min(n, room)
             now.append([length, some, rank])
             n, rank, room = n - some, rank + some, room - some
-            if not n_groups or not room:
+            if not room:
                 out.append(_Group(now))
                 now, room = [], each
     return out + ([_Group(now)] if now else [])
@@ -118,7 +122,7 @@ def _best_fill(sizes: list[tuple[int, int]], room: int) -> list[int]:
     return out
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, n_groups: int = 0) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+def plan(hist: dict[int, int], capacity: int = CAPACITY, n_groups: int = FEWEST_GROUPS) -> tuple[int, list[tuple[int, int, int, int, int]]]:
     """(number of sequences, places): a place (length, rank, count, sequence, offset) puts the pieces of that length
     with ranks from rank on, count of them, into as many sequences from sequence on, each at offset."""
     small = capacity * SMALL
@@ -170,6 +174,16 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, n_groups: int = 0) -> t
     return sequences, places
 
 
+def best_plan(hist: dict[int, int], capacity: int = CAPACITY) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """The plan of the grouping with the fewest sequences; of equal ones the coarsest."""
+    bound = math.ceil(sum(x * n for x, n in hist.items()) / capacity)
+    n_groups, best = FEWEST_GROUPS, plan(hist, capacity, FEWEST_GROUPS)
+    while best[0] > bound and n_groups < 4 * capacity:
+        n_groups *= 2
+        best = min(best, plan(hist, capacity, n_groups), key=lambda p: p[0])
+    return best
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (PIECES, read twice) with sequence_id and offset. Equal lengths are placed in the order of doc_id, piece,
     ids_crc32; repeated rows get a place each; an empty table gives an empty result."""
@@ -178,7 +192,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    _, places = min((plan(hist, capacity, k) for k in GROUPS), key=lambda p: p[0])
+    _, places = best_plan(hist, capacity)
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = rows.withColumn("within", within).join(before, ["length", "bucket"]).select(*columns, (F.col("within") + F.col("before")).alias("rank"))

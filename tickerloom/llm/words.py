@@ -8,18 +8,19 @@ import re
 
 import numpy as np
 
-#: Entries in a process's caches of words, and of the letters and marks in them; a full cache is emptied, so memory stays
-#: bounded. The first is made again from the second at little cost.
-CACHE_WORDS, CACHE_PIECES = 400_000, 800_000
+#: Words whose encodings a task keeps; when there are more, it begins anew, so memory stays bounded.
+KEPT_WORDS = 400_000
 #: Texts are handled in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 #: Tokenizers that drop white space can't have a token across ASCII white space.
 WORD = re.compile(r"[^ \t-\r]+")
 #: What str.split() takes for white space though Unicode doesn't.
 NO_SPACE = re.compile("[\x1c-\x1f]")
-#: Lower-case Latin letters; and marks that may follow them: two pieces for any tokenizer that parts letters from marks.
-#: No apostrophe, which may begin a contraction.
-LETTERS, MARKS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+"), "!#$%&*+,./:;=?@|)\\]}-"
+#: A line of lower-case Latin letters and of marks that may follow them: two pieces for any tokenizer that parts letters
+#: from marks. No apostrophe, which may begin a contraction.
+PARTED = re.compile(r"^(?:([a-z\xdf-\xf6\xf8-\xff]+)([!#$%&*+,./:;=?@|)\\\]}-]*)|.*)$", re.MULTILINE)
+#: Words of letters that are encoded in one call, with spaces between.
+TOGETHER = 100
 
 
 @functools.lru_cache(maxsize=4)
@@ -40,41 +41,51 @@ def encode_words(path: str, words: list[str]) -> list[bytes]:
     return [np.array(x.ids, "<u4").tobytes() for x in encode(words, add_special_tokens=False)]
 
 
-_caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
-
-
-def _add_words(path: str, whole: dict[str, bytes], pieces: dict[str, bytes], new: set[str]) -> None:
-    """Puts the words new into whole. Words of letters and marks share the encodings of both, in lower case."""
-    parted, plain = [], []
-    for word in new:
-        letters = (low := word.lower()).rstrip(MARKS)
-        if letters.isalpha() and (letters.isascii() or LETTERS.fullmatch(letters)):
-            parted.append((word, letters, low[len(letters) :]))
-        elif low.isascii():
-            parted.append((word, low, ""))
-        else:
-            plain.append(word)
-    wanted = {x for _, letters, marks in parted for x in (letters, marks)}.union(plain)
-    if len(pieces) + len(wanted) > CACHE_PIECES:
-        pieces.clear()
-    pieces[""] = b""
-    some = list(wanted.difference(pieces))
-    for at in range(0, len(some), 20_000):
-        pieces.update(zip(some[at : at + 20_000], encode_words(path, some[at : at + 20_000])))
-    whole.update((word, pieces[letters] + pieces[marks]) for word, letters, marks in parted)
-    whole.update((word, pieces[word]) for word in plain)
-
-
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids, for a tokenizer that lower-cases, drops white space, and parts letters from marks."""
-    whole, pieces = _caches.setdefault(path, ({}, {}))
-    split = [WORD.findall(text) if NO_SPACE.search(text) else text.split() for text in texts]
-    new = set().union(*split).difference(whole)
-    if len(whole) + len(new) > CACHE_WORDS:
-        whole.clear()
-        new = set().union(*split)
-    _add_words(path, whole, pieces, new)
-    return [b"".join(map(whole.__getitem__, words)) for words in split]
+def encode_letters(path: str, words: list[str]) -> list[bytes]:
+    """As encode_words, for words of letters alone, each of which is one piece for the tokenizer."""
+    lines = [" ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+    out = []
+    for x in load(path).encode_batch(lines, add_special_tokens=False):
+        data = np.array(x.ids, "<u4").tobytes()
+        ends = [*(4 * np.flatnonzero(np.diff(x.word_ids)) + 4).tolist(), len(data)]
+        out += [data[a:b] for a, b in zip([0, *ends], ends)]
+    return out
+
+
+def lower_cases(path: str) -> bool:
+    """Whether the tokenizer drops white space and tells no upper from lower case, so that encode_texts is right for it."""
+    one, two, three = (load(path).encode(x, add_special_tokens=False).ids for x in ("Ab CD, e", "ab cd, e", "ab  cd,\ne"))
+    return one == two == three
+
+
+class Encoder:
+    """Encodes texts by their distinct words, for a tokenizer that lower-cases, drops white space, and parts letters
+    from marks; other tokenizers are refused. One for each task, so a worker keeps nothing afterwards."""
+
+    def __init__(self, path: str):
+        if not lower_cases(path):
+            raise ValueError(f"{path} keeps case or white space: its words can't be encoded one by one")
+        self.path, self.known = path, {}
+
+    def _add(self, new: list[str]) -> None:
+        known, parts = self.known, PARTED.findall("\n".join(new).lower()) if new else []
+        letters = list({a for a, _ in parts}.difference(known, ("",)))
+        for at in range(0, len(letters), 50_000):
+            known.update(zip(letters[at : at + 50_000], encode_letters(self.path, letters[at : at + 50_000])))
+        others = list({b for _, b in parts}.union(w for w, (a, _) in zip(new, parts) if not a).difference(known))
+        for at in range(0, len(others), 20_000):
+            known.update(zip(others[at : at + 20_000], encode_words(self.path, others[at : at + 20_000])))
+        known.update((w, known[a] + known[b]) for w, (a, b) in zip(new, parts) if a)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids."""
+        split = [WORD.findall(text) if NO_SPACE.search(text) else text.split() for text in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = set().union(*split)
+        self._add(list(new))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def groups(texts: list[str | None]):
