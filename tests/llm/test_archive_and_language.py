@@ -27,13 +27,26 @@ def test_archives(spark, tmp_path):
     assert warc.archive_pages(frame.where("false"), f"{tmp_path}/b").count() == 0
 
 
+def test_repeated_rows_are_records_of_their_own(spark, tmp_path, monkeypatch):
+    """Of two rows that are equal throughout one is the response, also over several archives of a partition."""
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 2)
+    monkeypatch.setattr(warc, "ROWS_PER_SALT", 1)
+    frame = spark.createDataFrame([(7, "http://a", "same")] * 5 + [(8, "http://b", "other")] * 2, "page_id long, url string, html string").coalesce(1)
+    rows = warc.archive_pages(frame, f"{tmp_path}/a").collect()
+    assert len(rows) == 7 and len({r.record_id for r in rows}) == 7
+    for uri, n in (("http://a#page=7", 5), ("http://b#page=8", 2)):
+        mine = [r for r in rows if r.target_uri == uri]
+        assert sorted(r.warc_type for r in mine) == ["response"] + ["revisit"] * (n - 1)
+        assert all(r.refers_to_uri == uri for r in mine if r.warc_type == "revisit")
+
+
 def test_parse_arc():
     one, two = (f"{v} 0 x\n{warc.FIELDS[v]}\n" for v in (1, 2))
     data = (
         f"filedesc://a 0.0.0.0 19960101000000 text/plain {len(one)}\n{one}\nhttp://a 1.2.3.4 199601010203 text/html 5\nab\ncd\n"
         f"filedesc://b 0.0.0.0 19960101000000 text/plain 200 - - 0 b {len(two)}\n{two}\nhttp://b 1.2.3.4 19970101000000 text/html; charset=x 200 - - 77 f 3\nxyz\n"
     ).encode()
-    assert list(warc.parse_arc(data)) == [("http://a", "1.2.3.4", "19960101020300", b"ab\ncd"), ("http://b", "1.2.3.4", "19970101000000", b"xyz")]
+    assert list(warc.parse_arc(data)) == [("http://a", "1.2.3.4", "19960101020300", b"ab\ncd", data.index(b"http://a")), ("http://b", "1.2.3.4", "19970101000000", b"xyz", data.index(b"http://b"))]
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://a 1.2.3.4 199601010203 text/html 1\nx\n"))
 
@@ -90,6 +103,62 @@ def test_probabilities_sum_to_one(spark, corpus):
         assert (total <= 1.0001).all() and (total > 0.9).all()
 
 
+def kneser_ney(texts):
+    """log p(symbol | context) by the textbook recursion over dictionaries, for one language's lower-case texts of letters
+    and single spaces."""
+    import math
+    from collections import Counter
+
+    counts = {4: Counter(("   " + t)[i : i + 4] for t in texts for i in range(len(t)))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+    uniform = 1 / (len(counts[1]) + 1)
+    discount = {}
+    for k, c in counts.items():
+        ones, twos = (sum(n == i for n in c.values()) for i in (1, 2))
+        discount[k] = ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    def p(gram):
+        if not gram:
+            return uniform
+        k = len(gram)
+        after = [n for g, n in counts[k].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        d = discount[k]
+        return (max(counts[k][gram] - d, 0) + d * len(after) * p(gram[1:])) / sum(after)
+
+    return lambda gram: math.log(p(gram))
+
+
+def test_model_against_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = [speech(rng, "abcdefg", rng.randrange(1, 30)) for _ in range(40)]
+    model = language_id.train(spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string"))
+    want = kneser_ney(texts)
+    tried = {("   " + t)[i : i + 4] for t in texts[:10] for i in range(len(t))} | {"".join(rng.choices("abcdefg z", k=4)) for _ in range(200)}
+    for gram in tried:
+        key = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(gram))], np.uint64)
+        assert model.log_probability(key)[0, 0] == pytest.approx(want(gram), abs=2e-4)
+
+
+def test_accepted_documents_keep_columns_of_any_name(spark, corpus):
+    rows = [(i, t, lang, 0.5, "p", True) for i, t, lang in corpus] + [(None, None, "xx", 0.1, "q", False), (5, corpus[5][1], "xx", 0.2, "r", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, accepted boolean")
+    got = language_id.accepted_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[1]), key=str)
+
+
+def test_long_texts_are_scored_whole(spark, corpus):
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in corpus], "doc_id long, text string, lang string")
+    long = " ".join(t for _, t, lang in corpus if lang == "yy") * 40
+    got = language_id.identify(spark.createDataFrame([(1, long + " " + corpus[0][1])], "doc_id long, text string"), language_id.model_of(docs)).first()
+    assert got.lang_pred == "yy" and got.n_letters > 200_000
+
+
 def test_language_id_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "xx")], "doc_id long, text string, lang string")
     got = language_id.identify(docs, language_id.model_of(docs)).collect()

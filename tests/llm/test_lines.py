@@ -9,18 +9,16 @@ from tickerloom.llm import line_dedup as ld
 def brute(docs):
     """doc_id to its kept text."""
     field = lambda t: ld.FIELD if any(c.isdigit() and c.isascii() for c in t) else t
-    needed = lambda n: ld.LONG_DOCS if n >= ld.LONG_TOKENS else ld.SHORT_DOCS
+    needed = lambda n: max(ld.LEAST_DOCS, -(-ld.TOKENS_SEEN // n))
     leaves = defaultdict(list)
     for i, text in docs:
         for place, line in enumerate((text or "").split("\n")):
             tokens = [field(t) for t in line.split()]
-            if i is not None and len(tokens) >= ld.LEAST_TOKENS:
+            if i is not None and tokens:
                 leaves[len(tokens), *tokens[: ld.DEPTH]].append((i, place, tokens))
     drop = defaultdict(set)
     for (size, *_), lines in leaves.items():
         need = needed(size)
-        if len({i for i, _, _ in lines}) < need:
-            continue
         holders, support = defaultdict(set), defaultdict(int)
         for i, _, tokens in lines:
             holders[tuple(tokens)].add(i)
@@ -64,9 +62,21 @@ def test_line_dedup(spark):
     assert sum(r.n_dropped for r in got) == dropped and all(r.n_lines == len((dict(docs)[r.doc_id] or "").split("\n")) for r in got)
 
 
+def test_large_leaves_are_counted_by_spark(spark, monkeypatch):
+    """The same lines go whichever way a leaf is worked out; and a leaf of many lines in one document."""
+    docs = [(i, f"This work by n{chr(97 + i % 26)}{chr(97 + i // 26)} of some city is under the terms of that licence\n" + "menu\n" * (i % 2)) for i in range(100)]
+    docs.append((200, "\n".join(f"a b c {chr(97 + i % 26)}x d e f g h i" for i in range(300))))
+    want, dropped = brute(docs)
+    assert dropped == 99 + 49
+    for tokens in (ld.TASK_TOKENS, 50, 0):
+        monkeypatch.setattr(ld, "TASK_TOKENS", max(tokens, 1))
+        got = ld.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.text for r in got} == want
+
+
 def test_odd_tables(spark):
-    frame = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in ld.drop_lines(frame).collect()) == [(0, "a b c d", 0), (7, "a b c d", 0), (7, "a b c d", 0)]
+    frame = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (8, "\n" * 100_000)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in ld.drop_lines(frame).collect()) == [(0, "a b c d", 0), (7, "a b c d", 0), (7, "a b c d", 0), (8, "\n" * 100_000, 0)]
     assert ld.drop_lines(frame.where("false")).count() == 0
 
 

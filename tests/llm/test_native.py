@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -85,6 +87,25 @@ def test_redacted_documents(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, None, 7), (2, "clean", 5), (3, "a [SECRET] b", 12)]
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a token=abcdefgh b", "x", "y", 5, None)], "doc_id long, text string, spans string, `_kept` string, assign int, base string")
+    got = secret_scan.redact_documents(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a [SECRET] b", "x", "y", 5, None)]
+
+
+def test_long_candidates_end(spark):
+    """A pasted key of 100,000 characters, and 2,000 short ones: the work is in proportion to the text."""
+    rng = random.Random(3)
+    key = "".join(rng.choices(secret_scan.CLASSES["entropy_b64"][0][:62], k=100_000))
+    many = " ".join("".join(rng.choices(secret_scan.CLASSES["entropy_b64"][0][:62], k=24)) for _ in range(2000))
+    docs = spark.createDataFrame([(1, f"é {key} end"), (2, many)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secret_scan.secret_spans(docs).collect()}
+    assert time.time() - began < 30
+    assert [(s.start, s.end) for s in got[1]] == [(2, 100_002)]
+    assert len(got[2]) > 1000 and all(s.end - s.start == 24 for s in got[2])
+
+
 def test_chat_format(spark):
     rows = [
         (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "user", "</s>[INST] ok [/INST]"),

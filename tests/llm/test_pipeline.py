@@ -41,6 +41,20 @@ def test_stages(spark):
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in ran.collect()} == want
 
 
+def test_stages_of_odd_tables(spark):
+    """No rows; nulls in every column; repeated rows and ids; columns that operators use names of."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, _row long, best string"
+    rows = [(None, None, None, None, None, None, None, None, None)] * 2 + [(i % 5, f"the same words here again and more of them {i % 3}", "en", "s", 40, 0.5, "x", 7, "b") for i in range(40)]
+    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+            if name != "best_fit_packing":
+                assert docs.columns == frame.columns
+                docs = spark.createDataFrame(docs.collect(), schema)
+        assert docs.count() == (3 if frame.count() else 0)
+
+
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{n}" for n in range(1, 11)}

@@ -5,12 +5,17 @@
 2. Encode: a bucket gets each block's distinct words once, so the commonest word comes as often as there are blocks.
    It joins them to one table of distinct words, has the library encode each once, and sends the ids to the blocks.
 3. Join back: a block puts its words' ids in their places, by position.
-4. Decode: ids are joined to the table of pieces (id to bytes; as many rows as the vocabulary has, a fixed bound).
+4. Decode: a block's ids, document after document, are joined to the table of pieces (id to bytes; as many rows as the
+   vocabulary has, a fixed bound) by an Arrow gather; a document's text is what its own ids' pieces make up.
 
-Blocks hold about BLOCK_CHARS characters and the number of buckets follows the number of rows, so memory is bounded at
-any size of the corpus. Texts are shuffled once, compressed by block. A block's words are found by their own text, so a
-task that runs again after an executor is lost needn't see its rows in the same order; a word that its block's table
-lacks then is encoded where it stands.
+Blocks hold about BLOCK_CHARS characters, so memory is bounded at any size of the corpus. The number of buckets follows
+that of distinct words, which is carried on from two samples of documents, so a bucket holds about BUCKET_WORDS of them; the
+partitions that blocks meet their words in follow the number of blocks. Texts are shuffled once, compressed by block. A
+block's words are found by their own text, so a task that runs again after an executor is lost needn't see its rows in
+the same order; a word that its block's table lacks then is encoded where it stands.
+
+The join in step 4 is done inside tasks, since ids as rows of their own would be some 200 million for each GB of text;
+decode_documents() does it as a join of rows.
 """
 
 from __future__ import annotations
@@ -18,7 +23,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +38,11 @@ from pyspark.sql import functions as F
 from tickerloom.llm import words
 from tickerloom.llm.common import table
 
-BLOCK_CHARS, BUCKET_ROWS = 30_000_000, 8_000
+BLOCK_CHARS, BUCKET_WORDS = 20_000_000, 200_000
+#: Characters of a block that are joined back at once.
+SHARE_CHARS = 2_000_000
+#: One document in so many is looked at, and one in so many of these, to tell how distinct words grow.
+SAMPLE, SAMPLE_AGAIN = 64, 4
 #: What Unicode calls white space. Words are a run of other characters with one blank before it, or a run of
 #: white space without the blank that goes to the next word.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -139,16 +150,51 @@ def _encode(split: DataFrame, tokenizer: str) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(tokenizer: str) -> tuple[bytes, ...]:
-    """The table of pieces: each id's bytes. In the vocabulary a byte that isn't printable Latin-1 stands as a character
-    from 256 on, in order."""
+def pieces(tokenizer: str) -> pa.Array:
+    """The table of pieces: each id's bytes, an id that the vocabulary hasn't: none. In the vocabulary a byte that isn't
+    printable Latin-1 stands as a character from 256 on, in order."""
     loaded = words.load(tokenizer)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
     added = {k: t.content.encode() for k, t in loaded.get_added_tokens_decoder().items()}
     found = {k: bytes(byte[c] for c in piece) for piece, k in loaded.get_vocab().items() if k not in added} | added
-    return tuple(found.get(k, b"") for k in range(max(found) + 1))
+    return pa.array([found.get(k, b"") for k in range(max(found) + 1)], pa.large_binary())
+
+
+def decoded(ids: list[bytes], tokenizer: str) -> list[bytes]:
+    """Each document's bytes, from its ids (little-endian unsigned 32-bit): joined to the table of pieces, all at once."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    if not len(flat):
+        return [b""] * len(ids)
+    found = pieces(tokenizer).take(pa.array(flat))
+    _, offsets, data = found.buffers()
+    ends = np.frombuffer(offsets, np.int64)[np.cumsum([0, *[len(x) // 4 for x in ids]])]
+    return [data[a:b].to_pybytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _distinct_words(docs: DataFrame, tokenizer: str) -> tuple[int, int]:
+    """(estimates of the distinct words of docs, and of its blocks), by how both grow in a sample."""
+
+    def count(batches):
+        special = _pattern(tokenizer)
+        seen: tuple[set, set] = set(), set()
+        for batch in batches:
+            for text, again in zip(*(c.to_pylist() for c in batch.columns)):
+                found = {xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in split_words(text or "", special)}
+                seen[0].update(found)
+                if again:
+                    seen[1].update(found)
+        for again, some in enumerate(seen):
+            yield pa.RecordBatch.from_arrays([pa.array([bool(again)] * len(some)), pa.array(list(some), pa.int64())], names=["again", "word"])
+
+    chars, partitions = docs.select(F.length("text").alias("n"), F.spark_partition_id().alias("part")).agg(F.sum("n"), F.max("part") + 1).first()
+    blocks = (partitions or 0) + (chars or 0) // BLOCK_CHARS
+    draw = F.xxhash64("doc_id", F.length("text"))
+    some = docs.where(F.pmod(draw, F.lit(SAMPLE)) == 0).select("text", (F.pmod(draw, F.lit(SAMPLE * SAMPLE_AGAIN)) == 0).alias("again"))
+    n = {r["again"]: r["n"] for r in some.mapInArrow(count, "again boolean, word long").groupBy("again").agg(F.countDistinct("word").alias("n")).collect()}
+    power = min(1.0, max(0.0, math.log(n[False] / n[True]) / math.log(SAMPLE_AGAIN))) if n.get(True) else 1.0
+    return math.ceil(n.get(False, 0) * SAMPLE**power), blocks
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, digests: bool = False) -> DataFrame:
@@ -158,8 +204,10 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, digests: boo
     own; null doc_ids stay; no rows, no result. Other columns aren't read.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BUCKET_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    distinct, blocks = _distinct_words(rows, tokenizer)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * blocks)
+    buckets = max(partitions // 4, -(-distinct // BUCKET_WORDS))
     encoded = _encode(_words(rows, tokenizer, buckets), tokenizer)
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     types = [pa.int64(), pa.int64(), *([pa.string(), pa.string()] if digests else [pa.list_(pa.int32())])]
@@ -172,54 +220,75 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, digests: boo
             known.add(some, np.split(_unpacked(ids, n), np.cumsum(_unpacked(lengths, len(some)), dtype=np.int64)[:-1]))
         special, tables = _pattern(tokenizer), []
         for ids, sizes, data in zip(*(block[c].to_pylist() for c in ("doc_ids", "sizes", "data"))):
-            texts, at, out = _unzipped(data), 0, []
-            for doc_id, size in zip(ids, sizes):
-                out.append((doc_id, *known.row(split_words(texts[at : at + size], special))))
-                at += size
-            tables.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names))
+            texts, ends = _unzipped(data), np.cumsum(sizes).tolist()
+            for some in _shares(ends):
+                split = [split_words(texts[ends[k] - sizes[k] : ends[k]], special) for k in some]
+                tables.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip([[ids[k] for k in some], *known.columns(split)], types)], names=names))
         return pa.concat_tables(tables) if tables else pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
 
-    return _texts(rows).groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join_back, f"doc_id long, n_tokens long, {more}")
+    texts = _texts(rows).repartition(partitions, "block")
+    return texts.groupBy("block").cogroup(encoded.repartition(partitions, "block").groupBy("block")).applyInArrow(join_back, f"doc_id long, n_tokens long, {more}")
+
+
+def _shares(ends: list[int]) -> Iterator[range]:
+    """Runs of a block's documents of about SHARE_CHARS characters together, one document at least."""
+    start, before = 0, 0
+    for k, end in enumerate(ends):
+        if end - before >= SHARE_CHARS or k + 1 == len(ends):
+            yield range(start, k + 1)
+            start, before = k + 1, end
 
 
 class _Known(dict):
-    """A block's words with (number of ids, ids in decimal, decoded bytes) or (number of ids, ids)."""
+    """A block's words with (ids, the same in decimal with commas between); without digests the latter is empty."""
 
     def __init__(self, tokenizer: str, digests: bool):
         super().__init__()
-        self.tokenizer, self.digests, self.pieces = tokenizer, digests, pieces(tokenizer)
+        self.tokenizer, self.digests = tokenizer, digests
 
     def add(self, some: list[str], ids: list[np.ndarray]) -> None:
         if self.digests:
-            lists = [x.tolist() for x in ids]
-            self.update((w, (len(x), ",".join(map(str, x)).encode(), b"".join([self.pieces[k] for k in x]))) for w, x in zip(some, lists))
+            self.update((w, (x.tobytes(), ",".join(map(str, x.tolist())).encode())) for w, x in zip(some, ids))
         else:
-            self.update((w, (len(x), x)) for w, x in zip(some, ids))
+            self.update((w, (x.tobytes(), b"")) for w, x in zip(some, ids))
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
         self.add([word], [np.frombuffer(x, "<u4") for x in words.encode_words(self.tokenizer, [word])])
         return self[word]
 
-    def row(self, some: list[str]) -> tuple:
-        found = list(map(self.__getitem__, some))
-        n = sum([x[0] for x in found])
+    def columns(self, split: list[list[str]]) -> list[list]:
+        """The columns after doc_id, of documents as lists of words."""
+        found = [list(map(self.__getitem__, some)) for some in split]
+        ids = [b"".join([x[0] for x in some]) for some in found]
+        n = [len(x) // 4 for x in ids]
         if not self.digests:
-            return n, np.concatenate([x[1] for x in found]).astype(np.int32) if found else []
-        text = b"".join([x[2] for x in found]).decode("utf-8", "replace").encode("utf-8")
-        return n, hashlib.sha256(b",".join([x[1] for x in found])).hexdigest(), hashlib.sha256(text).hexdigest()
+            return [n, [np.frombuffer(x, "<i4") for x in ids]]
+        texts = [x.decode("utf-8", "replace").encode("utf-8") for x in decoded(ids, self.tokenizer)]
+        return [n, [hashlib.sha256(b",".join([x[1] for x in some])).hexdigest() for some in found], [hashlib.sha256(x).hexdigest() for x in texts]]
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, text from rows of doc_id, ids, special tokens included; an id that the vocabulary hasn't: no bytes."""
-    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    """doc_id, text from rows of doc_id, ids, special tokens included; an id that the vocabulary hasn't: no bytes. Null
+    ids and no ids: the empty text. Repeated rows are rows of their own.
 
-    def decode(batches):
-        table_ = pieces(tokenizer)
+    Each id is a row of its document and position, joined to the table of pieces by id; that table has as many rows as the
+    vocabulary, so it may be broadcast. A document's pieces meet again by a number of its own, in the order of position.
+    """
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    spark = encoded.sparkSession
+    known = spark.createDataFrame(list(enumerate(pieces(tokenizer).to_pylist())), "id int, piece binary")
+    numbered = encoded.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    rows = numbered.select("row", "doc_id", F.posexplode_outer("ids").alias("at", "id"))
+    joined = rows.join(F.broadcast(known), "id", "left")
+    gathered = joined.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece")))).alias("pieces"))
+    whole = gathered.select("doc_id", F.unhex(F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).alias("bytes"))
+
+    def text(batches):
         for batch in batches:
-            texts = [b"".join([table_[k] for k in ids or () if 0 <= k < len(table_)]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            texts = [x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
+    return whole.mapInArrow(text, "doc_id long, text string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

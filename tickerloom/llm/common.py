@@ -58,6 +58,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_parts(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, parts: int) -> DataFrame:
+    """rows joined to facts, which has one row for each combination of keys. The join is by keys and one of parts parts,
+    dealt by the column by, so a hot key is many tasks' work; facts are repeated for the parts that rows have, so never
+    more often than there are rows. rows are read twice."""
+    part = F.pmod(F.xxhash64(by), F.lit(parts)).alias("_part")
+    dealt = rows.select(*keys, part).distinct().join(facts, keys)
+    return rows.select("*", part).join(dealt, [*keys, "_part"]).drop("_part")
+
+
 def drop_materialised() -> None:
     """Deletes the tables that materialise() has written; for the end of a session, once no result refers to them."""
     spark = SparkSession.getActiveSession()

@@ -3,20 +3,22 @@
 Texts are equal when identical after each run of ASCII white space is replaced by one space. Three combining steps,
 each grouping by the digest *and* the full normalised text, so that a digest collision can't merge two texts:
 
-1. locally: Spark's partial aggregation joins the equal texts of one input partition before anything is shuffled;
+1. locally: a salt is told by the input partition, so Spark's partial aggregation joins all equal texts of a partition
+   before anything is shuffled;
 2. salted: the rest meets in (digest, salt) groups. The number of salts follows the number of rows, so a group that
    holds a third of all rows is split into parts of a bounded size;
-3. globally: the winners of the salts, one row for each salt at most, meet by digest.
+3. globally: the winners of the salts, one row for each salt at most, meet by digest. Which winner stays, and how many
+   there are, goes back to the salted parts by a part's number, without texts.
 
-The doc_ids of a salted part travel with it (a part has about ROWS_PER_SALT rows at most), so nothing is joined
-back and the text is shuffled twice in all.
+Each row has a number of its own; the lists of ids of a part hold rows of few partitions only, so they are bounded. A text
+is shuffled twice: when parts are made, whose shuffle both later uses share, and as its salts' winner.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import table, text_of
@@ -39,37 +41,17 @@ def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
     columns of docs aren't read, whatever their names.
     """
     salts = salts or max(8, math.ceil(docs.count() / ROWS_PER_SALT))
-    content = normal_form(text_of())
-    rows = docs.select(
-        F.col("doc_id"), content.alias("content"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
-    ).withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
-    parts = rows.groupBy("digest", "content", "salt").agg(
-        F.min("doc_id").alias("part_keep"), F.collect_list(F.struct("doc_id")).alias("members")
-    )
-    group = Window.partitionBy("digest", "content")
-    merged = parts.select(
-        "digest",
-        "salt",
-        F.sort_array("members").alias("members"),
-        F.min("part_keep").over(group).alias("keep_id"),
-        F.sum(F.size("members").cast("long")).over(group).alias("group_size"),
-        F.min(F.when(F.col("part_keep").isNotNull(), F.struct("part_keep", "salt"))).over(group)["salt"].alias("keep_salt"),
-        F.min("salt").over(group).alias("first_salt"),
-    )
-    # sort_array puts null ids first; the first row with the id that stays is the one
-    id_ = F.col("col.doc_id")
-    first = F.col("pos") == F.col("nulls")
-    each = merged.select(
-        "digest",
-        "keep_id",
-        "group_size",
-        (F.col("salt") == F.coalesce("keep_salt", "first_salt")).alias("here"),
-        F.when(F.col("keep_id").isNull(), 0).otherwise(F.size(F.filter("members", lambda m: m["doc_id"].isNull()))).alias("nulls"),
-        F.posexplode("members"),
-    )
-    return each.select(
-        id_.alias("doc_id"), "keep_id", "group_size", (F.col("here") & first).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    id_ = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+    rows = docs.select(id_.alias("id"), normal_form(text_of()).alias("content"), salt.alias("salt"))
+    rows = rows.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
+    parts = rows.groupBy("digest", "content", "salt").agg(F.collect_list("id").alias("members")).withColumn("best", F.array_min("members"))
+    winners = parts.select("digest", "content", "best", F.size("members").cast("long").alias("n"))
+    merged = winners.groupBy("digest", "content").agg(F.min("best").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("best.row").alias("parts"))
+    found = merged.select("keep", "group_size", F.explode("parts").alias("part"))
+    each = parts.select("digest", "members", F.col("best.row").alias("part")).join(found, "part").select("digest", "keep", "group_size", F.explode("members").alias("id"))
+    kept = F.col("id.row") == F.col("keep.row")
+    return each.select("id.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

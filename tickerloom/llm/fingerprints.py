@@ -184,9 +184,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     schema = f"{OUT}, part int, first_text string, last_text string"
     done = materialise(ranged.mapInArrow(within, schema), "fingerprints")
     ends = done.where("part IS NOT NULL").select("doc_id", "part", "first_text", "last_text")
-    order = Window.orderBy("part")  # a row for each task of the step before
-    begins = F.min_by("first_text", "part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    following = ends.select("doc_id", "last_text", F.coalesce(F.lead("first_text").over(order), begins).alias("following"))
+    # a number for each task of the step before, without its texts, then its own and the next one's text by number
+    order = Window.orderBy("part")
+    begins = F.min("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = ends.select("part").withColumn("after", F.coalesce(F.lead("part").over(order), begins))
+    firsts = ends.select(F.col("part").alias("after"), F.col("first_text").alias("following"))
+    following = ends.select("doc_id", "part", "last_text").join(after, "part").join(firsts, "after").select("doc_id", "last_text", "following")
 
     def across(batches):
         for batch in batches:

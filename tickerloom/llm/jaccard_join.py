@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import materialise, table, text_of, trim
+from tickerloom.llm.common import join_by_parts, materialise, table, text_of, trim
 from tickerloom.llm.components import components
 from tickerloom.llm.shingles import Shingles, mix, near, shingle_sets, shingles, words_of
 
@@ -324,19 +324,11 @@ def _between(pairs: DataFrame, connected: DataFrame) -> DataFrame:
     return both.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select(*pairs.columns)
 
 
-def _joined_by_parts(rows: DataFrame, facts: DataFrame, key: str, parts: int) -> DataFrame:
-    """rows (with an id) and the columns of facts, which has a row for each key. The join is by the key and one of parts
-    parts of it, so a hot key is dealt out; facts are repeated for the parts that rows have, so no oftener than rows."""
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
-    dealt = rows.select(key, part).distinct().join(facts, key)
-    return rows.select("*", part).join(dealt, [key, "part"]).drop("part")
-
-
 def _apart(members: DataFrame, connected: DataFrame, parts: int) -> DataFrame:
     """grp, id, component of the members of groups that aren't connected throughout."""
     labelled = materialise(members.join(connected, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component")), "labelled")
     open_ = labelled.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    return _joined_by_parts(labelled, open_, "grp", parts)
+    return join_by_parts(labelled, open_, ["grp"], "id", parts)
 
 
 def _clustered(left: DataFrame, parts: int) -> DataFrame:
@@ -347,12 +339,12 @@ def _clustered(left: DataFrame, parts: int) -> DataFrame:
         sizes = rows.groupBy("grp", "component").agg(F.count("*").alias("n"))
         return sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
 
-    outside = materialise(_joined_by_parts(left, largest(left), "grp", parts).where("component <> largest").select("grp", "id"), "outside")
+    outside = materialise(join_by_parts(left, largest(left), ["grp"], "id", parts).where("component <> largest").select("grp", "id"), "outside")
     lead = outside.groupBy("grp").agg(F.min("id").alias("lead"))
-    joined = components(_joined_by_parts(outside, lead, "grp", parts).select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    joined = components(join_by_parts(outside, lead, ["grp"], "id", parts).select(F.col("lead").alias("a"), F.col("id").alias("b")))
     of_grp = lead.join(joined.select(F.col("id").alias("lead"), F.col("component").alias("cluster")), "lead", "left").select("grp", F.coalesce("cluster", "lead").alias("cluster"))
-    merged = materialise(_joined_by_parts(left, of_grp, "grp", parts).select(F.col("cluster").alias("grp"), "id", "component").distinct(), "clusters")
-    return _joined_by_parts(merged, largest(merged), "grp", parts).select("grp", "id", "component", (F.col("component") == F.col("largest")).alias("inside"))
+    merged = materialise(join_by_parts(left, of_grp, ["grp"], "id", parts).select(F.col("cluster").alias("grp"), "id", "component").distinct(), "clusters")
+    return join_by_parts(merged, largest(merged), ["grp"], "id", parts).select("grp", "id", "component", (F.col("component") == F.col("largest")).alias("inside"))
 
 
 def _within(left: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
@@ -360,7 +352,7 @@ def _within(left: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     set is linked with are. Blocks of sets outside the largest component meet each other and the blocks inside."""
     left = materialise(_clustered(left, parts), "clusters")
     blocks = left.groupBy("grp").agg(*[F.greatest(F.ceil(F.count_if(c) / BLOCK), F.lit(1)).cast("int").alias(n) for n, c in (("outer", ~F.col("inside")), ("inner", F.col("inside")))])
-    sized = _joined_by_parts(left, blocks, "grp", parts)
+    sized = join_by_parts(left, blocks, ["grp"], "id", parts)
     own = F.pmod(F.hash("id"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
     place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     to = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)

@@ -266,8 +266,14 @@ def model_of(docs: DataFrame) -> Model:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows that language ID rejects."""
-    return identify(docs, model_of(docs)).where("accepted").select(*docs.columns)
+    """docs without the rows that language ID rejects: null texts, texts without a letter, and those that fit no language.
+
+    The columns of docs stay as they are, whatever their names, and so do repeated rows and null doc_ids. Where no row has
+    text and lang, there is no language to fit, and only texts with no letter to them could be told: all go. No rows: no
+    result.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return identify(rows, model_of(docs), drop=("text",)).where("accepted").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

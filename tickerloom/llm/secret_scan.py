@@ -41,19 +41,23 @@ def _no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
-def _matches(text: Column, pattern: str, kind: str, passes) -> Column:
-    """Spans of the leftmost non-overlapping matches of pattern that passes(value) holds for."""
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if kind == "assign" else 0))
+def _let(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _matches(text: Column, pattern: str, group: int, kind_of) -> Column:
+    """Spans of the leftmost non-overlapping matches of pattern; kind_of(value) is a span's place in KINDS, or null."""
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    each = F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(gaps, 1, F.size(whole)).alias("gap"))
-    at = lambda acc, m: acc["at"] + F.length(m["gap"])
+    each = F.arrays_zip(whole.alias("whole"), F.transform(value, kind_of).alias("ord"), F.slice(gaps, 1, F.size(whole)).alias("gap"))
     return F.aggregate(
-        each,
+        F.transform(each, lambda m: F.struct(F.length(m["gap"]).alias("gap"), F.length(m["whole"]).alias("size"), m["ord"].alias("ord"))),
         F.struct(F.lit(0).alias("at"), _no_spans().alias("spans")),
         lambda acc, m: F.struct(
-            (at(acc, m) + F.length(m["whole"])).alias("at"),
-            F.when(passes(m["value"]), F.concat(acc["spans"], F.array(F.struct(at(acc, m).alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (at(acc, m) + F.length(m["whole"])).alias("end")))))
+            (acc["at"] + m["gap"] + m["size"]).alias("at"),
+            F.when(m["ord"].isNotNull(), F.array_append(acc["spans"], F.struct((acc["at"] + m["gap"]).alias("start"), m["ord"].alias("ord"), (acc["at"] + m["gap"] + m["size"]).alias("end"))))
             .otherwise(acc["spans"])
             .alias("spans"),
         ),
@@ -63,52 +67,54 @@ def _matches(text: Column, pattern: str, kind: str, passes) -> Column:
 
 def max_window_entropy(string: Column, alphabet: str, window: int = ENTROPY_WINDOW) -> Column:
     """Bits: the largest Shannon entropy of any window of string, which has window characters at least, all of the
-    alphabet. sum holds the sum of c * log2(c) over the window's counts c."""
-    term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    cost = lambda c: F.get(term, c)
-    place = lambda i: F.position(F.substring(string, i, F.lit(1)), F.lit(alphabet)) - 1
-
-    def change(state: Column, place_: Column, by: int) -> Column:
-        was = F.get(state["counts"], place_)
-        return F.struct(
-            F.transform(state["counts"], lambda c, k: F.when(k == place_, c + by).otherwise(c)).alias("counts"),
-            (state["sum"] - cost(was) + cost(was + by)).alias("sum"),
-            state["best"].alias("best"),
-        )
-
-    def step(state: Column, i: Column) -> Column:
-        more = change(state, place(i), 1)
-        # the character that leaves; its struct stays as it is while the window fills
-        less = F.when(i > window, change(more, place(i - window), -1)).otherwise(more)
-        return F.struct(
-            less["counts"].alias("counts"),
-            less["sum"].alias("sum"),
-            F.when(i >= window, F.greatest(less["best"], F.lit(math.log2(window)) - less["sum"] / window)).otherwise(less["best"]).alias("best"),
-        )
-
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(string)), start, step, lambda s: s["best"])
+    alphabet. sum holds the sum of c * log2(c) over the window's counts c. A step looks at the window's other characters
+    once, for the counts of the one that leaves and the one that enters; so the work is in proportion to the string."""
+    change = [(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(window + 1)]
+    more = F.array(*map(F.lit, change))  # by a count, what one more of it adds to the sum
+    count = lambda rest, x: F.size(F.filter(rest, lambda y: y == x))
+
+    def of(codes: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            """i: the 0-based position that enters."""
+
+            def moved(rest: Column) -> Column:
+                entered = state["sum"] + F.get(more, count(rest, F.get(codes, i)))
+                return F.when(i >= window, entered - F.get(more, count(rest, F.get(codes, i - window)))).otherwise(entered)
+
+            rest = F.slice(codes, F.greatest(i - window + 2, F.lit(1)), F.least(i, F.lit(window - 1)))
+            least = lambda total: F.struct(total.alias("sum"), F.when(i >= window - 1, F.least(state["least"], total)).otherwise(state["least"]).alias("least"))
+            return _let(_let(rest, moved), least)
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: F.lit(math.log2(window)) - s["least"] / window)
+
+    # the characters' places in the alphabet; split makes the array of them in one pass
+    places = F.transform(F.split(string, ""), lambda c: F.position(c, F.lit(alphabet)))
+    return _let(F.filter(places, lambda p: p > 0), of)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans by kind."""
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
-    return {k: F.when(text.rlike(HINT[k]), _matches(text, p, k, lambda v, k=k: F.length(v) >= LEAST[k])).otherwise(_no_spans()) for k, p in patterns.items()}
+
+    def spans(kind: str, pattern: str, group: int) -> Column:
+        long = lambda value: F.when(F.length(value) >= LEAST[kind], F.lit(KINDS.index(kind)))
+        return F.when(text.rlike(HINT[kind]), _matches(text, pattern, group, long)).otherwise(_no_spans())
+
+    return {"assign": spans("assign", ASSIGN, 2), "access": spans("access", ACCESS, 0), "hex": spans("hex", HEX, 0)}
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
     """Spans of the candidate strings in whose windows the entropy is high, but for allowed ones and those over base spans."""
+    (hex_, hex_least), (b64, b64_least) = CLASSES.values()
 
-    def passes(string: Column) -> Column:
+    def kind_of(string: Column) -> Column:
         mixed = string.rlike("[0-9]") & string.rlike("[A-Za-z]") & ~string.rlike(ALLOW)
-        (hex_, hex_least), (b64, b64_least) = CLASSES.values()
-        high = F.when(string.rlike(rf"^[{hex_}]+$"), max_window_entropy(string, hex_) >= hex_least).otherwise(max_window_entropy(string, b64) >= b64_least)
-        return F.when(mixed, high).otherwise(False)
+        of_hex = F.when(max_window_entropy(string, hex_) >= hex_least, F.lit(KINDS.index("entropy_hex")))
+        of_b64 = F.when(max_window_entropy(string, b64) >= b64_least, F.lit(KINDS.index("entropy_b64")))
+        return F.when(mixed, F.when(string.rlike(rf"^[{hex_}]+$"), of_hex).otherwise(of_b64))
 
-    found = F.when(text.rlike(CANDIDATE), _matches(text, CANDIDATE, "entropy_b64", passes)).otherwise(_no_spans())
-    clear = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    only_hex = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike(rf"^[{CLASSES['entropy_hex'][0]}]+$")
-    return F.transform(clear, lambda s: F.struct(s["start"].alias("start"), F.when(only_hex(s), KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_b64")).alias("ord"), s["end"].alias("end")))
+    found = F.when(text.rlike(CANDIDATE), _matches(text, CANDIDATE, 0, kind_of)).otherwise(_no_spans())
+    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -117,10 +123,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     Null and empty text: empty arrays. Rows are independent, so ties and repeated rows make no difference; columns of
     docs with these names are replaced.
     """
-    whole = docs.withColumn("_text", text_of())
-    kinds = whole.withColumns(base_spans(F.col("_text")))
-    base = kinds.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    return base.withColumn("spans", F.sort_array(F.concat("base", entropy_spans(F.col("_text"), F.col("base"))))).drop("_text")
+    kinds = docs.withColumns(base_spans(text_of()))
+    base = kinds.withColumn("base", F.sort_array(F.concat(*KINDS[:3])))
+    return base.withColumn("spans", F.sort_array(F.concat("base", entropy_spans(text_of(), F.col("base")))))
 
 
 def span_text(spans: str) -> Column:
@@ -144,11 +149,14 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with the secrets in text replaced and n_chars counted anew; every row stays."""
-    found = secret_spans(docs.select("*", F.col("text").alias("_kept")))
-    new = F.when(F.col("_kept").isNull(), F.col("_kept")).otherwise(redact(F.col("_kept"), F.col("spans")))
-    out = found.withColumn("text", new)
-    return out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """docs with the secrets in text replaced, and n_chars (if there is one) counted anew where some were; every row
+    stays, and every other column whatever its name. Null text stays null. An empty table gives an empty result."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = secret_spans(row)
+    new = F.when(F.col("text").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("spans")))
+    out = found.select("row", new.alias("text"), (F.size("spans") > 0).alias("found"))
+    n_chars = F.when(F.col("found"), F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("text") if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@
 
 An ARC file begins with a version block that declares which fields a header line has; the fields of version 1 and 2
 differ. Each record's header line declares its length in bytes. From these the converter makes what WARC asks for:
-identifiers (a UUID from URL, date and digest, so a second run gives the same), ISO timestamps, types, and base32 SHA-1
-digests of payload and block. Archives are gzip files of at most RECORDS_PER_FILE records, parsed whole by one task;
-records never meet on the driver.
-
-Revisits: records of equal payload are grouped by its length, SHA-1 and SHA-256. Only one small row of each group with
-two members or more goes back to the records, once for each of SALTS parts, so a payload that a third of all pages
-share is spread over SALTS tasks.
+identifiers (a UUID from URL, date, digest and the record's place: its archive's number and its offset there, so repeated
+rows differ, and a task that runs again gives the same), ISO timestamps, types, and base32 SHA-1 digests of payload and
+block. Archives are gzip files, parsed whole by one task. Their number of records follows the largest page, so that none
+has more than ARCHIVE_BYTES of payload; records never meet on the driver.
+
+Revisits: records of equal payload are grouped by its length, SHA-1 and SHA-256, in salted parts first. Only one small row
+of each group with two members or more goes back to the records, once for each part that it has. The number of salts
+follows that of the records, so a payload that a third of all pages share is no single task's work.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import shared_dir, table
+from tickerloom.llm.common import shared_dir, table, trim
 
 #: Fixed values of the two formats: the version blocks' second lines, and the profile of revisits.
 FIELDS = {
@@ -33,7 +35,9 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE, SALTS = 4000, 16
+#: An archive's records, and bytes of payload, at most; records of a salt, on average.
+RECORDS_PER_FILE, ARCHIVE_BYTES, ROWS_PER_SALT = 4000, 1 << 30, 100_000
+ARCHIVE_NUMBER = re.compile(r"(?<=^part-)\d+|(?<=-c)\d+(?=\.)")
 #: Bytes of payload in a batch that a task hands to Spark.
 BATCH_BYTES = 4 << 20
 RECORD = "target_uri string, record_id string, warc_date string, ip string, http_head binary, payload binary, payload_bytes long, payload_digest string, content_key string, response_digest string, head_digest string"
@@ -44,8 +48,8 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
-def write_arc(pages: DataFrame, path: str) -> None:
-    """One ARC file per partition of rows of page_id, url, html: version 1 or 2 by turns. A record holds an HTTP head and
+def write_arc(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
+    """ARC files of per_file rows of page_id, url, html of one partition: version 1 or 2 by turns of partitions. A record holds an HTTP head and
     the html in UTF-8 (null: no bytes). The page_id goes into the URL's fragment; blanks and control characters of the
     URL are percent-encoded, a null URL is about:blank."""
     html = F.coalesce("html", F.lit(""))
@@ -65,13 +69,13 @@ def write_arc(pages: DataFrame, path: str) -> None:
         return f"filedesc://pages.arc 0.0.0.0 19960101000000 text/plain {'200 - - 0 pages.arc ' if v == 2 else ''}{len(body)}\n{body}\n"
 
     line = F.when(version == 1, F.concat_ws(" ", first, length)).otherwise(F.concat_ws(" ", first, F.lit("200 - - 0 pages.arc"), length))
-    opening = F.when(F.pmod(number, F.lit(1 << 33)) == 0, F.when(version == 1, block(1)).otherwise(block(2))).otherwise("")
+    opening = F.when(F.pmod(F.pmod(number, F.lit(1 << 33)), F.lit(per_file)) == 0, F.when(version == 1, block(1)).otherwise(block(2))).otherwise("")
     rows = pages.select(F.concat(opening, line, F.lit("\n"), head, html).alias("value"))
-    rows.write.option("compression", "gzip").text(path)
+    rows.write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
-    """(url, ip, date of 14 digits, body) of each record. Raises on a header line that the version doesn't allow."""
+def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes, int]]:
+    """(url, ip, date of 14 digits, body, offset) of each record. Raises on a header line that the version doesn't allow."""
     at, after_type = 0, 0
     while True:
         while at < len(data) and data[at] in b"\r\n":
@@ -81,7 +85,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
         end = data.index(b"\n", at)
         line = data[at:end].rstrip(b"\r").decode("utf-8", "replace").split(" ")
         size = int(line[-1])
-        body, at = data[end + 1 : end + 1 + size], end + 1 + size
+        begin, body, at = at, data[end + 1 : end + 1 + size], end + 1 + size
         if line[0].startswith("filedesc://"):
             declared, names = body.decode().split("\n")[:2]
             if names.split() != FIELDS[int(declared.split()[0])].split():
@@ -90,17 +94,17 @@ def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
             continue
         if not after_type or len(line) < 4 + after_type:
             raise ValueError(f"no ARC header line: {' '.join(line)[:200]}")
-        yield line[0], line[1], line[2].ljust(14, "0"), body
+        yield line[0], line[1], line[2].ljust(14, "0"), body, begin
 
 
-def convert(url: str, ip: str, date: str, body: bytes) -> tuple:
-    """The fields of RECORD for one ARC record."""
+def convert(url: str, ip: str, date: str, body: bytes, place: str) -> tuple:
+    """The fields of RECORD for one ARC record; place tells it from others of equal URL, date and payload."""
     head, found, payload = body.partition(b"\r\n\r\n")
     head, payload = (head + found, payload) if body.startswith(b"HTTP/") and found else (b"", body)
     digest = sha1_base32(payload)
     stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     key = f"{digest} {hashlib.sha256(payload).hexdigest()} {len(payload)}"
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {stamp} {digest}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {stamp} {digest} {place}")
     return url, f"<urn:uuid:{name}>", stamp, ip, head, payload, len(payload), digest, key, sha1_base32(body), sha1_base32(head)
 
 
@@ -124,36 +128,39 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
 
 
-def _contents(batches) -> Iterator[bytes]:
+def _contents(batches) -> Iterator[tuple[str, bytes]]:
+    """(number, bytes) of each archive: the numbers that Spark's writer gives to a partition and its files."""
     for batch in batches:
-        for content in batch.column(0):
-            yield gzip.decompress(content.as_py())
+        for path, content in zip(*batch.columns):
+            name = path.as_py().rsplit("/", 1)[-1]
+            yield "-".join(ARCHIVE_NUMBER.findall(name)) or name, gzip.decompress(content.as_py())
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """Columns RECORD: each record of the ARC files (.gz) in path, with what a WARC record of it needs."""
 
     def parse(batches):
-        yield from _batches((convert(*record) for data in _contents(batches) for record in parse_arc(data)), _schema(RECORD), 5)
+        yield from _batches((convert(*record, f"{number}:{at}") for number, data in _contents(batches) for *record, at in parse_arc(data)), _schema(RECORD), 5)
+        trim()
 
     return _files(spark, path).mapInArrow(parse, RECORD)
 
 
-def deduplicate(records: DataFrame, order: Column, least_bytes: int = 0) -> DataFrame:
+def deduplicate(records: DataFrame, order: Column, least_bytes: int = 0, salts: int = 16) -> DataFrame:
     """records and refers_to (record_id, target_uri, warc_date): null for a response. Of records with equal payloads of
     least_bytes or more, the one with the largest order (then record_id) is the response."""
     this = F.struct(order.alias("order"), "record_id", "target_uri", "warc_date")
-    groups = records.where(F.col("payload_bytes") >= least_bytes).groupBy("content_key").agg(F.max(this).alias("to"), F.count("*").alias("n")).where("n > 1")
-    parts = groups.select("content_key", "to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(parts, ["content_key", "salt"], "left")
+    salted = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
+    parts = salted.where(F.col("payload_bytes") >= least_bytes).groupBy("content_key", "salt").agg(F.max(this).alias("to"), F.count("*").alias("n"))
+    groups = parts.groupBy("content_key").agg(F.max("to").alias("to"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    joined = salted.join(parts.select("content_key", "salt").join(groups, "content_key"), ["content_key", "salt"], "left")
     return joined.select(*records.columns, F.when(F.col("to.record_id") != F.col("record_id"), F.col("to")).alias("refers_to"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
     """WARC files (.gz) of records with refers_to. A revisit has the HTTP head alone as its block."""
     again = F.col("refers_to").isNotNull()
     lines = [
@@ -175,7 +182,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     head = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n")).cast("binary")
     record = F.concat(head, "http_head", F.when(again, F.lit(b"")).otherwise(F.col("payload"))).cast("string")
     writer = records.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer.option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple]:
@@ -209,7 +216,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Columns READ of each record of the WARC files (.gz) in path."""
 
     def parse(batches):
-        yield from _batches((record for data in _contents(batches) for record in parse_warc(data)), _schema(READ), 5)
+        yield from _batches((record for _, data in _contents(batches) for record in parse_warc(data)), _schema(READ), 5)
+        trim()
 
     return _files(spark, path).mapInArrow(parse, READ)
 
@@ -222,8 +230,11 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages to folder/arc, converts to folder/warc, and reads these back (READ). Null page_ids count as
     smallest; rows that repeat a page_id are records of their own; an empty table gives archives without records."""
     spark = pages.sparkSession
-    write_arc(pages.select("page_id", "url", "html"), f"{folder}/arc")
-    write_warc(deduplicate(read_arc(spark, f"{folder}/arc"), page_of("target_uri")), f"{folder}/warc")
+    rows, largest = pages.agg(F.count("*"), F.max(F.octet_length("html"))).first()
+    per_file = max(1, min(RECORDS_PER_FILE, ARCHIVE_BYTES // max(largest or 0, 1)))
+    salts = max(16, -(-rows // ROWS_PER_SALT))
+    write_arc(pages.select("page_id", "url", "html"), f"{folder}/arc", per_file)
+    write_warc(deduplicate(read_arc(spark, f"{folder}/arc"), page_of("target_uri"), salts=salts), f"{folder}/warc", per_file)
     return read_warc(spark, f"{folder}/warc")
 
 
