@@ -55,7 +55,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what materialise() has written for tables, once nothing that is still to be worked out reads them."""
+    for df in tables:
+        path = getattr(df, "written", None)
+        if path in _written:
+            _written.remove(path)
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end all that materialise() has written inside; for work whose result is written by then."""
+    start = len(_written)
+    yield
+    while len(_written) > start:
+        delete(spark, _written.pop())
 
 
 def join_by_parts(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, parts: int) -> DataFrame:
@@ -71,8 +96,7 @@ def drop_materialised() -> None:
     """Deletes the tables that materialise() has written; for the end of a session, once no result refers to them."""
     spark = SparkSession.getActiveSession()
     while spark is not None and _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _written.pop())
 
 
 def _at_exit() -> None:

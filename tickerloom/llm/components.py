@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import materialise
+from tickerloom.llm.common import forget, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,11 +23,13 @@ def components(links: DataFrame) -> DataFrame:
         after = hooks.select(F.col("id").alias("up"), F.col("up").alias("next"))
         hooks = materialise(hooks.join(after, "up", "left").select("id", F.coalesce("next", "up").alias("up")), "hooks")
         a, b = (hooks.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
+        before = edges, found
         moved = edges.join(a, "a").join(b, "b").where("a_up <> b_up")
         edges = materialise(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "links")
         if found is None:
-            found = hooks.select("id", F.col("up").alias("component"))
+            found = materialise(hooks.select("id", F.col("up").alias("component")), "components")
         else:
             found = found.join(hooks.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
             found = materialise(found, "components")
+        forget(hooks, *[x for x in before if x is not None])
     return found if found is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

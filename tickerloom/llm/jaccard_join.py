@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import join_by_parts, materialise, table, text_of, trim
+from tickerloom.llm.common import forget, join_by_parts, materialise, table, text_of, trim
 from tickerloom.llm.components import components
 from tickerloom.llm.shingles import Shingles, mix, near, shingle_sets, shingles, words_of
 
-PAIRS_UP_TO, BLOCK = 12, 1024
+PAIRS_UP_TO, BLOCK = 12, 512
 BAND = 4
 #: Segments for each shingle of a band's largest size, and whether with neighbourhoods.
 OPTIONS = ((0.45, False), (0.7, False), (0.2, True), (0.3, True))
@@ -328,7 +328,9 @@ def _apart(members: DataFrame, connected: DataFrame, parts: int) -> DataFrame:
     """grp, id, component of the members of groups that aren't connected throughout."""
     labelled = materialise(members.join(connected, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component")), "labelled")
     open_ = labelled.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    return join_by_parts(labelled, open_, ["grp"], "id", parts)
+    left = materialise(join_by_parts(labelled, open_, ["grp"], "id", parts), "apart")
+    forget(labelled)
+    return left
 
 
 def _clustered(left: DataFrame, parts: int) -> DataFrame:
@@ -422,23 +424,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     members = found.where("grp IS NOT NULL").select("grp", F.col("a").alias("h1")).join(ids, "h1").select("grp", F.col("class_id").alias("id"))
     members = materialise(members, "members")
+    forget(found)
     # equal sets of different words in order: mostly repeats of some of them
     same = materialise(variants.join(classes, ["h1", "h2", "n"]).where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b")), "same")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("id")).union(same.select("a")).union(same.select("b")).distinct()
     texts = _texts(docs, needed)
+    forget(variants)
     if _checked(same, texts).count() != same.count():
         raise ValueError("two texts that aren't near have sets of equal hashes: choose another salt in mix()")
     # first each set with the one it shares most keys with; most of what is similar is connected then
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = materialise(_checked(best, texts), "checked")
-    connected = components(links)
+    first = materialise(_checked(best, texts), "checked")
+    connected = components(first)
     rest = materialise(_between(pairs.join(best, ["a", "b"], "left_anti"), connected), "pairs")
-    links = materialise(links.unionByName(_checked(rest, texts)), "checked")
+    forget(pairs, connected, same)
+    links = materialise(first.unionByName(_checked(rest, texts)), "checked")
     connected = components(links)
+    forget(first, rest)
     parts = max(LEAST_PARTS, -(-members.count() // PART_ROWS))
-    left = materialise(_apart(members, connected, parts), "apart")
+    left = _apart(members, connected, parts)
     if not left.isEmpty():
-        connected = components(materialise(links.unionByName(_within(left, texts, parts)), "checked"))
+        forget(connected)
+        more = materialise(links.unionByName(_within(left, texts, parts)), "checked")
+        connected = components(more)
+        forget(more)
+    forget(left, members, texts, links)
     rows = described.join(classes, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     component = F.coalesce("component", "class_id").alias("component_id")
     return rows.join(connected.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "n_shingles", component, "class_id")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import join_by_parts, materialise, table, text_of, trim
+from tickerloom.llm.common import forget, join_by_parts, materialise, table, text_of, trim
 from tickerloom.llm.shingles import hash_ranges, mix
 
 DEPTH, LEAST_SHARE = 3, 0.6
@@ -208,7 +208,9 @@ def recurring_lines(docs: DataFrame, least_share: float = LEAST_SHARE, token_sha
     if not large.isEmpty():
         made = made.unionByName(_counted(large, *options))
     made = materialise(made, "templates")
+    forget(counted, shared, full)
     found = materialise(join_by_parts(lines, made, ["leaf", "line"], "doc_id", parts).select("leaf", "size", "template", "doc_id", "place"), "found_lines")
+    forget(lines, made)
     holders = found.select("leaf", "size", "template", "doc_id").distinct().groupBy("leaf", "size", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     recurring = holders.where(F.col("docs") >= _needed(F.col("size"), tokens_seen, least_docs)).select("leaf", "template", "first")
     return join_by_parts(found, recurring, ["leaf", "template"], "doc_id", parts).where("doc_id > first").select("doc_id", "place", "template")
