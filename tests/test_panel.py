@@ -137,9 +137,9 @@ def test_features_of_short_and_odd_histories(spark):
     assert all(math.isfinite(x) for x in scores.values())
 
 
-def test_momentum_is_the_score_of_shorter_panels(spark):
+def test_deltas_are_the_scores_of_shorter_panels(spark):
     a = {"A": walk(0.002, 0.01, 120, 5), "B": walk(0.0, 0.01, 120, 6)}
-    got = {r.symbol: r for r in K.momentum(prices(spark, a)).collect()}
+    got = {r.symbol: r for r in K.deltas(prices(spark, a)).collect()}
     for cut, name in ((1, "d1"), (5, "d5")):
         then = {r.symbol: r.fms for r in K.snapshot(prices(spark, {s: p[:-cut] for s, p in a.items()})).collect()}
         for s in a:
@@ -179,7 +179,7 @@ def test_fx(spark):
 def test_other_scores(spark):
     found = G.features(prices(spark, PATHS)).cache()
     assert LegacyParams().with_values(w_dd=2.0).w_dd == 2.0
-    with pytest.raises(KeyError):
+    with pytest.raises(TypeError):
         LegacyParams().with_values(nothing=1.0)
     with pytest.raises(KeyError):
         family("nothing")

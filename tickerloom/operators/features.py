@@ -21,30 +21,50 @@ RETURNS = {"r_5d": 5, "r_10d": 10, "r_1w": 5, "r_1m": 21, "r_3m": 63, "r_4m": 84
 SEGMENTS = {"0_3": (0, 3), "3_5": (3, 5), "5_10": (5, 10), "10_21": (10, 21), "21_63": (21, 63), "0_5": (0, 5), "5_21": (5, 21)}
 
 
-def bars(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
-    """The keys, n_bars, asof, p (the last WINDOW valid prices), full (the last FULL prices, glitches filled from before
-    within the symbol's own span), year_base (the price nearest to the first day of the as-of year, the later on ties)."""
-    w = Window.partitionBy(*by).orderBy("date")
-    valid = positive(finite(F.col("close")))
-    rows = panel.select(*by, "date", valid.alias("valid"))
-    rows = rows.withColumn("filled", F.last("valid", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*by)
-    rows = rows.withColumn("asof", F.max(F.when(F.col("valid").isNotNull(), F.col("date"))).over(whole))
-    back = Window.partitionBy(*by).orderBy(F.col("valid").isNull(), F.desc("date"))
-    rows = rows.withColumn("place", F.row_number().over(back))
-    inside = (F.col("date") <= F.col("asof")) & F.col("filled").isNotNull()
-    rows = rows.withColumn("late", F.sum(F.when(inside, 1).otherwise(0)).over(w.rowsBetween(0, Window.unboundedFollowing)))
+def gathered(panel: DataFrame, by: tuple[str, ...] = KEY, more: int = 0) -> DataFrame:
+    """The keys, n_rows, n_bars, asof, year_base (the price nearest to the first day of the as-of year, the later on ties);
+    valid: the last WINDOW + more valid prices, full: the last FULL + more prices, glitches filled from before within the
+    symbol's own span; both as arrays of (back, price), oldest first, back counting the panel's rows from its last.
+
+    All windows follow one order of a symbol's rows; only the rows that count reach the arrays."""
+    whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("date")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = panel.select(*by, "date", positive(finite(F.col("close"))).alias("price"))
+    rows = rows.select("*", F.last("price", ignorenulls=True).over(so_far).alias("filled"), F.count("price").over(so_far).alias("nth"), F.row_number().over(order).alias("row"))
+    rows = rows.select("*", F.max(F.when(F.col("price").isNotNull(), F.col("date"))).over(whole).alias("asof"), F.max(F.when(F.col("price").isNotNull(), F.col("row"))).over(whole).alias("last_row"), F.count("price").over(whole).alias("n"), F.count("*").over(whole).alias("n_rows"))
+    inside = F.col("filled").isNotNull() & (F.col("row") <= F.col("last_row"))
+    back = (F.col("n_rows") - F.col("row")).cast("int").alias("back")
     first_day = F.make_date(F.year("asof"), F.lit(1), F.lit(1))
-    held = lambda keep, value: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("date", value)))), lambda s: s[value])
+    held = lambda keep, price: F.array_sort(F.collect_list(F.when(keep, F.struct((-back).alias("ahead"), F.col(price).alias("price")))))
     return rows.groupBy(*by).agg(
-        F.count("valid").alias("n_bars"),
-        F.max("asof").alias("asof"),
-        held(F.col("valid").isNotNull() & (F.col("place") <= WINDOW), "valid").alias("p"),
-        held(inside & (F.col("late") <= FULL), "filled").alias("full"),
+        F.first("n_rows").alias("n_rows"),
+        F.first("n").alias("n_bars"),
+        F.first("asof").alias("asof"),
+        held(F.col("price").isNotNull() & (F.col("n") - F.col("nth") < WINDOW + more), "price").alias("valid"),
+        held(inside & (F.col("last_row") - F.col("row") < FULL + more), "filled").alias("full"),
         F.min_by("filled", F.when(inside, F.struct(F.abs(F.datediff("date", first_day)), -F.unix_date("date")))).alias("year_base"),
     )
 
 
+def _last(a: Column, n: int) -> Column:
+    return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
+
+
+def at_lag(found: DataFrame, lag: Column) -> DataFrame:
+    """gathered rows as they were lag rows of the panel ago: p (the last WINDOW valid prices), full (the last FULL)."""
+    seen = F.filter("valid", lambda x: x["ahead"] <= -lag)
+    asof = F.element_at(seen["ahead"], F.when(F.size(seen) > 0, -1))
+    p = F.transform(_last(seen, WINDOW), lambda x: x["price"])
+    full = F.transform(_last(F.filter("full", lambda x: x["ahead"] <= asof), FULL), lambda x: x["price"])
+    none = F.array().cast(A.DOUBLES)
+    return found.select(*[c for c in found.columns if c not in ("valid", "full")], p.alias("p"), F.when(F.size(seen) > 0, full).otherwise(none).alias("full"))
+
+
+def bars(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
+    """The keys, n_bars, asof, p (the last WINDOW valid prices), full (the last FULL prices), year_base."""
+    return at_lag(gathered(panel, by), F.lit(0)).drop("n_rows")
+
+
 def _fit(y: Column, n: int) -> tuple[Column, Column]:
     return A.line_fit(A.tail(y, n))
 
@@ -117,6 +137,13 @@ def streaks() -> dict[str, Column]:
     return {"down_streak_5d": run(False), "up_streak_5d": run(True)}
 
 
+def _stale_age(recent: Column, r: Column, n: Column) -> Column:
+    """Bars since the oldest touch of the high of 21 bars, times the largest return before the last three; from 25 bars on."""
+    touch = A.let(F.array_max(recent), lambda high: F.array_position(F.transform(recent, lambda x: x >= high - 1e-12), F.lit(True)))
+    jump = F.array_max(F.slice(r, F.greatest(F.size(r) - 20, F.lit(1)), F.greatest(F.least(F.size(r), F.lit(21)) - 3, F.lit(0))))
+    return F.when(n >= 25, (F.size(recent) - touch) * F.greatest(jump, F.lit(0.0)))
+
+
 def paths() -> dict[str, Column]:
     n, p, r, lp, out = F.size("p"), F.col("p"), F.col("r"), F.col("lp"), {}
     for k in (10, 15, 20):
@@ -134,10 +161,7 @@ def paths() -> dict[str, Column]:
     peak = F.greatest(F.array_max(early), F.lit(0.0))
     at = A.first_at(early, F.array_max(early)) + 3
     out["post_spike_stall"] = F.when(F.size(early) > 0, peak * F.greatest(F.get(lp, F.when(F.size(early) > 0, at).cast("int")) - A.back(lp, 0), F.lit(0.0))).otherwise(F.when(n > 0, 0.0))
-    high = F.array_max(A.tail(p, 21))
-    touch = F.array_position(F.transform(A.tail(p, 21), lambda x: x >= high - 1e-12), F.lit(True))
-    jump = F.array_max(F.slice(r, F.greatest(F.size(r) - 20, F.lit(1)), F.greatest(F.least(F.size(r), F.lit(21)) - 3, F.lit(0))))
-    out["stale_age"] = F.when(n >= 25, (F.least(n, F.lit(21)) - touch) * F.greatest(jump, F.lit(0.0)))
+    out["stale_age"] = _stale_age(A.tail(p, 21), r, n)
     falls = F.zip_with("p", "top", lambda x, m: x / m - 1)
     trough = F.array_min(falls)
     out["max_dd_pct"] = trough * 100
@@ -182,10 +206,61 @@ def visible(gathered: DataFrame) -> DataFrame:
     return logs.withColumns({"r": A.diffs(F.col("lp")), "e20": A.ema(F.col("p"), 20), "e50": A.ema(F.col("p"), 50), "top": A.running_max(F.col("p"))})
 
 
-def features(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
-    """The keys, n_bars, asof and every feature. A symbol without valid prices keeps its row; its features are NULL."""
+def features_of(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The keys and every feature of rows with p, full and year_base. What isn't read of them isn't worked out."""
     every = full_returns() | trend() | averages() | streaks() | paths() | segments()
-    found = visible(bars(panel, by)).select(*by, "n_bars", "asof", *[finite(c.cast("double")).alias(k) for k, c in every.items()])
+    made = visible(found).select(*keys, *[finite(c.cast("double")).alias(k) for k, c in every.items()])
     run = F.greatest("seg_ret_21_63", F.lit(0.0)) * F.greatest(0.02 - F.coalesce("seg_ret_0_5", F.lit(0.0)), F.lit(0.0))
     stale = F.when(F.col("stale_age").isNotNull() & F.col("seg_ret_21_63").isNotNull(), F.col("stale_age") * run)
-    return found.withColumns({"stale_after_run": stale, "above_ema50": F.col("price_vs_ema50")})
+    return made.withColumns({"stale_after_run": stale, "above_ema50": F.col("price_vs_ema50")})
+
+
+def features(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
+    """The keys, n_bars, asof and every feature. A symbol without valid prices keeps its row; its features are NULL."""
+    return features_of(bars(panel, by), (*by, "n_bars", "asof"))
+
+
+def short_horizon(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
+    """The archived candidates for short horizons, over the whole series: 20 bars instead of 21 for slopes, averages from
+    the first bar on, and nothing from fewer bars than a window has. A symbol without valid prices: NULLs.
+
+    Beyond the last 64 bars only the averages and the run below them look back; they are folded along the gathered
+    series, which is bounded by a symbol's history."""
+    valid = panel.select(*by, F.struct("date", positive(finite(F.col("close"))).alias("price")).alias("bar")).where(F.col("bar.price").isNotNull())
+    series = panel.select(*by).distinct().join(valid.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("bar")), lambda b: b["price"]).alias("p")), list(by), "left")
+    series = series.withColumn("p", F.coalesce("p", F.array().cast(A.DOUBLES)))
+    alpha = 2.0 / 21
+    folded = F.aggregate(
+        "p",
+        F.struct(F.lit(None).cast("double").alias("ema"), F.lit(0).alias("run"), F.array().cast(A.DOUBLES).alias("last")),
+        lambda s, x: A.let(
+            F.when(s["ema"].isNull() | (s["ema"] == x), x).otherwise(alpha * x + (1 - alpha) * s["ema"]),
+            lambda e: F.struct(e.alias("ema"), F.when(x < e * BELOW, s["run"] + 1).otherwise(0).alias("run"), F.array_append(_last(s["last"], 9), e).alias("last")),
+        ),
+    )
+    found = series.withColumn("fold", folded).withColumn("lp", F.transform(_last(F.col("p"), 64), lambda x: F.ln(x))).withColumn("r", A.diffs(F.col("lp")))
+    n, lp, r, le = F.size("p"), F.col("lp"), F.col("r"), F.transform("fold.last", lambda e: F.ln(e))
+    out: dict[str, Column] = {}
+    for k in (10, 15, 20):
+        slope, fit = _fit(lp, k)
+        enough = lambda x, k=k: F.when(n >= k, x)
+        out |= {f"log_slope_{k}d": enough(slope), f"trend_r2_{k}d": enough(fit), f"trend_quality_{k}d": enough(slope * fit)}
+    out["r_3d_log"] = A.back(lp, 0) - A.back(lp, 3)
+    out["recovery_3d_vs_prior7"] = F.when(n > 10, out["r_3d_log"] / 3 - (A.back(lp, 3) - A.back(lp, 10)) / 7)
+    out["ema20_slope_3d"] = F.when(n >= 4, _fit(le, 4)[0])
+    out["ema20_accel_3d_vs_10d"] = F.when(n >= 10, _fit(le, 4)[0] - _fit(le, 10)[0])
+    out["price_vs_ema20"] = F.when(n > 0, ratio(A.back(F.col("p"), 0), F.col("fold.ema")) - 1)
+    out["under_ema20_streak"] = F.when(n > 0, F.col("fold.run"))
+    for k in (10, 15, 20):
+        out[f"trend_efficiency_{k}d"] = F.when(n > k, A.efficiency(A.tail(r, k)))
+    te = out["trend_efficiency_15d"]
+    out["trend_efficiency_reward_15d"] = F.when(te.isNotNull(), F.greatest(te, F.lit(0.0)))
+    out["trend_inefficiency_15d"] = F.when(te.isNotNull(), F.greatest(0.2 - te, F.lit(0.0)))
+    down = lambda x: F.least(x, F.lit(0.0))
+    out |= {f"downside_rms_{k}d": _rms(r, k, down) for k in (10, 20)}
+    out["worst_log_return_20d"] = F.array_min(A.tail(r, 20))
+    early = F.slice(A.diffs(lp, 3), 1, F.greatest(F.size(A.diffs(lp, 3)) - 15, F.lit(0)))
+    at = F.when(F.size(early) > 0, A.first_at(early, F.array_max(early)) + 3)
+    out["post_spike_stall_3m"] = F.when(n >= 64, F.greatest(F.array_max(early), F.lit(0.0)) * F.greatest(F.get(lp, at.cast("int")) - A.back(lp, 0), F.lit(0.0)))
+    out["stale_age"] = _stale_age(A.tail(F.col("p"), 21), r, n)
+    return found.select(*by, *[finite(c.cast("double")).alias(k) for k, c in out.items()])

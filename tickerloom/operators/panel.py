@@ -25,19 +25,37 @@ def clean(prices: DataFrame) -> DataFrame:
     return prices.withColumn("close", finite(F.col("close"))).dropDuplicates([*KEY, "date"])
 
 
+def weekdays_to(day: Column) -> Column:
+    """A running number of weekdays: how many there are from a Monday in 1970 to day."""
+    k = F.datediff(day, F.lit("1970-01-05").cast("date"))
+    return F.floor(k / 7) * 5 + F.least(F.pmod(k, F.lit(7)) + 1, F.lit(5))
+
+
 def align(prices: DataFrame, coverage: float = BATCH_COVERAGE) -> DataFrame:
     """panel_id, symbol, date, close on the grid: filled forward, nothing after a symbol's own last price, and symbols
-    with a lower share of filled days left out. Weekend prices fall out before the fill."""
+    with a lower share of filled days left out. Weekend prices fall out before the fill.
+
+    A price stands for all days up to the next one, so each row is spread over the days it stands for: one pass over a
+    symbol's rows in order, without a join to the grid. Coverage follows from the first and last price."""
     spans = prices.groupBy("panel_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    last = F.max(F.when(F.col("close").isNotNull(), F.col("date"))).alias("last_valid")
-    symbols = prices.groupBy(*KEY).agg(last).join(F.broadcast(spans), "panel_id")  # a row for each panel
-    days = F.filter(F.sequence("lo", "hi"), weekday)
-    grid = symbols.select(*KEY, "last_valid", F.explode(days).alias("date"))
-    by = Window.partitionBy(*KEY).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(prices.select(*KEY, "date", "close"), [*KEY, "date"], "left").withColumn("filled", F.last("close", ignorenulls=True).over(by))
-    clipped = filled.select(*KEY, "date", F.when(F.col("date") <= F.col("last_valid"), F.col("filled")).alias("close"))
-    share = F.count("close").over(Window.partitionBy(*KEY)) / F.count("*").over(Window.partitionBy(*KEY))
-    return clipped.withColumn("coverage", share).where(F.col("coverage") >= coverage).drop("coverage")
+    use = F.col("close").isNotNull() & weekday("date")
+    whole, order = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy(F.desc("use"), "date")
+    rows = prices.select(*KEY, "date", "close", use.alias("use")).select(
+        "*",
+        F.row_number().over(order).alias("place"),
+        F.when(F.lead("use").over(order), F.lead("date").over(order)).alias("next"),
+        F.max(F.when(F.col("close").isNotNull(), F.col("date"))).over(whole).alias("last"),
+        F.min(F.when(F.col("use"), F.col("date"))).over(whole).alias("first"),
+    )
+    rows = rows.where("use OR place = 1").join(F.broadcast(spans), "panel_id")  # a row for each panel
+    n_days = weekdays_to(F.col("hi")) - weekdays_to(F.date_sub("lo", 1))
+    n_bars = F.coalesce(weekdays_to(F.col("last")) - weekdays_to(F.col("first")) + 1, F.lit(0))
+    rows = rows.where(n_bars >= F.lit(coverage) * n_days)
+    start = F.when(F.col("use"), F.col("date")).otherwise(F.date_add("hi", 1))
+    days = lambda lo, hi, value: F.when(lo <= hi, F.transform(F.filter(F.sequence(lo, F.greatest(lo, hi)), weekday), lambda d: F.struct(d.alias("date"), value(d).alias("close")))).otherwise(F.array())
+    before = F.when(F.col("place") == 1, days(F.col("lo"), F.date_sub(start, 1), lambda d: F.lit(None).cast("double"))).otherwise(F.array())
+    own = F.when(F.col("use"), days(start, F.coalesce(F.date_sub("next", 1), F.col("hi")), lambda d: F.when(d <= F.col("last"), F.col("close")))).otherwise(F.array())
+    return rows.select(*KEY, F.explode(F.concat(before, own)).alias("bar")).select(*KEY, "bar.date", "bar.close")
 
 
 def coverage_of(prices: DataFrame) -> DataFrame:
@@ -67,19 +85,19 @@ def fx_crosses(fx: DataFrame) -> DataFrame:
     return filled.select("date", rates.alias("r")).select("r.market", "date", "r.rate").where("rate IS NOT NULL")
 
 
-def convert(prices: DataFrame, fx: DataFrame, drop_missing: bool = True, base: str = "KOR") -> DataFrame:
-    """prices (with market) in the base currency. A rate counts on its own market's price dates only and is filled
-    forward along them; prices before its first are NULL. A market without any rate is dropped, or left as it is."""
-    days = prices.select("market", "date").distinct().join(fx, ["market", "date"], "left")
-    by = Window.partitionBy("market").orderBy("date")
-    rated = days.select(
-        "market",
-        "date",
-        F.last("rate", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("rate"),
-        F.count("rate").over(Window.partitionBy("market")).alias("n_rates"),
-    )
-    out = prices.join(rated, ["market", "date"])
-    home, none = F.col("market") == base, F.col("n_rates") == 0
+def convert(prices: DataFrame, fx: DataFrame, drop_missing: bool = True, base: str = "KOR", along: str = "market") -> DataFrame:
+    """prices (with market) in the base currency. A rate counts on price dates only, those of its own market or (along
+    panel_id) of the whole panel, and is filled forward along them; prices before its first are NULL. A market without
+    any rate is dropped, or left as it is."""
+    keys = ["market"] if along == "market" else [along, "market"]
+    days = prices.select(along, "date").distinct()
+    if along != "market":
+        days = days.join(F.broadcast(prices.select(*keys).distinct()), along)  # a row a panel and market
+    by = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rated = days.join(fx.select("market", "date", "rate"), ["market", "date"], "left").select(*keys, "date", F.last("rate", ignorenulls=True).over(by).alias("rate"))
+    known = F.broadcast(fx.select("market").distinct().withColumn("known", F.lit(True)))  # a row a market
+    out = prices.join(rated, [*keys, "date"]).join(known, "market", "left")
+    home, none = F.col("market") == base, F.col("known").isNull()
     if drop_missing:
         out = out.where(home | ~none)
     return out.withColumn("close", F.when(home | none, F.col("close")).otherwise(F.col("close") * F.col("rate"))).select(*prices.columns)

@@ -1,7 +1,14 @@
-"""Ranks, rank metrics against a reference order, folds, and choices among parameter sets."""
+"""Ranks, rank metrics against a reference order, folds, and choices among parameter sets.
+
+A ranking is one that people made, so it has hundreds of symbols; what grows is the number of scores that are compared with
+it. Metrics of one score are worked out in one group in n log n, without a row for each pair; lists of pairs are for
+rankings of MOST_PAIRED symbols at most, and refused beyond.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +21,65 @@ def rank_methods(scores: DataFrame, by: str = "score", key: str = "symbol") -> D
     return scores.withColumn("rank_first", first).withColumn("rank_min", F.rank().over(order)).withColumn("rank_average", F.avg("rank_first").over(ties))
 
 
-def pairs(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of rows of (by, symbol, true_rank, score): a ranks before b."""
-    a, b = (scores.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("symbol", "true_rank", "score", "model_rank")]) for s in "ab")
-    return a.join(b, list(by) or None).where("true_rank_a < true_rank_b") if by else a.join(b, F.col("true_rank_a") < F.col("true_rank_b"))
+MOST_PAIRED = 20_000
+
+
+def pairs(scores: DataFrame) -> DataFrame:
+    """Pairs of rows of (symbol, true_rank, score, model_rank): a ranks before b. Raises if there are too many rows."""
+    n = scores.count()
+    if n > MOST_PAIRED:
+        raise ValueError(f"pairs of {n} symbols are asked for; {MOST_PAIRED} is the most")
+    a, b = (scores.select(*[F.col(c).alias(f"{c}_{s}") for c in ("symbol", "true_rank", "score", "model_rank")]) for s in "ab")
+    return a.join(F.broadcast(b), F.col("true_rank_a") < F.col("true_rank_b"))  # MOST_PAIRED rows at most
 
 
 def with_model_rank(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scores.withColumn("model_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), "true_rank")))
 
 
+def rising_pairs(values: np.ndarray) -> int:
+    """How many pairs i < j have values[i] < values[j]. Bit by bit of the values' dense ranks: pairs that agree in all
+    higher bits rise if the first has a 0 and the second a 1."""
+    _, code = np.unique(values, return_inverse=True)
+    total = 0
+    for bit in range(int(code.max(initial=0)).bit_length()):
+        order = np.argsort(code >> (bit + 1), kind="stable")  # groups, in each the order of the rows
+        group, one = (code >> (bit + 1))[order], (code >> bit & 1)[order]
+        zeros = np.cumsum(1 - one)
+        first = np.r_[True, group[1:] != group[:-1]]
+        before = (zeros - (1 - one))[first][np.cumsum(first) - 1]
+        total += int(((zeros - before) * one).sum())
+    return total
+
+
+def metrics_of(rank: np.ndarray, score: np.ndarray) -> tuple[float, float, float]:
+    """(inversion, pair_error, rho) of distinct ranks and scores, as rank_metrics() has them."""
+    n = len(rank)
+    if n <= 1:
+        return 0.0, 0.0, 1.0
+    order = np.argsort(rank, kind="stable")
+    rank, score = rank[order].astype(float), score[order]
+    model = np.empty(n)
+    model[np.argsort(-score, kind="stable")] = np.arange(1, n + 1)
+    apart = np.sort(rank - model)  # the mean difference of two of these is that of the rank gaps
+    error = float((apart * (2 * np.arange(n) - n + 1)).sum() / (n * (n - 1) / 2))
+    rho = float(np.corrcoef(rank, model)[0, 1]) if np.ptp(rank) > 0 else float("nan")
+    return rising_pairs(score) / (n * (n - 1) / 2), error, rho
+
+
 def rank_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, inversion (share of pairs that the score orders the other way), pair_error (mean difference of the two
-    orders' rank gaps), rho (Spearman; NULL if constant). For rankings of hundreds of symbols, as people make them."""
-    ranked = with_model_rank(scores, by)
-    two = pairs(ranked, by)
-    gap = F.abs((F.col("true_rank_b") - F.col("true_rank_a")) - (F.col("model_rank_b") - F.col("model_rank_a")))
-    agg = [F.avg((F.col("score_a") < F.col("score_b")).cast("double")).alias("inversion"), F.avg(gap.cast("double")).alias("pair_error")]
-    of_pairs = two.groupBy(*by).agg(*agg)
-    n = F.count("*")
-    d = F.col("true_rank") - F.col("model_rank")
-    rho = F.when(n > 1, 1 - 6 * F.sum(d * d) / F.when(n > 1, n * (n * n - 1))).alias("rho")
-    of_rows = ranked.groupBy(*by).agg(rho)
-    return of_pairs.join(of_rows, list(by)) if by else of_pairs.crossJoin(F.broadcast(of_rows))  # one row each
+    orders' rank gaps), rho (correlation of true ranks and positions by score; NULL if constant). Rows without a score or
+    rank are left out. One row, or none: no inversion and no error, rho 1."""
+    named = scores.select(*by, F.col("true_rank").cast("double").alias("true_rank"), F.col("score").cast("double").alias("score")).where("true_rank IS NOT NULL AND score IS NOT NULL")
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name in by] + ["inversion double", "pair_error double", "rho double"])
+
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key[: len(by)], *metrics_of(rows["true_rank"].to_numpy(), rows["score"].to_numpy()))], columns=[*by, "inversion", "pair_error", "rho"])
+
+    found = named.groupBy(*keys).applyInPandas(one, schema)
+    return found.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
 def disagreements(scores: DataFrame, limit: int = 30) -> DataFrame:
@@ -52,9 +95,9 @@ def residuals(scores: DataFrame, limit: int = 25) -> DataFrame:
 
 
 def top_recall(scores: DataFrame, share: float = 0.2) -> DataFrame:
-    """n, k (round half to even of n * share), recall of the true top k in the model's."""
+    """n, k (round half to even of n * share, 1 at least), recall of the true top k in the model's."""
     ranked = with_model_rank(scores)
-    k = F.bround(F.count("*") * F.lit(share), 0).cast("long")
+    k = F.greatest(F.bround(F.count("*") * F.lit(share), 0).cast("long"), F.lit(1))
     sized = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n"), k.alias("k"))))  # one row
     hit = (F.col("true_rank") <= F.col("k")) & (F.col("model_rank") <= F.col("k"))
     return sized.groupBy("n", "k").agg((F.count_if(hit) / F.when(F.col("k") > 0, F.col("k"))).alias("recall"))
@@ -88,13 +131,39 @@ def thirds(scores: DataFrame, columns: list[str]) -> DataFrame:
     return placed.groupBy(name.alias("bucket")).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def summary(df: DataFrame, column: str) -> DataFrame:
+def summary(df: DataFrame, column: str, before: str | None = None) -> DataFrame:
+    """One row: n, mean, median, p10, p90, min, max; with before, how many differ from that column (n_changed)."""
     c = F.col(column)
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.1).alias("p10"), F.percentile(c, 0.9).alias("p90"), F.min(c).alias("min"), F.max(c).alias("max"))
+    changed = [F.count_if(~c.eqNullSafe(F.col(before))).alias("n_changed")] if before else []
+    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.1).alias("p10"), F.percentile(c, 0.9).alias("p90"), F.min(c).alias("min"), F.max(c).alias("max"), *changed)
+
+
+def share_of(df: DataFrame, condition: Column, among: Column) -> DataFrame:
+    """One row: n (rows that among holds for), share of these that condition holds for too; NULL if there are none."""
+    return df.agg(F.count_if(among).alias("n"), F.try_divide(F.count_if(among & condition), F.count_if(among)).alias("share"))
+
+
+def extremes(df: DataFrame, column: str, k: int, key: str = "symbol") -> DataFrame:
+    """The k rows with the largest and the k with the smallest values (end: top, bottom); ties by key."""
+    known = df.where(F.col(column).isNotNull())
+    top = known.orderBy(F.desc(column), key).limit(k).withColumn("end", F.lit("top"))
+    return top.unionByName(known.orderBy(column, key).limit(k).withColumn("end", F.lit("bottom")))
+
+
+def win_rates(comparisons: DataFrame) -> DataFrame:
+    """Of rows of param_id, inversion, base_inversion: each param_id's win_rate (share of strictly fewer inversions), mean
+    inversion; the best rate first, then the lowest inversion."""
+    each = comparisons.groupBy("param_id").agg(F.avg((F.col("inversion") < F.col("base_inversion")).cast("double")).alias("win_rate"), F.avg("inversion").alias("inversion"))
+    return each.orderBy(F.desc("win_rate"), "inversion", "param_id")
 
 
 def compare_paths(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Of two tables of symbol, fms: n, only_a, only_b, the largest and the mean difference, how many differ by 0.1."""
+    """Of two tables of symbol, fms: n, only_a, only_b, the largest, median and mean difference, how many differ by 0.1,
+    and the correlation of their ranks (rho; NULL if constant)."""
     both = a.select("symbol", F.col("fms").alias("x")).join(b.select("symbol", F.col("fms").alias("y")), "symbol", "full")
     d = F.abs(F.col("x") - F.col("y"))
-    return both.agg(F.count(d).alias("n"), F.count_if(F.col("y").isNull()).alias("only_a"), F.count_if(F.col("x").isNull()).alias("only_b"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"), F.count_if(F.round(d, 9) >= 0.1).alias("n_large"))
+    ranked = both.where("x IS NOT NULL AND y IS NOT NULL").select(*[F.rank().over(Window.orderBy(F.desc(c))).cast("double").alias(c) for c in "xy"])  # symbols that both scans have
+    spread = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
+    rho = ranked.agg(F.when(spread, F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("rho"))
+    found = both.agg(F.count(d).alias("n"), F.count_if(F.col("y").isNull()).alias("only_a"), F.count_if(F.col("x").isNull()).alias("only_b"), F.max(d).alias("max_diff"), F.percentile(d, 0.5).alias("median_diff"), F.avg(d).alias("mean_diff"), F.count_if(F.round(d, 9) >= 0.1).alias("n_large"))
+    return found.crossJoin(F.broadcast(rho))  # one row each

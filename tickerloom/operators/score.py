@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +37,35 @@ def feature(name: str, otherwise: float = 0.0) -> Column:
 Params = dict[str, float | Column]
 
 
+class Inputs:
+    """What the scores read of a feature table, with what counts where a feature is missing."""
+
+    def __init__(self):
+        self.r3m, self.fit, self.vol = feature("r_3m"), feature("r2_3m", 0.5), feature("vol20_ann", 0.2)
+        self.recent, self.mid, self.prior = feature("seg_ret_0_5"), feature("seg_ret_5_21"), feature("seg_ret_21_63")
+        self.support, self.dip, self.eff = feature("prior_support_sign"), feature("mid_dip_recovery"), feature("trend_efficiency_reward_15d")
+        self.breadth, self.share = feature("recent_up_days_5d") / 5.0, clip(feature("recent_jump_share_5d"), 0.0, 1.0)
+        self.jump, self.stale, self.stale_run = (F.greatest(feature(c), F.lit(0.0)) for c in ("jump_discontinuity_3m", "stale_age", "stale_after_run"))
+
+
 def alive_pullback(q: Params = ALIVE_PULLBACK) -> Column:
     """Recent and older legs of a move, with credit for a pullback in a move that is alive, over penalties for jumps and
     for runs that went stale. Missing features count as 0, a missing fit as 0.5."""
-    r3m, fit = feature("r_3m"), feature("r2_3m", 0.5)
-    recent, mid, prior = feature("seg_ret_0_5"), feature("seg_ret_5_21"), feature("seg_ret_21_63")
-    support, breadth = feature("prior_support_sign"), feature("recent_up_days_5d") / 5.0
-    jump, stale, eff = clip(feature("recent_jump_share_5d"), 0.0, 1.0), F.greatest(feature("stale_after_run"), F.lit(0.0)), feature("trend_efficiency_reward_15d")
-    above = softplus(r3m - q["floor"])
-    terms = (
-        signed_power(recent, q["pow_recent"]) * q["w_recent"],
-        softplus(recent) * support * q["alive_boost"],
-        softplus(mid) * q["w_mid_pos"],
-        feature("mid_dip_recovery") * (support + 0.5) * q["w_mid_neg_forgive"],
-        prior * (support + 0.5) * q["w_prior"],
-        above * q["w_abs"],
-        breadth * q["w_breadth"],
-        above * fit * (1.0 - jump) * softplus(eff + 0.05) * q["w_grind"],
-        softplus(eff) * q["w_eff"],
+    x = Inputs()
+    above = softplus(x.r3m - q["floor"])
+    grind = above * x.fit * (1.0 - x.share) * softplus(x.eff + 0.05)
+    body = (
+        q["w_recent"] * signed_power(x.recent, q["pow_recent"])
+        + q["alive_boost"] * softplus(x.recent) * x.support
+        + q["w_mid_pos"] * softplus(x.mid)
+        + q["w_mid_neg_forgive"] * x.dip * (0.5 + x.support)
+        + q["w_prior"] * x.prior * (0.5 + x.support)
+        + q["w_abs"] * above
+        + q["w_breadth"] * x.breadth
+        + q["w_grind"] * grind
+        + q["w_eff"] * softplus(x.eff)
     )
-    body = terms[0]
-    for term in terms[1:]:
-        body = body + term
-    return softplus(r3m - q["floor"] / 2.0) * body / (stale * q["w_stale_run"] + softplus(jump - 0.55) * q["w_jump_share"] + 1.0)
+    return softplus(x.r3m - q["floor"] / 2.0) * body / (1.0 + q["w_stale_run"] * x.stale_run + q["w_jump_share"] * softplus(x.share - 0.55))
 
 
 def scored(features: DataFrame, score: Column | None = None) -> DataFrame:
@@ -82,125 +89,296 @@ def cash_strength() -> Column:
     return F.coalesce(strength, F.lit(0.0))
 
 
-#: Weights of the sparse score's axes.
+#: Fixed values of the archived sparse score: each axis's weight. Which way an axis counts is in DIRECTIONS.
 SPARSE_AXES = {
-    "r_3m": 1.0, "r_1m": 0.6, "trend_quality_21d": 0.8, "trend_efficiency_20d": 0.5, "recovery_3d_vs_prior7": 0.4,
-    "stale_age": -0.6, "post_spike_stall": -0.5, "downside_rms_20d": -0.7, "under_ema20_depth": 0.3, "jump_discontinuity_3m": -0.4,
-}
-
-
-def sparse_score(features: DataFrame, weights: dict[str, float] | None = None, gate: bool = True, clip_at: float = 4.0) -> DataFrame:
-    """features and sparse_fms: the sum of weight * clipped robust z over axes (median, population deviation; too flat or
-    fewer than two values: 0). With gate, an axis's gain is scaled by 1 - cash_strength."""
-    weights = weights or SPARSE_AXES
-    stats = features.agg(*[x for c in weights for x in (F.median(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"), F.count(c).alias(f"_n_{c}"))])
-    joined = features.crossJoin(F.broadcast(stats))  # one row
-    total = F.lit(0.0)
-    for c, weight in weights.items():
-        flat = (F.col(f"_n_{c}") < 2) | (F.col(f"_s_{c}") <= 1e-12)
-        z = clip(F.when(~flat, (F.col(c) - F.col(f"_m_{c}")) / F.when(~flat, F.col(f"_s_{c}"))), -clip_at, clip_at)
-        part = F.coalesce(z * weight, F.lit(0.0))
-        total = total + (F.when(part > 0, part * (1 - cash_strength())).otherwise(part) if gate else part)
-    return joined.select(*features.columns, total.alias("sparse_fms"))
+    "r2_3m": 0.8464267343631183,
+    "dd_recovery": 0.6013072809914602,
+    "trend_quality_21d": 0.35431695139125063,
+    "jump_discontinuity_3m": 0.2790170661950331,
+    "under_ema20_days": 0.19660351882982424,
+    "r_3m": 0.18698290479370505,
+    "stale_age": 0.18175252387780497,
+    "up_streak_5d": 0.1079152553498922,
+    "trend_efficiency_reward_15d": 0.10776592373907062,
+    "range_compression_20d": 0.10416888196208451,
+}
+#: Features of which less is better. Of every other one more is.
+FALLING = (
+    "under_ema20_depth", "under_ema20_days", "under_ema20_streak", "down_streak_5d", "trend_inefficiency_15d", "downside_rms_10d",
+    "downside_rms_20d", "worst_log_return_20d", "post_spike_stall", "stale_age", "vol20_ann", "range_compression_20d",
+    "jump_discontinuity_3m", "seg_vol_0_5", "seg_vol_5_21", "seg_vol_21_63", "recent_jump_share_5d", "stale_after_run",
+)
+
+
+def direction(name: str) -> int:
+    """1 where more of the feature is better, -1 where less is."""
+    return -1 if name in FALLING else 1
+
+
+def sparse_parts(features: DataFrame, reference: DataFrame | None = None, gate: bool = True, clip_at: float = 4.0) -> DataFrame:
+    """features and part_<axis>: weight * direction * z, with z against mean and population deviation of the reference (the
+    rows of features that aren't disqualified, if none is given), clipped. A missing value counts as the reference's
+    median; an axis with fewer than two values or no spread as 0. With gate, what an axis other than r_3m adds is scaled
+    by 1 - cash_strength; what it takes away isn't."""
+    known = features if reference is None else reference
+    if "disqualified" in known.columns:
+        known = known.where(~F.col("disqualified"))
+    stats = known.agg(*[f(finite(F.col(c).cast("double"))).alias(f"_{n}_{c}") for c in SPARSE_AXES for n, f in (("md", F.median), ("m", F.avg), ("s", F.stddev_pop), ("n", F.count))])
+    joined = features.crossJoin(F.broadcast(stats)).withColumn("_cash", cash_strength() if gate else F.lit(0.0))  # one row
+    parts = []
+    for c, weight in SPARSE_AXES.items():
+        spread = F.when((F.col(f"_n_{c}") >= 2) & (F.col(f"_s_{c}") > 1e-12), F.col(f"_s_{c}"))
+        z = clip((F.coalesce(finite(F.col(c).cast("double")), F.col(f"_md_{c}")) - F.col(f"_m_{c}")) / spread, -clip_at, clip_at)
+        part = F.coalesce(weight * direction(c) * z, F.lit(0.0))
+        parts.append((F.when(part > 0, part * (1.0 - F.col("_cash"))).otherwise(part) if gate and c != "r_3m" else part).alias(f"part_{c}"))
+    return joined.select(*features.columns, *parts)
+
+
+def sparse_score(features: DataFrame, reference: DataFrame | None = None, gate: bool = True) -> DataFrame:
+    """features and sparse_fms, the sum of sparse_parts; DISQUALIFIED where a column disqualified says so."""
+    total = sum((F.col(f"part_{c}") for c in SPARSE_AXES), F.lit(0.0))
+    if "disqualified" in features.columns:
+        total = F.when(F.col("disqualified"), F.lit(DISQUALIFIED)).otherwise(total)
+    return sparse_parts(features, reference, gate).select(*features.columns, total.alias("sparse_fms"))
+
+
+#: Fixed values of the archived score: hurdles of returns over three and four months (the latter mapped from six), centre and
+#: hard floor of the fit's quality, hurdles of a strong return, and the cap of a drawdown.
+GATE_R3M, GATE_R4M = 0.05, horizon_return(0.08, 126, 84)
+STRONG_R3M, STRONG_R4M, STRONG_R1M = 0.3, horizon_return(0.50, 126, 84), 0.3
+QUALITY_CENTRE, QUALITY_FLOOR, DRAWDOWN_CAP = 0.80, 0.5, 30.0
 
 
 @dataclass(frozen=True)
 class LegacyParams:
-    """Weights of the archived score; hurdles are derived from returns over other horizons."""
-
-    w_r3m: float = 1.0
-    w_r4m: float = 0.8
-    w_r1m: float = 0.5
-    w_above: float = 0.6
-    w_fit: float = 0.7
-    w_vol: float = 0.5
-    w_dd: float = 0.8
-    gate_r3m: float = 0.05
-    gate_r4m: float = horizon_return(0.08, 126, 84)
-    gate_width: float = 0.03
-    quality_r3m: float = 0.3
-    quality_r4m: float = horizon_return(0.5, 126, 84)
-    fit_centre: float = 0.80
-    fit_floor: float = 0.5
-    dd_cap: float = 30.0
-    vol_percentile: float = 0.70
-    vol_power: float = 1.5
+    """Weights and widths of the archived score; the defaults are its fixed values."""
+
+    w_r3: float = 0.46869
+    w_r4: float = 0.417409
+    w_r2: float = 0.505669
+    w_ema: float = 0.323264
+    w_ema_shape: float = 0.445971
+    w_recent: float = 0.228769
+    w_r1_pos: float = 0.270777
+    w_dd: float = 0.28298
+    w_vol: float = 0.291973
+    w_r1_neg: float = 0.212139
+    w_break: float = 0.228832
+    w_down5: float = 0.186758
+    w_under_depth: float = 0.19622
+    w_under_days: float = 0.097883
+    r2_transition_w: float = 0.04552
+    gate_r3_w: float = 0.019359
+    gate_r4_w: float = horizon_width(0.006355, 126, 84)
+    level_r3_hi: float = 0.205305
+    level_r4_hi: float = horizon_return(0.430268, 126, 84)
+    r2_floor: float = 0.734629
+    w_ema_slope_base: float = 0.7
+    w_ema_curv_reward_base: float = 0.3
+    w_ema_curv_penalty_base: float = 0.3
+    vol_q_pct: float = 70.0
+    vol_hard_power: float = 1.5
+    vol_hard_scale: float = 1.0
 
     def with_values(self, **values: float) -> LegacyParams:
+        """The same with other values; raises on names that there aren't."""
         unknown = set(values) - {f.name for f in fields(self)}
         if unknown:
-            raise KeyError(f"unknown parameters: {sorted(unknown)}")
+            raise TypeError(f"unknown parameters: {sorted(unknown)}")
         return replace(self, **values)
 
 
-def legacy_score(features: DataFrame, q: LegacyParams = LegacyParams()) -> DataFrame:
-    """features and legacy_fms: z-scored returns behind gates, weighted by the fit's quality, less drawdown and
-    volatility penalties; volatility counts from the panel's percentile on."""
-    columns = ["r_1m", "r_3m", "r_4m", "above_ema50"]
-    zs = z_scores(features, columns)
-    cap = features.agg(F.percentile("vol20_ann", q.vol_percentile).alias("_cap"))
-    zs = zs.crossJoin(F.broadcast(cap))  # one row
-    w4 = horizon_width(q.gate_width, 63, 84)
-    gate = smoothstep(feature("r_3m"), q.gate_r3m - q.gate_width, q.gate_r3m + q.gate_width) * smoothstep(feature("r_4m"), q.gate_r4m - w4, q.gate_r4m + w4)
-    fit = feature("r2_3m")
-    quality = F.when(fit < q.fit_floor, 0.0).otherwise(smoothstep(fit, q.fit_floor, 2 * q.fit_centre - q.fit_floor))
-    strong = (feature("r_3m") > q.quality_r3m) & (feature("r_4m") > q.quality_r4m)
-    z = lambda c: F.coalesce(F.col(f"z_{c}"), F.lit(0.0))
-    gain = z("r_3m") * q.w_r3m + z("r_4m") * q.w_r4m + z("r_1m") * q.w_r1m + z("above_ema50") * q.w_above
-    gain = gain * gate * (F.when(strong, 1.0).otherwise(0.5) + quality * q.w_fit)
-    over = F.greatest(-feature("max_dd_pct") - q.dd_cap, F.lit(0.0)) / q.dd_cap
-    loud = F.greatest(ratio(feature("vol20_ann"), F.col("_cap"), 0.0) - 1.0, F.lit(0.0))
-    loss = over * over * q.w_dd + F.pow(F.coalesce(loud, F.lit(0.0)), q.vol_power) * q.w_vol
-    return zs.select(*features.columns, (gain - loss).alias("legacy_fms"))
-
+def _legacy_terms(q: LegacyParams) -> dict[str, Column]:
+    """What is made a z-score of, by term, but for volatility: its cap is the reference's."""
+    r3, r4, r1, r10, slope, curve = (F.col(c) for c in ("r_3m", "r_4m", "r_1m", "r_10d", "ema20_slope_10d", "ema20_curv_20d"))
+    fit, fall = clip(F.col("r2_3m"), 0.0, 1.0), clip(-F.col("max_dd_pct"), 0.0)
+    around = lambda x, centre, width: smoothstep(x, centre - width, centre + width)
+    gate = around(r3, GATE_R3M, q.gate_r3_w) * around(r4, GATE_R4M, q.gate_r4_w)
+    level = smoothstep(r3, GATE_R3M, q.level_r3_hi) * smoothstep(r4, GATE_R4M, q.level_r4_hi)
+    steps = 0.2 + 0.4 * around(fit, 0.70, q.r2_transition_w) + 0.6 * around(fit, 0.90, q.r2_transition_w)
+    strong = F.coalesce((r3 > STRONG_R3M) & (r4 > STRONG_R4M), F.lit(False))
+    quality = around(fit, QUALITY_CENTRE, q.r2_transition_w) * F.when(strong, 1.0).otherwise(0.0)
+    goes_on = F.coalesce((r10 > 0) & (slope > 0), F.lit(False))
+    over = clip(fall - DRAWDOWN_CAP, 0.0)
+    return {
+        "r3": r3,
+        "r4": r4,
+        "r2": steps * fit * gate * (q.r2_floor + (1.0 - q.r2_floor) * level),
+        "ema": F.col("above_ema50"),
+        "r1_pos": r1 * quality,
+        "dd": clip(fall, None, DRAWDOWN_CAP) + over * over / 70.0,
+        "r1_neg": F.when((quality < QUALITY_FLOOR) & (r1 > STRONG_R1M) & ~goes_on, r1).otherwise(0.0),
+        "slope": slope,
+        "curve_reward": clip(-curve, 0.0),
+        "curve_penalty": clip(curve, 0.0),
+        "recent": r10 + 0.5 * F.col("r_5d"),
+        "break": F.when((quality >= QUALITY_FLOOR) & (r10 < 0), -r10).otherwise(0.0),
+        "down5": F.col("down_streak_5d"),
+        "under_depth": F.col("under_ema20_depth"),
+        "under_days": F.col("under_ema20_days"),
+    }
+
+
+#: The terms that are compared with the reference; the others are with the symbols that aren't disqualified.
+OF_REFERENCE = ("r3", "r4", "r2", "ema", "r1_pos", "dd", "vol", "r1_neg")
+
+
+def legacy_score(features: DataFrame, reference: DataFrame | None = None, q: LegacyParams = LegacyParams()) -> DataFrame:
+    """features and legacy_fms: z-scored returns, gated fit, averages and recent moves, less drawdown, volatility over the
+    reference's percentile, spikes, breaks and weakness. NULL where a feature is. Without a reference, features are it."""
+    terms = _legacy_terms(q)
+    known = features if reference is None else reference
+    cap = known.agg(F.percentile(clip(F.col("vol20_ann"), 0.0), q.vol_q_pct / 100.0).alias("_ref")).crossJoin(F.broadcast(features.agg(F.percentile(clip(F.col("vol20_ann"), 0.0), q.vol_q_pct / 100.0).alias("_own"))))
+    cap = cap.select(F.coalesce("_ref", "_own", F.lit(0.0)).alias("_cap"))  # one row
+
+    def derived(df: DataFrame) -> DataFrame:
+        vol = clip(F.col("vol20_ann"), 0.0)
+        capped = F.when(vol.isNotNull(), F.least(vol, F.col("_cap")) + q.vol_hard_scale * F.pow(F.greatest(vol - F.col("_cap"), F.lit(0.0)), q.vol_hard_power))
+        return df.crossJoin(F.broadcast(cap)).select(*df.columns, *[c.cast("double").alias(f"_{n}") for n, c in (terms | {"vol": capped}).items()])
+
+    stats = lambda df, names, keep=None: df.agg(*[f(F.col(f"_{n}") if keep is None else F.when(keep, F.col(f"_{n}"))).alias(f"_{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    own = derived(features)
+    peers = [n for n in terms if n not in OF_REFERENCE]
+    joined = own.crossJoin(F.broadcast(stats(own if reference is None else derived(reference), OF_REFERENCE)))
+    joined = joined.crossJoin(F.broadcast(stats(own, peers, ~F.col("disqualified") if "disqualified" in features.columns else None)))  # one row each
+
+    def z(name: str) -> Column:
+        spread = F.col(f"_s_{name}")
+        return F.when(spread > 0, (F.col(f"_{name}") - F.col(f"_m_{name}")) / F.when(spread > 0, spread)).otherwise(F.col(f"_{name}") * 0.0)
+
+    shape = q.w_ema_slope_base * z("slope") + q.w_ema_curv_reward_base * z("curve_reward") - q.w_ema_curv_penalty_base * z("curve_penalty")
+    gain = q.w_r3 * z("r3") + q.w_r4 * z("r4") + q.w_r2 * z("r2") + q.w_ema * z("ema") + q.w_ema_shape * shape + q.w_recent * z("recent") + q.w_r1_pos * z("r1_pos")
+    loss = q.w_dd * z("dd") + q.w_vol * z("vol") + q.w_r1_neg * z("r1_neg") + q.w_break * z("break") + q.w_down5 * z("down5") + q.w_under_depth * z("under_depth") + q.w_under_days * z("under_days")
+    return joined.select(*features.columns, (gain - loss).alias("legacy_fms"))
 
-@dataclass(frozen=True)
-class Family:
-    """A score with its parameters: default values, and the range that each is drawn from."""
 
-    name: str
-    score: Callable[[Params], Column]
-    defaults: dict[str, float]
+def _floor_gated(q: Params) -> Column:
+    """Returns of three legs, gated by a floor of the absolute return and divided by jumps and staleness."""
+    x = Inputs()
+    legs = q["w_recent"] * signed_power(x.recent, q["recent_pow"]) + q["w_mid"] * x.mid + q["w_prior"] * x.prior * (1.0 + q["support_boost"] * x.support)
+    core = legs + q["w_abs"] * _step(x.r3m, q["r3m_floor"], q["r3m_full"]) * x.r3m
+    return softplus(x.r3m - q["r3m_floor"]) * (1.0 + q["w_r2"] * x.fit) * core / (1.0 + q["w_jump"] * x.jump + q["w_stale"] * x.stale)
 
-    def ranges(self) -> dict[str, tuple[float, float]]:
-        return {k: (v / 3, v * 3) if v > 0 else (3 * v, v / 3) for k, v in self.defaults.items()}
 
+def _step(x: Column, low: float | Column, high: float | Column) -> Column:
+    """smoothstep with edges that may be columns."""
+    low, high = (e if isinstance(e, Column) else F.lit(e) for e in (low, high))
+    t = F.least(F.greatest(F.try_divide(x - low, high - low), F.lit(0.0)), F.lit(1.0))
+    return F.when(low != high, t * t * (3.0 - 2.0 * t)).otherwise(F.lit(0.0))
 
-def _product(q: Params) -> Column:
-    return softplus(feature("r_3m") - q["floor"]) * softplus(feature("seg_ret_0_5") * q["w_recent"]) * softplus(feature("trend_efficiency_reward_15d") + q["w_eff"])
 
+def _regime_switch(q: Params) -> Column:
+    """The recent leg where the absolute return is weak, the older ones too where it is strong; less for paths like cash's."""
+    x = Inputs()
+    weak, strong = 1.0 - _step(x.r3m, q["weak_edge"] * 0.5, q["weak_edge"]), _step(x.r3m, q["weak_edge"], q["strong_edge"])
+    turn = signed_power(x.recent, q["pow_recent"])
+    held = q["a_recent_strong"] * turn + q["a_prior_strong"] * x.prior * (0.5 + x.support) + 0.5 * x.mid
+    body = weak * q["a_recent_weak"] * turn + strong * held + q["a_smooth"] * x.fit * strong
+    cash = (1.0 - smoothstep(x.r3m, 0.005, 0.03)) * (1.0 - smoothstep(x.vol, 0.005, 0.04))
+    return softplus(x.r3m - 0.005) * body / (1.0 + q["b_vol"] * cash + q["c_jump"] * x.jump)
 
-def _floor_gated(q: Params) -> Column:
-    return softplus(feature("r_3m") - q["floor"]) * (feature("seg_ret_0_5") * q["w_recent"] + feature("seg_ret_5_21") * q["w_mid"] + feature("r2_3m", 0.5) * q["w_fit"])
 
-
-def _regime(q: Params) -> Column:
-    up = F.when(feature("seg_ret_21_63") > q["switch"], feature("seg_ret_0_5") * q["w_recent"]).otherwise(feature("seg_ret_0_5") * q["w_turn"])
-    return up + softplus(feature("r_3m") - q["floor"]) * q["w_abs"]
+def _product(q: Params) -> Column:
+    """The product of powers of all legs, so that each has to confirm the others."""
+    x = Inputs()
+    legs = ((softplus(x.recent), "a_recent"), (softplus(x.mid), "a_mid"), (softplus(x.prior * x.support), "a_prior"), (softplus(x.r3m - q["floor"]), "a_abs"))
+    out = 1.0 + q["w_eff"] * softplus(x.eff)
+    for leg, power in legs:
+        out = out * F.pow(leg + q["eps"], q[power])
+    return out / ((1.0 + q["w_jump"] * x.jump) * (1.0 + q["w_stale"] * x.stale))
 
 
 def _hybrid(q: Params) -> Column:
-    return signed_power(feature("r_3m"), 0.5) * q["w_root"] + F.signum(feature("seg_ret_0_5")) * F.log1p(F.abs(feature("seg_ret_0_5")) * 10) * q["w_log"] - softplus(feature("recent_jump_share_5d") - 0.55) * q["w_jump"]
+    """A signed square of the recent leg, a root of the middle one times the older one, less the logarithm of jumps."""
+    x = Inputs()
+    root = F.sqrt(F.greatest(q["c1"] + x.mid, F.lit(1e-8)))
+    body = q["c0"] * signed_power(x.recent, 2.0) + root * x.prior * (0.5 + x.support) + q["c2"] * softplus(x.r3m - q["floor"]) - q["c3"] * F.log1p(1.23 * x.jump)
+    return softplus(x.r3m - q["floor"] * 0.5) * body / F.pow(1.0 + q["c4"] * x.stale, q["pow_den"])
 
 
 def _continuation(q: Params) -> Column:
-    return softplus(feature("r_3m") - q["floor"]) * (feature("mid_dip_recovery") * q["w_dip"] + softplus(feature("seg_ret_0_5")) * feature("prior_support_sign") * q["w_alive"] + feature("seg_ret_21_63") * q["w_prior"])
+    """A dip of the middle leg is forgiven where older and recent ones hold."""
+    x = Inputs()
+    mid = q["w_mid_pos"] * softplus(x.mid) + q["w_mid_neg_forgive"] * x.dip * x.support
+    body = q["w_recent"] * signed_power(x.recent, q["pow_recent"]) + mid + q["w_prior"] * x.prior * (0.5 + x.support) + q["w_abs"] * softplus(x.r3m - q["floor"]) + q["w_breadth"] * x.breadth + q["w_eff"] * softplus(x.eff)
+    return softplus(x.r3m - q["floor"] * 0.5) * body / (1.0 + q["w_stale_run"] * x.stale_run + q["w_jump_share"] * softplus(x.share - 0.55))
 
 
 def _anti_stale(q: Params) -> Column:
-    return (softplus(feature("r_3m") - q["floor"]) * q["w_abs"] + feature("seg_ret_0_5") * q["w_recent"]) / (F.greatest(feature("stale_after_run"), F.lit(0.0)) * q["w_stale"] + 1.0)
+    """A large return counts as far as the path is alive and isn't one day's."""
+    x = Inputs()
+    alive, spread = 1.0 - _step(x.stale_run, q["stale_edge0"], q["stale_edge1"]), 1.0 - _step(x.share, q["jump_edge0"], q["jump_edge1"])
+    legs = F.pow(softplus(x.r3m - q["floor"]), q["a_abs"]) * F.pow(softplus(x.recent), q["a_recent"]) * F.pow(softplus(x.prior) * (0.5 + x.support) + q["eps"], q["a_prior"])
+    return legs * (1.0 + q["w_mid"] * softplus(x.mid)) * (1.0 + q["a_r2"] * x.fit) * (0.4 + 0.6 * x.breadth) * (0.25 + 0.75 * alive) * (0.25 + 0.75 * spread)
+
+
+@dataclass(frozen=True)
+class Family:
+    """A score with parameters: the range that each is drawn from, evenly, or evenly in its logarithm."""
+
+    name: str
+    score: Callable[[Params], Column]
+    even: dict[str, tuple[float, float]]
+    logarithmic: dict[str, tuple[float, float]]
+
+    def draw(self, n: int, seed: int) -> list[dict[str, float]]:
+        """n sets of parameters."""
+        rng = np.random.default_rng(seed)
+        drawn = {k: rng.uniform(*r, n) for k, r in self.even.items()} | {k: np.exp(rng.uniform(*np.log(r), n)) for k, r in self.logarithmic.items()}
+        return [{k: float(v[i]) for k, v in drawn.items()} for i in range(n)]
+
+    @property
+    def middle(self) -> dict[str, float]:
+        """The middle of each range."""
+        return {k: (a + b) / 2 for k, (a, b) in self.even.items()} | {k: (a * b) ** 0.5 for k, (a, b) in self.logarithmic.items()}
 
 
+#: The ranges of each family's parameters.
 FAMILIES = {
     f.name: f
     for f in (
-        Family("floor_gated_momentum", _floor_gated, {"floor": 0.02, "w_recent": 1.2, "w_mid": 0.8, "w_fit": 0.3}),
-        Family("regime_switch_recent", _regime, {"switch": 0.05, "w_recent": 1.5, "w_turn": 0.7, "floor": 0.02, "w_abs": 1.0}),
-        Family("product_confirmation", _product, {"floor": 0.02, "w_recent": 2.0, "w_eff": 0.1}),
-        Family("hybrid_sqrt_log", _hybrid, {"w_root": 1.0, "w_log": 0.6, "w_jump": 0.3}),
-        Family("pullback_continuation", _continuation, {"floor": 0.02, "w_dip": 5.0, "w_alive": 2.0, "w_prior": 0.4}),
-        Family("anti_stale_run", _anti_stale, {"floor": 0.02, "w_abs": 1.0, "w_recent": 1.0, "w_stale": 150.0}),
-        Family("alive_pullback", alive_pullback, ALIVE_PULLBACK),
+        Family(
+            "floor_gated",
+            _floor_gated,
+            {"r3m_floor": (0.005, 0.04), "r3m_full": (0.04, 0.15), "recent_pow": (0.6, 1.8), "support_boost": (0.5, 2.0)},
+            {"w_recent": (0.3, 3.0), "w_mid": (0.1, 2.0), "w_prior": (0.05, 1.5), "w_abs": (0.2, 2.5), "w_r2": (0.05, 1.2), "w_jump": (0.2, 3.0), "w_stale": (0.1, 2.0)},
+        ),
+        Family(
+            "regime_switch",
+            _regime_switch,
+            {"weak_edge": (0.02, 0.08), "strong_edge": (0.12, 0.35), "pow_recent": (0.5, 1.6)},
+            {"a_recent_weak": (0.8, 4.0), "a_recent_strong": (0.2, 2.0), "a_prior_strong": (0.3, 2.5), "a_smooth": (0.1, 1.5), "b_vol": (0.2, 3.0), "c_jump": (0.2, 3.0)},
+        ),
+        Family(
+            "product_confirmation",
+            _product,
+            {"floor": (0.005, 0.03), "a_recent": (0.4, 1.8), "a_mid": (0.2, 1.2), "a_prior": (0.2, 1.4), "a_abs": (0.3, 1.6), "eps": (0.01, 0.08)},
+            {"w_jump": (0.3, 4.0), "w_stale": (0.2, 3.0), "w_eff": (0.1, 2.0)},
+        ),
+        Family(
+            "hybrid_sqrt_log",
+            _hybrid,
+            {"c0": (0.2, 2.0), "c1": (0.2, 2.5), "c2": (0.1, 2.0), "c3": (0.1, 1.5), "c4": (0.2, 2.0), "floor": (0.005, 0.03), "pow_den": (0.5, 1.5)},
+            {},
+        ),
+        Family(
+            "pullback_continuation",
+            _continuation,
+            {"floor": (0.008, 0.035), "pow_recent": (0.6, 1.7)},
+            {"w_recent": (0.5, 3.5), "w_mid_pos": (0.2, 2.0), "w_mid_neg_forgive": (0.1, 2.5), "w_prior": (0.2, 2.0), "w_abs": (0.2, 2.0), "w_breadth": (0.05, 1.5), "w_stale_run": (0.3, 4.0), "w_jump_share": (0.3, 4.0), "w_eff": (0.1, 2.0)},
+        ),
+        Family(
+            "anti_stale_run",
+            _anti_stale,
+            {"floor": (0.01, 0.04), "a_abs": (0.4, 1.6), "a_recent": (0.6, 2.0), "a_prior": (0.2, 1.2), "a_r2": (0.1, 1.0), "stale_edge0": (0.15, 0.45), "stale_edge1": (0.6, 1.4), "jump_edge0": (0.45, 0.65), "jump_edge1": (0.75, 0.98), "eps": (0.01, 0.06)},
+            {"w_mid": (0.1, 1.5)},
+        ),
+        Family(
+            "alive_pullback",
+            alive_pullback,
+            {"floor": (0.008, 0.035), "pow_recent": (0.55, 1.6), "alive_boost": (0.3, 1.8)},
+            {"w_recent": (0.5, 3.5), "w_mid_pos": (0.15, 1.8), "w_mid_neg_forgive": (0.2, 3.0), "w_prior": (0.2, 2.2), "w_abs": (0.15, 1.8), "w_breadth": (0.05, 1.8), "w_grind": (0.05, 1.5), "w_stale_run": (0.5, 5.0), "w_jump_share": (0.5, 5.0), "w_eff": (0.05, 1.5)},
+        ),
     )
 }
 

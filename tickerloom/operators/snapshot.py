@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.operators.features import features
+from tickerloom.operators.features import at_lag, features, features_of, gathered
 from tickerloom.operators.panel import BATCH_COVERAGE, KEY, align
 from tickerloom.operators.score import scored
 from tickerloom.operators.tradeability import tradeability
@@ -27,17 +27,20 @@ def snapshot(prices: DataFrame, ohlc: DataFrame | None = None, coverage: float =
     return scored(flagged(features(align(prices, coverage)), ohlc))
 
 
-def momentum(prices: DataFrame, ohlc: DataFrame | None = None, coverage: float = BATCH_COVERAGE) -> DataFrame:
+def deltas(prices: DataFrame, ohlc: DataFrame | None = None, coverage: float = BATCH_COVERAGE) -> DataFrame:
     """panel_id, symbol, fms, d1, d5 (fms now less that 1 and 5 grid rows ago), r_1w, r_4m, r_ytd, filter_status.
 
-    The earlier panels are the grid without its last rows, so a symbol that lags its panel may show no change. All three
-    are scored in one pass: each bar goes to the lags that still see it. A panel of five rows or fewer has no d5."""
-    panel = align(prices, coverage)
-    days = panel.select("panel_id", "date").distinct()
-    back = F.row_number().over(Window.partitionBy("panel_id").orderBy(F.desc("date"))) - 1  # a row a day and panel
-    lagged = days.withColumn("back", back).select("panel_id", "date", F.explode(F.filter(F.array(*map(F.lit, LAGS)), lambda lag: lag <= F.col("back"))).alias("lag"))
-    seen = panel.join(F.broadcast(lagged), ["panel_id", "date"])
-    every = scored(flagged(features(seen, (*KEY, "lag")), ohlc))
+    The earlier panels are the grid without its last rows, so a symbol that lags its panel may show no change. A symbol's
+    bars are gathered once, with a few more, and cut for each lag afterwards. A panel of five rows or fewer has no d5."""
+    return changes(align(prices, coverage), ohlc)
+
+
+def changes(panel: DataFrame, ohlc: DataFrame | None = None) -> DataFrame:
+    """deltas() of an aligned panel."""
+    found = gathered(panel, more=max(LAGS))
+    lags = found.withColumn("lag", F.explode(F.filter(F.array(*map(F.lit, LAGS)), lambda lag: lag < F.col("n_rows"))))
+    every = features_of(at_lag(lags, F.col("lag")), (*KEY, "lag"))
+    every = scored(flagged(every, ohlc))
     at = lambda lag: F.max(F.when(F.col("lag") == lag, F.col("fms")))
     now = [F.max(F.when(F.col("lag") == 0, F.col(c))).alias(c) for c in ("r_1w", "r_4m", "r_ytd", "filter_status")]
     out = every.groupBy(*KEY).agg(at(0).alias("fms"), (at(0) - at(1)).alias("d1"), (at(0) - at(5)).alias("d5"), *now)

@@ -268,11 +268,11 @@ def _lagged_scores(lag: int) -> str:
     return SCORES.replace(whole, cut)
 
 
-_MOMENTUM = "SELECT symbol, round(a.fms, 6) + 0.0 AS fms, round(a.fms - b.fms, 6) + 0.0 AS d1, round(a.fms - c.fms, 6) + 0.0 AS d5 FROM " + " JOIN ".join(
+_DELTAS = "SELECT symbol, round(a.fms, 6) + 0.0 AS fms, round(a.fms - b.fms, 6) + 0.0 AS d1, round(a.fms - c.fms, 6) + 0.0 AS d5 FROM " + " JOIN ".join(
     f"(WITH {_lagged_scores(lag)} SELECT symbol, fms FROM scores) {name}" + ("" if name == "a" else " USING (symbol)") for name, lag in (("a", 0), ("b", 1), ("c", 5))
 )
 
 
-@query(_MOMENTUM)
-def momentum_deltas(spark, sf_dir):
-    return I.rounded(K.momentum(P.clean(I.prices(spark, sf_dir))).select("symbol", "fms", "d1", "d5"))
+@query(_DELTAS)
+def score_deltas(spark, sf_dir):
+    return I.rounded(K.deltas(P.clean(I.prices(spark, sf_dir))).select("symbol", "fms", "d1", "d5"))
