@@ -186,7 +186,7 @@ def _distinct_words(docs: DataFrame, tokenizer: str) -> tuple[int, int]:
                 if again:
                     seen[1].update(found)
         for again, some in enumerate(seen):
-            yield pa.RecordBatch.from_arrays([pa.array([bool(again)] * len(some)), pa.array(list(some), pa.int64())], names=["again", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array([bool(again)] * len(some), pa.bool_()), pa.array(list(some), pa.int64())], names=["again", "word"])
 
     chars, partitions = docs.select(F.length("text").alias("n"), F.spark_partition_id().alias("part")).agg(F.sum("n"), F.max("part") + 1).first()
     blocks = (partitions or 0) + (chars or 0) // BLOCK_CHARS
