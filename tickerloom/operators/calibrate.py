@@ -13,42 +13,79 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.operators.ranking import rank_metrics
+from tickerloom.operators.ranking import metrics_of, rank_metrics
 from tickerloom.operators.score import Family
 
-#: Weights' bounds, ridge, steps of the fit; terms kept, and the least weight of one.
-MOST, RIDGE, STEPS, TERMS, LEAST = 6.0, 0.002, 400, 10, 1e-4
+#: Weights' bounds, ridge, steps of the fit; terms kept, and the least weight of one; the penalties that are tried.
+MOST, RIDGE, STEPS, TERMS, LEAST, L1_GRID = 6.0, 0.002, 400, 10, 1e-4, (0.01, 0.03, 0.07, 0.15)
+#: Columns that correlate by so much with a better one are left out; columns need so many values.
+CORRELATED, LEAST_VALUES = 0.94, 40
+#: Budgets: draws of each family and steps of its refinement, repeats of the outer validation and its folds, resamples.
+DRAWS, REFINEMENTS, REPEATS, OUTER, INNER, RESAMPLES = 2500, 250, 4, 5, 4, 120
 
 
-def parameter_sets(spark: SparkSession, family: Family, n: int, seed: int) -> DataFrame:
-    """param_id and the family's parameters: its defaults, then draws, log-uniform where the range is positive."""
-    rng = np.random.default_rng(seed)
-    rows = [(0, *map(float, family.defaults.values()))]
-    for k in range(1, n):
-        drawn = [float(np.exp(rng.uniform(np.log(a), np.log(b))) if a > 0 else rng.uniform(a, b)) for a, b in family.ranges().values()]
-        rows.append((k, *drawn))
-    return spark.createDataFrame(rows, "param_id long, " + ", ".join(f"q_{k} double" for k in family.defaults))
+def parameter_sets(spark: SparkSession, family: Family, n: int = DRAWS, seed: int = 20260729) -> DataFrame:
+    """param_id and the family's parameters (q_...): the middle of their ranges, then draws."""
+    sets = [family.middle, *family.draw(n - 1, seed)]
+    return spark.createDataFrame([(k, *[q[x] for x in family.middle]) for k, q in enumerate(sets)], "param_id long, " + ", ".join(f"q_{k} double" for k in family.middle))
 
 
 def search(features: DataFrame, ranking: DataFrame, params: DataFrame, family: Family) -> DataFrame:
     """param_id, inversion, pair_error, rho, utility of every parameter set, all in one job."""
-    score = family.score({k: F.col(f"q_{k}") for k in family.defaults})
-    each = features.join(ranking, "symbol").crossJoin(F.broadcast(params))  # as many rows as params has
+    score = family.score({k: F.col(f"q_{k}") for k in family.middle})
+    each = features.join(ranking, "symbol").crossJoin(F.broadcast(params))  # a set of parameters for each draw asked for
     found = rank_metrics(each.select("param_id", "symbol", "true_rank", score.alias("score")), ("param_id",))
-    return found.withColumn("utility", -10 * F.col("inversion") + 3 * F.col("rho") - 0.05 * F.col("pair_error"))
+    return found.withColumn("utility", -10 * F.col("inversion") + 3 * F.coalesce("rho", F.lit(0.0)) - 0.05 * F.col("pair_error"))
 
 
-def refine(features: DataFrame, ranking: DataFrame, family: Family, start: dict[str, float], rounds: int = 2, each: int = 20, seed: int = 1) -> dict[str, float]:
-    """Hill climbing: in each round, one job over multiplied copies of the best parameters so far."""
+def search_families(features: DataFrame, ranking: DataFrame, families: dict[str, Family], n: int = DRAWS, seed: int = 20260729) -> DataFrame:
+    """family, param_id, inversion, pair_error, rho, utility: the best set of each family by utility, then param_id."""
+    out = None
+    for name, one in families.items():
+        found = search(features, ranking, parameter_sets(features.sparkSession, one, n, seed), one)
+        best = found.agg(F.min_by(F.struct(*found.columns), F.struct(-F.col("utility"), F.col("param_id"))).alias("r")).select(F.lit(name).alias("family"), "r.*")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def refine(features: DataFrame, ranking: DataFrame, family: Family, start: dict[str, float], rounds: int = 5, each: int = REFINEMENTS // 5, seed: int = 1) -> dict[str, float]:
+    """Hill climbing: in each round, one job over multiplied copies of the best parameters so far. Floors, edges and eps
+    stay within their bounds."""
     spark, rng, best = features.sparkSession, np.random.default_rng(seed), dict(start)
+    bounded = [k for k in best if k.endswith("floor") or "edge" in k or k == "eps"]
     for _ in range(rounds):
-        rows = [(0, *best.values())] + [(k, *[float(v * np.exp(rng.normal(0, 0.15))) for v in best.values()]) for k in range(1, each)]
-        params = spark.createDataFrame(rows, "param_id long, " + ", ".join(f"q_{k} double" for k in best))
+        sets = [best]
+        for _ in range(each):
+            moved = {k: float(v * np.exp(rng.normal(0, 0.15 if abs(v) > 1e-8 else 0.05))) for k, v in best.items()}
+            sets.append(moved | {k: float(np.clip(moved[k], 1e-4, 0.5)) for k in bounded})
+        params = spark.createDataFrame([(k, *q.values()) for k, q in enumerate(sets)], "param_id long, " + ", ".join(f"q_{k} double" for k in best))
         top = search(features, ranking, params, family).orderBy(F.desc("utility"), "param_id").first()
-        best = dict(zip(best, rows[top["param_id"]][1:]))
+        best = sets[top["param_id"]]
     return best
 
 
+def base_columns(features: DataFrame, columns: list[str], least: int = LEAST_VALUES) -> list[str]:
+    """The columns with so many values or more."""
+    counts = features.agg(*[F.count(c).alias(c) for c in columns]).first()  # one row
+    return [c for c in columns if counts[c] >= least]
+
+
+def candidate_columns(columns: list[str], known: tuple[str, ...] = ()) -> list[str]:
+    """The features among columns that a fit may use: known ones, and those named like one; not ranks or the benchmark."""
+    starts = ("r_", "log_", "trend_", "ema", "under_", "down_", "up_", "dd_", "post_", "stale", "max_dd", "vol", "price_", "recovery", "range_", "slope_", "downside", "upside", "worst_", "seg_", "prior_")
+    return sorted({c for c in columns if c not in ("rank", "true_rank", "r_4m", "r_6m") and (c in known or c.startswith(starts))})
+
+
+#: Feature names as older tables have them.
+ALIASES = {"vol20(ann)": "vol20_ann", "r_6m": "r_4m", "aboveema50": "above_ema50", "maxdd_pct": "max_dd_pct"}
+
+
+def with_known_names(features: DataFrame) -> DataFrame:
+    """features with lower-case names, and older names as they are now where the new ones aren't there."""
+    low = features.toDF(*[c.lower() for c in features.columns])
+    return low.withColumnsRenamed({old: new for old, new in ALIASES.items() if old in low.columns and new not in low.columns})
+
+
 def normalised(features: DataFrame, directions: dict[str, int], clip_at: float = 4.0) -> DataFrame:
     """symbol and each feature's z: median for missing, mean and population deviation, signed, clipped."""
     stats = features.agg(*[x for c in directions for x in (F.median(c).alias(f"_d_{c}"), F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
@@ -62,60 +99,180 @@ def normalised(features: DataFrame, directions: dict[str, int], clip_at: float =
     return joined.select("symbol", *[z(c, s) for c, s in directions.items()])
 
 
-def pruned(columns: list[str], correlation: np.ndarray, quality: np.ndarray, most: float = 0.94) -> list[str]:
-    """Greedy: the best columns first, each only if no kept one correlates with it by more than most."""
+def _normaliser(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median, mean and population deviation of each column, missing values as the median; too small a deviation as 1."""
+    none = np.isnan(x).all(axis=0)
+    middle = np.where(none, 0.0, np.nanmedian(np.where(none, 0.0, x), axis=0))
+    full = np.where(np.isnan(x), middle, x)
+    spread = full.std(axis=0)
+    return middle, full.mean(axis=0), np.where(spread > 1e-12, spread, 1.0)
+
+
+def _z(x: np.ndarray, of: tuple, signs: np.ndarray, clip_at: float = 4.0) -> np.ndarray:
+    middle, mean, spread = of
+    return np.clip((np.where(np.isnan(x), middle, x) - mean) / spread * signs, -clip_at, clip_at)
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    _, code, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[code]
+
+
+def pruned(z: np.ndarray, rank: np.ndarray, most: float = CORRELATED) -> list[int]:
+    """Places of columns, the best first (by how their ranks correlate with the ranking), each only if no kept one correlates
+    with it by most or more; constant columns never."""
+    varied = [k for k in range(z.shape[1]) if np.ptp(z[:, k]) > 0]
+    quality = {k: abs(np.corrcoef(_average_ranks(z[:, k]), -rank)[0, 1]) for k in varied}
     kept: list[int] = []
-    for k in np.argsort(-np.abs(quality), kind="stable"):
-        if all(abs(correlation[k, j]) <= most for j in kept):
-            kept.append(int(k))
-    return [columns[k] for k in kept]
+    for k in sorted(varied, key=lambda k: -quality[k]):
+        if all(abs(np.corrcoef(z[:, k], z[:, j])[0, 1]) < most for j in kept):
+            kept.append(k)
+    return kept
+
+
+#: Pairs of features that confirm each other, as the smaller of their z-scores.
+CONFIRMING = (
+    ("r_3d_log", "log_slope_15d"), ("log_slope_15d", "trend_r2_15d"), ("recovery_3d_vs_prior7", "ema20_accel"),
+    ("r_21d_log", "trend_efficiency_15d"), ("dd_recovery", "downside_rms_10d"), ("stale_age", "log_slope_21d"),
+)
+#: From the simplest on.
+DESIGNS = ("sparse_linear", "monotone_gam", "limited_interactions")
+
+
+def design(z: np.ndarray, columns: list[str], name: str) -> tuple[np.ndarray, list[str]]:
+    """The terms of a kind of model, and their names: the columns, with two bent copies of each, or with confirming pairs."""
+    if name == "sparse_linear":
+        return z, columns
+    if name == "monotone_gam":
+        bent = np.stack([z, np.tanh(z), np.logaddexp(z - 0.5, 0.0)], axis=2).reshape(len(z), -1)
+        return bent, [f"{c}::{kind}" for c in columns for kind in ("linear", "tanh", "softplus")]
+    if name == "limited_interactions":
+        pairs = [(columns.index(a), columns.index(b)) for a, b in CONFIRMING if a in columns and b in columns]
+        more = [np.minimum(z[:, a], z[:, b])[:, None] for a, b in pairs]
+        return np.hstack([z, *more]), columns + [f"confirm({columns[a]},{columns[b]})" for a, b in pairs]
+    raise ValueError(f"unknown kind of model: {name}")
 
 
 def fit_pairwise(x: np.ndarray, rank: np.ndarray, l1: float) -> np.ndarray:
-    """Weights in [0, MOST] of a logistic model of which of two rows ranks first, by projected gradient."""
+    """Weights in [0, MOST] of a logistic model of which of two rows ranks first, by accelerated projected gradient. Rows
+    come twice where a resample drew them twice."""
     i, j = np.triu_indices(len(rank), 1)
     swap = rank[i] > rank[j]
     d = x[np.where(swap, j, i)] - x[np.where(swap, i, j)]
     if not len(d):
         return np.zeros(x.shape[1])
-    w = np.full(x.shape[1], 0.1)
-    step = 1.0 / (0.25 * np.linalg.norm(d, 2) ** 2 / len(d) + 2 * RIDGE)
+    w = v = np.zeros(x.shape[1])
+    step, t = 1.0 / (0.25 * np.linalg.norm(d.T @ d, 2) / len(d) + 2 * RIDGE), 1.0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-        w = np.clip(w - step * (-(d * p[:, None]).mean(axis=0) + l1 + 2 * RIDGE * w), 0, MOST)
-    kept = np.argsort(-w)[:TERMS]
-    return np.where(np.isin(np.arange(len(w)), kept) & (w > LEAST), w, 0.0)
+        p = 1 / (1 + np.exp(np.clip(d @ v, -40, 40)))
+        new = np.clip(v - step * (-(d.T @ p) / len(d) + l1 + 2 * RIDGE * v), 0, MOST)
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        v, w, t = new + (t - 1) / after * (new - w), new, after
+    return w
 
 
-def inversions(score: np.ndarray, rank: np.ndarray) -> float:
-    i, j = np.triu_indices(len(rank), 1)
-    return float(np.mean((score[i] - score[j]) * (rank[j] - rank[i]) < 0)) if len(i) else float("nan")
+def kept_terms(w: np.ndarray) -> np.ndarray:
+    """The largest TERMS weights over LEAST, the others 0; one at least."""
+    order = np.argsort(-w, kind="stable")
+    some = [k for k in order if w[k] > LEAST][:TERMS] or [order[0]]
+    return np.where(np.isin(np.arange(len(w)), some), w, 0.0)
 
 
-def _fits(rows: DataFrame, by: list[str], columns: list[str], schema: str, run: Callable) -> DataFrame:
-    def one(key, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row) for row in run(group.sort_values("symbol"))])
+def fit_model(x: np.ndarray, rank: np.ndarray, columns: list[str], signs: np.ndarray, kind: str, l1: float) -> Callable:
+    """A score of rows like x, and its weights by term (score.weights): normalised, pruned and fitted on these rows alone."""
+    of = _normaliser(x)
+    z = _z(x, of, signs)
+    kept = pruned(z, rank)
+    names = [columns[k] for k in kept]
+    terms, labels = design(z[:, kept], names, kind)
+    w = kept_terms(fit_pairwise(terms, rank, l1)) if terms.shape[1] else np.zeros(0)
+
+    def score(other: np.ndarray) -> np.ndarray:
+        return design(_z(other, of, signs)[:, kept], names, kind)[0] @ w
+
+    score.weights = {c: float(a) for c, a in zip(labels, w) if a}
+    return score
 
-    names = [f.split()[0] for f in schema.split(", ")]
-    return rows.groupBy(*by).applyInPandas(lambda key, g: one(key, g).set_axis(names, axis=1), schema)
 
+def stratified(rank: np.ndarray, rng: np.random.Generator, k: int) -> np.ndarray:
+    """The fold of each row: of each of k runs of neighbours by rank, about as many to each fold."""
+    out = np.empty(len(rank), int)
+    for run in np.array_split(np.argsort(rank, kind="stable"), k):
+        out[rng.permutation(run)] = np.arange(len(run)) % k
+    return out
 
-def cross_validated(z: DataFrame, ranking: DataFrame, l1s: list[float], folds: int = 4, seed: int = 7) -> DataFrame:
+
+def _fits(rows: DataFrame, by: list[str], schema: str, run: Callable) -> DataFrame:
+    def one(key, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *row) for row in run(key, group.sort_values("symbol"))], columns=names)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    return rows.groupBy(*by).applyInPandas(one, schema)
+
+
+def _chosen_l1(x: np.ndarray, rank: np.ndarray, columns: list[str], signs: np.ndarray, kind: str, rng: np.random.Generator) -> float:
+    """The largest penalty within one standard error of the lowest mean inversion over inner folds."""
+    fold = stratified(rank, rng, INNER)
+    rows = []
+    for l1 in L1_GRID:
+        test = [metrics_of(rank[fold == f], fit_model(x[fold != f], rank[fold != f], columns, signs, kind, l1)(x[fold == f]))[0] for f in range(INNER)]
+        rows.append((np.mean(test), np.std(test, ddof=1) / len(test) ** 0.5, l1))
+    mean, error, _ = min(rows)
+    return max(l1 for m, _, l1 in rows if m <= mean + error)
+
+
+def nested_validation(features: DataFrame, ranking: DataFrame, directions: dict[str, int], kinds: tuple[str, ...] = DESIGNS, repeats: int = REPEATS, seed: int = 20260729) -> DataFrame:
+    """kind, repeat, fold, l1, terms, inversion, pair_error, rho: for each outer split, everything (normaliser, pruning,
+    penalty, weights) is fitted on its training rows, and tried on the others. A split is a group of its own."""
+    columns = list(directions)
+    signs = np.array(list(directions.values()), float)
+    rows = features.select("symbol", *[F.col(c).cast("double").alias(c) for c in columns]).join(ranking.select("symbol", "true_rank"), "symbol")
+    pick = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    grid = rows.select("*", pick("kind", kinds)).select("*", pick("repeat", range(repeats))).select("*", pick("fold", range(OUTER)))
+
+    def run(key, g):
+        kind, repeat, fold = key
+        x, rank = g[columns].to_numpy(float), g["true_rank"].to_numpy(float)
+        test = stratified(rank, np.random.default_rng([seed, repeat]), OUTER) == fold
+        l1 = _chosen_l1(x[~test], rank[~test], columns, signs, kind, np.random.default_rng([seed, repeat, fold]))
+        score = fit_model(x[~test], rank[~test], columns, signs, kind, l1)
+        yield l1, len(score.weights), *metrics_of(rank[test], score(x[test]))
+
+    return _fits(grid, ["kind", "repeat", "fold"], "kind string, repeat int, fold int, l1 double, terms int, inversion double, pair_error double, rho double", run)
+
+
+def validation_summary(validated: DataFrame) -> DataFrame:
+    """kind, splits, medians of the metrics and of terms, the inversion's standard error, the commonest l1."""
+    return validated.groupBy("kind").agg(
+        F.count("*").alias("splits"),
+        *[F.median(c).alias(f"{c}_median") for c in ("inversion", "rho", "pair_error", "terms")],
+        (F.stddev_samp("inversion") / F.sqrt(F.count("*"))).alias("inversion_error"),
+        F.mode("l1", deterministic=True).alias("l1_mode"),
+    )
+
+
+def chosen_kind(summary: DataFrame, band: float | None = None) -> DataFrame:
+    """One row: the simplest kind whose median inversion is within the best one's standard error (or within band) of it."""
+    order = F.array_position(F.array(*map(F.lit, DESIGNS)), F.col("kind"))
+    best = summary.agg(F.min_by(F.struct("inversion_median", "inversion_error"), F.struct("inversion_median", order)).alias("b"))
+    limit = F.col("b.inversion_median") + (F.lit(band) if band is not None else F.coalesce("b.inversion_error", F.lit(0.0)))
+    near = summary.crossJoin(F.broadcast(best)).where(F.col("inversion_median") <= limit)  # one row
+    return near.agg(F.min_by(F.struct(*summary.columns), order).alias("r")).select("r.*")
+
+
+def cross_validated(z: DataFrame, ranking: DataFrame, l1s: list[float], folds: int = INNER, seed: int = 7) -> DataFrame:
     """l1, fold, train, test (inversions of either): a fit for each; folds are stratified by rank."""
     columns = [c for c in z.columns if c != "symbol"]
     rows = z.join(ranking.select("symbol", "true_rank"), "symbol")
-    n = rows.count()
-    drawn = np.random.default_rng(seed)
-    of_rank = {k * folds + int(f): int(v) for k in range(-(-n // folds)) for f, v in enumerate(drawn.permutation(folds))}
-    fold = F.try_element_at(F.create_map(*[F.lit(x) for kv in of_rank.items() for x in kv]), F.col("true_rank").cast("int") - 1)
-    grid = rows.withColumn("own", fold).withColumn("l1", F.explode(F.array(*map(F.lit, l1s)))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    grid = rows.withColumn("l1", F.explode(F.array(*map(F.lit, l1s)))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
 
-    def run(g):
-        x, rank, test = g[columns].to_numpy(float), g["true_rank"].to_numpy(), (g["own"] == g["fold"]).to_numpy()
-        w = fit_pairwise(x[~test], rank[~test], float(g["l1"].iloc[0]))
-        yield inversions(x[~test] @ w, rank[~test]), inversions(x[test] @ w, rank[test])
+    def run(key, g):
+        x, rank = g[columns].to_numpy(float), g["true_rank"].to_numpy(float)
+        test = stratified(rank, np.random.default_rng(seed), folds) == key[1]
+        w = kept_terms(fit_pairwise(x[~test], rank[~test], key[0]))
+        yield metrics_of(rank[~test], x[~test] @ w)[0], metrics_of(rank[test], x[test] @ w)[0]
 
-    return _fits(grid, ["l1", "fold"], columns, "l1 double, fold int, train double, test double", run)
+    return _fits(grid, ["l1", "fold"], "l1 double, fold int, train double, test double", run)
 
 
 def choose_l1(validated: DataFrame) -> DataFrame:
@@ -126,37 +283,51 @@ def choose_l1(validated: DataFrame) -> DataFrame:
 
 
 def weights(z: DataFrame, ranking: DataFrame, l1: float, resamples: int = 0, seed: int = 11) -> DataFrame:
-    """sample, feature, weight: 0 is the fit to all rows, 1.. those to bootstrap resamples."""
+    """sample, feature, weight: 0 is the fit to all rows, 1.. those to bootstrap resamples, rows as often as they are drawn."""
     columns = [c for c in z.columns if c != "symbol"]
     rows = z.join(ranking.select("symbol", "true_rank"), "symbol").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
 
-    def run(g):
-        sample = int(g["sample"].iloc[0])
-        pick = np.arange(len(g)) if not sample else np.unique(np.random.default_rng([seed, sample]).integers(0, len(g), len(g)))
-        w = fit_pairwise(g[columns].to_numpy(float)[pick], g["true_rank"].to_numpy()[pick], l1)
+    def run(key, g):
+        pick = np.arange(len(g)) if not key[0] else np.random.default_rng([seed, key[0]]).integers(0, len(g), len(g))
+        w = kept_terms(fit_pairwise(g[columns].to_numpy(float)[pick], g["true_rank"].to_numpy(float)[pick], l1))
         yield from zip(columns, map(float, w))
 
-    return _fits(rows, ["sample"], columns, "sample int, feature string, weight double", run)
+    return _fits(rows, ["sample"], "sample int, feature string, weight double", run)
 
 
 def stability(fits: DataFrame) -> DataFrame:
-    """feature, weight (of the full fit), chosen (the share of resamples that keep it)."""
+    """feature, weight (of the full fit), chosen (the share of resamples that keep it), median, p10 and p90 of its weight
+    where it is kept."""
     full = F.max(F.when(F.col("sample") == 0, F.col("weight"))).alias("weight")
     chosen = F.avg(F.when(F.col("sample") > 0, (F.col("weight") > 0).cast("double"))).alias("chosen")
-    return fits.groupBy("feature").agg(full, chosen)
+    kept = F.when((F.col("sample") > 0) & (F.col("weight") > 0), F.col("weight"))
+    return fits.groupBy("feature").agg(full, chosen, *[F.percentile(kept, p).alias(n) for n, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))])
 
 
 def leave_one_out(z: DataFrame, ranking: DataFrame, l1: float) -> DataFrame:
-    """omitted, inversion of the fit without that symbol, over all symbols."""
+    """omitted, inversion, pair_error, rho of the fit without that symbol, over the symbols it was fitted to. For a ranking
+    that people made: its rows are squared, so larger ones are refused."""
+    n = ranking.count()
+    if n > 2000:
+        raise ValueError(f"a fit without each of {n} symbols is asked for; 2000 is the most")
     columns = [c for c in z.columns if c != "symbol"]
     rows = z.join(ranking.select("symbol", "true_rank"), "symbol")
-    grid = rows.crossJoin(F.broadcast(ranking.select(F.col("symbol").alias("omitted"))))  # a ranking's symbols, squared
+    grid = rows.crossJoin(F.broadcast(ranking.select(F.col("symbol").alias("omitted"))))  # 2000 rows at most
+
+    def run(key, g):
+        some = g[g["symbol"] != key[0]]
+        x, rank = some[columns].to_numpy(float), some["true_rank"].to_numpy(float)
+        yield metrics_of(rank, x @ kept_terms(fit_pairwise(x, rank, l1)))
+
+    return _fits(grid, ["omitted"], "omitted string, inversion double, pair_error double, rho double", run)
 
-    def run(g):
-        x, rank, keep = g[columns].to_numpy(float), g["true_rank"].to_numpy(), (g["symbol"] != g["omitted"]).to_numpy()
-        yield (inversions(x @ fit_pairwise(x[keep], rank[keep], l1), rank),)
 
-    return _fits(grid, ["omitted"], columns, "omitted string, inversion double", run)
+def weight_grid(scores: DataFrame, first: str, second: str, first_weights: list[float], second_weights: list[float], ranking: str = "true_rank") -> DataFrame:
+    """a, b, inversion, pair_error, rho of score + a * first - b * second for each pair of weights; (0, 0) is the baseline."""
+    pick = lambda name, values: F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name)
+    grid = scores.select("symbol", ranking, "score", first, second, pick("a", first_weights)).select("*", pick("b", second_weights))
+    total = F.col("score") + F.col("a") * F.coalesce(first, F.lit(0.0)) - F.col("b") * F.coalesce(second, F.lit(0.0))
+    return rank_metrics(grid.select("a", "b", "symbol", F.col(ranking).alias("true_rank"), total.alias("score")), ("a", "b"))
 
 
 def alpha_grid(scores: DataFrame, extra: str, alphas: DataFrame) -> DataFrame:
@@ -171,10 +342,11 @@ def choice_accuracy(choices: DataFrame, scores: DataFrame) -> DataFrame:
     return choices.join(one, "winner").join(two, "loser").agg(F.avg((F.col("winner_score") > F.col("loser_score")).cast("double")).alias("accuracy"))
 
 
-def label_variants(ranking: DataFrame, swaps: list[tuple[str, str]]) -> DataFrame:
-    """variant, symbol, true_rank: each subset of the doubtful swaps made, 2 ** len(swaps) rankings."""
-    variants = ranking.sparkSession.range(1 << len(swaps)).withColumnRenamed("id", "variant")
-    out = ranking.crossJoin(F.broadcast(variants))  # a ranking for each variant
+def label_variants(ranking: DataFrame, swaps: list[tuple[str, str]], most: int = 12) -> DataFrame:
+    """variant, symbol, true_rank: each subset of the doubtful swaps made, 2 ** len(swaps) rankings; at most 2 ** most."""
+    if len(swaps) > most:
+        raise ValueError(f"{len(swaps)} doubtful pairs make too many variants; {most} is the most")
+    out = ranking.withColumn("variant", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << len(swaps)) - 1).cast("long"))))
     for k, (a, b) in enumerate(swaps):
         made = F.shiftright("variant", k).bitwiseAND(1) == 1
         out = out.withColumn("symbol", F.when(made & (F.col("symbol") == a), b).when(made & (F.col("symbol") == b), a).otherwise(F.col("symbol")))

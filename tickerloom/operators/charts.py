@@ -44,4 +44,4 @@ def scatter(panel: DataFrame, window: int = 63, dates: int = 1) -> DataFrame:
 def badges(found: DataFrame) -> DataFrame:
     """symbol, badges: names of what is positive."""
     mark = lambda c: F.when(F.col(c) > 0, c)
-    return found.select("symbol", F.array_join(F.array_compact(F.array(*[mark(c) for c in ("r_1m", "above_ema50", "r_3m")])), ",").alias("badges"))
+    return found.select("symbol", F.array_join(F.array_compact(F.array(*[mark(c) for c in ("r_1m", "above_ema50", "r_3m", "d1", "d5") if c in found.columns])), ",").alias("badges"))

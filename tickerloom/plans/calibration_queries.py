@@ -7,37 +7,48 @@ from pyspark.sql import functions as F
 from tickerloom.operators import calibrate as C
 from tickerloom.operators import panel as P
 from tickerloom.operators.features import features
-from tickerloom.operators.score import FAMILIES
+from tickerloom.operators.score import FAMILIES, direction
 from tickerloom.plans import inputs as I
 from tickerloom.plans.list_queries import SCORES, _scores
 
-DIRECTIONS = {"r_3m": 1, "r_1m": 1, "trend_quality_21d": 1, "seg_ret_0_5": 1, "stale_age": -1, "downside_rms_20d": -1}
+COLUMNS = (
+    "r_3m", "r_1m", "r2_3m", "trend_quality_21d", "seg_ret_0_5", "stale_age", "downside_rms_20d", "dd_recovery", "r_3d_log", "log_slope_15d",
+    "trend_r2_15d", "recovery_3d_vs_prior7", "ema20_accel", "r_21d_log", "trend_efficiency_15d", "downside_rms_10d", "log_slope_21d", "under_ema20_days",
+)
+DIRECTIONS = {c: direction(c) for c in COLUMNS}
 
 
 def _inputs(spark, sf_dir):
-    found = features(P.align(P.clean(I.prices(spark, sf_dir))))
-    return found, _scores(spark, sf_dir).select("symbol", "true_rank")
+    found = features(P.align(P.clean(I.prices(spark, sf_dir)))).select("symbol", "r_4m", "vol20_ann", "seg_ret_5_21", "seg_ret_21_63", "prior_support_sign", "mid_dip_recovery", "recent_up_days_5d", "recent_jump_share_5d", "jump_discontinuity_3m", "stale_after_run", "trend_efficiency_reward_15d", *COLUMNS)
+    return found.cache(), _scores(spark, sf_dir).select("symbol", "true_rank")
 
 
 def family_search(spark, sf_dir):
+    """The best of 2500 draws of each family's parameters."""
     found, ranking = _inputs(spark, sf_dir)
-    family = FAMILIES["product_confirmation"]
-    return I.rounded(C.search(found, ranking, C.parameter_sets(spark, family, 8, 20260729), family))
+    return I.rounded(C.search_families(found, ranking, FAMILIES))
 
 
 def fit_validation(spark, sf_dir):
+    """Four times five outer splits of each kind of model."""
     found, ranking = _inputs(spark, sf_dir)
-    return I.rounded(C.cross_validated(C.normalised(found, DIRECTIONS), ranking, [0.0, 0.01, 0.05]))
+    return I.rounded(C.validation_summary(C.nested_validation(found, ranking, DIRECTIONS)))
 
 
 def fit_stability(spark, sf_dir):
+    """120 resamples."""
     found, ranking = _inputs(spark, sf_dir)
-    return I.rounded(C.stability(C.weights(C.normalised(found, DIRECTIONS), ranking, 0.01, 12)))
+    return I.rounded(C.stability(C.weights(C.normalised(found, DIRECTIONS), ranking, 0.01, C.RESAMPLES)))
+
+
+def weight_grid(spark, sf_dir):
+    scores = _scores(spark, sf_dir).select("symbol", "true_rank", "score", (F.col("true_rank") * 37 % 11 / 10).alias("one"), (F.col("true_rank") * 53 % 7 / 10).alias("two"))
+    return I.rounded(C.weight_grid(scores, "one", "two", [k / 10 for k in range(13)], [k / 10 for k in range(11)]))
 
 
 def alpha_screen(spark, sf_dir):
     scores = _scores(spark, sf_dir).select("symbol", "true_rank", "score", (F.col("true_rank") * 37 % 11).alias("extra"))
-    return I.rounded(C.alpha_grid(scores, "extra", spark.range(17).select((F.col("id") / 8 - 1).alias("alpha"))))
+    return I.rounded(C.alpha_grid(scores, "extra", spark.range(81).select((F.col("id") / 20 - 2).alias("alpha"))))
 
 
 def label_variants(spark, sf_dir):
@@ -50,15 +61,19 @@ def choice_accuracy(spark, sf_dir):
     return I.rounded(C.choice_accuracy(choices, scores))
 
 
-QUERIES = {f.__name__: f for f in (family_search, fit_validation, fit_stability, alpha_screen, label_variants, choice_accuracy)}
+QUERIES = {f.__name__: f for f in (family_search, fit_validation, fit_stability, weight_grid, alpha_screen, label_variants, choice_accuracy)}
 _SWAPPED = "symbol"
 for _k, (_a, _b) in enumerate([("1", "2"), ("2", "3"), ("4", "5")]):
     _SWAPPED = f"CASE WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_a}' THEN '{_b}' WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_b}' THEN '{_a}' ELSE ({_SWAPPED}) END"
 ORACLE = {
-    "alpha_screen": f"""WITH {SCORES}, s AS (SELECT k / 8::DOUBLE - 1 AS alpha, symbol, true_rank, score + (k / 8::DOUBLE - 1) * (true_rank * 37 % 11) AS score FROM scores, range(17) t(k)),
+    "alpha_screen": f"""WITH {SCORES}, s AS (SELECT k / 20::DOUBLE - 2 AS alpha, symbol, true_rank, score + (k / 20::DOUBLE - 2) * (true_rank * 37 % 11) AS score FROM scores, range(81) t(k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY score DESC, true_rank) AS model_rank FROM s),
 m AS (SELECT a.alpha, avg((a.score < b.score)::INTEGER) AS inversion, avg(abs((b.true_rank - a.true_rank) - (b.model_rank - a.model_rank))) AS pair_error FROM r a JOIN r b ON a.alpha = b.alpha AND a.true_rank < b.true_rank GROUP BY 1),
 c AS (SELECT alpha, corr(true_rank, model_rank) AS rho FROM r GROUP BY 1) SELECT alpha, round(inversion, 6) AS inversion, round(pair_error, 6) AS pair_error, round(rho, 6) AS rho FROM m JOIN c USING (alpha)""",
+    "weight_grid": f"""WITH {SCORES}, s AS (SELECT a / 10::DOUBLE AS a, b / 10::DOUBLE AS b, true_rank, score + a / 10::DOUBLE * ((true_rank * 37 % 11) / 10::DOUBLE) - b / 10::DOUBLE * ((true_rank * 53 % 7) / 10::DOUBLE) AS score FROM scores, range(13) t(a), range(11) u(b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, true_rank) AS model_rank FROM s),
+m AS (SELECT x.a, x.b, avg((x.score < y.score)::INTEGER) AS inversion, avg(abs((y.true_rank - x.true_rank) - (y.model_rank - x.model_rank))) AS pair_error FROM r x JOIN r y ON x.a = y.a AND x.b = y.b AND x.true_rank < y.true_rank GROUP BY 1, 2),
+c AS (SELECT a, b, corr(true_rank, model_rank) AS rho FROM r GROUP BY 1, 2) SELECT a, b, round(inversion, 6) AS inversion, round(pair_error, 6) AS pair_error, round(rho, 6) AS rho FROM m JOIN c USING (a, b)""",
     "label_variants": f"WITH {SCORES} SELECT v AS variant, {_SWAPPED} AS symbol, true_rank FROM scores, range(8) t(v)",
     "choice_accuracy": f"WITH {SCORES} SELECT round(avg((a.score > b.score)::INTEGER), 6) AS accuracy FROM scores a JOIN scores b ON b.symbol = CAST(a.symbol::INTEGER % 5 + 1 AS VARCHAR)",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.plans import calibration_queries, list_queries, panel_queries
+from tickerloom.plans import calibration_queries, list_queries, panel_queries, scan_queries, score_queries
 
-MODULES: tuple = (panel_queries, list_queries, calibration_queries)
+MODULES: tuple = (panel_queries, score_queries, scan_queries, list_queries, calibration_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

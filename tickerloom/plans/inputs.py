@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes: under spark.checkpoint.dir, or a temporary one where Spark is one process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return f"{shared or tempfile.mkdtemp(prefix='tickerloom-')}/{name}-{uuid.uuid4().hex}"
+
+
 def money(name: str) -> Column:
     return F.sum(F.col(name).cast("decimal(18,2)")).cast("double")
 

@@ -112,10 +112,11 @@ def best_parameters(spark, sf_dir):
     return R.best(m.select("param_id", *[F.round(c, 9).alias(c) for c in ("inversion", "rho", "pair_error")]), "param_id")
 
 
-@query(f"WITH {_SWEEP}, b AS (SELECT * FROM metrics WHERE param_id = 8) SELECT m.param_id, round(m.inversion, 6) AS inversion FROM metrics m, b WHERE m.inversion < b.inversion AND m.rho > b.rho AND m.pair_error < b.pair_error")
+@query(f"WITH {_SWEEP}, b AS (SELECT * FROM metrics ORDER BY round(inversion, 9) DESC, round(-rho, 9) DESC, param_id LIMIT 1) SELECT m.param_id, round(m.inversion, 6) AS inversion FROM metrics m, b WHERE m.inversion < b.inversion AND m.rho > b.rho AND m.pair_error < b.pair_error")
 def dominating_parameters(spark, sf_dir):
     m = _sweep(spark, sf_dir)
-    return I.rounded(R.dominating(m, m.where("param_id = 8")).select("param_id", "inversion"))
+    worst = m.orderBy(F.desc(F.round("inversion", 9)), F.desc(F.round(-F.col("rho"), 9)), "param_id").limit(1)
+    return I.rounded(R.dominating(m, worst).select("param_id", "inversion"))
 
 
 @query(f"WITH {SCORES}, t AS (SELECT *, ntile(3) OVER (ORDER BY true_rank) AS k FROM scores) SELECT CASE k WHEN 1 THEN 'TOP' WHEN 2 THEN 'MID' ELSE 'BOT' END AS bucket, round(avg(score), 6) AS score FROM t GROUP BY k")
@@ -128,7 +129,7 @@ def score_summary(spark, sf_dir):
     return I.rounded(R.summary(_scores(spark, sf_dir), "score"))
 
 
-@query(f"WITH {SCORES}, a AS (SELECT symbol, score AS x FROM scores WHERE true_rank % 7 <> 0), b AS (SELECT symbol, score + true_rank % 3 / 20::DOUBLE AS y FROM scores WHERE true_rank % 5 <> 0) SELECT count(abs(x - y)) AS n, count(*) FILTER (y IS NULL) AS only_a, count(*) FILTER (x IS NULL) AS only_b, round(max(abs(x - y)), 6) AS max_diff, round(avg(abs(x - y)), 6) AS mean_diff, count(*) FILTER (round(abs(x - y), 9) >= 0.1) AS n_large FROM a FULL JOIN b USING (symbol)")
+@query(f"WITH {SCORES}, a AS (SELECT symbol, score AS x FROM scores WHERE true_rank % 7 <> 0), b AS (SELECT symbol, score + true_rank % 3 / 20::DOUBLE AS y FROM scores WHERE true_rank % 5 <> 0) SELECT count(abs(x - y)) AS n, count(*) FILTER (y IS NULL) AS only_a, count(*) FILTER (x IS NULL) AS only_b, round(max(abs(x - y)), 6) AS max_diff, round(quantile_cont(abs(x - y), 0.5), 6) AS median_diff, round(avg(abs(x - y)), 6) AS mean_diff, (SELECT round(corr(rx, ry), 6) FROM (SELECT rank() OVER (ORDER BY x DESC) AS rx, rank() OVER (ORDER BY round(y, 9) DESC) AS ry FROM a JOIN b USING (symbol))) AS rho, count(*) FILTER (round(abs(x - y), 9) >= 0.1) AS n_large FROM a FULL JOIN b USING (symbol)")
 def compare_paths(spark, sf_dir):
     s = _scores(spark, sf_dir)
     a = s.where("true_rank % 7 <> 0").select("symbol", F.col("score").alias("fms"))
@@ -156,14 +157,20 @@ def screener_filters(spark, sf_dir):
     return L.screened(_screener(spark, sf_dir)).select("ticker", "company")
 
 
-_WORDS = " OR ".join(f"contains(u, '{w}')" for w in L.FUND_WORDS)
+#: Every third part's number and name get a fund's ticker, word or number.
+_FUND = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'TQQQ' WHEN 1 THEN 'llyx' WHEN 2 THEN 'A2X' ELSE 'Q' || p_partkey END AS t,
+  p_name || CASE p_size % 12 WHEN 0 THEN ' 3x' WHEN 1 THEN ' Leveraged' WHEN 2 THEN ' inverse' WHEN 3 THEN ' Ultra' WHEN 4 THEN ' bear' WHEN 5 THEN ' Bull' WHEN 6 THEN ' short' WHEN 7 THEN ' ProShare' ELSE '' END AS n FROM part"""
 
 
-@query(f"SELECT p_partkey, regexp_matches(u, '[0-9]+X') OR {_WORDS} AS leveraged FROM (SELECT p_partkey, upper(CAST(p_partkey AS VARCHAR) || ' ' || p_name || CASE WHEN p_size % 5 = 0 THEN ' 3x' ELSE '' END) AS u FROM part)")
+@query(f"""SELECT p_partkey, upper(t) IN ('LLYX', 'SMST', 'GGLL', 'GOOX', 'TQQQ', 'SQQQ', 'SOXL', 'SOXS', 'UPRO', 'SPXU', 'UDOW', 'SDOW') OR regexp_matches(upper(t), '[0-9]+X') OR regexp_matches(upper(n), '[0-9]+X')
+  OR regexp_matches(upper(t), 'LEVERAGE|LEVERAGED|LEV|INVERSE|INV|SHORT|BEAR|ULTRA|PRO|BULL') OR regexp_matches(upper(n), 'LEVERAGE|LEVERAGED|LEV|INVERSE|INV|SHORT|BEAR|ULTRA|PRO|BULL') AS leveraged FROM ({_FUND})""")
 def leveraged_funds(spark, sf_dir):
-    p = I.table(spark, sf_dir, "part")
-    name = F.concat("p_name", F.when(F.col("p_size") % 5 == 0, " 3x").otherwise(""))
-    return p.select("p_partkey", L.leveraged(F.col("p_partkey").cast("string"), name).alias("leveraged"))
+    p, k, z = I.table(spark, sf_dir, "part"), F.col("p_partkey") % 9, F.col("p_size") % 12
+    ticker = F.when(k == 0, "TQQQ").when(k == 1, "llyx").when(k == 2, "A2X").otherwise(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")))
+    more = F.lit("")
+    for n, word in enumerate((" 3x", " Leveraged", " inverse", " Ultra", " bear", " Bull", " short", " ProShare")):
+        more = F.when(z == n, word).otherwise(more)
+    return p.select("p_partkey", L.leveraged(ticker, F.concat("p_name", more)).alias("leveraged"))
 
 
 _TICKER = "s_suppkey || CASE s_suppkey % 5 WHEN 0 THEN '.KS' WHEN 1 THEN '.KQ' WHEN 2 THEN '.HK' WHEN 3 THEN '.T' ELSE '' END"
@@ -244,20 +251,37 @@ probe AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, DATE '2024-01-09' + CAST(
 
 
 @query(f"""WITH {_CACHE}, j AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, period, n_bars, last_date, probe_date FROM supplier LEFT JOIN cached ON cached.symbol = CAST(s_suppkey AS VARCHAR) LEFT JOIN probe ON probe.symbol = CAST(s_suppkey AS VARCHAR))
-SELECT symbol, CASE WHEN last_date IS NULL THEN 'cold' WHEN NOT (period IN ('1y', '2y') AND n_bars >= 220) THEN 'period_miss' WHEN probe_date IS NULL THEN 'stale_hit' WHEN probe_date > last_date THEN 'miss' ELSE 'hit' END AS outcome FROM j""")
+SELECT symbol, CASE WHEN last_date IS NULL THEN 'cold' WHEN NOT (period IN ('1y', '2y') AND n_bars >= 180) THEN 'period_miss' WHEN probe_date IS NULL THEN 'stale_hit' WHEN probe_date > last_date THEN 'miss' ELSE 'hit' END AS outcome FROM j""")
 def cache_outcomes(spark, sf_dir):
+    return C.classify(*_cache(spark, sf_dir), "1y")
+
+
+def _cache(spark, sf_dir):
     k = F.col("s_suppkey")
     s = I.table(spark, sf_dir, "supplier").select("s_suppkey", k.cast("string").alias("symbol"))
     day = F.lit("2024-01-10").cast("date")
     cached = s.where("s_suppkey % 5 <> 0").select("symbol", F.when(k % 3 == 0, "1y").when(k % 3 == 1, "2y").otherwise("6mo").alias("period"), (k * 31 % 600).alias("n_bars"), day.alias("last_date"))
     probe = s.where("s_suppkey % 7 <> 0").select("symbol", F.date_add(F.date_sub(day, 1), (k % 4).cast("int")).alias("probe_date"))
-    return C.classify(s, cached, probe, "1y")
+    return s, cached, probe
 
 
-@query(f"""WITH {I.PRICES}, e AS (SELECT symbol, max(date) FILTER (close IS NOT NULL) AS d, count(close) AS n FROM prices GROUP BY 1)
-SELECT count(*) AS symbols, max(d) AS last_date, sum(n)::BIGINT AS n_bars, sha256(string_agg(symbol || '|' || CAST(d AS VARCHAR) || '|' || n, chr(10) ORDER BY symbol || '|' || CAST(d AS VARCHAR) || '|' || n)) AS digest FROM e""", "last_date")
+_PART = lambda k: f"CAST(sum(('0x' || substr(h, {1 + 12 * k}, 12))::BIGINT) AS VARCHAR)"
+
+
+@query(f"""WITH {I.OHLC}, e AS (SELECT symbol, max(date) FILTER (close IS NOT NULL) AS d, count(close) AS n, sha256(symbol || '|' || CAST(max(date) FILTER (close IS NOT NULL) AS VARCHAR) || '|' || count(close)) AS h FROM prices GROUP BY 1),
+o AS (SELECT symbol, count(*) AS n FROM ohlc GROUP BY 1)
+SELECT count(*) AS symbols, max(d) AS last_date, sum(n)::BIGINT AS n_bars, {" || '-' || ".join(map(_PART, range(5)))} AS digest, (SELECT count(*) FROM o) AS ohlc_symbols, (SELECT sum(n)::BIGINT FROM o) AS ohlc_n_bars FROM e""", "last_date")
 def panel_fingerprint(spark, sf_dir):
-    return I.rounded(C.fingerprint(I.prices(spark, sf_dir)))
+    found = C.fingerprint(I.prices(spark, sf_dir), I.ohlc(spark, sf_dir))
+    return I.rounded(found.select("symbols", "last_date", "n_bars", "digest", "ohlc_symbols", "ohlc_n_bars"))
+
+
+@query(f"""WITH {_CACHE}, j AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, period, n_bars, last_date, probe_date FROM supplier LEFT JOIN cached ON cached.symbol = CAST(s_suppkey AS VARCHAR) LEFT JOIN probe ON probe.symbol = CAST(s_suppkey AS VARCHAR)),
+o AS (SELECT CASE WHEN last_date IS NULL THEN 'cold' WHEN NOT (period = '2y' AND n_bars >= 360) THEN 'period' WHEN probe_date IS NULL THEN 'stale' WHEN probe_date > last_date THEN 'miss' ELSE 'hit' END AS o FROM j)
+SELECT count(*) FILTER (o = 'hit') AS hits, count(*) FILTER (o = 'stale') AS stale_hits, count(*) FILTER (o = 'miss') AS misses, count(*) FILTER (o = 'cold') AS cold_misses, count(*) FILTER (o = 'period') AS period_misses, count(*) FILTER (o IN ('hit', 'stale', 'miss')) AS probes FROM o""")
+def cache_counts(spark, sf_dir):
+    s, cached, probe = _cache(spark, sf_dir)
+    return C.outcome_counts(C.classify(s, cached, probe, "2y"))
 
 
 @query(f"WITH {SCORES} SELECT sha256(string_agg(symbol, chr(10) ORDER BY true_rank)) AS digest FROM scores")
@@ -265,7 +289,108 @@ def ranking_hash(spark, sf_dir):
     return C.ranking_hash(_scores(spark, sf_dir))
 
 
-@query("SELECT date_trunc('day', ts)::DATE AS run, count(*) AS n, count(*) FILTER (value >= 50) AS kept FROM events GROUP BY 1", "run")
-def scan_history(spark, sf_dir):
-    e = I.table(spark, sf_dir, "events")
-    return I.rounded(e.groupBy(F.to_date("ts").alias("run")).agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("kept")))
+_NAMES = "SELECT CAST(s_suppkey AS VARCHAR) || CASE s_suppkey % 5 WHEN 0 THEN '.KS' WHEN 1 THEN '.KQ' WHEN 2 THEN '.HK' WHEN 3 THEN '.T' ELSE '' END AS symbol, s_suppkey AS k, s_name AS name FROM supplier"
+
+
+def _named(spark, sf_dir):
+    k = F.col("s_suppkey") % 5
+    ending = F.when(k == 0, ".KS").when(k == 1, ".KQ").when(k == 2, ".HK").when(k == 3, ".T").otherwise("")
+    return I.table(spark, sf_dir, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), ending).alias("symbol"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+
+
+@query(f"""WITH n AS ({_NAMES}) SELECT symbol, CASE WHEN k % 4 = 0 THEN 'cached ' || k WHEN symbol LIKE '%.K_' AND k % 3 > 0 THEN name WHEN k % 7 > 0 THEN 'remote ' || k ELSE symbol END AS name FROM n""")
+def name_resolution(spark, sf_dir):
+    n = _named(spark, sf_dir)
+    text = lambda word, keep: n.where(keep).select("symbol", F.concat(F.lit(word), F.col("k").cast("string")).alias("name"))
+    return L.named(n, text("cached ", "k % 4 = 0"), n.where("k % 3 > 0").select("symbol", "name"), text("remote ", "k % 7 > 0"))
+
+
+@query(r"""WITH r AS (SELECT printf('%06d', s_suppkey / 2) || CASE s_suppkey % 3 WHEN 0 THEN '.KS ' WHEN 1 THEN '.KQ' ELSE '.T' END AS s, ' ' || s_name AS n, s_suppkey AS ord FROM supplier),
+u AS (SELECT trim(s) AS symbol, trim(n) AS name, ord FROM r UNION ALL SELECT substr(trim(s), 1, 6) || '.KQ', trim(n), ord FROM r WHERE regexp_matches(trim(s), '^[0-9]{6}\.K[SQ]$'))
+SELECT symbol, arg_max(name, ord) AS name FROM u GROUP BY 1""".replace("s_suppkey / 2", "s_suppkey // 2"))
+def name_aliases(spark, sf_dir):
+    k = F.col("s_suppkey")
+    code = F.concat(F.format_string("%06d", F.floor(k / 2)), F.when(k % 3 == 0, ".KS ").when(k % 3 == 1, ".KQ").otherwise(".T"))
+    return L.with_aliases(I.table(spark, sf_dir, "supplier").select(code.alias("symbol"), F.concat(F.lit(" "), F.col("s_name")).alias("name"), k.alias("ord")))
+
+
+@query("""WITH p AS (SELECT CAST(n_nationkey AS BIGINT) + 1 AS page, 12 AS reported, 490 AS total, CASE WHEN n_nationkey = 10 THEN NULL WHEN n_nationkey = 24 THEN 10 ELSE 20 END AS n_rows FROM nation),
+s AS (SELECT *, sum(CASE WHEN coalesce(n_rows, 0) < 20 THEN 1 ELSE 0 END) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM p),
+k AS (SELECT *, bool_or(n_rows IS NULL) OVER () AS partial FROM s WHERE coalesce(stops, 0) = 0 AND page <= 12) SELECT page, n_rows, partial FROM k WHERE n_rows > 0""")
+def scraped_pages(spark, sf_dir):
+    k = F.col("n_nationkey").cast("long")
+    rows = F.when(k == 10, F.lit(None).cast("int")).when(k == 24, 10).otherwise(20)
+    return L.scraped(I.table(spark, sf_dir, "nation").select((k + 1).alias("page"), F.lit(12).alias("reported"), F.lit(490).alias("total"), rows.alias("n_rows")))
+
+
+@query("""WITH l AS (SELECT 'HSI' AS source, s_suppkey AS ord, (s_suppkey % 60 + 1)::INTEGER AS code, s_name AS name, s_suppkey % 3 AS w FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'XCEI', s_suppkey, (s_suppkey % 90 + 1)::INTEGER, s_name, s_suppkey % 3 FROM supplier),
+r AS (SELECT printf('%04d.HK', code) AS symbol, name, source, row_number() OVER (PARTITION BY code ORDER BY source, ord, name) AS k FROM l) SELECT symbol, name, source FROM r WHERE k = 1""")
+def listed_codes(spark, sf_dir):
+    k, s = F.col("s_suppkey"), I.table(spark, sf_dir, "supplier")
+
+    def lines(source, rows, n):
+        kind = F.when(k % 3 == 0, " Financials H Share").when(k % 3 == 1, " Utilities").otherwise("")
+        return rows.select(F.lit(source).alias("source"), k.alias("ord"), F.concat(F.format_string("%05d", (k % n + 1).cast("int")), F.lit("  KYG000000001 "), "s_name", kind, F.lit(" 1.25")).alias("line"))
+
+    both = lines("HSI", s.where("s_suppkey % 2 = 0"), 60).unionByName(lines("XCEI", s, 90)).unionByName(lines("HSI", s, 60).withColumn("line", F.lit("no line of the table")))
+    return L.listed_codes(both, ("H Share", "Red Chip"), ("Financials", "Utilities"))
+
+
+@query(f"WITH {SCORES}, k AS (SELECT symbol, score, row_number() OVER (ORDER BY score DESC, symbol) AS a, row_number() OVER (ORDER BY score, symbol) AS z FROM scores) SELECT symbol, score, 'top' AS \"end\" FROM k WHERE a <= 5 UNION ALL SELECT symbol, score, 'bottom' FROM k WHERE z <= 5")
+def score_extremes(spark, sf_dir):
+    return R.extremes(_scores(spark, sf_dir).select("symbol", "score"), "score", 5)
+
+
+@query(f"WITH {SCORES}, t AS (SELECT *, ntile(3) OVER (ORDER BY true_rank) AS k FROM scores) SELECT count(*) FILTER (score < 3) AS n, round(count(*) FILTER (score < 3 AND k = 3) / count(*) FILTER (score < 3), 6) AS share FROM t")
+def low_score_share(spark, sf_dir):
+    s = _scores(spark, sf_dir).withColumn("k", F.ntile(3).over(_window("true_rank")))
+    return I.rounded(R.share_of(s, F.col("k") == 3, F.col("score") < 3))
+
+
+@query(f"WITH {SCORES} SELECT param_id, round(avg((inversion < base)::INTEGER), 6) AS win_rate, round(avg(inversion), 6) AS inversion FROM (SELECT true_rank % 6 AS param_id, score AS inversion, (true_rank * 37 % 101)::DOUBLE / 10 AS base FROM scores) GROUP BY 1")
+def win_rates(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return I.rounded(R.win_rates(s.select((F.col("true_rank") % 6).alias("param_id"), F.col("score").alias("inversion"), (F.col("true_rank") * 37 % 101 / 10).alias("base_inversion"))))
+
+
+@query(f"WITH {SCORES}, {WATCH} SELECT symbol FROM watch WHERE symbol IN (SELECT symbol FROM scores WHERE fms <> -999)")
+def watchlist_passing(spark, sf_dir):
+    return L.passing(_watch(spark, sf_dir), _scores(spark, sf_dir).select("symbol", (F.col("fms") == L.DISQUALIFIED).alias("disqualified")))
+
+
+@query(f"WITH {SCORES} SELECT symbol, 'too few closes' AS filter_status FROM scores WHERE fms = -999")
+def disqualified_symbols(spark, sf_dir):
+    return L.disqualified(_scores(spark, sf_dir).select("symbol", F.when(F.col("fms") == L.DISQUALIFIED, "too few closes").otherwise("normal").alias("filter_status")))
+
+
+@query(f"WITH {SCORES} SELECT symbol, round(score, 2) AS fms, round(score / 7 * 100, 2) AS r_1m, round(score / 11, 3) AS r2_3m, true_rank FROM scores")
+def shown_scan(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return L.shown(s.select("symbol", F.col("score").alias("fms"), (F.col("score") / 7).alias("r_1m"), (F.col("score") / 11).alias("r2_3m"), "true_rank"))
+
+
+@query(f"WITH {SCORES}, {WATCH}, {I.MARKETS} SELECT symbol, market AS country, 'no. ' || symbol AS name FROM watch JOIN markets USING (symbol)")
+def watchlist_export(spark, sf_dir):
+    rows = _watch(spark, sf_dir).join(I.markets(spark, sf_dir), "symbol")
+    return L.exported(rows, F.col("market"), F.concat(F.lit("no. "), F.col("symbol")))
+
+
+@query(f"WITH {SCORES} SELECT symbol, coalesce(score / 10 - 0.3::DOUBLE <= 0 OR score / 5 - 1 <= 0, false) AS borderline FROM scores WHERE fms <> -999")
+def borderline_symbols(spark, sf_dir):
+    s = _scores(spark, sf_dir).withColumns({"r_3m": F.col("score") / 10 - 0.3, "r_4m": F.col("score") / 5 - 1})
+    return L.borderline(s).select("symbol", "borderline")
+
+
+@query("""WITH t AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'MMSFT' WHEN p_partkey % 5 = 1 THEN 'AA' || p_partkey ELSE ' XY' || p_partkey || ' ' END AS t, p_partkey AS k FROM part)
+SELECT k, CASE WHEN trim(t) = 'MMSFT' THEN 'MSFT' WHEN trim(t) LIKE 'AA%' THEN substr(trim(t), 2) ELSE trim(t) END AS ticker FROM t""")
+def repaired_tickers(spark, sf_dir):
+    k = F.col("p_partkey")
+    t = F.when(k % 5 == 0, "MMSFT").when(k % 5 == 1, F.concat(F.lit("AA"), k.cast("string"))).otherwise(F.concat(F.lit(" XY"), k.cast("string"), F.lit(" ")))
+    return L.repaired(I.table(spark, sf_dir, "part").select(k.alias("k"), t.alias("ticker")))
+
+
+@query(f"WITH {SCORES} SELECT symbol, concat_ws(',', CASE WHEN score > 5 THEN 'r_1m' END, CASE WHEN score > 3 THEN 'above_ema50' END, CASE WHEN score > 7 THEN 'r_3m' END, CASE WHEN true_rank % 3 = 0 THEN 'd1' END, CASE WHEN true_rank % 4 = 0 THEN 'd5' END) AS badges FROM scores")
+def scan_badges(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    every = {"r_1m": F.col("score") - 5, "above_ema50": F.col("score") - 3, "r_3m": F.col("score") - 7, "d1": F.when(F.col("true_rank") % 3 == 0, 1.0).otherwise(-1.0), "d5": F.when(F.col("true_rank") % 4 == 0, 1.0).otherwise(0.0)}
+    return H.badges(s.withColumns(every))

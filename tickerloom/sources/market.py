@@ -79,11 +79,18 @@ def save_scan(scan: DataFrame, path: str, mode: str, run_ts: str, least: float =
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode", "run_ts").parquet(path)
 
 
+def save_scans(scans: DataFrame, path: str, least: float = 0.0) -> None:
+    """Adds the rows from least on of many scans (mode, run_ts and a scan's columns), each as a partition of its own."""
+    kept = scans.where(F.col("fms") >= least)
+    kept.repartition("mode", "run_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode", "run_ts").parquet(path)
+
+
 def latest_scan(spark: SparkSession, path: str, mode: str, least: float = 0.0) -> DataFrame:
-    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(path).where(F.col("mode") == mode)
+    rows = spark.read.parquet(path).where(F.col("mode") == mode)
     last = rows.agg(F.max("run_ts").alias("run_ts"))
     return rows.join(F.broadcast(last), "run_ts", "left_semi").where(F.col("fms") >= least)  # one row
 
 
 def scan_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("mode", "run_ts").agg(F.count("*").alias("n")).orderBy(F.desc("run_ts"), "mode")
+    rows = spark.read.parquet(path).select("mode", F.col("run_ts").cast("string").alias("run_ts"))
+    return rows.groupBy("mode", "run_ts").agg(F.count("*").alias("n")).orderBy(F.desc("run_ts"), "mode")
