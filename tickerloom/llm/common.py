@@ -60,6 +60,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that a query writes and reads; deleted as materialise()'s tables are."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes what materialise() has written for tables, once nothing that is still to be worked out reads them."""
     for df in tables:

@@ -25,8 +25,8 @@ Keys are dealt out in buckets whose number follows the number of shingles. Of a
 all pairs are candidates. Of a larger one, each set is a candidate with the key's first set only. The best candidate of
 each set is checked first, then those that this doesn't connect. Keys whose sets aren't all connected then are taken in
 blocks of BLOCK sets, so that no task holds more than two blocks; there each set outside the key's largest component is
-compared with those of other components, and a link for each of these leaves the task. Keys that share such sets are one, so
-that each set comes once. Nothing is lost, and what is near throughout, as a group of copies mostly is, costs a check for
+compared with those of other components, and a link for each of these leaves the task. Keys whose first such set is the same
+are one, so that sets don't come once for each key. Nothing is lost, and what is near throughout, as a group of copies mostly is, costs a check for
 each set. Whatever belongs to a whole key is joined by the key and one of several parts of it, so a hot key is many tasks'
 work. Checks compare whole sets, word by word: hashes only say which words to compare.
 """
@@ -334,18 +334,16 @@ def _apart(members: DataFrame, connected: DataFrame, parts: int) -> DataFrame:
 
 
 def _clustered(left: DataFrame, parts: int) -> DataFrame:
-    """grp, id, component, inside: keys that share a set outside their largest component are one, so each set comes once.
+    """grp, id, component, inside: keys whose first set outside their largest component is the same are one, so that a set
+    comes once for each such neighbourhood, not for each key; and a neighbourhood is no larger than the keys of one set.
     inside: in the largest component."""
 
     def largest(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("grp", "component").agg(F.count("*").alias("n"))
         return sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
 
-    outside = materialise(join_by_parts(left, largest(left), ["grp"], "id", parts).where("component <> largest").select("grp", "id"), "outside")
-    lead = outside.groupBy("grp").agg(F.min("id").alias("lead"))
-    joined = components(join_by_parts(outside, lead, ["grp"], "id", parts).select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    of_grp = lead.join(joined.select(F.col("id").alias("lead"), F.col("component").alias("cluster")), "lead", "left").select("grp", F.coalesce("cluster", "lead").alias("cluster"))
-    merged = materialise(join_by_parts(left, of_grp, ["grp"], "id", parts).select(F.col("cluster").alias("grp"), "id", "component").distinct(), "clusters")
+    lead = join_by_parts(left, largest(left), ["grp"], "id", parts).where("component <> largest").groupBy("grp").agg(F.min("id").alias("lead"))
+    merged = materialise(join_by_parts(left, lead, ["grp"], "id", parts).select(F.col("lead").alias("grp"), "id", "component").distinct(), "clusters")
     return join_by_parts(merged, largest(merged), ["grp"], "id", parts).select("grp", "id", "component", (F.col("component") == F.col("largest")).alias("inside"))
 
 

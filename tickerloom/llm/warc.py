@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import shared_dir, table, trim
+from tickerloom.llm.common import new_folder, table, trim
 
 #: Fixed values of the two formats: the version blocks' second lines, and the profile of revisits.
 FIELDS = {
@@ -239,7 +239,7 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = archive_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/op6-{uuid.uuid4().hex}")
+    back = archive_pages(table(spark, sf_dir, "pages"), new_folder(spark, "op6"))
     return back.select(
         page_of("target_uri").alias("page_id"),
         "payload_bytes",
