@@ -73,14 +73,65 @@ def test_pairwise_fit():
     x = rng.normal(size=(60, 4))
     rank = np.argsort(np.argsort(-(x @ np.array([2.0, 1.0, 0.0, 0.0])))) + 1
     w = calibrate.fit_pairwise(x, rank, 0.01)
-    assert w[0] > w[1] > 0.3 and w[2:].max() < 0.2 and calibrate.inversions(x @ w, rank) < 0.05
+    assert w[0] > w[1] > 0.3 and w[2:].max() < 0.2 and R.metrics_of(rank, x @ w)[0] < 0.05
     # at the bounds the gradient points outward, inside it vanishes
     i, j = np.triu_indices(60, 1)
     swap = rank[i] > rank[j]
     d = x[np.where(swap, j, i)] - x[np.where(swap, i, j)]
     g = -(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 0.01 + 2 * calibrate.RIDGE * w
     assert all(abs(a) < 5e-3 if 0 < b < calibrate.MOST else a > -5e-3 if b == 0 else a < 5e-3 for a, b in zip(g, w))
-    assert calibrate.pruned(["a", "b", "c"], np.array([[1, 0.99, 0], [0.99, 1, 0], [0, 0, 1]]), np.array([0.5, 0.6, 0.1])) == ["b", "c"]
+    z = np.column_stack([x[:, 0] + 0.05 * x[:, 2], x[:, 0], x[:, 1], np.ones(60)])
+    assert calibrate.pruned(z, rank) in ([0, 2], [1, 2])  # one of two that are nearly the same, and no constant
+    model = calibrate.fit_model(np.where(x > 3, np.nan, x), rank, ["a", "b", "c", "d"], np.ones(4), "monotone_gam", 0.01)
+    assert R.metrics_of(rank, model(x))[0] < 0.1 and len(model.weights) <= calibrate.TERMS
+
+
+def test_rank_metrics_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 60):
+        score, rank = rng.integers(0, n + 1, n).astype(float), rng.permutation(n) + 1
+        inversion, error, rho = R.metrics_of(rank, score)
+        if n < 2:
+            assert (inversion, error, rho) == (0, 0, 1)
+            continue
+        order = np.argsort(rank)
+        s, model = score[order], np.empty(n)
+        model[np.argsort(-s, kind="stable")] = np.arange(1, n + 1)
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+        assert inversion == pytest.approx(np.mean([s[i] < s[j] for i, j in pairs]))
+        assert error == pytest.approx(np.mean([abs((j - i) - (model[j] - model[i])) for i, j in pairs]))
+        assert rho == pytest.approx(np.corrcoef(np.arange(n), model)[0, 1])
+    rows = spark.createDataFrame([("a", 1, 1.0), ("b", 2, None), ("c", 30, 0.5)], "symbol string, true_rank int, score double")
+    assert R.rank_metrics(rows).first()[:] == (0.0, 0.0 + abs(29 - 1), 1.0)
+    assert R.rank_metrics(rows.where("false")).count() == 0
+
+
+def test_nested_validation_finds_what_ranks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    features = spark.createDataFrame([(f"s{k:02}", *map(float, r)) for k, r in enumerate(x)], "symbol string, f double, g double, h double")
+    ranking = spark.createDataFrame([(f"s{k:02}", int(r) + 1) for r, k in enumerate(np.argsort(-x[:, 0]))], "symbol string, true_rank int")
+    found = calibrate.nested_validation(features, ranking, {"f": 1, "g": 1, "h": -1}, repeats=1)
+    summary = calibrate.validation_summary(found)
+    rows = {r.kind: r for r in summary.collect()}
+    assert set(rows) == set(calibrate.DESIGNS) and all(r.splits == 5 and r.inversion_median < 0.1 for r in rows.values())
+    assert calibrate.chosen_kind(summary, band=1.0).first().kind == "sparse_linear"
+
+
+def test_legacy_sweep_is_the_score_of_each_set(spark):
+    from tickerloom.operators import score as S
+
+    rng = np.random.default_rng(9)
+    rows = [(f"s{k:02}", *map(float, rng.normal(0.1, 0.2, len(S.LEGACY_COLUMNS)))) for k in range(30)]
+    features = spark.createDataFrame(rows, "symbol string, " + ", ".join(f"{c} double" for c in S.LEGACY_COLUMNS))
+    sets = [S.LegacyParams(), S.LegacyParams().jittered(np.random.default_rng(1)), S.LegacyParams().with_values(vol_q_pct=50.0)]
+    swept = {(r.param_id, r.symbol): r.score for r in S.legacy_sweep(features, sets).collect()}
+    for k, q in enumerate(sets):
+        for r in S.legacy_score(features, q=q).collect():
+            assert swept[k, r.symbol] == pytest.approx(r.legacy_fms, abs=1e-9)
+    ranking = features.select("symbol").orderBy("symbol").withColumn("true_rank", F.substring("symbol", 2, 2).cast("int") + 1)
+    found = calibrate.legacy_search(features, ranking, sets).collect()
+    assert len(found) == 3 and not [r for r in found if r.param_id == 0][0].dominates
 
 
 def test_validation_and_variants(spark):
@@ -99,7 +150,10 @@ def test_validation_and_variants(spark):
     variants = calibrate.label_variants(ranking, [("s00", "s01")]).groupBy("variant").agg(F.countDistinct("symbol").alias("n")).collect()
     assert {(r.variant, r.n) for r in variants} == {(0, 24), (1, 24)}
     family = FAMILIES["product_confirmation"]
-    assert calibrate.parameter_sets(spark, family, 5, 1).count() == 5
+    rows = calibrate.parameter_sets(spark, family, 50, 1).collect()
+    assert len(rows) == 50 and all(lo <= r[f"q_{k}"] <= hi for r in rows for k, (lo, hi) in (family.even | family.logarithmic).items())
+    with pytest.raises(ValueError):
+        calibrate.label_variants(ranking, [("s00", "s01")] * 13)
 
 
 def test_cache(spark):

@@ -62,17 +62,16 @@ def _moments(y: Column) -> Column:
     return let(y, lambda y: let(mean(y), lambda m: about(y, m)))
 
 
-def line_fit(y: Column) -> tuple[Column, Column]:
-    """(slope, R2) of y on 0, 1, 2, ...; a flat or single value: 0 and 1; none: NULL."""
+def line(y: Column) -> Column:
+    """A struct of slope and fit (R2) of y on 0, 1, 2, ...; a flat or single value: 0 and 1; none: NULLs."""
 
-    def slope(s: Column) -> Column:
-        return F.when(s["n"] > 1, s["sxy"] / F.when(s["n"] > 1, s["sxx"])).otherwise(F.when(s["n"] == 1, 0.0))
+    def of(s: Column) -> Column:
+        two, some = s["n"] > 1, (s["n"] > 1) & (s["syy"] > 0)
+        slope = F.when(two, s["sxy"] / F.when(two, s["sxx"])).otherwise(F.when(s["n"] == 1, 0.0))
+        fit = F.when(some, s["sxy"] * s["sxy"] / F.when(some, s["sxx"] * s["syy"])).otherwise(F.when(s["n"] > 0, 1.0))
+        return F.struct(slope.alias("slope"), fit.alias("fit"))
 
-    def fit(s: Column) -> Column:
-        some = (s["n"] > 1) & (s["syy"] > 0)
-        return F.when(some, s["sxy"] * s["sxy"] / F.when(some, s["sxx"] * s["syy"])).otherwise(F.when(s["n"] > 0, 1.0))
-
-    return let(_moments(y), slope), let(_moments(y), fit)
+    return let(_moments(y), of)
 
 
 def ema(a: Column, days: int) -> Column:

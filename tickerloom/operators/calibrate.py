@@ -6,6 +6,7 @@ resamples and variants: each is a group of its own, scored or fitted by Spark in
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.operators.ranking import metrics_of, rank_metrics
-from tickerloom.operators.score import Family
+from tickerloom.operators.score import VOLATILITY, Family, LegacyParams, legacy_sweep
 
 #: Weights' bounds, ridge, steps of the fit; terms kept, and the least weight of one; the penalties that are tried.
 MOST, RIDGE, STEPS, TERMS, LEAST, L1_GRID = 6.0, 0.002, 400, 10, 1e-4, (0.01, 0.03, 0.07, 0.15)
@@ -64,6 +65,25 @@ def refine(features: DataFrame, ranking: DataFrame, family: Family, start: dict[
     return best
 
 
+def legacy_weights(n: int = 1500, seed: int = 20260311) -> list[LegacyParams]:
+    """The archived score's parameters, then n sets around them."""
+    rng = np.random.default_rng(seed)
+    return [LegacyParams(), *[LegacyParams().jittered(rng) for _ in range(n)]]
+
+
+def legacy_volatility() -> list[LegacyParams]:
+    """The archived score's parameters, then every combination of volatility's three."""
+    return [LegacyParams(), *[LegacyParams().with_values(**dict(zip(VOLATILITY, x))) for x in itertools.product(*VOLATILITY.values())]]
+
+
+def legacy_search(features: DataFrame, ranking: DataFrame, sets: list[LegacyParams]) -> DataFrame:
+    """param_id, inversion, pair_error, rho, dominates (better than set 0 in all three) of each set of parameters."""
+    found = rank_metrics(legacy_sweep(features, sets).join(ranking.select("symbol", "true_rank"), "symbol"), ("param_id",))
+    base = found.where("param_id = 0").select(*[F.col(c).alias(f"_{c}") for c in ("inversion", "rho", "pair_error")])
+    better = (F.col("inversion") < F.col("_inversion")) & (F.col("rho") > F.col("_rho")) & (F.col("pair_error") < F.col("_pair_error"))
+    return found.crossJoin(F.broadcast(base)).select(*found.columns, better.alias("dominates"))  # one row
+
+
 def base_columns(features: DataFrame, columns: list[str], least: int = LEAST_VALUES) -> list[str]:
     """The columns with so many values or more."""
     counts = features.agg(*[F.count(c).alias(c) for c in columns]).first()  # one row
@@ -203,7 +223,7 @@ def stratified(rank: np.ndarray, rng: np.random.Generator, k: int) -> np.ndarray
 
 
 def _fits(rows: DataFrame, by: list[str], schema: str, run: Callable) -> DataFrame:
-    def one(key, group: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key, *row) for row in run(key, group.sort_values("symbol"))], columns=names)
 
     names = [f.split()[0] for f in schema.split(", ")]

@@ -65,10 +65,6 @@ def bars(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
     return at_lag(gathered(panel, by), F.lit(0)).drop("n_rows")
 
 
-def _fit(y: Column, n: int) -> tuple[Column, Column]:
-    return A.line_fit(A.tail(y, n))
-
-
 def _rms(r: Column, n: int, keep) -> Column:
     some = A.tail(r, n)
     return F.when(F.size(some) > 0, F.sqrt(A.mean(F.transform(some, lambda x: keep(x) * keep(x)))) * YEAR)
@@ -86,19 +82,18 @@ def full_returns() -> dict[str, Column]:
     recent = A.tail(full, 63)
     logs = F.transform(recent, lambda x: F.ln(x))
     flat = F.array_max(recent) == F.array_min(recent)
-    out["r2_3m"] = F.when(F.size(full) >= 63, F.when(flat, 0.0).otherwise(A.line_fit(logs)[1]))
+    out["r2_3m"] = F.when(F.size(full) >= 63, F.when(flat, 0.0).otherwise(A.line(logs)["fit"]))
     changes = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: A.back(full, i) / A.back(full, i + 1) - 1)
     out["vol20_ann"] = F.when(F.size(full) > 20, F.sqrt(A.variance(F.when(F.size(full) > 20, changes), 1)) * YEAR)
     return out
 
 
-def trend(lp: Column = None) -> dict[str, Column]:
-    lp = F.col("lp")
-    n, out = F.size("p"), {}
+def trend() -> dict[str, Column]:
+    lp, n, out = F.col("lp"), F.size("p"), {}
     for k in (3, 5, 10, 21):
         out[f"r_{k}d_log"] = A.back(lp, 0) - A.back(lp, k)
     for k in (10, 15, 21):
-        slope, fit = _fit(lp, k)
+        slope, fit = F.col(f"line_{k}.slope"), F.col(f"line_{k}.fit")
         out |= {f"log_slope_{k}d": slope, f"trend_r2_{k}d": fit, f"trend_quality_{k}d": slope * fit}
     out["recovery_3d_vs_prior7"] = F.when(n > 10, (A.back(lp, 0) - A.back(lp, 3)) / 3 - (A.back(lp, 3) - A.back(lp, 10)) / 7)
     out["recent_3d_vs_21d_trend"] = (A.back(lp, 0) - A.back(lp, 3)) / 3 - out["log_slope_21d"]
@@ -111,9 +106,8 @@ BELOW = 1 - 1e-12
 
 
 def averages() -> dict[str, Column]:
-    n, le = F.size("p"), F.transform("e20", lambda x: F.ln(x))
-    slope3, slope10 = _fit(le, 4)[0], _fit(le, 10)[0]
-    earlier = A.line_fit(A.span(le, n - 20, F.lit(10)))[0]
+    n = F.size("p")
+    slope3, slope10, earlier = F.col("e_line_4.slope"), F.col("e_line_10.slope"), A.line(A.span(F.col("le"), n - 20, F.lit(10)))["slope"]
     gap = F.transform(F.zip_with("p", "e20", lambda p, e: F.when(p < e * BELOW, p / e - 1)), lambda x: x)
     recent = F.slice(gap, F.greatest(n - 59, F.lit(1)), F.lit(60))
     below = F.filter(recent, lambda x: x.isNotNull())
@@ -186,7 +180,7 @@ def segments() -> dict[str, Column]:
     for name in ("0_5", "5_21", "21_63"):
         far, near = _segment(*SEGMENTS[name])
         points = A.span(F.col("lp"), n - 1 - far, far - near + 1)
-        out[f"seg_slope_{name}"] = F.when(far - near >= 2, A.line_fit(points)[0])
+        out[f"seg_slope_{name}"] = F.when(far - near >= 2, A.line(points)["slope"])
         some = A.span(r, n - 1 - far, far - near)
         out[f"seg_vol_{name}"] = F.when(far - near >= 2, F.sqrt(A.variance(some)) * YEAR)
     support = out["seg_ret_21_63"]
@@ -200,16 +194,23 @@ def segments() -> dict[str, Column]:
     return out
 
 
-def visible(gathered: DataFrame) -> DataFrame:
-    """gathered and the arrays that several features share: lp, r, e20, e50, top."""
-    logs = gathered.withColumn("lp", F.transform("p", lambda x: F.ln(x)))
-    return logs.withColumns({"r": A.diffs(F.col("lp")), "e20": A.ema(F.col("p"), 20), "e50": A.ema(F.col("p"), 50), "top": A.running_max(F.col("p"))})
+def visible(found: DataFrame) -> DataFrame:
+    """found and what several features share, each worked out once: the arrays lp, r, e20, le, e50, top, and lines through the
+    ends of lp and le."""
+    logs = found.withColumns({"lp": F.transform("p", lambda x: F.ln(x)), "e20": A.ema(F.col("p"), 20), "e50": A.ema(F.col("p"), 50), "top": A.running_max(F.col("p"))})
+    more = logs.withColumns({"r": A.diffs(F.col("lp")), "le": F.transform("e20", lambda x: F.ln(x))})
+    lines = {f"line_{k}": A.line(A.tail(F.col("lp"), k)) for k in (10, 15, 21)} | {f"e_line_{k}": A.line(A.tail(F.col("le"), k)) for k in (4, 10)}
+    return more.withColumns(lines)
+
+
+def _finite(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return df.select(*keys, *[finite(F.col(c)).alias(c) for c in df.columns if c not in keys])
 
 
 def features_of(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The keys and every feature of rows with p, full and year_base. What isn't read of them isn't worked out."""
     every = full_returns() | trend() | averages() | streaks() | paths() | segments()
-    made = visible(found).select(*keys, *[finite(c.cast("double")).alias(k) for k, c in every.items()])
+    made = _finite(visible(found).select(*keys, *[c.cast("double").alias(k) for k, c in every.items()]), keys)
     run = F.greatest("seg_ret_21_63", F.lit(0.0)) * F.greatest(0.02 - F.coalesce("seg_ret_0_5", F.lit(0.0)), F.lit(0.0))
     stale = F.when(F.col("stale_age").isNotNull() & F.col("seg_ret_21_63").isNotNull(), F.col("stale_age") * run)
     return made.withColumns({"stale_after_run": stale, "above_ema50": F.col("price_vs_ema50")})
@@ -238,17 +239,19 @@ def short_horizon(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
             lambda e: F.struct(e.alias("ema"), F.when(x < e * BELOW, s["run"] + 1).otherwise(0).alias("run"), F.array_append(_last(s["last"], 9), e).alias("last")),
         ),
     )
-    found = series.withColumn("fold", folded).withColumn("lp", F.transform(_last(F.col("p"), 64), lambda x: F.ln(x))).withColumn("r", A.diffs(F.col("lp")))
-    n, lp, r, le = F.size("p"), F.col("lp"), F.col("r"), F.transform("fold.last", lambda e: F.ln(e))
+    found = series.withColumn("fold", folded).withColumn("lp", F.transform(_last(F.col("p"), 64), lambda x: F.ln(x)))
+    lines = {f"line_{k}": A.line(A.tail(F.col("lp"), k)) for k in (10, 15, 20)} | {f"e_line_{k}": A.line(A.tail(F.transform("fold.last", lambda e: F.ln(e)), k)) for k in (4, 10)}
+    found = found.withColumns(lines | {"r": A.diffs(F.col("lp"))})
+    n, lp, r = F.size("p"), F.col("lp"), F.col("r")
     out: dict[str, Column] = {}
     for k in (10, 15, 20):
-        slope, fit = _fit(lp, k)
+        slope, fit = F.col(f"line_{k}.slope"), F.col(f"line_{k}.fit")
         enough = lambda x, k=k: F.when(n >= k, x)
         out |= {f"log_slope_{k}d": enough(slope), f"trend_r2_{k}d": enough(fit), f"trend_quality_{k}d": enough(slope * fit)}
     out["r_3d_log"] = A.back(lp, 0) - A.back(lp, 3)
     out["recovery_3d_vs_prior7"] = F.when(n > 10, out["r_3d_log"] / 3 - (A.back(lp, 3) - A.back(lp, 10)) / 7)
-    out["ema20_slope_3d"] = F.when(n >= 4, _fit(le, 4)[0])
-    out["ema20_accel_3d_vs_10d"] = F.when(n >= 10, _fit(le, 4)[0] - _fit(le, 10)[0])
+    out["ema20_slope_3d"] = F.when(n >= 4, F.col("e_line_4.slope"))
+    out["ema20_accel_3d_vs_10d"] = F.when(n >= 10, F.col("e_line_4.slope") - F.col("e_line_10.slope"))
     out["price_vs_ema20"] = F.when(n > 0, ratio(A.back(F.col("p"), 0), F.col("fold.ema")) - 1)
     out["under_ema20_streak"] = F.when(n > 0, F.col("fold.run"))
     for k in (10, 15, 20):
@@ -263,4 +266,4 @@ def short_horizon(panel: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
     at = F.when(F.size(early) > 0, A.first_at(early, F.array_max(early)) + 3)
     out["post_spike_stall_3m"] = F.when(n >= 64, F.greatest(F.array_max(early), F.lit(0.0)) * F.greatest(F.get(lp, at.cast("int")) - A.back(lp, 0), F.lit(0.0)))
     out["stale_age"] = _stale_age(A.tail(F.col("p"), 21), r, n)
-    return found.select(*by, *[finite(c.cast("double")).alias(k) for k, c in out.items()])
+    return _finite(found.select(*by, *[c.cast("double").alias(k) for k, c in out.items()]), by)

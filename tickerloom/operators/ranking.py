@@ -75,7 +75,7 @@ def rank_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name in by] + ["inversion double", "pair_error double", "rho double"])
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key[: len(by)], *metrics_of(rows["true_rank"].to_numpy(), rows["score"].to_numpy()))], columns=[*by, "inversion", "pair_error", "rho"])
 
     found = named.groupBy(*keys).applyInPandas(one, schema)

@@ -188,25 +188,46 @@ class LegacyParams:
         return replace(self, **values)
 
 
-def _legacy_terms(q: LegacyParams) -> dict[str, Column]:
-    """What is made a z-score of, by term, but for volatility: its cap is the reference's."""
+    def columns(self) -> dict[str, float]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def jittered(self, rng: np.random.Generator) -> LegacyParams:
+        """Weights multiplied by noise within their bounds, widths and hurdles drawn evenly."""
+        moved = {k: float(np.clip(getattr(self, k) * np.exp(rng.normal(0.0, sd)), lo, hi)) for k, (sd, lo, hi) in JITTER.items()}
+        return replace(self, **moved, **{k: float(rng.uniform(lo, hi)) for k, (lo, hi) in EVEN.items()})
+
+
+#: Fixed values of the archived score's search: of each weight the deviation of its logarithm, and its bounds; ranges of the
+#: rest; the values of volatility's three that are tried.
+JITTER = {
+    "w_r3": (0.15, 0.15, 0.80), "w_r4": (0.15, 0.10, 0.70), "w_r2": (0.15, 0.10, 0.90), "w_ema": (0.20, 0.05, 0.60), "w_ema_shape": (0.20, 0.05, 0.60),
+    "w_recent": (0.20, 0.00, 0.60), "w_r1_pos": (0.25, 0.00, 0.40), "w_dd": (0.15, 0.10, 0.80), "w_vol": (0.15, 0.05, 0.70), "w_r1_neg": (0.25, 0.00, 0.40),
+    "w_break": (0.20, 0.00, 0.60), "w_down5": (0.20, 0.00, 0.60), "w_under_depth": (0.20, 0.00, 0.60), "w_under_days": (0.20, 0.00, 0.60),
+}
+EVEN = {"r2_transition_w": (0.005, 0.05), "gate_r3_w": (0.005, 0.03), "gate_r4_w": (0.005, 0.04), "level_r3_hi": (0.10, 0.25), "level_r4_hi": (0.18, 0.60), "r2_floor": (0.60, 0.90)}
+VOLATILITY = {"vol_q_pct": (50.0, 55.0, 60.0, 65.0, 70.0), "vol_hard_power": (1.5, 1.75, 2.0, 2.25, 2.5), "vol_hard_scale": (0.25, 0.5, 0.75, 1.0, 1.25)}
+
+
+def _legacy_terms(q: Params) -> dict[str, Column]:
+    """What is made a z-score of, by term; the cap of volatility is a column _cap."""
     r3, r4, r1, r10, slope, curve = (F.col(c) for c in ("r_3m", "r_4m", "r_1m", "r_10d", "ema20_slope_10d", "ema20_curv_20d"))
-    fit, fall = clip(F.col("r2_3m"), 0.0, 1.0), clip(-F.col("max_dd_pct"), 0.0)
-    around = lambda x, centre, width: smoothstep(x, centre - width, centre + width)
-    gate = around(r3, GATE_R3M, q.gate_r3_w) * around(r4, GATE_R4M, q.gate_r4_w)
-    level = smoothstep(r3, GATE_R3M, q.level_r3_hi) * smoothstep(r4, GATE_R4M, q.level_r4_hi)
-    steps = 0.2 + 0.4 * around(fit, 0.70, q.r2_transition_w) + 0.6 * around(fit, 0.90, q.r2_transition_w)
+    fit, fall, vol = clip(F.col("r2_3m"), 0.0, 1.0), clip(-F.col("max_dd_pct"), 0.0), clip(F.col("vol20_ann"), 0.0)
+    around = lambda x, centre, width: _step(x, F.lit(centre) - width, F.lit(centre) + width)
+    gate = around(r3, GATE_R3M, q["gate_r3_w"]) * around(r4, GATE_R4M, q["gate_r4_w"])
+    level = _step(r3, GATE_R3M, q["level_r3_hi"]) * _step(r4, GATE_R4M, q["level_r4_hi"])
+    steps = 0.2 + 0.4 * around(fit, 0.70, q["r2_transition_w"]) + 0.6 * around(fit, 0.90, q["r2_transition_w"])
     strong = F.coalesce((r3 > STRONG_R3M) & (r4 > STRONG_R4M), F.lit(False))
-    quality = around(fit, QUALITY_CENTRE, q.r2_transition_w) * F.when(strong, 1.0).otherwise(0.0)
+    quality = around(fit, QUALITY_CENTRE, q["r2_transition_w"]) * F.when(strong, 1.0).otherwise(0.0)
     goes_on = F.coalesce((r10 > 0) & (slope > 0), F.lit(False))
     over = clip(fall - DRAWDOWN_CAP, 0.0)
     return {
         "r3": r3,
         "r4": r4,
-        "r2": steps * fit * gate * (q.r2_floor + (1.0 - q.r2_floor) * level),
+        "r2": steps * fit * gate * (q["r2_floor"] + (1.0 - q["r2_floor"]) * level),
         "ema": F.col("above_ema50"),
         "r1_pos": r1 * quality,
         "dd": clip(fall, None, DRAWDOWN_CAP) + over * over / 70.0,
+        "vol": F.when(vol.isNotNull(), F.least(vol, F.col("_cap")) + q["vol_hard_scale"] * F.pow(F.greatest(vol - F.col("_cap"), F.lit(0.0)), q["vol_hard_power"])),
         "r1_neg": F.when((quality < QUALITY_FLOOR) & (r1 > STRONG_R1M) & ~goes_on, r1).otherwise(0.0),
         "slope": slope,
         "curve_reward": clip(-curve, 0.0),
@@ -223,35 +244,61 @@ def _legacy_terms(q: LegacyParams) -> dict[str, Column]:
 OF_REFERENCE = ("r3", "r4", "r2", "ema", "r1_pos", "dd", "vol", "r1_neg")
 
 
-def legacy_score(features: DataFrame, reference: DataFrame | None = None, q: LegacyParams = LegacyParams()) -> DataFrame:
-    """features and legacy_fms: z-scored returns, gated fit, averages and recent moves, less drawdown, volatility over the
-    reference's percentile, spikes, breaks and weakness. NULL where a feature is. Without a reference, features are it."""
-    terms = _legacy_terms(q)
-    known = features if reference is None else reference
-    cap = known.agg(F.percentile(clip(F.col("vol20_ann"), 0.0), q.vol_q_pct / 100.0).alias("_ref")).crossJoin(F.broadcast(features.agg(F.percentile(clip(F.col("vol20_ann"), 0.0), q.vol_q_pct / 100.0).alias("_own"))))
-    cap = cap.select(F.coalesce("_ref", "_own", F.lit(0.0)).alias("_cap"))  # one row
+def _caps(df: DataFrame, percentiles: list[float], name: str) -> DataFrame:
+    """One row: name, a map of volatility's percentiles."""
+    v = clip(F.col("vol20_ann"), 0.0)
+    return df.agg(F.create_map(*[x for p in percentiles for x in (F.lit(p), F.percentile(v, p / 100.0))]).alias(name))
+
+
+def _legacy(features: DataFrame, reference: DataFrame | None, q: Params, percentiles: list[float], by: tuple[str, ...]) -> DataFrame:
+    """features and legacy_fms; by are columns of sets of parameters, each compared within itself."""
+    caps = _caps(features if reference is None else reference, percentiles, "_ref").crossJoin(F.broadcast(_caps(features, percentiles, "_own")))  # one row each
+    at = F.lit(q["vol_q_pct"]) if not isinstance(q["vol_q_pct"], Column) else q["vol_q_pct"]
+    cap = F.coalesce(F.try_element_at("_ref", at), F.try_element_at("_own", at), F.lit(0.0))
+    names = list(_legacy_terms(q))
 
     def derived(df: DataFrame) -> DataFrame:
-        vol = clip(F.col("vol20_ann"), 0.0)
-        capped = F.when(vol.isNotNull(), F.least(vol, F.col("_cap")) + q.vol_hard_scale * F.pow(F.greatest(vol - F.col("_cap"), F.lit(0.0)), q.vol_hard_power))
-        return df.crossJoin(F.broadcast(cap)).select(*df.columns, *[c.cast("double").alias(f"_{n}") for n, c in (terms | {"vol": capped}).items()])
+        capped = df.crossJoin(F.broadcast(caps)).withColumn("_cap", cap)
+        return capped.select(*df.columns, *[c.cast("double").alias(f"_{n}") for n, c in _legacy_terms(q).items()])
+
+    def compared(df: DataFrame, to: DataFrame, some: list[str], keep: Column | None = None) -> DataFrame:
+        value = lambda n: F.col(f"_{n}") if keep is None else F.when(keep, F.col(f"_{n}"))
+        stats = to.groupBy(*by).agg(*[f(value(n)).alias(f"_{k}_{n}") for n in some for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+        return df.join(F.broadcast(stats), list(by)) if by else df.crossJoin(F.broadcast(stats))  # a row for each set of parameters
 
-    stats = lambda df, names, keep=None: df.agg(*[f(F.col(f"_{n}") if keep is None else F.when(keep, F.col(f"_{n}"))).alias(f"_{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))])
     own = derived(features)
-    peers = [n for n in terms if n not in OF_REFERENCE]
-    joined = own.crossJoin(F.broadcast(stats(own if reference is None else derived(reference), OF_REFERENCE)))
-    joined = joined.crossJoin(F.broadcast(stats(own, peers, ~F.col("disqualified") if "disqualified" in features.columns else None)))  # one row each
+    joined = compared(own, own if reference is None else derived(reference), list(OF_REFERENCE))
+    joined = compared(joined, own, [n for n in names if n not in OF_REFERENCE], ~F.col("disqualified") if "disqualified" in features.columns else None)
 
     def z(name: str) -> Column:
         spread = F.col(f"_s_{name}")
         return F.when(spread > 0, (F.col(f"_{name}") - F.col(f"_m_{name}")) / F.when(spread > 0, spread)).otherwise(F.col(f"_{name}") * 0.0)
 
-    shape = q.w_ema_slope_base * z("slope") + q.w_ema_curv_reward_base * z("curve_reward") - q.w_ema_curv_penalty_base * z("curve_penalty")
-    gain = q.w_r3 * z("r3") + q.w_r4 * z("r4") + q.w_r2 * z("r2") + q.w_ema * z("ema") + q.w_ema_shape * shape + q.w_recent * z("recent") + q.w_r1_pos * z("r1_pos")
-    loss = q.w_dd * z("dd") + q.w_vol * z("vol") + q.w_r1_neg * z("r1_neg") + q.w_break * z("break") + q.w_down5 * z("down5") + q.w_under_depth * z("under_depth") + q.w_under_days * z("under_days")
+    shape = q["w_ema_slope_base"] * z("slope") + q["w_ema_curv_reward_base"] * z("curve_reward") - q["w_ema_curv_penalty_base"] * z("curve_penalty")
+    gain = q["w_r3"] * z("r3") + q["w_r4"] * z("r4") + q["w_r2"] * z("r2") + q["w_ema"] * z("ema") + q["w_ema_shape"] * shape + q["w_recent"] * z("recent") + q["w_r1_pos"] * z("r1_pos")
+    loss = q["w_dd"] * z("dd") + q["w_vol"] * z("vol") + q["w_r1_neg"] * z("r1_neg") + q["w_break"] * z("break") + q["w_down5"] * z("down5") + q["w_under_depth"] * z("under_depth") + q["w_under_days"] * z("under_days")
     return joined.select(*features.columns, (gain - loss).alias("legacy_fms"))
 
 
+def legacy_score(features: DataFrame, reference: DataFrame | None = None, q: LegacyParams = LegacyParams()) -> DataFrame:
+    """features and legacy_fms: z-scored returns, gated fit, averages and recent moves, less drawdown, volatility over the
+    reference's percentile, spikes, breaks and weakness. NULL where a feature is. Without a reference, features are it."""
+    return _legacy(features, reference, q.columns(), [q.vol_q_pct], ())
+
+
+#: The features that the archived score reads.
+LEGACY_COLUMNS = ("r_1m", "r_3m", "r_4m", "r2_3m", "above_ema50", "vol20_ann", "max_dd_pct", "r_10d", "r_5d", "ema20_slope_10d", "ema20_curv_20d", "under_ema20_depth", "under_ema20_days", "down_streak_5d")
+
+
+def legacy_sweep(features: DataFrame, sets: list[LegacyParams]) -> DataFrame:
+    """param_id (a place in sets), symbol, score under each set of parameters, in one job."""
+    names = list(LegacyParams().columns())
+    params = features.sparkSession.createDataFrame([(k, *[float(v) for v in q.columns().values()]) for k, q in enumerate(sets)], "param_id long, " + ", ".join(f"q_{n} double" for n in names))
+    each = features.select("symbol", *LEGACY_COLUMNS).crossJoin(F.broadcast(params))  # as many rows as sets
+    found = _legacy(each, None, {n: F.col(f"q_{n}") for n in names}, sorted({q.vol_q_pct for q in sets}), ("param_id",))
+    return found.select("param_id", "symbol", F.col("legacy_fms").alias("score"))
+
+
 def _floor_gated(q: Params) -> Column:
     """Returns of three legs, gated by a floor of the absolute return and divided by jumps and staleness."""
     x = Inputs()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import calibrate as C
 from tickerloom.operators import panel as P
 from tickerloom.operators.features import features
-from tickerloom.operators.score import FAMILIES, direction
+from tickerloom.operators.score import FAMILIES, LEGACY_COLUMNS, direction
 from tickerloom.plans import inputs as I
 from tickerloom.plans.list_queries import SCORES, _scores
 
@@ -41,6 +41,21 @@ def fit_stability(spark, sf_dir):
     return I.rounded(C.stability(C.weights(C.normalised(found, DIRECTIONS), ranking, 0.01, C.RESAMPLES)))
 
 
+def legacy_weight_search(spark, sf_dir):
+    """The ten best of 1500 sets of the archived score's parameters."""
+    found = C.legacy_search(_whole(spark, sf_dir), _scores(spark, sf_dir), C.legacy_weights())
+    return I.rounded(found.orderBy("inversion", F.desc("rho"), "pair_error", "param_id").limit(10))
+
+
+def _whole(spark, sf_dir):
+    return features(P.align(P.clean(I.prices(spark, sf_dir)))).select("symbol", *LEGACY_COLUMNS).cache()
+
+
+def legacy_volatility_grid(spark, sf_dir):
+    """The archived score's metrics under each of 125 treatments of volatility."""
+    return I.rounded(C.legacy_search(_whole(spark, sf_dir), _scores(spark, sf_dir), C.legacy_volatility()))
+
+
 def weight_grid(spark, sf_dir):
     scores = _scores(spark, sf_dir).select("symbol", "true_rank", "score", (F.col("true_rank") * 37 % 11 / 10).alias("one"), (F.col("true_rank") * 53 % 7 / 10).alias("two"))
     return I.rounded(C.weight_grid(scores, "one", "two", [k / 10 for k in range(13)], [k / 10 for k in range(11)]))
@@ -61,7 +76,7 @@ def choice_accuracy(spark, sf_dir):
     return I.rounded(C.choice_accuracy(choices, scores))
 
 
-QUERIES = {f.__name__: f for f in (family_search, fit_validation, fit_stability, weight_grid, alpha_screen, label_variants, choice_accuracy)}
+QUERIES = {f.__name__: f for f in (family_search, fit_validation, fit_stability, legacy_weight_search, legacy_volatility_grid, weight_grid, alpha_screen, label_variants, choice_accuracy)}
 _SWAPPED = "symbol"
 for _k, (_a, _b) in enumerate([("1", "2"), ("2", "3"), ("4", "5")]):
     _SWAPPED = f"CASE WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_a}' THEN '{_b}' WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_b}' THEN '{_a}' ELSE ({_SWAPPED}) END"

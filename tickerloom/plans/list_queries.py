@@ -11,7 +11,9 @@ from tickerloom.operators import lists as L
 from tickerloom.operators import panel as P
 from tickerloom.operators import ranking as R
 from tickerloom.operators import score as S
+from tickerloom.operators.sorting import Session
 from tickerloom.plans import inputs as I
+from tickerloom.sources import documents as D
 
 QUERIES, ORACLE = {}, {}
 
@@ -394,3 +396,24 @@ def scan_badges(spark, sf_dir):
     s = _scores(spark, sf_dir)
     every = {"r_1m": F.col("score") - 5, "above_ema50": F.col("score") - 3, "r_3m": F.col("score") - 7, "d1": F.when(F.col("true_rank") % 3 == 0, 1.0).otherwise(-1.0), "d5": F.when(F.col("true_rank") % 4 == 0, 1.0).otherwise(0.0)}
     return H.badges(s.withColumns(every))
+
+
+@query(f"""WITH {SCORES}, k AS (SELECT count(*) AS n, greatest(round_even(count(*) * 0.2::DOUBLE, 0), 1)::BIGINT AS most FROM scores),
+b AS (SELECT symbol, true_rank, most, floor((true_rank - 1) / greatest(floor(n / most), 1)) AS bucket, sha256('20260729 ' || symbol) AS draw FROM scores, k)
+SELECT symbol, true_rank, draw = min(draw) OVER (PARTITION BY bucket) AND bucket < most AS audit FROM b""")
+def audit_split(spark, sf_dir):
+    return D.audit_split(_scores(spark, sf_dir).select("symbol", "true_rank"))
+
+
+@query(f"""WITH {SCORES}, o AS (SELECT array_to_string(list(symbol ORDER BY true_rank), chr(10)) AS r, count(*) AS n FROM scores) SELECT 's1' AS session_id, 'done' AS phase, n AS n_symbols, sha256(r) AS digest FROM o""")
+def session_documents(spark, sf_dir):
+    """A ranking made by choices that follow the true order, saved, read again and hashed."""
+    order = {r["symbol"]: r["true_rank"] for r in _scores(spark, sf_dir).select("symbol", "true_rank").collect()}  # a ranking that people made
+    one, two = Session("s1", "snap", sorted(order)), Session("s0", "snap", ["a", "b"])
+    while one.next_pair:
+        one.choose(min(one.next_pair, key=order.get))
+    folder = I.work_dir(spark, "sessions")
+    D.save_session(spark, one, folder, "2024-01-02T00:00:00")
+    D.save_session(spark, two, folder, "2024-01-03T00:00:00")
+    found = D.latest_completed(D.sessions(spark, folder))
+    return found.select("session_id", "phase", F.size("final_ranking").cast("long").alias("n_symbols"), F.sha2(F.array_join("final_ranking", "\n"), 256).alias("digest"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numbers import finite
+from tickerloom.operators.lists import first_wins
 
 PRICES = "symbol string, date date, close double"
 
@@ -49,6 +50,53 @@ class Tables:
         return self._fx
 
 
+#: The lists that make up the universe of each kind of account, the first that has a symbol counting.
+MODES = {"FREE": ("usa", "kor", "hkg"), "IRP": ("etf",)}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def purge(spark: SparkSession, path: str) -> None:
+    """Deletes a cache; nothing happens if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def read_watchlist(spark: SparkSession, path: str, default: tuple[str, ...] = ()) -> DataFrame:
+    """symbol of a saved list, or the default ones where there is none; that isn't saved."""
+    if exists(spark, path):
+        return read_list(spark, path).select("symbol")
+    return spark.createDataFrame([(s,) for s in default], "symbol string")
+
+
+def read_universe(spark: SparkSession, paths: dict[str, str], mode: str = "FREE") -> DataFrame:
+    """symbol, name, ord of the lists of a kind of account that there are files of; paths by list."""
+    found = [read_list(spark, paths[k]) for k in MODES[mode] if k in paths and exists(spark, paths[k])]
+    return first_wins(*found) if found else spark.createDataFrame([], "symbol string, name string, ord int")
+
+
+def update_list(symbols: DataFrame, path: str, now: str) -> None:
+    """write_list, and when it was done beside it (path.updated: one line of ISO time)."""
+    write_list(symbols, path)
+    symbols.sparkSession.createDataFrame([(now,)], "updated string").coalesce(1).write.mode("overwrite").text(f"{path}.updated")
+
+
+def is_fresh(spark: SparkSession, path: str, now: str, hours: float = 6.0) -> bool:
+    """Whether the list was updated less than so many hours before now (both ISO times)."""
+    if not exists(spark, f"{path}.updated"):
+        return False
+    age = (F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp(F.to_timestamp("value"))) / 3600
+    return bool(spark.read.text(f"{path}.updated").select((age < hours).alias("fresh")).first()["fresh"])
+
+
+def write_rates(fx: DataFrame, path: str) -> None:
+    """Adds rates (market, date, rate) to the cache of bars, as bars of a kind of their own."""
+    write_bars(fx.select(F.col("market").alias("symbol"), "date", F.col("rate").alias("close"), F.lit("fx").alias("kind")), path)
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """symbol, name (NULL if the file has none), ord of a CSV with a header Symbol[,Name]; in the file's order."""
     rows = spark.read.option("header", True).csv(path)
