@@ -68,6 +68,11 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, ODD).where("false")).count() == 0
 
 
+def test_tokenizers_that_keep_case_are_refused(spark):
+    with pytest.raises(ValueError):
+        words.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_packing_of_ties(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 20)
     rng = random.Random(1)

@@ -96,7 +96,16 @@ def _grouped(hist: list[tuple[int, int]], n_groups: int) -> list[_Group]:
             if not room:
                 out.append(_Group(now))
                 now, room = [], each
-    return out + ([_Group(now)] if now else [])
+    out += [_Group(now)] if now else []
+    # groups that round up to one size are one for what follows
+    merged: list[_Group] = []
+    for group in out:
+        if merged and merged[-1].size == group.size:
+            merged[-1].left += group.left
+            merged[-1].runs += group.runs
+        else:
+            merged.append(group)
+    return merged
 
 
 def _best_fill(sizes: list[tuple[int, int]], room: int) -> list[int]:
@@ -212,6 +221,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Each piece of docs (doc_id, text) with its place. Null and empty texts are a piece of the end id alone; null doc_ids
+    stay; repeated rows get pieces and places of their own, ties as pack() says; no rows: no result. Other columns aren't
+    read. The tokenizer must tell no upper from lower case and drop white space."""
     return pack(materialise(pieces_of(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity), "pieces"), capacity)
 
 

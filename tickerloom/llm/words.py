@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Words whose encodings a task keeps; when there are more, it begins anew, so memory stays bounded.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 #: Texts are handled in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 #: Tokenizers that drop white space can't have a token across ASCII white space.
