@@ -158,13 +158,32 @@ def test_validation_and_variants(spark):
 
 def test_cache(spark):
     day = dt.date(2024, 1, 10)
-    wanted = spark.createDataFrame([(c,) for c in "ABCDEF"], "symbol string")
-    cached = spark.createDataFrame([("A", "1y", 300, day), ("B", "6mo", 300, day), ("C", "1y", 300, day), ("D", "2y", 300, day), ("E", "1y", 3, day)], "symbol string, period string, n_bars int, last_date date")
-    probe = spark.createDataFrame([("A", day), ("C", day + dt.timedelta(1)), ("B", day)], "symbol string, probe_date date")
+    wanted = spark.createDataFrame([(c,) for c in "ABCDEFG"], "symbol string")
+    cached = spark.createDataFrame([("A", "1y", 180, day), ("B", "6mo", 300, day), ("C", "1y", 300, day), ("D", "2y", 300, day), ("E", "1y", 179, day), ("G", None, 200, day)], "symbol string, period string, n_bars int, last_date date")
+    probe = spark.createDataFrame([("A", day), ("C", day + dt.timedelta(1)), ("B", day), ("G", day)], "symbol string, probe_date date")
     got = C.classify(wanted, cached, probe, "1y")
-    assert {r.symbol: r.outcome for r in got.collect()} == {"A": "hit", "B": "period_miss", "C": "miss", "D": "stale_hit", "E": "period_miss", "F": "cold"}
+    assert {r.symbol: r.outcome for r in got.collect()} == {"A": "hit", "B": "period_miss", "C": "miss", "D": "stale_hit", "E": "period_miss", "F": "cold", "G": "hit"}
+    assert C.outcome_counts(got).first().asDict() == {"hits": 2, "stale_hits": 1, "misses": 1, "cold_misses": 1, "period_misses": 2, "probes": 4}
+    assert {r.symbol for r in C.classify(wanted, cached, probe, "3mo").where("outcome = 'period_miss'").collect()} == set()
     bars_ = lambda v: spark.createDataFrame([(s, v) for s in "AC"], "symbol string, v int")
     assert {(r.symbol, r.v) for r in C.refreshed(bars_(1), bars_(2), got).collect()} == {("A", 1), ("C", 2)}
+    assert [C.least_period(), C.least_period(400, 30), C.least_period(600)] == ["2y", "2y", "5y"]
+
+
+def test_fixed_tables(spark):
+    t = lambda *rows: spark.createDataFrame(rows, "t string, n string")
+    funds = t(("TQQQ", "x"), ("llyx", None), ("A", "Direxion Daily 3X"), ("A", "ProShares"), ("A", "Leverage fund"), ("ABCX", "plain"), ("KO", "Coca"), ("A", None))
+    assert [r[0] for r in funds.select(L.leveraged(F.col("t"), F.col("n"))).collect()] == [True, True, True, True, True, False, False, False]
+    tickers = lambda *x: [r.ticker for r in L.repaired(spark.createDataFrame([(v,) for v in x], "ticker string")).collect()]
+    assert tickers("MMSFT", " AA ", "IBM", "") == ["MSFT", "A", "IBM"]
+    assert tickers("MMSFT", "NVDA", "AA") == ["MMSFT", "NVDA", "AA"]
+    assert L.label_floor(" Half +10% ") == 0.10
+    L.check_labels({"perf_quarter": "Quarter Up"})
+    with pytest.raises(KeyError):
+        L.label_floor("Week Up")
+    with pytest.raises(ValueError):
+        L.check_labels({"perf_half": "Half +10%"})
+    assert L.ordered_columns(["z", "fms", "symbol", "r_1m", "a", "mom"], formula="Z(mom) + 1") == ["symbol", "fms", "mom", "r_1m", "a", "z"]
 
 
 def test_sources(spark, tmp_path):
@@ -180,9 +199,20 @@ def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0, None), ("A", dt.date(2024, 1, 1), 1.0, None), ("B", dt.date(2024, 1, 1), 1.0, 2.0)], "symbol string, date date, close double, adj_close double")
     got, missing = market.Tables(rows).prices(spark.createDataFrame([("B",), ("X",)], "symbol string"))
     assert [(r.symbol, r.close) for r in got.collect()] == [("B", 2.0)] and [r.symbol for r in missing.collect()] == ["X"]
+    assert [r.symbol for r in market.read_watchlist(spark, f"{tmp_path}/none", ("X", "Y")).collect()] == ["X", "Y"]
+    market.update_list(scan, f"{tmp_path}/updated", "2024-01-01T10:00:00")
+    assert market.is_fresh(spark, f"{tmp_path}/updated", "2024-01-01T15:59:00") and not market.is_fresh(spark, f"{tmp_path}/updated", "2024-01-01T16:01:00")
+    assert not market.is_fresh(spark, f"{tmp_path}/never", "2024-01-01T16:01:00")
+    both = market.read_universe(spark, {"usa": f"{tmp_path}/updated", "kor": f"{tmp_path}/list.csv", "hkg": f"{tmp_path}/none"})
+    assert [r.symbol for r in both.orderBy("ord").collect()] == ["A", "B"] and market.read_universe(spark, {}, "IRP").count() == 0
     kinds = rows.select("symbol", "date", "close", F.lit("adj").alias("kind"))
     market.write_bars(kinds, f"{tmp_path}/bars")
     assert market.read_bars(spark, f"{tmp_path}/bars", "adj").count() == 3
+    market.write_rates(spark.createDataFrame([("USA", dt.date(2024, 1, 1), 1300.0)], "market string, date date, rate double"), f"{tmp_path}/bars")
+    assert market.read_bars(spark, f"{tmp_path}/bars", "adj").count() == 3 and market.read_bars(spark, f"{tmp_path}/bars", "fx").count() == 1
+    market.purge(spark, f"{tmp_path}/bars")
+    assert not market.exists(spark, f"{tmp_path}/bars")
+    market.purge(spark, f"{tmp_path}/bars")
 
 
 def test_streamed_bars(spark, tmp_path):

@@ -12,6 +12,12 @@ PERIOD_BARS = {"6mo": 80, "1y": 180, "2y": 360, "5y": 900, "10y": 1800, "max": 1
 SCAN_PERIOD = {"3M": "6mo", "6M": "1y", "1Y": "2y", "2Y": "5y", "5Y": "10y"}
 
 
+def least_period(window: int = 63, tail: int = 10) -> str:
+    """The period that every feature of a scan and a chart with window and tail has enough bars in, with a tenth to spare."""
+    bars = int(max(68, 63, 84, window + tail, 252) * 1.1)
+    return "1y" if bars <= 252 else "2y" if bars <= 504 else "5y"
+
+
 def period_rank(period: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in PERIOD_RANK.items() for x in kv]), F.lower(F.trim(period)))
 
