@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm import words
-from tickerloom.llm.common import table
+from tickerloom.llm.common import table, unzipped, zipped
 
 BLOCK_CHARS, BUCKET_WORDS = 20_000_000, 200_000
 #: Characters of a block that are joined back at once.
@@ -79,15 +79,6 @@ def _pattern(tokenizer: str) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
 
-def _zipped(text: str) -> bytes:
-    data = text.encode("utf-8", "surrogatepass")
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(data, asbytes=True)
-
-
-def _unzipped(data: bytes) -> str:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
-
-
 def _blocks(batches):
     """(block, doc_ids, texts) of a task's rows."""
     block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -109,7 +100,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     def gather(batches):
         for block, ids, texts in _blocks(batches):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([_zipped("".join(texts))], pa.binary())],
+                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([zipped("".join(texts), 6)], pa.binary())],
                 names=["block", "doc_ids", "sizes", "data"],
             )
 
@@ -125,7 +116,7 @@ def _words(docs: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
             by: list[list[str]] = [[] for _ in range(buckets)]
             for word in {w for text in texts for w in split_words(text, special)}:
                 by[xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
-            rows = [(block, k, _zipped(json.dumps(sorted(some), ensure_ascii=False, separators=(",", ":")))) for k, some in enumerate(by) if some]
+            rows = [(block, k, zipped(json.dumps(sorted(some), ensure_ascii=False, separators=(",", ":")), 6)) for k, some in enumerate(by) if some]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "words"])
 
@@ -137,7 +128,7 @@ def _encode(split: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(bucket: pa.Table) -> pa.Table:
         distinct = _Numbers()  # this bucket's part of the table of distinct words
-        held = [np.fromiter(map(distinct.__getitem__, json.loads(_unzipped(x.as_py()))), np.int64) for x in bucket["words"]]
+        held = [np.fromiter(map(distinct.__getitem__, json.loads(unzipped(x.as_py()))), np.int64) for x in bucket["words"]]
         texts, encoded = list(distinct), []
         for at in range(0, len(texts), 20_000):
             encoded += words.encode_words(tokenizer, texts[at : at + 20_000])
@@ -216,11 +207,11 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, digests: boo
     def join_back(block: pa.Table, encoded: pa.Table) -> pa.Table:
         known = _Known(tokenizer, digests)
         for some, lengths, ids, n in zip(*(encoded[c].to_pylist() for c in ("words", "lengths", "ids", "n"))):
-            some = json.loads(_unzipped(some))
+            some = json.loads(unzipped(some))
             known.add(some, np.split(_unpacked(ids, n), np.cumsum(_unpacked(lengths, len(some)), dtype=np.int64)[:-1]))
         special, tables = _pattern(tokenizer), []
         for ids, sizes, data in zip(*(block[c].to_pylist() for c in ("doc_ids", "sizes", "data"))):
-            texts, ends = _unzipped(data), np.cumsum(sizes).tolist()
+            texts, ends = unzipped(data), np.cumsum(sizes).tolist()
             for some in _shares(ends):
                 split = [split_words(texts[ends[k] - sizes[k] : ends[k]], special) for k in some]
                 tables.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip([[ids[k] for k in some], *known.columns(split)], types)], names=names))

@@ -23,6 +23,16 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def zipped(text: str, level: int = 3) -> bytes:
+    """The whole text, compressed, after its length in bytes."""
+    data = text.encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", level).compress(data, asbytes=True)
+
+
+def unzipped(data: bytes) -> str:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs
     inside one process (tests), a temporary folder of this machine."""

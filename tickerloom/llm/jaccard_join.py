@@ -34,16 +34,15 @@ work. Checks compare whole sets, word by word: hashes only say which words to co
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import forget, join_by_parts, materialise, table, text_of, trim
+from tickerloom.llm.common import forget, join_by_parts, materialise, table, text_of, trim, unzipped, zipped
 from tickerloom.llm.components import components
-from tickerloom.llm.shingles import Shingles, mix, near, shingle_sets, shingles, words_of
+from tickerloom.llm.shingles import maybe_near, mix, near, shingle_sets, shingles, words_of
 
 PAIRS_UP_TO, BLOCK = 12, 512
 BAND = 4
@@ -279,16 +278,12 @@ def _candidates(packed: pa.Table) -> pa.Table:
     return pa.concat_tables([pairs, many])
 
 
-def _unzipped(z: bytes) -> str:
-    return zlib.decompress(z).decode("utf-8", "surrogatepass")
-
-
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """doc_id, z: the compressed whole texts of the documents in needed."""
 
     def compress(batches):
         for batch in batches:
-            found = [zlib.compress((x or "").encode("utf-8", "surrogatepass"), 6) for x in batch.column(1).to_pylist()]
+            found = [zipped(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "z"])
         trim()
 
@@ -300,15 +295,19 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) of doc_ids, those whose sets are similar; by the whole sets."""
 
     def check(batches):
-        held: dict[bytes, Shingles] = {}
+        held: dict[bytes, np.ndarray] = {}  # the last pairs' sets
         for batch in batches:
             one, two = (batch.column(k).to_pylist() for k in (2, 3))
             for at in range(0, len(one), CHECKED):
                 some = [*dict.fromkeys(one[at : at + CHECKED] + two[at : at + CHECKED])]
                 new = [z for z in some if z not in held]
                 held = {z: held[z] for z in some if z in held}
-                held |= zip(new, shingles(map(_unzipped, new)))
-                good = [near(held[x], held[y]) for x, y in zip(one[at : at + CHECKED], two[at : at + CHECKED])]
+                held |= zip(new, shingle_sets(map(unzipped, new)))
+                # hashes find few pairs too many, and none too few unless a text's own hashes clash; words decide on these
+                good = [maybe_near(held[x], held[y]) for x, y in zip(one[at : at + CHECKED], two[at : at + CHECKED])]
+                left = [*dict.fromkeys(z for x, y, g in zip(one[at : at + CHECKED], two[at : at + CHECKED], good) if g for z in (x, y))]
+                whole = dict(zip(left, shingles(map(unzipped, left))))
+                good = [g and near(whole[x], whole[y]) for x, y, g in zip(one[at : at + CHECKED], two[at : at + CHECKED], good)]
                 yield pa.RecordBatch.from_arrays([c.slice(at, CHECKED) for c in batch.columns[:2]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
         del held
         trim()
@@ -364,7 +363,7 @@ def _within(left: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     def compare(rows: pa.Table) -> pa.Table:
         kind, i, j = (rows[c][0].as_py() for c in ("kind", "i", "j"))
         ids, component, own, inside = (rows[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "own", "inside"))
-        sets = list(shingles(map(_unzipped, rows["z"].to_pylist())))
+        sets = list(shingles(map(unzipped, rows["z"].to_pylist())))
         size = np.array([len(x.hashes) for x in sets])
         starts = np.cumsum(size) - size
         known, codes = np.unique(np.concatenate([x.hashes for x in sets]), return_inverse=True)

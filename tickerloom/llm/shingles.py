@@ -110,6 +110,15 @@ def near(x: Shingles, y: Shingles) -> bool:
     return bool(one and two) and _near(len(one & two), len(one) + len(two))
 
 
+def maybe_near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of hashes are near, or so close to it that a text with two shingles of one hash (a chance of 2**-64
+    a pair of shingles) might be: that changes sizes by one each."""
+    if not len(x) or not len(y) or 4 * len(x) < 3 * len(y) - 8 or 4 * len(y) < 3 * len(x) - 8:
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    return _near(int(np.count_nonzero(both[1:] == both[:-1])) + 2, len(both) + 4)
+
+
 def _group(texts: list[str], whole: bool) -> Iterator:
     encoded = [x.encode("utf-8", "surrogatepass") for x in texts]
     data = np.frombuffer((b"\n".join(encoded) + b"\n").translate(_FOLD) + bytes(8), np.uint8)
