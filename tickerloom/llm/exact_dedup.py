@@ -8,10 +8,11 @@ each grouping by the digest *and* the full normalised text, so that a digest col
 2. salted: the rest meets in (digest, salt) groups. The number of salts follows the number of rows, so a group that
    holds a third of all rows is split into parts of a bounded size;
 3. globally: the winners of the salts, one row for each salt at most, meet by digest. Which winner stays, and how many
-   there are, goes back to the salted parts by a part's number, without texts.
+   there are, goes back to the salted parts by salt, digest, a second hash and the length, without texts. The first
+   id of the winning part is the row that stays.
 
-Each row has a number of its own; the lists of ids of a part hold rows of few partitions only, so they are bounded. A text
-is shuffled twice: when parts are made, whose shuffle both later uses share, and as its salts' winner.
+The lists of ids of a part hold rows of few partitions only, so they are bounded. A text is shuffled twice: when parts are
+made, whose shuffle both later uses share, and as its salts' winner.
 """
 
 from __future__ import annotations
@@ -41,16 +42,18 @@ def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
     columns of docs aren't read, whatever their names.
     """
     salts = salts or max(8, math.ceil(docs.count() / ROWS_PER_SALT))
-    id_ = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
-    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
-    rows = docs.select(id_.alias("id"), normal_form(text_of()).alias("content"), salt.alias("salt"))
+    id_ = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"))
+    rows = docs.select(id_.alias("id"), normal_form(text_of()).alias("content"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
     rows = rows.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
-    parts = rows.groupBy("digest", "content", "salt").agg(F.collect_list("id").alias("members")).withColumn("best", F.array_min("members"))
-    winners = parts.select("digest", "content", "best", F.size("members").cast("long").alias("n"))
-    merged = winners.groupBy("digest", "content").agg(F.min("best").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("best.row").alias("parts"))
-    found = merged.select("keep", "group_size", F.explode("parts").alias("part"))
-    each = parts.select("digest", "members", F.col("best.row").alias("part")).join(found, "part").select("digest", "keep", "group_size", F.explode("members").alias("id"))
-    kept = F.col("id.row") == F.col("keep.row")
+    parts = rows.groupBy("digest", "content", "salt").agg(F.collect_list("id").alias("members"))
+    best = F.array_min("members")
+    winners = parts.select("digest", "content", "salt", F.struct(best["last"].alias("last"), best["doc_id"].alias("doc_id"), "salt").alias("best"), F.size("members").cast("long").alias("n"))
+    merged = winners.groupBy("digest", "content").agg(F.min("best").alias("keep"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
+    number = F.xxhash64("content").alias("number"), F.length("content").alias("size")
+    found = merged.select("digest", *number, "keep", "group_size", F.explode("salts").alias("salt"))
+    joined = parts.select("digest", *number, "salt", F.array_sort("members").alias("members")).join(found, ["digest", "number", "size", "salt"])
+    each = joined.select("digest", "keep", "group_size", "salt", F.posexplode("members").alias("place", "id"))
+    kept = (F.col("place") == 0) & (F.col("salt") == F.col("keep.salt"))
     return each.select("id.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
