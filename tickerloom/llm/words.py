@@ -41,13 +41,27 @@ def encode_words(path: str, words: list[str]) -> list[bytes]:
     return [np.array(x.ids, "<u4").tobytes() for x in encode(words, add_special_tokens=False)]
 
 
+@functools.lru_cache(maxsize=4)
+def _ends_word(path: str) -> np.ndarray | None:
+    """By id, whether its piece ends a word; None for a tokenizer whose pieces don't tell."""
+    tokenizer = load(path)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    vocabulary = tokenizer.get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[k for piece, k in vocabulary.items() if piece.endswith(suffix)]] = True
+    return out
+
+
 def encode_letters(path: str, words: list[str]) -> list[bytes]:
     """As encode_words, for words of letters alone, each of which is one piece for the tokenizer."""
-    lines = [" ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
-    out = []
-    for x in load(path).encode_batch(lines, add_special_tokens=False):
-        data = np.array(x.ids, "<u4").tobytes()
-        ends = [*(4 * np.flatnonzero(np.diff(x.word_ids)) + 4).tolist(), len(data)]
+    tokenizer, last, out = load(path), _ends_word(path), []
+    encode = tokenizer.encode_batch if last is None else getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    for x in encode([" ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)], add_special_tokens=False):
+        ids = np.array(x.ids, "<u4")
+        data, cut = ids.tobytes(), np.flatnonzero(last[ids]) if last is not None else np.flatnonzero(np.diff(x.word_ids, append=-1))
+        ends = (4 * cut + 4).tolist()
         out += [data[a:b] for a, b in zip([0, *ends], ends)]
     return out
 
