@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import bpe, chat_format, exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, packing, secret_scan, warc
+from tickerloom.llm import bpe, chat_format, code_compression, exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, packing, secret_scan, warc
 
-MODULES = (bpe, jaccard_join, exact_dedup, language_id, secret_scan, warc, line_dedup, chat_format, fingerprints, packing)
+MODULES = (bpe, jaccard_join, exact_dedup, language_id, secret_scan, warc, line_dedup, chat_format, fingerprints, packing, code_compression)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
