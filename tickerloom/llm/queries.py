@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import bpe, chat_format, code_compression, exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, packing, secret_scan, token_alignment, warc
+from tickerloom.llm import bpe, chat_format, code_compression, embedding_dedup, exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, packing, secret_scan, token_alignment, warc
 
-MODULES = (bpe, jaccard_join, exact_dedup, language_id, secret_scan, warc, line_dedup, chat_format, fingerprints, packing, code_compression, token_alignment)
+MODULES = (bpe, jaccard_join, exact_dedup, language_id, secret_scan, warc, line_dedup, chat_format, fingerprints, packing, code_compression, token_alignment, embedding_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
