@@ -76,7 +76,7 @@ def test_annulus_holds_the_nearest():
 
 
 def brute_near(rows: list[tuple], threshold: float = 0.95) -> dict:
-    good = [(k, np.asarray(v, np.float64)) for k, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    good = [(k, np.asarray(v, np.float64) / max(map(abs, v))) for k, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links, label = defaultdict(int), list(range(len(rows)))
     for n, (i, x) in enumerate(good):
         for j, y in good[:n]:

@@ -138,26 +138,25 @@ def smallest_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _near_pairs(x: np.ndarray, bucket: np.ndarray, side: np.ndarray, threshold: float):
-    """(one, two): places of pairs of rows in one bucket whose vectors are near; of a bucket with two sides, between them."""
+def _near_pairs(x: np.ndarray, bucket: np.ndarray, side: np.ndarray | None, threshold: float):
+    """(one, two): places of pairs of rows in one bucket whose vectors are near; with sides, of the one bucket there is, pairs
+    between its sides 0 and 1."""
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, len(bucket)])
-    few = np.repeat(sizes <= FEW, sizes)
-    for step in range(1, FEW):
-        one = np.flatnonzero(few[:-step] & (bucket[:-step] == bucket[step:]) & (side[:-step] == side[step:]))
+    few = np.repeat((sizes <= FEW) & (side is None), sizes)
+    for step in range(1, min(FEW, len(bucket))):
+        one = np.flatnonzero(few[:-step] & (bucket[:-step] == bucket[step:]))
         for at in range(0, len(one), CHUNK_PAIRS):
             some = one[at : at + CHUNK_PAIRS]
             some = some[np.einsum("ij,ij->i", x[some], x[some + step]) >= threshold]
             yield some, some + step
-    for rows in (np.arange(a, a + n) for a, n in zip(starts, sizes) if n > FEW or side[a : a + n].any()):
-        two = rows[side[rows] == 1]
-        one, two = (rows[side[rows] == 0], two) if len(two) else (rows, rows)
+    for rows in (np.arange(a, a + n) for a, n in zip(starts, sizes) if not few[a]):
+        one, two = (rows, rows) if side is None else (rows[side[rows] == 0], rows[side[rows] == 1])
         step = max(1, CHUNK_PAIRS // max(1, len(two)))
         for some in (one[at : at + step] for at in range(0, len(one), step)):
             a, b = np.nonzero(x[some] @ x[two].T >= threshold)
             a, b = some[a], two[b]
-            inside = side[a] == side[b]
-            yield a[~inside | (a < b)], b[~inside | (a < b)]
+            yield (a, b) if side is not None else (a[a < b], b[a < b])
 
 
 def _first_meeting(probes: np.ndarray, at: np.ndarray, bucket: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -181,6 +180,7 @@ def _compared(rows: pa.Table, rotations: int, threshold: float) -> pa.Table:
     """a, b, n: how many rows a is linked with here (b null), or a link (n null), of placements with their vectors."""
     order = np.lexsort((rows["id"].to_numpy(), rows["bucket"].to_numpy()))
     bucket, at, side, id_ = (rows[c].to_numpy()[order] for c in ("bucket", "at", "side", "id"))
+    across = rows["i"][0].as_py() != rows["j"][0].as_py()
     ids, first, who = np.unique(rows["id"].to_numpy(), return_index=True, return_inverse=True)
     who, copies = who[order], rows["n"].to_numpy()[first]
     links, ends = np.zeros(len(ids), np.int64), [(np.empty(0, np.int64),) * 2]
@@ -189,7 +189,7 @@ def _compared(rows: pa.Table, rotations: int, threshold: float) -> pa.Table:
         where[places] = np.arange(len(places))
         own = np.flatnonzero(where[who] >= 0)  # buckets hold vectors of one length
         v = where[who[own]]
-        for one, two in _near_pairs(x[v], bucket[own], side[own], threshold):
+        for one, two in _near_pairs(x[v], bucket[own], side[own] if across else None, threshold):
             new = _first_meeting(probes, at[own[one]], bucket[own[one]], v[one], v[two])
             one, two = places[v[one[new]]], places[v[two[new]]]
             links += np.bincount(one, copies[two], len(ids)).astype(np.int64) + np.bincount(two, copies[one], len(ids)).astype(np.int64)

@@ -5,7 +5,8 @@
    is the numbers of its units. A row is a block: its documents, and of each unit both tokenizers' ids and byte ends.
 2. Groups and links (Spark's higher-order functions only, once for each distinct unit): the ends that both have, by
    array_intersect, are the ends of the groups. The bytes of a unit get the number of their token, so the tokens that
-   meet at a byte are found by place; between two neighbouring ends of either tokenizer lies exactly one link.
+   meet at a byte are found by place, and whether a token of the one ends where one of the other does; between two
+   neighbouring ends of either tokenizer lies exactly one link.
 3. A document adds up its units, and is exploded to its distinct id pairs, which Spark counts corpus-wide.
 4. Each unit's links are joined to these counts by id pair and added up by unit, and by document from there.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import forget, materialise, table, trim
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 3_000_000
 #: Links' id pairs that are broadcast with their counts: some 100 MB on an executor.
 BROADCAST_PAIRS = 2_000_000
 #: A blank beside other white space, where a token may reach over the blank.
@@ -130,10 +131,10 @@ def tokenised(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
     def tokenise(batches):
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids.append(doc_id)
-                texts.append(text or "")
-                held += len(text or "")
+            for doc_id, text in zip(*batch.columns):
+                ids.append(doc_id.as_py())
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
                 if held >= BLOCK_CHARS:
                     yield block_row(number, ids, texts)
                     number, ids, texts, held = number + 1, [], [], 0
@@ -158,15 +159,18 @@ def _token_at(ends: Column) -> Column:
 def aligned_unit(x: Column) -> Column:
     """Of one unit, a struct of a, a_ends, b, b_ends: groups (a1,a2|b1;...), links (a << 32 | b), n_a, n_b, n_groups."""
 
-    def groups(common: Column, at_a: Column, at_b: Column) -> Column:
-        def part(ids: Column, at: Column, low: Column, high: Column) -> Column:
-            return F.array_join(F.slice(ids, at[low] + 1, at[high - 1] - at[low] + 1).cast("array<string>"), ",")
+    def parts(ids: Column, ends: Column, others: Column) -> Column:
+        """The ids in decimal, a string for each group; others: the other tokenizer's token of each byte."""
 
-        def group(end: Column, i: Column) -> Column:
-            low = F.when(i > 0, common[i - 1]).otherwise(0)
-            return F.concat(part(x["a"], at_a, low, end), F.lit("|"), part(x["b"], at_b, low, end))
+        def spelt(id_: Column, i: Column) -> Column:
+            before = ends[i - 1]
+            return F.concat(F.when(i == 0, "").when(others[before - 1] == others[before], ",").otherwise(";"), id_.cast("string"))
 
-        return F.array_join(F.transform(common, group), ";")
+        return F.split(F.array_join(F.transform(ids, spelt), ""), ";")
+
+    def groups(at_a: Column, at_b: Column) -> Column:
+        both = F.zip_with(parts(x["a"], x["a_ends"], at_b), parts(x["b"], x["b_ends"], at_a), lambda p, q: F.concat(p, F.lit("|"), q))
+        return F.array_join(both, ";")
 
     def links(at_a: Column, at_b: Column) -> Column:
         pair = lambda end: F.shiftleft(x["a"][at_a[end - 1]].cast("long"), 32).bitwiseOR(x["b"][at_b[end - 1]].cast("long"))
@@ -174,11 +178,11 @@ def aligned_unit(x: Column) -> Column:
 
     def whole(y: Column) -> Column:
         return F.struct(
-            groups(y["common"], y["at_a"], y["at_b"]).alias("groups"), links(y["at_a"], y["at_b"]).alias("links"),
-            F.size(x["a"]).cast("long").alias("n_a"), F.size(x["b"]).cast("long").alias("n_b"), F.size(y["common"]).cast("long").alias("n_groups"),
+            groups(y["at_a"], y["at_b"]).alias("groups"), links(y["at_a"], y["at_b"]).alias("links"),
+            F.size(x["a"]).cast("long").alias("n_a"), F.size(x["b"]).cast("long").alias("n_b"), F.size(F.array_intersect(x["a_ends"], x["b_ends"])).cast("long").alias("n_groups"),
         )
 
-    return let(F.struct(F.array_intersect(x["a_ends"], x["b_ends"]).alias("common"), _token_at(x["a_ends"]).alias("at_a"), _token_at(x["b_ends"]).alias("at_b")), whole)
+    return let(F.struct(_token_at(x["a_ends"]).alias("at_a"), _token_at(x["b_ends"]).alias("at_b")), whole)
 
 
 def aligned_blocks(blocks: DataFrame) -> DataFrame:
