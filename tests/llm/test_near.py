@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from tests.llm import brute
 from tickerloom.llm import fingerprints, jaccard_join
 from tickerloom.llm.components import components
@@ -47,12 +48,31 @@ def test_common_shingles_and_large_keys(spark, monkeypatch):
     docs = planted(3)
     _, component = brute.near_components(docs)
     frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs], "doc_id long, text string")
-    for name, value in (("SAMPLE", 1), ("COMMON", (2, 9)), ("PAIRS_UP_TO", 1), ("BLOCK", 8)):
+    for name, value in (("SAMPLE", 1), ("LEAST_COMMON", 2), ("PAIRS_UP_TO", 1), ("BLOCK", 8), ("BLOCK_SHINGLES", 900), ("CHECKED_BYTES", 2000), ("KEPT_SETS", 3)):
         monkeypatch.setattr(jaccard_join, name, value)
     got = jaccard_join.jaccard_components(frame).collect()
     assert {r.doc_id: r.component_id for r in got} == component
 
 
+def test_common_shingles_stay_few(spark, monkeypatch):
+    """Where there are more common shingles than the bitmap is made for, only the commonest count, and segments remain."""
+    docs = planted(5)
+    _, component = brute.near_components(docs)
+    frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs], "doc_id long, text string")
+    for name, value in (("SAMPLE", 1), ("LEAST_COMMON", 1), ("MOST_COMMON", 300)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    bitmap = jaccard_join.common_shingles(frame)
+    assert 0 < int(np.unpackbits(bitmap[0].view(np.uint8)).sum()) <= 300
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame).collect()} == component
+
+
+def test_sets_whose_hashes_clash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_hashes", lambda s: (len(s), len(s)))
+    docs = [(1, "a b c d e"), (2, "v w x y z"), (3, "a  b c d E"), (4, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 def test_each_allocation_finds_the_same(spark, monkeypatch):
     docs = planted(4)
     _, component = brute.near_components(docs)

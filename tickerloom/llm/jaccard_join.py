@@ -7,8 +7,10 @@ so in floor(a / 3) at most, and in 1/4 of either's at most. All that follows los
   their class's first are compared with it like any pair.
 * Size bands: a band's sizes go from 4**k to 4**(k+1). Its universe, the hash range, is cut into segments. A set emits
   keys in its own band, and in the one below if a partner may be there.
-* Common shingles, found in a sample, are left out of the segments; they are a bitmap of a bounded size. Whichever
-  shingles are left out, the rest of two sets still differs in floor(a / 3) at most.
+* Common shingles, found in a sample, are left out of the segments. They are those that so many sets of the sample hold, where
+  that number is the lowest power of two for which there are no more than MOST_COMMON of them, so their bitmap, of a
+  bounded size, is as sparse on a large corpus as on a small one. Whichever shingles are left out, the rest of two
+  sets still differs in floor(a / 3) at most.
 * A segment of a set is a key by its content; in a band that is allocated neighbourhoods, its content less each one of its
   shingles (if there are two or more) are keys too. Where two sets share no key of a segment that isn't empty, they differ
   in one shingle there at least, in two if it has neighbourhoods and two shingles. A set emits its first segments, until
@@ -24,7 +26,8 @@ Its keys, and the pairs of sets that share one, are counted and carried on to al
 Keys are dealt out in buckets whose number follows the number of shingles. Of a key with up to PAIRS_UP_TO sets
 all pairs are candidates. Of a larger one, each set is a candidate with the key's first set only. The best candidate of
 each set is checked first, then those that this doesn't connect. Keys whose sets aren't all connected then are taken in
-blocks of BLOCK sets, so that no task holds more than two blocks; there each set outside the key's largest component is
+blocks of about BLOCK sets and BLOCK_SHINGLES shingles at most, one set at least, so that no task holds more than two blocks, as
+hashes; there each set outside the key's largest component is
 compared with those of other components, and a link for each of these leaves the task. Keys whose first such set is the same
 are one, so that sets don't come once for each key. Nothing is lost, and what is near throughout, as a group of copies mostly is, costs a check for
 each set. Whatever belongs to a whole key is joined by the key and one of several parts of it, so a hot key is many tasks'
@@ -37,14 +40,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import forget, join_by_parts, materialise, table, text_of, trim, unzipped, zipped
 from tickerloom.llm.components import components
 from tickerloom.llm.shingles import maybe_near, mix, near, shingle_sets, shingles, words_of
 
-PAIRS_UP_TO, BLOCK = 12, 512
+PAIRS_UP_TO, BLOCK, BLOCK_SHINGLES = 12, 512, 500_000
 BAND = 4
 #: Segments for each shingle of a band's largest size, and whether with neighbourhoods.
 OPTIONS = ((0.45, False), (0.7, False), (0.2, True), (0.3, True))
@@ -52,13 +55,15 @@ OPTIONS = ((0.45, False), (0.7, False), (0.2, True), (0.3, True))
 PAIR_COST = 8.0
 #: Keys of a bucket on average, and of a task's buffer.
 BUCKET_KEYS, FLUSH_KEYS = 800_000, 400_000
-#: Pairs whose sets a task holds at once.
-CHECKED = 100
+#: Bytes of the texts of the pairs that a task checks at once, one pair at least; pairs that it reads at once; texts that are
+#: kept taken apart.
+CHECKED_BYTES, BATCH_PAIRS, KEPT_SETS = 4_000_000, 500, 32
 #: Members of a key's part, on average, where a key has a third of all.
 PART_ROWS, LEAST_PARTS = 100_000, 64
-#: One in SAMPLE texts is looked at for common shingles: those in COMMON of these at least, and those in the larger numbers,
-#: by which rarity is told. Bits of a bitmap of them. One in KEY_SAMPLE keys is counted for the allocation.
-SAMPLE, COMMON, BITMAP_BITS, KEY_SAMPLE = 16, (4, 16, 64), 1 << 25, 16
+#: One in SAMPLE texts is looked at for common shingles: those in LEAST_COMMON of these at least, or as many more as leave no
+#: more than MOST_COMMON; and those in RARITY times as many sets, by which rarity is told. Bits of a bitmap of them, each for
+#: sixteen times as many. One in KEY_SAMPLE keys is counted for the allocation.
+SAMPLE, LEAST_COMMON, MOST_COMMON, RARITY, BITMAP_BITS, KEY_SAMPLE = 16, 4, 1 << 21, (1, 4, 16), 1 << 25, 16
 
 
 def _binary(x: np.ndarray) -> bytes:
@@ -101,7 +106,7 @@ def _distinct_sets(batches):
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """For each number in COMMON the bitmap (64-bit words) of shingles that so many sets of the sample hold."""
+    """For each number in RARITY the bitmap (64-bit words) of shingles that so many times the least number of sets hold."""
 
     def count(batches):
         held = [s for _, s in _distinct_sets(batches)]
@@ -111,12 +116,23 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["shingle", "n"])
         trim()
 
-    counts = sampled(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON[0])
+    counts = sampled(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where(F.col("n") >= LEAST_COMMON), "common")
+    times = F.floor(F.log2(F.col("n") / LEAST_COMMON)).cast("int")
+    doublings = {r["k"]: r["shingles"] for r in counts.groupBy(times.alias("k")).agg(F.count("*").alias("shingles")).collect()}  # 60 at most
+    least, inside = LEAST_COMMON << max(doublings, default=-1) + 1, 0
+    for k in sorted(doublings, reverse=True):
+        inside += doublings[k]
+        if inside > MOST_COMMON:
+            break
+        least = LEAST_COMMON << k
     own = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
-    bits = [F.bit_or(F.when(F.col("n") >= least, own).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k, least in enumerate(COMMON)]
-    words = counts.groupBy(F.shiftright(F.col("shingle").bitwiseAND(BITMAP_BITS - 1), 6).alias("word")).agg(*bits).toPandas()
-    bitmaps = np.zeros((len(COMMON), BITMAP_BITS >> 6), np.int64)
-    for k in range(len(COMMON)):
+    bits = [F.bit_or(F.when(F.col("n") >= least * more, own).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k, more in enumerate(RARITY)]
+    place = F.shiftright(F.col("shingle").bitwiseAND(BITMAP_BITS - 1), 6).alias("word")
+    words = counts.where(F.col("n") >= least).groupBy(place).agg(*bits).toPandas()  # MOST_COMMON rows at most
+    forget(counts)
+    bitmaps = np.zeros((len(RARITY), BITMAP_BITS >> 6), np.int64)
+    for k in range(len(RARITY)):
         bitmaps[k, words["word"].to_numpy(np.int64)] = words[f"b{k}"].to_numpy(np.int64)
     return bitmaps
 
@@ -291,24 +307,42 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(compress, "doc_id long, z binary").dropDuplicates(["doc_id"]), "texts")
 
 
+class _Taken(dict):
+    """Compressed texts' sets with their words, the last KEPT_SETS of them."""
+
+    def __missing__(self, z: bytes):
+        if len(self) >= KEPT_SETS:
+            del self[next(iter(self))]
+        self[z] = found = next(shingles([unzipped(z)]))
+        return found
+
+
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) of doc_ids, those whose sets are similar; by the whole sets."""
 
+    def shares(one: list[bytes], two: list[bytes]):
+        """Runs of pairs whose texts have about CHECKED_BYTES together."""
+        start = size = 0
+        for at, (x, y) in enumerate(zip(one, two), 1):
+            size += int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+            if size >= CHECKED_BYTES or at == len(one):
+                yield start, at
+                start, size = at, 0
+
     def check(batches):
         held: dict[bytes, np.ndarray] = {}  # the last pairs' sets
-        for batch in batches:
-            one, two = (batch.column(k).to_pylist() for k in (2, 3))
-            for at in range(0, len(one), CHECKED):
-                some = [*dict.fromkeys(one[at : at + CHECKED] + two[at : at + CHECKED])]
+        for batch in (whole.slice(at, BATCH_PAIRS) for whole in batches for at in range(0, whole.num_rows, BATCH_PAIRS)):
+            ones, twos = (batch.column(k).to_pylist() for k in (2, 3))
+            for a, b in shares(ones, twos):
+                one, two = ones[a:b], twos[a:b]
+                some = [*dict.fromkeys(one + two)]
                 new = [z for z in some if z not in held]
                 held = {z: held[z] for z in some if z in held}
                 held |= zip(new, shingle_sets(map(unzipped, new)))
                 # hashes find few pairs too many, and none too few unless a text's own hashes clash; words decide on these
-                good = [maybe_near(held[x], held[y]) for x, y in zip(one[at : at + CHECKED], two[at : at + CHECKED])]
-                left = [*dict.fromkeys(z for x, y, g in zip(one[at : at + CHECKED], two[at : at + CHECKED], good) if g for z in (x, y))]
-                whole = dict(zip(left, shingles(map(unzipped, left))))
-                good = [g and near(whole[x], whole[y]) for x, y, g in zip(one[at : at + CHECKED], two[at : at + CHECKED], good)]
-                yield pa.RecordBatch.from_arrays([c.slice(at, CHECKED) for c in batch.columns[:2]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                good, taken = [maybe_near(held[x], held[y]) for x, y in zip(one, two)], _Taken()
+                good = [g and near(taken[x], taken[y]) for x, y, g in zip(one, two, good)]
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:2]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
         del held
         trim()
 
@@ -324,8 +358,8 @@ def _between(pairs: DataFrame, connected: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, connected: DataFrame, parts: int) -> DataFrame:
-    """grp, id, component of the members of groups that aren't connected throughout."""
-    labelled = materialise(members.join(connected, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    """grp, id, n, component of the members of groups that aren't connected throughout."""
+    labelled = materialise(members.join(connected, "id", "left").select("grp", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
     open_ = labelled.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
     left = materialise(join_by_parts(labelled, open_, ["grp"], "id", parts), "apart")
     forget(labelled)
@@ -333,7 +367,7 @@ def _apart(members: DataFrame, connected: DataFrame, parts: int) -> DataFrame:
 
 
 def _clustered(left: DataFrame, parts: int) -> DataFrame:
-    """grp, id, component, inside: keys whose first set outside their largest component is the same are one, so that a set
+    """grp, id, n, component, inside: keys whose first set outside their largest component is the same are one, so that a set
     comes once for each such neighbourhood, not for each key; and a neighbourhood is no larger than the keys of one set.
     inside: in the largest component."""
 
@@ -342,15 +376,19 @@ def _clustered(left: DataFrame, parts: int) -> DataFrame:
         return sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
 
     lead = join_by_parts(left, largest(left), ["grp"], "id", parts).where("component <> largest").groupBy("grp").agg(F.min("id").alias("lead"))
-    merged = materialise(join_by_parts(left, lead, ["grp"], "id", parts).select(F.col("lead").alias("grp"), "id", "component").distinct(), "clusters")
-    return join_by_parts(merged, largest(merged), ["grp"], "id", parts).select("grp", "id", "component", (F.col("component") == F.col("largest")).alias("inside"))
+    merged = materialise(join_by_parts(left, lead, ["grp"], "id", parts).select(F.col("lead").alias("grp"), "id", "n", "component").distinct(), "clusters")
+    return join_by_parts(merged, largest(merged), ["grp"], "id", parts).select("grp", "id", "n", "component", (F.col("component") == F.col("largest")).alias("inside"))
 
 
 def _within(left: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """a, b: links between components among the members (grp, id, component) of keys, such that all components that a
     set is linked with are. Blocks of sets outside the largest component meet each other and the blocks inside."""
     left = materialise(_clustered(left, parts), "clusters")
-    blocks = left.groupBy("grp").agg(*[F.greatest(F.ceil(F.count_if(c) / BLOCK), F.lit(1)).cast("int").alias(n) for n, c in (("outer", ~F.col("inside")), ("inner", F.col("inside")))])
+
+    def blocks_of(some: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(some) / BLOCK), F.ceil(F.sum(F.when(some, F.col("n")).otherwise(0)) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    blocks = left.groupBy("grp").agg(blocks_of(~F.col("inside")).alias("outer"), blocks_of(F.col("inside")).alias("inner"))
     sized = join_by_parts(left, blocks, ["grp"], "id", parts)
     own = F.pmod(F.hash("id"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
     place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -363,10 +401,12 @@ def _within(left: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     def compare(rows: pa.Table) -> pa.Table:
         kind, i, j = (rows[c][0].as_py() for c in ("kind", "i", "j"))
         ids, component, own, inside = (rows[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "own", "inside"))
-        sets = list(shingles(map(unzipped, rows["z"].to_pylist())))
-        size = np.array([len(x.hashes) for x in sets])
+        z, taken = rows["z"].to_pylist(), _Taken()
+        sets = list(shingle_sets(map(unzipped, z)))
+        size = np.array([len(x) for x in sets])
         starts = np.cumsum(size) - size
-        known, codes = np.unique(np.concatenate([x.hashes for x in sets]), return_inverse=True)
+        known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        del sets
         mark, links = np.zeros(len(known), bool), []
         for x in np.flatnonzero(~inside):
             wanted = (component != component[x]) & (4 * size >= 3 * size[x]) & (4 * size[x] >= 3 * size)
@@ -379,11 +419,11 @@ def _within(left: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
                 continue
             mine = codes[starts[x] : starts[x] + size[x]]
             mark[mine] = True
-            shared = np.add.reduceat(mark[codes], starts)[y]
+            shared = np.add.reduceat(mark[codes], starts, dtype=np.int64)[y] + 2  # as maybe_near() does
             mark[mine] = False
             met = set()
-            for other in y[100 * shared >= 75 * (size[x] + size[y] - shared)]:
-                if component[other] not in met and near(sets[x], sets[other]):  # one link with a component does
+            for other in y[100 * shared >= 75 * (size[x] + size[y] + 4 - shared)]:
+                if component[other] not in met and near(taken[z[x]], taken[z[other]]):  # one link with a component does
                     met.add(component[other])
                     links.append((min(ids[x], ids[other]), max(ids[x], ids[other])))
         a, b = zip(*links) if links else ((), ())
@@ -398,8 +438,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     class_id is the smallest doc_id with an equal set, component_id the smallest that links reach. Null text, or none
     but white space: n_shingles 0, a component of its own. Rows that repeat a doc_id count as one document if their
     texts are equal, and should not differ. Null doc_ids stay out of the join. An empty table gives an empty result.
-    Other columns aren't read. Raises in the case (a chance of 2**-64 a pair) that two texts' sets have equal hashes though
-    they aren't near.
+    Other columns aren't read. Where two texts' sets have equal hashes though they aren't near (a chance of 2**-128 a
+    pair), the larger id is a component of its own.
     """
     spark = docs.sparkSession
     described = materialise(describe_sets(docs), "described")
@@ -419,16 +459,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     close = sums.join(a, "a").join(b, "b").where("a_id <> b_id AND 4 * a_n >= 3 * b_n AND 4 * b_n >= 3 * a_n")
     pairs = close.groupBy(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).agg(F.max("shared").alias("shared"))
     pairs = materialise(pairs, "pairs")
-    members = found.where("grp IS NOT NULL").select("grp", F.col("a").alias("h1")).join(ids, "h1").select("grp", F.col("class_id").alias("id"))
+    members = found.where("grp IS NOT NULL").select("grp", F.col("a").alias("h1")).join(ids, "h1").select("grp", F.col("class_id").alias("id"), "n")
     members = materialise(members, "members")
     forget(found)
     # equal sets of different words in order: mostly repeats of some of them
     same = materialise(variants.join(classes, ["h1", "h2", "n"]).where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b")), "same")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("id")).union(same.select("a")).union(same.select("b")).distinct()
     texts = _texts(docs, needed)
-    forget(variants)
-    if _checked(same, texts).count() != same.count():
-        raise ValueError("two texts that aren't near have sets of equal hashes: choose another salt in mix()")
+    clash = materialise(same.join(_checked(same, texts), ["a", "b"], "left_anti").select(F.col("b").alias("id")), "clash")
     # first each set with the one it shares most keys with; most of what is similar is connected then
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     first = materialise(_checked(best, texts), "checked")
@@ -446,7 +484,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         connected = components(more)
         forget(more)
     forget(left, members, texts, links)
-    rows = described.join(classes, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = described.join(classes, ["h1", "h2", "n"], "left")
+    if not clash.isEmpty():
+        own = variants.join(clash, "id").select("h1", "h2", "n", "words", F.col("id").alias("own_id"))
+        rows = rows.join(own, ["h1", "h2", "n", "words"], "left").withColumn("class_id", F.coalesce("own_id", "class_id"))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     component = F.coalesce("component", "class_id").alias("component_id")
     return rows.join(connected.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "n_shingles", component, "class_id")
 
