@@ -1,8 +1,9 @@
 """Ranks, rank metrics against a reference order, folds, and choices among parameter sets.
 
-A ranking is one that people made, so it has hundreds of symbols; what grows is the number of scores that are compared with
-it. Metrics of one score are worked out in one group in n log n, without a row for each pair; lists of pairs are for
-rankings of MOST_PAIRED symbols at most, and refused beyond.
+Positions along a ranking of any length are told by range partitions (places.py). The metrics of one score over a ranking of
+any length come from blocks of both orders: pairs within a block are counted there, pairs across blocks by a histogram.
+Metrics of many scores of one ranking (by parameter set, fold, resample) are a group each, in n log n. Lists of pairs
+are for rankings of MOST_PAIRED symbols at most, and refused beyond.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.operators.places import PART_ROWS, cut, placed, running, tiled
+
 
 def rank_methods(scores: DataFrame, by: str = "score", key: str = "symbol") -> DataFrame:
     """scores and rank_first (ties by key), rank_min, rank_average; the best is 1."""
-    order = Window.orderBy(F.desc_nulls_last(by))
-    ties = Window.partitionBy(by)
-    first = F.row_number().over(Window.orderBy(F.desc_nulls_last(by), key))
-    return scores.withColumn("rank_first", first).withColumn("rank_min", F.rank().over(order)).withColumn("rank_average", F.avg("rank_first").over(ties))
+    first = placed(scores, [F.desc_nulls_last(by), F.col(key)], "rank_first")
+    ties = first.groupBy(F.col(by).alias("_value")).agg(F.min("rank_first").cast("int").alias("rank_min"), F.avg("rank_first").alias("rank_average"))
+    return first.join(ties, F.col(by).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 MOST_PAIRED = 20_000
@@ -34,7 +36,10 @@ def pairs(scores: DataFrame) -> DataFrame:
 
 
 def with_model_rank(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return scores.withColumn("model_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), "true_rank")))
+    order = [F.desc_nulls_last("score"), F.col("true_rank")]
+    if not by:
+        return placed(scores, order, "model_rank")
+    return scores.withColumn("model_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def rising_pairs(values: np.ndarray) -> int:
@@ -67,18 +72,70 @@ def metrics_of(rank: np.ndarray, score: np.ndarray) -> tuple[float, float, float
     return rising_pairs(score) / (n * (n - 1) / 2), error, rho
 
 
+#: Rows of a block of either order.
+BLOCK_ROWS = 100_000
+
+
+def _rising(blocks: DataFrame) -> DataFrame:
+    """n: of each block, the pairs of which the one with the lower number has the lower value."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [rising_pairs(rows.sort_values("number")["value"].to_numpy())]})
+
+    return blocks.groupBy("kind", "block").applyInPandas(count, "n long")
+
+
+def long_rank_metrics(scores: DataFrame, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """rank_metrics() of one score, of any length.
+
+    t and m are a row's positions by true rank and by score. A pair is inverted if t rises where m falls. Both orders are cut
+    into blocks of block_rows: pairs of one block of t are counted in it; of the others, pairs of one block of m in that; the
+    rest follows from how many rows each pair of blocks shares, by sums over the blocks before and behind. The difference of
+    two rows' rank gaps is that of their true_rank - m, so its sum over pairs is one along the order of these numbers.
+    """
+    rows = scores.select(F.col("true_rank").cast("double").alias("true_rank"), F.col("score").cast("double").alias("score")).where("true_rank IS NOT NULL AND score IS NOT NULL")
+    many = rows.count()
+    by_rank = placed(rows, [F.col("true_rank"), F.desc("score")], "t", part_rows, many)
+    ranked = placed(by_rank, [F.desc("score"), F.col("t")], "m", part_rows, many)
+    block = lambda c: F.floor((F.col(c) - 1) / block_rows)
+    ranked = cut(ranked.select("true_rank", "t", "m", block("t").alias("tb"), block("m").alias("mb")))
+    # within blocks of t, then within blocks of m between blocks of t: what falls by m there rises by -m
+    one = [F.lit("t").alias("kind"), F.col("tb").alias("block"), F.col("t").alias("number"), (-F.col("m")).alias("value")]
+    two = [F.lit("m").alias("kind"), F.col("mb").alias("block"), (-F.col("m")).alias("number"), F.col("tb").alias("value")]
+    inside = _rising(ranked.select(*one).unionByName(ranked.select(*two)))
+    cells = ranked.groupBy("tb", "mb").agg(F.count("*").alias("n"))
+    # rows of earlier blocks of t by block of m, then of these the later blocks of m
+    names = cells.select("tb").distinct().crossJoin(F.broadcast(cells.select("mb").distinct()))  # a block has block_rows rows, so these are few
+    dense = names.join(cells, ["tb", "mb"], "left").na.fill(0, ["n"])
+    earlier = F.sum("n").over(Window.partitionBy("mb").orderBy("tb").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.sum("earlier").over(Window.partitionBy("tb").orderBy(F.desc("mb")).rowsBetween(Window.unboundedPreceding, -1))
+    across = dense.withColumn("earlier", F.coalesce(earlier, F.lit(0))).withColumn("above", F.coalesce(later, F.lit(0))).select((F.col("n") * F.col("above")).alias("n"))
+    inverted = inside.unionByName(across).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inverted"))
+    totals = ranked.agg(F.count("*").alias("n"), F.corr("true_rank", "m").alias("rho"))
+    # of c rows with the number d, b rows having lower ones: d counts (2 b + c - n) times for each
+    apart = ranked.groupBy((F.col("true_rank") - F.col("m")).alias("d")).agg(F.count("*").alias("c"))
+    along = running(apart, [F.col("d")], "upto", F.col("c"), part_rows, many)
+    both = along.crossJoin(F.broadcast(totals)).agg(F.sum(F.col("d") * F.col("c") * (2 * F.col("upto") - F.col("c") - F.col("n"))).alias("gaps"))  # one row
+    found = totals.crossJoin(F.broadcast(inverted)).crossJoin(F.broadcast(both))  # one row each
+    pairs_ = F.col("n") * (F.col("n") - 1) / 2
+    few = F.col("n") <= 1
+    inversion, error = F.when(few, 0.0).otherwise(F.try_divide("inverted", pairs_)), F.when(few, 0.0).otherwise(F.try_divide("gaps", pairs_))
+    return found.select(inversion.alias("inversion"), error.alias("pair_error"), F.when(few, 1.0).otherwise(F.when(~F.isnan("rho"), F.col("rho"))).alias("rho"))
+
+
 def rank_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, inversion (share of pairs that the score orders the other way), pair_error (mean difference of the two
     orders' rank gaps), rho (correlation of true ranks and positions by score; NULL if constant). Rows without a score or
     rank are left out. One row, or none: no inversion and no error, rho 1."""
+    if not by:
+        return long_rank_metrics(scores)
     named = scores.select(*by, F.col("true_rank").cast("double").alias("true_rank"), F.col("score").cast("double").alias("score")).where("true_rank IS NOT NULL AND score IS NOT NULL")
-    keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name in by] + ["inversion double", "pair_error double", "rho double"])
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key[: len(by)], *metrics_of(rows["true_rank"].to_numpy(), rows["score"].to_numpy()))], columns=[*by, "inversion", "pair_error", "rho"])
 
-    found = named.groupBy(*keys).applyInPandas(one, schema)
+    found = named.groupBy(*by).applyInPandas(one, schema)
     return found.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
@@ -105,12 +162,13 @@ def top_recall(scores: DataFrame, share: float = 0.2) -> DataFrame:
 
 def folds(ranking: DataFrame, n: int, by: str = "true_rank") -> DataFrame:
     """ranking and fold 1..n: rank-stratified buckets, the larger ones first."""
-    return ranking.withColumn("fold", F.ntile(n).over(Window.orderBy(by)))
+    return tiled(ranking, n, [F.col(by)], "fold")
 
 
 def resequenced(ranking: DataFrame, keep: Column) -> DataFrame:
     """The rows that keep holds for, with true_rank from 1 on again."""
-    return ranking.where(keep).withColumn("true_rank", F.row_number().over(Window.orderBy("true_rank")))
+    kept = ranking.where(keep).withColumnRenamed("true_rank", "_before")
+    return placed(kept, [F.col("_before")], "true_rank").select(*ranking.columns)
 
 
 def best(metrics: DataFrame, key: str) -> DataFrame:
@@ -126,9 +184,9 @@ def dominating(metrics: DataFrame, than: DataFrame) -> DataFrame:
 
 def thirds(scores: DataFrame, columns: list[str]) -> DataFrame:
     """bucket (TOP, MID, BOT by true_rank) and the columns' means."""
-    placed = scores.withColumn("third", F.ntile(3).over(Window.orderBy("true_rank")))
+    found = tiled(scores, 3, [F.col("true_rank")], "third")
     name = F.when(F.col("third") == 1, "TOP").when(F.col("third") == 2, "MID").otherwise("BOT")
-    return placed.groupBy(name.alias("bucket")).agg(*[F.avg(c).alias(c) for c in columns])
+    return found.groupBy(name.alias("bucket")).agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def summary(df: DataFrame, column: str, before: str | None = None) -> DataFrame:
@@ -162,7 +220,8 @@ def compare_paths(a: DataFrame, b: DataFrame) -> DataFrame:
     and the correlation of their ranks (rho; NULL if constant)."""
     both = a.select("symbol", F.col("fms").alias("x")).join(b.select("symbol", F.col("fms").alias("y")), "symbol", "full")
     d = F.abs(F.col("x") - F.col("y"))
-    ranked = both.where("x IS NOT NULL AND y IS NOT NULL").select(*[F.rank().over(Window.orderBy(F.desc(c))).cast("double").alias(c) for c in "xy"])  # symbols that both scans have
+    ranked = rank_methods(both.where("x IS NOT NULL AND y IS NOT NULL").select("symbol", "x", "y"), "x").select("symbol", "y", F.col("rank_min").cast("double").alias("x"))
+    ranked = rank_methods(ranked, "y").select("x", F.col("rank_min").cast("double").alias("y"))
     spread = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
     rho = ranked.agg(F.when(spread, F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("rho"))
     found = both.agg(F.count(d).alias("n"), F.count_if(F.col("y").isNull()).alias("only_a"), F.count_if(F.col("x").isNull()).alias("only_b"), F.max(d).alias("max_diff"), F.percentile(d, 0.5).alias("median_diff"), F.avg(d).alias("mean_diff"), F.count_if(F.round(d, 9) >= 0.1).alias("n_large"))

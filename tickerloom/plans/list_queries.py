@@ -9,6 +9,7 @@ from tickerloom.operators import cache as C
 from tickerloom.operators import charts as H
 from tickerloom.operators import lists as L
 from tickerloom.operators import panel as P
+from tickerloom.operators import places as W
 from tickerloom.operators import ranking as R
 from tickerloom.operators import score as S
 from tickerloom.operators.sorting import Session
@@ -33,13 +34,8 @@ def _scores(spark, sf_dir):
     s = I.table(spark, sf_dir, "supplier")
     score = (F.pmod(F.col("s_suppkey") * 7919, F.lit(101)) / 10).alias("score")
     ranked = s.select(F.col("s_suppkey").cast("string").alias("symbol"), "s_suppkey", "s_acctbal", score)
-    return ranked.select("symbol", F.row_number().over(_window(F.desc("s_acctbal"), "s_suppkey")).alias("true_rank"), "score", F.when(F.col("s_suppkey") % 13 == 0, -999.0).otherwise(F.col("score")).alias("fms"))
-
-
-def _window(*by):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*by)  # a row a symbol
+    ranked = W.placed(ranked, [F.desc("s_acctbal"), F.col("s_suppkey")], "true_rank")
+    return ranked.select("symbol", "true_rank", "score", F.when(F.col("s_suppkey") % 13 == 0, -999.0).otherwise(F.col("score")).alias("fms"))
 
 
 SCORES = """scores AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS true_rank,
@@ -345,7 +341,7 @@ def score_extremes(spark, sf_dir):
 
 @query(f"WITH {SCORES}, t AS (SELECT *, ntile(3) OVER (ORDER BY true_rank) AS k FROM scores) SELECT count(*) FILTER (score < 3) AS n, round(count(*) FILTER (score < 3 AND k = 3) / count(*) FILTER (score < 3), 6) AS share FROM t")
 def low_score_share(spark, sf_dir):
-    s = _scores(spark, sf_dir).withColumn("k", F.ntile(3).over(_window("true_rank")))
+    s = W.tiled(_scores(spark, sf_dir), 3, [F.col("true_rank")], "k")
     return I.rounded(R.share_of(s, F.col("k") == 3, F.col("score") < 3))
 
 
