@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import forget, materialise, table, trim
 
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 6_000_000
 #: Links' id pairs that are broadcast with their counts: some 100 MB on an executor.
 BROADCAST_PAIRS = 2_000_000
 #: A blank beside other white space, where a token may reach over the blank.
@@ -104,11 +105,12 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-BLOCKS = "block long, doc_ids array<bigint>, units array<array<int>>, a array<array<int>>, a_ends array<array<int>>, b array<array<int>>, b_ends array<array<int>>"
+BLOCKS = "block long, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, units array<array<int>>, a array<array<int>>, a_ends array<array<int>>, b array<array<int>>, b_ends array<array<int>>"
 
 
 def tokenised(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
-    """BLOCKS: documents as numbers of units, and the tokens of the block's units. Texts without tokens have no units."""
+    """BLOCKS: documents as numbers of units and of tokens, and the tokens of the block's units. Texts without tokens have no
+    units."""
 
     def block_row(number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
         first, second = _first(ranks), _second(pieces)
@@ -123,22 +125,23 @@ def tokenised(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
             tokens = _Tokens(list(known), first, second)
             found = [[] if some and not tokens.usable[some[0]] else some for some in found]
         numbers = (np.cumsum(tokens.usable) - 1).astype(np.int32)  # only usable units are kept
-        units = _lists(np.array([len(x) for x in found]), numbers[np.fromiter((u for x in found for u in x), np.int64)])
+        sizes, flat_units = np.array([len(x) for x in found]), np.fromiter((u for x in found for u in x), np.int64)
+        of_docs = [np.add.reduceat(np.r_[counts[flat_units], 0], np.cumsum(sizes) - sizes) * (sizes > 0) for counts, *_ in tokens.columns]
+        units = _lists(sizes, numbers[flat_units])
         lists = [_one(_lists(counts[tokens.usable], flat[np.repeat(tokens.usable, counts)])) for counts, *both in tokens.columns for flat in both]
-        names = ["block", "doc_ids", "units", "a", "a_ends", "b", "b_ends"]
-        return pa.RecordBatch.from_arrays([pa.array([number]), _one(pa.array(ids, pa.int64())), _one(units), *lists], names=names)
+        names = ["block", "doc_ids", "n_a", "n_b", "units", "a", "a_ends", "b", "b_ends"]
+        return pa.RecordBatch.from_arrays([pa.array([number]), _one(pa.array(ids, pa.int64())), *[_one(pa.array(x)) for x in of_docs], _one(units), *lists], names=names)
 
     def tokenise(batches):
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for doc_id, text in zip(*batch.columns):
-                ids.append(doc_id.as_py())
-                texts.append(text.as_py() or "")
+            for doc_id, text in itertools.chain.from_iterable(zip(*(c.slice(at, 100).to_pylist() for c in batch.columns)) for at in range(0, batch.num_rows, 100)):
+                ids.append(doc_id)
+                texts.append(text or "")
                 held += len(texts[-1])
                 if held >= BLOCK_CHARS:
                     yield block_row(number, ids, texts)
                     number, ids, texts, held = number + 1, [], [], 0
-                    trim()
         if ids:
             yield block_row(number, ids, texts)
         trim()
@@ -156,52 +159,57 @@ def _token_at(ends: Column) -> Column:
     return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.when(i > 0, ends[i - 1]).otherwise(0))))
 
 
-def aligned_unit(x: Column) -> Column:
-    """Of one unit, a struct of a, a_ends, b, b_ends: groups (a1,a2|b1;...), links (a << 32 | b), n_a, n_b, n_groups."""
+def _pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+
+
+def _same_ends(x: Column) -> Column:
+    """aligned_unit() of a unit whose tokens all end alike: each is a group and a link."""
+    spelt = F.zip_with(x["a"].cast("array<string>"), x["b"].cast("array<string>"), lambda a, b: F.concat(a, F.lit("|"), b))
+    return F.struct(F.array_join(spelt, ";").alias("groups"), F.zip_with(x["a"], x["b"], _pair).alias("links"))
+
 
-    def parts(ids: Column, ends: Column, others: Column) -> Column:
-        """The ids in decimal, a string for each group; others: the other tokenizer's token of each byte."""
+def aligned_unit(x: Column) -> Column:
+    """Of one unit, a struct of a, a_ends, b, b_ends: groups (a1,a2|b1;...), links (a << 32 | b)."""
 
-        def spelt(id_: Column, i: Column) -> Column:
-            before = ends[i - 1]
-            return F.concat(F.when(i == 0, "").when(others[before - 1] == others[before], ",").otherwise(";"), id_.cast("string"))
+    def parts(ids: Column, at: Column, common: Column) -> Column:
+        """The ids in decimal, a string for each group: those of the tokens from its first byte's to its last one's."""
 
-        return F.split(F.array_join(F.transform(ids, spelt), ""), ";")
+        def spelt(words: Column) -> Column:
+            def part(end: Column, i: Column) -> Column:
+                first, last = at[F.when(i > 0, common[i - 1]).otherwise(0)], at[end - 1]
+                several = F.array_join(F.transform(F.sequence(first, last), lambda k: words[k]), ",")
+                return F.when(first == last, words[first]).otherwise(several)
 
-    def groups(at_a: Column, at_b: Column) -> Column:
-        both = F.zip_with(parts(x["a"], x["a_ends"], at_b), parts(x["b"], x["b_ends"], at_a), lambda p, q: F.concat(p, F.lit("|"), q))
-        return F.array_join(both, ";")
+            return F.transform(common, part)
 
-    def links(at_a: Column, at_b: Column) -> Column:
-        pair = lambda end: F.shiftleft(x["a"][at_a[end - 1]].cast("long"), 32).bitwiseOR(x["b"][at_b[end - 1]].cast("long"))
-        return F.transform(F.array_union(x["a_ends"], x["b_ends"]), pair)
+        return let(ids.cast("array<string>"), spelt)
 
     def whole(y: Column) -> Column:
-        return F.struct(
-            groups(y["at_a"], y["at_b"]).alias("groups"), links(y["at_a"], y["at_b"]).alias("links"),
-            F.size(x["a"]).cast("long").alias("n_a"), F.size(x["b"]).cast("long").alias("n_b"), F.size(F.array_intersect(x["a_ends"], x["b_ends"])).cast("long").alias("n_groups"),
-        )
+        groups = F.zip_with(parts(x["a"], y["at_a"], y["common"]), parts(x["b"], y["at_b"], y["common"]), lambda p, q: F.concat(p, F.lit("|"), q))
+        links = F.transform(F.array_union(x["a_ends"], x["b_ends"]), lambda end: _pair(x["a"][y["at_a"][end - 1]], x["b"][y["at_b"][end - 1]]))
+        return F.struct(F.array_join(groups, ";").alias("groups"), links.alias("links"))
 
-    return let(F.struct(_token_at(x["a_ends"]).alias("at_a"), _token_at(x["b_ends"]).alias("at_b")), whole)
+    meeting = let(F.struct(F.array_intersect(x["a_ends"], x["b_ends"]).alias("common"), _token_at(x["a_ends"]).alias("at_a"), _token_at(x["b_ends"]).alias("at_b")), whole)
+    return F.when(x["a_ends"] == x["b_ends"], _same_ends(x)).otherwise(meeting)
 
 
 def aligned_blocks(blocks: DataFrame) -> DataFrame:
-    """block, docs (an array of doc_id, units, n_a, n_b, n_groups, n_links, groups_sha256, pairs: distinct ones), links (of
-    each unit)."""
+    """block, docs (an array of doc_id, n_a, n_b, units, n_groups, groups_sha256, pairs: distinct ones) and links (of
+    each unit). Groups are told by array_intersect in each unit; a document's are as many as its groups spelt."""
     unit = F.transform(F.arrays_zip("a", "a_ends", "b", "b_ends"), aligned_unit)
 
     def documents(units: Column) -> Column:
-        def total(numbers: Column, field: str) -> Column:
-            return F.aggregate(numbers, F.lit(0).cast("long"), lambda n, u: n + units[u][field])
-
         def document(numbers: Column, k: Column) -> Column:
-            groups = F.array_join(F.transform(numbers, lambda u: units[u]["groups"]), ";")
             pairs = F.array_distinct(F.flatten(F.transform(F.array_distinct(numbers), lambda u: units[u]["links"])))
-            n_a, n_b, n_groups = (total(numbers, c) for c in ("n_a", "n_b", "n_groups"))
-            return F.struct(
-                F.col("doc_ids")[k].alias("doc_id"), numbers.alias("units"), n_a.alias("n_a"), n_b.alias("n_b"), n_groups.alias("n_groups"),
-                F.when(F.size(numbers) > 0, F.sha2(groups.cast("binary"), 256)).otherwise("").alias("groups_sha256"), pairs.alias("pairs"),
-            )
+            own = [F.col(c)[k].alias(name) for c, name in (("doc_ids", "doc_id"), ("n_a", "n_a"), ("n_b", "n_b"))]
+
+            def spelt(groups: Column) -> Column:
+                n = F.when(groups != "", F.length(groups) - F.length(F.translate(groups, ";", "")) + 1).otherwise(0)
+                sha = F.when(groups != "", F.sha2(groups.cast("binary"), 256)).otherwise("")
+                return F.struct(*own, numbers.alias("units"), n.cast("long").alias("n_groups"), sha.alias("groups_sha256"), pairs.alias("pairs"))
+
+            return let(F.array_join(F.transform(numbers, lambda u: units[u]["groups"]), ";"), spelt)
 
         return F.struct(F.transform("units", document).alias("docs"), F.transform(units, lambda u: u["links"]).alias("links"))
 
@@ -239,9 +247,9 @@ def align_documents(docs: DataFrame, ranks: str | None = None, pieces: str | Non
             return F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + row["sums"][u][field])
 
         def document(d: Column) -> Column:
-            n_best, count_sum = total(d, "best"), total(d, "n")
             n_links = d["n_a"] + d["n_b"] - d["n_groups"]  # as many as there are different ends
-            return F.struct(d["doc_id"].alias("doc_id"), *(d[c].alias(c) for c in ("n_a", "n_b", "n_groups")), n_links.alias("n_links"), n_best.alias("n_best"), count_sum.alias("count_sum"), d["groups_sha256"].alias("groups_sha256"))
+            own = [d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups")]
+            return F.struct(*own, n_links.alias("n_links"), total(d, "best").alias("n_best"), total(d, "n").alias("count_sum"), d["groups_sha256"].alias("groups_sha256"))
 
         return F.transform(row["docs"], document)
 
