@@ -21,8 +21,10 @@ from tickerloom.operators.score import VOLATILITY, Family, LegacyParams, legacy_
 MOST, RIDGE, STEPS, TERMS, LEAST, L1_GRID = 6.0, 0.002, 400, 10, 1e-4, (0.01, 0.03, 0.07, 0.15)
 #: Columns that correlate by so much with a better one are left out; columns need so many values.
 CORRELATED, LEAST_VALUES = 0.94, 40
-#: Budgets: draws of each family and steps of its refinement, repeats of the outer validation and its folds, resamples.
-DRAWS, REFINEMENTS, REPEATS, OUTER, INNER, RESAMPLES = 2500, 250, 4, 5, 4, 120
+#: Budgets: draws of a family, repeats of the outer validation and its folds, resamples.
+DRAWS, REPEATS, OUTER, INNER, RESAMPLES = 2500, 4, 5, 4, 120
+#: Pairs of rows that a fit looks at at once.
+PAIR_BLOCK = 2_000_000
 
 
 def parameter_sets(spark: SparkSession, family: Family, n: int = DRAWS, seed: int = 20260729) -> DataFrame:
@@ -31,40 +33,6 @@ def parameter_sets(spark: SparkSession, family: Family, n: int = DRAWS, seed: in
     return spark.createDataFrame([(k, *[q[x] for x in family.middle]) for k, q in enumerate(sets)], "param_id long, " + ", ".join(f"q_{k} double" for k in family.middle))
 
 
-def search(features: DataFrame, ranking: DataFrame, params: DataFrame, family: Family) -> DataFrame:
-    """param_id, inversion, pair_error, rho, utility of every parameter set, all in one job."""
-    score = family.score({k: F.col(f"q_{k}") for k in family.middle})
-    each = features.join(ranking, "symbol").crossJoin(F.broadcast(params))  # a set of parameters for each draw asked for
-    found = rank_metrics(each.select("param_id", "symbol", "true_rank", score.alias("score")), ("param_id",))
-    return found.withColumn("utility", -10 * F.col("inversion") + 3 * F.coalesce("rho", F.lit(0.0)) - 0.05 * F.col("pair_error"))
-
-
-def search_families(features: DataFrame, ranking: DataFrame, families: dict[str, Family], n: int = DRAWS, seed: int = 20260729) -> DataFrame:
-    """family, param_id, inversion, pair_error, rho, utility: the best set of each family by utility, then param_id."""
-    out = None
-    for name, one in families.items():
-        found = search(features, ranking, parameter_sets(features.sparkSession, one, n, seed), one)
-        best = found.agg(F.min_by(F.struct(*found.columns), F.struct(-F.col("utility"), F.col("param_id"))).alias("r")).select(F.lit(name).alias("family"), "r.*")
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
-def refine(features: DataFrame, ranking: DataFrame, family: Family, start: dict[str, float], rounds: int = 5, each: int = REFINEMENTS // 5, seed: int = 1) -> dict[str, float]:
-    """Hill climbing: in each round, one job over multiplied copies of the best parameters so far. Floors, edges and eps
-    stay within their bounds."""
-    spark, rng, best = features.sparkSession, np.random.default_rng(seed), dict(start)
-    bounded = [k for k in best if k.endswith("floor") or "edge" in k or k == "eps"]
-    for _ in range(rounds):
-        sets = [best]
-        for _ in range(each):
-            moved = {k: float(v * np.exp(rng.normal(0, 0.15 if abs(v) > 1e-8 else 0.05))) for k, v in best.items()}
-            sets.append(moved | {k: float(np.clip(moved[k], 1e-4, 0.5)) for k in bounded})
-        params = spark.createDataFrame([(k, *q.values()) for k, q in enumerate(sets)], "param_id long, " + ", ".join(f"q_{k} double" for k in best))
-        top = search(features, ranking, params, family).orderBy(F.desc("utility"), "param_id").first()
-        best = sets[top["param_id"]]
-    return best
-
-
 def legacy_weights(n: int = 1500, seed: int = 20260311) -> list[LegacyParams]:
     """The archived score's parameters, then n sets around them."""
     rng = np.random.default_rng(seed)
@@ -175,17 +143,25 @@ def design(z: np.ndarray, columns: list[str], name: str) -> tuple[np.ndarray, li
 
 def fit_pairwise(x: np.ndarray, rank: np.ndarray, l1: float) -> np.ndarray:
     """Weights in [0, MOST] of a logistic model of which of two rows ranks first, by accelerated projected gradient. Rows
-    come twice where a resample drew them twice."""
-    i, j = np.triu_indices(len(rank), 1)
-    swap = rank[i] > rank[j]
-    d = x[np.where(swap, j, i)] - x[np.where(swap, i, j)]
-    if not len(d):
-        return np.zeros(x.shape[1])
+    come twice where a resample drew them twice.
+
+    A pair's margin is the difference of two scores, so the gradient is the rows weighted by how much each pair pulls at
+    them: no pair's row is ever made, and no more than PAIR_BLOCK margins are held at once.
+    """
+    x = x[np.argsort(rank, kind="stable")]
+    n, pairs = len(x), len(x) * (len(x) - 1) / 2
     w = v = np.zeros(x.shape[1])
-    step, t = 1.0 / (0.25 * np.linalg.norm(d.T @ d, 2) / len(d) + 2 * RIDGE), 1.0
+    if n < 2:
+        return w
+    spread = n * x.T @ x - np.outer(x.sum(axis=0), x.sum(axis=0))  # the differences' products, over all pairs
+    step, t, rows = 1.0 / (0.25 * np.linalg.norm(spread, 2) / pairs + 2 * RIDGE), 1.0, max(1, PAIR_BLOCK // n)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(d @ v, -40, 40)))
-        new = np.clip(v - step * (-(d.T @ p) / len(d) + l1 + 2 * RIDGE * v), 0, MOST)
+        score, pull = x @ v, np.zeros(n)
+        for at in range(0, n, rows):
+            p = np.triu(1 / (1 + np.exp(np.clip(score[at : at + rows, None] - score[None, at:], -40, 40))), 1)
+            pull[at : at + rows] += p.sum(axis=1)
+            pull[at:] -= p.sum(axis=0)
+        new = np.clip(v - step * (-(x.T @ pull) / pairs + l1 + 2 * RIDGE * v), 0, MOST)
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, w, t = new + (t - 1) / after * (new - w), new, after
     return w

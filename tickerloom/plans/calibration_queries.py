@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.operators import calibrate as C
+from tickerloom.operators import families as S
 from tickerloom.operators import panel as P
 from tickerloom.operators.features import features
+from tickerloom.operators.places import cut
 from tickerloom.operators.score import FAMILIES, LEGACY_COLUMNS, direction
 from tickerloom.plans import inputs as I
 from tickerloom.plans.list_queries import SCORES, _scores
@@ -20,13 +22,40 @@ DIRECTIONS = {c: direction(c) for c in COLUMNS}
 
 def _inputs(spark, sf_dir):
     found = features(P.align(P.clean(I.prices(spark, sf_dir)))).select("symbol", "r_4m", "vol20_ann", "seg_ret_5_21", "seg_ret_21_63", "prior_support_sign", "mid_dip_recovery", "recent_up_days_5d", "recent_jump_share_5d", "jump_discontinuity_3m", "stale_after_run", "trend_efficiency_reward_15d", *COLUMNS)
-    return found.cache(), _scores(spark, sf_dir).select("symbol", "true_rank")
+    return cut(found), _scores(spark, sf_dir).select("symbol", "true_rank")
 
 
 def family_search(spark, sf_dir):
     """The best of 2500 draws of each family's parameters."""
     found, ranking = _inputs(spark, sf_dir)
-    return I.rounded(C.search_families(found, ranking, FAMILIES))
+    measured = S.set_metrics(found, S.splits(ranking, 0), S.sets_table(spark, S.drawn(FAMILIES, seeds=(20260729,))), FAMILIES)
+    return I.rounded(S.best_sets(measured, ("family",)).select("family", "param_id", "inversion", "pair_error", "rho", "utility"))
+
+
+def family_refined(spark, sf_dir):
+    """The best of 2500 draws of each family by each of three seeds, refined in 250 steps."""
+    found, ranking = _inputs(spark, sf_dir)
+    return I.rounded(S.refined(found, ranking, FAMILIES)[0])
+
+
+def _measured(spark, sf_dir):
+    found, ranking = _inputs(spark, sf_dir)
+    return cut(S.set_metrics(found, S.splits(ranking), S.sets_table(spark, S.drawn(FAMILIES, seeds=S.SEEDS[:1])), FAMILIES))
+
+
+def family_validation(spark, sf_dir):
+    """Three times five splits of each family: 2500 sets are scored once, the best on the training rows is tried on the others."""
+    return I.rounded(S.validated(_measured(spark, sf_dir)))
+
+
+def family_chosen(spark, sf_dir):
+    """Each family's splits and best set, and the family that is chosen within the band."""
+    return I.rounded(S.chosen(_measured(spark, sf_dir)))
+
+
+def validation_folds(spark, sf_dir):
+    folds = S.splits(_scores(spark, sf_dir))
+    return folds.select("symbol", "true_rank", *[F.col("folds")[k].alias(f"fold_{k}") for k in range(S.REPEATS)])
 
 
 def fit_validation(spark, sf_dir):
@@ -48,7 +77,7 @@ def legacy_weight_search(spark, sf_dir):
 
 
 def _whole(spark, sf_dir):
-    return features(P.align(P.clean(I.prices(spark, sf_dir)))).select("symbol", *LEGACY_COLUMNS).cache()
+    return cut(features(P.align(P.clean(I.prices(spark, sf_dir)))).select("symbol", *LEGACY_COLUMNS))
 
 
 def legacy_volatility_grid(spark, sf_dir):
@@ -76,11 +105,13 @@ def choice_accuracy(spark, sf_dir):
     return I.rounded(C.choice_accuracy(choices, scores))
 
 
-QUERIES = {f.__name__: f for f in (family_search, fit_validation, fit_stability, legacy_weight_search, legacy_volatility_grid, weight_grid, alpha_screen, label_variants, choice_accuracy)}
+QUERIES = {f.__name__: f for f in (family_search, family_refined, family_validation, family_chosen, validation_folds, fit_validation, fit_stability, legacy_weight_search, legacy_volatility_grid, weight_grid, alpha_screen, label_variants, choice_accuracy)}
 _SWAPPED = "symbol"
 for _k, (_a, _b) in enumerate([("1", "2"), ("2", "3"), ("4", "5")]):
     _SWAPPED = f"CASE WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_a}' THEN '{_b}' WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_b}' THEN '{_a}' ELSE ({_SWAPPED}) END"
+_FOLDS = ", ".join(f"((row_number() OVER (PARTITION BY run ORDER BY sha256('{S.SEEDS[0]} {k} ' || symbol), symbol) - 1) % 5)::INTEGER AS fold_{k}" for k in range(S.REPEATS))
 ORACLE = {
+    "validation_folds": f"WITH {SCORES}, runs AS (SELECT symbol, true_rank, ntile(5) OVER (ORDER BY true_rank, symbol) AS run FROM scores) SELECT symbol, true_rank, {_FOLDS} FROM runs",
     "alpha_screen": f"""WITH {SCORES}, s AS (SELECT k / 20::DOUBLE - 2 AS alpha, symbol, true_rank, score + (k / 20::DOUBLE - 2) * (true_rank * 37 % 11) AS score FROM scores, range(81) t(k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY score DESC, true_rank) AS model_rank FROM s),
 m AS (SELECT a.alpha, avg((a.score < b.score)::INTEGER) AS inversion, avg(abs((b.true_rank - a.true_rank) - (b.model_rank - a.model_rank))) AS pair_error FROM r a JOIN r b ON a.alpha = b.alpha AND a.true_rank < b.true_rank GROUP BY 1),
