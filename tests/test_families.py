@@ -49,15 +49,18 @@ def test_splits_are_stratified(inputs):
     assert found == {r["symbol"]: r["folds"] for r in S.splits(ranking.repartition(5), 3, 5).collect()}
 
 
-@pytest.mark.parametrize("held", [4_000_000, 100])
-def test_metrics_of_sets(monkeypatch, held):
+@pytest.mark.parametrize(("held", "few"), [(4_000_000, 256), (100, 256), (100, 3)])
+def test_metrics_of_sets(monkeypatch, held, few):
     monkeypatch.setattr(S, "HELD", held)
+    monkeypatch.setattr(S, "FEW", few)
     rng = np.random.default_rng(3)
     scores = rng.integers(0, 6, (7, 25)).astype(float)
     scores[3, :5] = np.nan
     for s, got in zip(scores, S.metrics_of_sets(scores)):
         full = np.where(np.isnan(s), np.nanmedian(s), s)
         assert tuple(got[:3]) == pytest.approx(R.metrics_of(np.arange(1, 26), full))
+    ranks = np.sort(rng.choice(100, 25, replace=False)).astype(float)
+    assert tuple(S.metrics_of_sets(scores[:1], ranks)[0, :3]) == pytest.approx(R.metrics_of(ranks, scores[0]))
     assert S.metrics_of_sets(np.full((2, 3), np.nan))[:, 0].tolist() == [0.0, 0.0]
     assert S.metrics_of_sets(np.zeros((2, 1)))[:, :3].tolist() == [[0.0, 0.0, 1.0]] * 2
 

@@ -23,8 +23,8 @@ DRAWS, REFINEMENTS, ROUNDS, REPEATS, FOLDS = 2500, 250, 5, 3, 5
 #: The seeds; a multiplied parameter's spread; bounds of floors, edges and eps; families whose mean inversion in the
 #: splits is within the band of the best one's are chosen among; weights of inversion, correlation and rank gaps.
 SEEDS, SPREAD, BOUNDS, BAND, UTILITY = (20260802, 20260803, 20260811), 0.15, (1e-4, 0.5), 0.05, (-10.0, 3.0, -0.05)
-#: Scores of a task; compared numbers that are held at once.
-TASK_ROWS, HELD = 200_000, 4_000_000
+#: Scores of a task; compared numbers that are held at once, and rows up to which all pairs are compared.
+TASK_ROWS, HELD, FEW = 200_000, 4_000_000, 256
 KEYS = ("family", "seed", "param_id")
 
 
@@ -57,9 +57,9 @@ def score_of(families: dict[str, Family], columns: list[str]) -> Column:
     return out
 
 
-def metrics_of_sets(scores: np.ndarray) -> np.ndarray:
-    """inversion, pair_error, rho, utility of each row of scores, whose columns are in the order of the true ranks. Missing
-    scores are the row's median. Fewer than two columns: 0, 0, 1."""
+def metrics_of_sets(scores: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
+    """inversion, pair_error, rho, utility of each row of scores, whose columns are in the order of the true ranks: from 1 on, or
+    ranks. Missing scores are the row's median. Fewer than two columns: 0, 0, 1."""
     many, n = scores.shape
     out = np.tile(np.array([0.0, 0.0, 1.0]), (many, 1))
     if n > 1 and many:
@@ -68,8 +68,9 @@ def metrics_of_sets(scores: np.ndarray) -> np.ndarray:
         scores = np.where(known, scores, middle[:, None])
         model = np.empty((many, n))
         np.put_along_axis(model, np.argsort(-scores, axis=1, kind="stable"), np.arange(1.0, n + 1)[None, :].repeat(many, 0), axis=1)
-        pairs, gaps = n * (n - 1) / 2, np.arange(1, n + 1) - model
-        if n * n <= HELD:
+        ranks = np.arange(1.0, n + 1) if ranks is None else ranks
+        pairs, gaps = n * (n - 1) / 2, ranks - model
+        if n <= FEW:
             step = max(1, HELD // (n * n))
             upper = np.triu(np.ones((n, n), bool), 1)
             falls = [((m[:, :, None] > m[:, None, :]) & upper).sum(axis=(1, 2)) for m in (model[at : at + step] for at in range(0, many, step))]
@@ -77,14 +78,15 @@ def metrics_of_sets(scores: np.ndarray) -> np.ndarray:
         else:
             out[:, 0] = [rising_pairs(-m) / pairs for m in model]
         out[:, 1] = (np.sort(gaps, axis=1) * (2 * np.arange(n) - n + 1)).sum(axis=1) / pairs
-        out[:, 2] = 1 - 6 * (gaps**2).sum(axis=1) / (n * (n * n - 1.0))
+        apart = ranks - ranks.mean()
+        out[:, 2] = (model - (n + 1) / 2) @ apart / np.sqrt(max((apart**2).sum(), 1e-300) * n * (n * n - 1.0) / 12)
     return np.column_stack([out, out[:, [0, 2, 1]] @ np.array(UTILITY)])
 
 
-def set_metrics(features: DataFrame, ranked: DataFrame, sets: DataFrame, families: dict[str, Family]) -> DataFrame:
-    """KEYS, repeat, fold, inversion, pair_error, rho, utility, test_inversion: over all rows (repeat and fold -1, no
-    test_inversion), and for each repeat and fold of ranked's folds over the rows that aren't in the fold. Ranks count among the rows
-    that are looked at."""
+def set_metrics(features: DataFrame, ranked: DataFrame, sets: DataFrame, families: dict[str, Family], anew: bool = True) -> DataFrame:
+    """KEYS, repeat, fold, inversion, pair_error, rho, utility, test_inversion, test_pair_error, test_rho: over all rows (repeat
+    and fold -1, no tests), and for each repeat and fold of ranked's folds over the rows that aren't in the fold, the tests over
+    those that are. anew: ranks count from 1 on among the rows that are looked at."""
     n_sets, n_rows = sets.count(), ranked.count()
     tasks = max(1, -(-n_sets * n_rows // TASK_ROWS))
     task = F.pmod(F.xxhash64(*KEYS), F.lit(tasks)).alias("task")
@@ -99,18 +101,21 @@ def set_metrics(features: DataFrame, ranked: DataFrame, sets: DataFrame, familie
         score = score.reshape(len(first), n).astype(float)
         folds = np.array(rows["folds"].slice(0, n).to_pylist(), int).reshape(n, -1)
         keys, parts = rows.select(list(KEYS)).take(pa.array(first)), []
+        ranks = rows["true_rank"].slice(0, n).to_numpy().astype(float)
         cases = [(-1, -1, np.zeros(n, bool))] + [(r, f, folds[:, r] == f) for r in range(folds.shape[1]) for f in np.unique(folds[:, r])]
         for repeat, fold, test in cases:
-            train, held = metrics_of_sets(score[:, ~test]), metrics_of_sets(score[:, test])[:, 0]
+            train, held = (metrics_of_sets(score[:, some], None if anew else ranks[some]) for some in (~test, test))
             part = keys
             for name, values in (("repeat", repeat), ("fold", fold)):
                 part = part.append_column(name, pa.array(np.full(len(first), values, np.int32)))
             for name, values in zip(("inversion", "pair_error", "rho", "utility"), train.T):
                 part = part.append_column(name, pa.array(values))
-            parts.append(part.append_column("test_inversion", pa.array(held, mask=np.full(len(first), repeat < 0))))
+            for name, values in zip(("test_inversion", "test_pair_error", "test_rho"), held.T):
+                part = part.append_column(name, pa.array(values, mask=np.full(len(first), repeat < 0)))
+            parts.append(part)
         return pa.concat_tables(parts)
 
-    schema = "family string, seed long, param_id long, repeat int, fold int, inversion double, pair_error double, rho double, utility double, test_inversion double"
+    schema = "family string, seed long, param_id long, repeat int, fold int, inversion double, pair_error double, rho double, utility double, test_inversion double, test_pair_error double, test_rho double"
     return scored.groupBy("task").applyInArrow(measure, schema)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom.operators import addons as A
 from tickerloom.operators import calibrate as C
 from tickerloom.operators import families as S
 from tickerloom.operators import panel as P
@@ -90,6 +91,34 @@ def weight_grid(spark, sf_dir):
     return I.rounded(C.weight_grid(scores, "one", "two", [k / 10 for k in range(13)], [k / 10 for k in range(11)]))
 
 
+def _addons(spark, sf_dir):
+    """symbol, true_rank, score, and stand-ins for a reward, a penalty and a curvature."""
+    rank = F.col("true_rank")
+    scores = _scores(spark, sf_dir).select("symbol", "true_rank", "score", (rank * 37 % 11 / 10).alias("one"), (rank * 53 % 7 / 10).alias("two"), ((rank * 29 % 13 - 6) / 10).alias("curve"))
+    turned = cut(A.curvature_turn(scores, "curve"))
+    return turned.drop("true_rank", "curve"), turned.select("symbol", "true_rank")
+
+
+def addon_turn(spark, sf_dir):
+    return I.rounded(_addons(spark, sf_dir)[0].select("symbol", "turn"))
+
+
+def addon_grid(spark, sf_dir):
+    return I.rounded(A.grid(*_addons(spark, sf_dir)))
+
+
+def addon_validation(spark, sf_dir):
+    """Forty times five splits, each with the best of 286 combinations of its training rows."""
+    return I.rounded(A.nested_summary(A.nested(*_addons(spark, sf_dir))))
+
+
+def addon_subsamples(spark, sf_dir):
+    """The best combination against the baseline in 500 subsamples."""
+    found, ranking = _addons(spark, sf_dir)
+    best = A.best_of(A.grid(found, ranking)).first()
+    return I.rounded(A.subsample_summary(A.subsampled(found, ranking, {c: best[c] for c in ("turned", "reward", "penalty")})))
+
+
 def alpha_screen(spark, sf_dir):
     scores = _scores(spark, sf_dir).select("symbol", "true_rank", "score", (F.col("true_rank") * 37 % 11).alias("extra"))
     return I.rounded(C.alpha_grid(scores, "extra", spark.range(81).select((F.col("id") / 20 - 2).alias("alpha"))))
@@ -105,12 +134,21 @@ def choice_accuracy(spark, sf_dir):
     return I.rounded(C.choice_accuracy(choices, scores))
 
 
-QUERIES = {f.__name__: f for f in (family_search, family_refined, family_validation, family_chosen, validation_folds, fit_validation, fit_stability, legacy_weight_search, legacy_volatility_grid, weight_grid, alpha_screen, label_variants, choice_accuracy)}
+QUERIES = {f.__name__: f for f in (family_search, family_refined, family_validation, family_chosen, validation_folds, addon_turn, addon_grid, addon_validation, addon_subsamples, fit_validation, fit_stability, legacy_weight_search, legacy_volatility_grid, weight_grid, alpha_screen, label_variants, choice_accuracy)}
 _SWAPPED = "symbol"
 for _k, (_a, _b) in enumerate([("1", "2"), ("2", "3"), ("4", "5")]):
     _SWAPPED = f"CASE WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_a}' THEN '{_b}' WHEN v >> {_k} & 1 = 1 AND ({_SWAPPED}) = '{_b}' THEN '{_a}' ELSE ({_SWAPPED}) END"
 _FOLDS = ", ".join(f"((row_number() OVER (PARTITION BY run ORDER BY sha256('{S.SEEDS[0]} {k} ' || symbol), symbol) - 1) % 5)::INTEGER AS fold_{k}" for k in range(S.REPEATS))
+_TURN = f"""{SCORES}, raw AS (SELECT symbol, true_rank, score, (true_rank * 37 % 11) / 10::DOUBLE AS one, (true_rank * 53 % 7) / 10::DOUBLE AS two, (true_rank * 29 % 13 - 6) / 10::DOUBLE AS curve FROM scores),
+h AS (SELECT *, greatest(curve, 0) AS up, greatest(-curve, 0) AS down FROM raw),
+turned AS (SELECT *, 0.445971::DOUBLE * (0.3::DOUBLE + 0.3::DOUBLE) * ((up - avg(up) OVER ()) / stddev_pop(up) OVER () - (down - avg(down) OVER ()) / stddev_pop(down) OVER ()) AS turn FROM h)"""
 ORACLE = {
+    "addon_turn": f"WITH {_TURN} SELECT symbol, round(turn, 6) AS turn FROM turned",
+    "addon_grid": f"""WITH {_TURN}, s AS (SELECT t::DOUBLE AS turned, r / 10::DOUBLE AS reward, p / 10::DOUBLE AS penalty, t * 143 + r * 11 + p AS param_id, true_rank, score + t::DOUBLE * turn + r / 10::DOUBLE * one - p / 10::DOUBLE * two AS score FROM turned, range(2) a(t), range(13) b(r), range(11) c(p)),
+r AS (SELECT *, row_number() OVER (PARTITION BY param_id ORDER BY score DESC, true_rank) AS model_rank FROM s),
+m AS (SELECT x.param_id, avg((x.score < y.score)::INTEGER) AS inversion, avg(abs((y.true_rank - x.true_rank) - (y.model_rank - x.model_rank))) AS pair_error FROM r x JOIN r y ON x.param_id = y.param_id AND x.true_rank < y.true_rank GROUP BY 1),
+c AS (SELECT param_id, turned, reward, penalty, corr(true_rank, model_rank) AS rho FROM r GROUP BY ALL)
+SELECT param_id, turned, reward, penalty, round(inversion, 6) AS inversion, round(pair_error, 6) AS pair_error, round(rho, 6) AS rho FROM m JOIN c USING (param_id)""",
     "validation_folds": f"WITH {SCORES}, runs AS (SELECT symbol, true_rank, ntile(5) OVER (ORDER BY true_rank, symbol) AS run FROM scores) SELECT symbol, true_rank, {_FOLDS} FROM runs",
     "alpha_screen": f"""WITH {SCORES}, s AS (SELECT k / 20::DOUBLE - 2 AS alpha, symbol, true_rank, score + (k / 20::DOUBLE - 2) * (true_rank * 37 % 11) AS score FROM scores, range(81) t(k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY score DESC, true_rank) AS model_rank FROM s),
