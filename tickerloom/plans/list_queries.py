@@ -15,6 +15,7 @@ from tickerloom.operators import score as S
 from tickerloom.operators.sorting import Session
 from tickerloom.plans import inputs as I
 from tickerloom.sources import documents as D
+from tickerloom.sources.keyed import BarCache, NameCache
 
 QUERIES, ORACLE = {}, {}
 
@@ -413,3 +414,36 @@ def session_documents(spark, sf_dir):
     D.save_session(spark, two, folder, "2024-01-03T00:00:00")
     found = D.latest_completed(D.sessions(spark, folder))
     return found.select("session_id", "phase", F.size("final_ranking").cast("long").alias("n_symbols"), F.sha2(F.array_join("final_ranking", "\n"), 256).alias("digest"))
+
+
+_BARS = "bars AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_suppkey AS k, CAST(l_shipdate AS DATE) AS date FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {_BARS}, old AS (SELECT symbol, any_value(k) AS k, count(*) AS n, max(date) AS d FROM bars WHERE k % 5 <> 0 AND (k % 3 = 0 OR date < DATE '1997-01-01') GROUP BY 1),
+fresh AS (SELECT symbol, any_value(k) AS k, count(*) AS n, max(date) AS d FROM bars GROUP BY 1),
+o AS (SELECT f.symbol, f.n, f.d, old.n AS old_n, old.d AS old_d, CASE WHEN old.d IS NULL THEN 'cold' WHEN f.k % 4 = 0 OR old.n < 80 THEN 'period_miss' WHEN f.k % 7 = 0 THEN 'stale_hit' WHEN f.d > old.d THEN 'miss' ELSE 'hit' END AS outcome FROM fresh f LEFT JOIN old USING (symbol))
+SELECT symbol, outcome, CASE WHEN outcome IN ('hit', 'stale_hit') THEN old_n ELSE n END AS n_bars, CAST(CASE WHEN outcome IN ('hit', 'stale_hit') THEN old_d ELSE d END AS VARCHAR) AS last_date, CASE WHEN outcome IN ('hit', 'stale_hit') THEN CASE WHEN CAST(symbol AS INTEGER) % 4 = 0 THEN '1mo' ELSE '2y' END ELSE '6mo' END AS period FROM o""")
+def cache_refresh(spark, sf_dir):
+    """Four fifths of the symbols are cached, most up to 1996; all are asked for, what is no hit is read and written back, and
+    then everything is read from the cache again."""
+    fresh, k = I.prices(spark, sf_dir).select("symbol", "date", "close"), F.col("symbol").cast("int")
+    cache = BarCache(spark, I.work_dir(spark, "bars"), 16)
+    cache.save("adj_close", fresh.where((k % 5 != 0) & ((k % 3 == 0) | (F.col("date") < "1997-01-01"))), F.when(k % 4 == 0, "1mo").otherwise("2y"), "1999-01-01")
+    probe = fresh.where(k % 7 != 0).groupBy("symbol").agg(F.max("date").alias("probe_date"))
+    wanted = fresh.select("symbol").distinct()
+    _, outcomes = cache.refresh("adj_close", wanted, probe, lambda symbols: fresh.join(symbols, "symbol", "left_semi"), "6mo", "1999-01-02")
+    counts = cache.bars("adj_close", wanted).groupBy("symbol").agg(F.count("*").alias("n_bars"), F.max("date").cast("string").alias("last_date"))
+    return outcomes.join(counts, "symbol").join(cache.manifest("adj_close", wanted).select("symbol", "period"), "symbol").select("symbol", "outcome", "n_bars", "last_date", "period")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'old ' || s_suppkey WHEN s_suppkey % 11 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE s_name END AS name FROM supplier""")
+def name_cache(spark, sf_dir):
+    """Names saved 40 days ago have expired, a third were saved again 5 days ago; the others are found anew, but for some that no
+    source has."""
+    s, k = I.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    rows = s.select(k.cast("string").alias("symbol"), k, "s_name")
+    cache, old = NameCache(spark, I.work_dir(spark, "names")), F.concat(F.lit("old "), F.col("symbol")).alias("name")
+    cache.save(rows.select("symbol", F.concat(F.lit("older "), F.col("symbol")).alias("name")), "2024-01-01")
+    cache.save(rows.where(k % 3 == 0).select("symbol", old), "2024-02-05")
+    found = rows.where(k % 11 != 0).select("symbol", F.col("s_name").alias("name"))
+    return cache.read_through(rows, lambda symbols: found.join(symbols, "symbol", "left_semi"), "2024-02-10")
