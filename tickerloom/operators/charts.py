@@ -41,6 +41,25 @@ def scatter(panel: DataFrame, window: int = 63, dates: int = 1) -> DataFrame:
     return rows.select("symbol", "date", "rn", vol.alias("vol"), F.when(grown.isNotNull(), F.greatest(grown * 100 + 100, F.lit(0.1))).alias("y")).where(F.col("rn") <= dates)
 
 
+def motion(panel: DataFrame, days: int = 10, tail: int = 5, window: int = 63) -> DataFrame:
+    """symbol, date, x (vol in %), y of each symbol's last days + 1 frames, and tail: the known points (x, y) of the frame and of the
+    tail rows before it, oldest first. A frame's tail is a range of rows of the same points, so none is worked out twice."""
+    points = scatter(panel, window, days + tail + 1).select("symbol", "date", "rn", (F.col("vol") * 100).alias("x"), "y")
+    frame = Window.partitionBy("symbol").orderBy("date").rowsBetween(-tail, 0)
+    known = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("x", "y"))
+    return points.withColumn("tail", F.collect_list(known).over(frame)).where(F.col("rn") <= days + 1).drop("rn")
+
+
+def tail_segments(panel: DataFrame, tail: int = 5, window: int = 63) -> DataFrame:
+    """symbol, k (rows back from today), from_x, from_y, x, y, opacity (0.15 for the oldest to 0.5) of each piece between neighbouring
+    points that are both known, of the last tail + 1 rows. No tail: no rows."""
+    points = scatter(panel, window, tail + 1).select("symbol", "date", (F.col("rn") - 1).alias("k"), (F.col("vol") * 100).alias("x"), "y")
+    before = Window.partitionBy("symbol").orderBy("date")
+    both = points.select("*", F.lag("x").over(before).alias("from_x"), F.lag("y").over(before).alias("from_y")).dropna()
+    opacity = F.greatest(F.lit(0.15), F.least(F.lit(0.5), (tail - F.col("k") + 1) / (tail + 1)))
+    return both.select("symbol", "k", "from_x", "from_y", "x", "y", opacity.alias("opacity"))
+
+
 def badges(found: DataFrame) -> DataFrame:
     """symbol, badges: names of what is positive."""
     mark = lambda c: F.when(F.col(c) > 0, c)

@@ -9,6 +9,7 @@ from tickerloom.operators import cache as C
 from tickerloom.operators import charts as H
 from tickerloom.operators import lists as L
 from tickerloom.operators import panel as P
+from tickerloom.operators import patterns as N
 from tickerloom.operators import places as W
 from tickerloom.operators import ranking as R
 from tickerloom.operators import score as S
@@ -245,6 +246,27 @@ def return_vol_scatter(spark, sf_dir):
     return I.rounded(H.scatter(_panel(spark, sf_dir), 63, 3).withColumn("y", F.round("y", 4)))
 
 
+_POINTS = f"""{_BARS}, r AS (SELECT symbol, date, close, rn, close / lag(close) OVER w - 1 AS r, lag(close, 63) OVER w AS base FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+v AS (SELECT *, CASE WHEN count(r) OVER f >= 21 THEN stddev_samp(r) OVER f * sqrt(252) END AS vol FROM r WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING)),
+points AS (SELECT symbol, date, rn, vol * 100 AS x, CASE WHEN base IS NOT NULL THEN greatest((pow(close / base, 4) - 1) * 100 + 100, 0.1) END AS y FROM v)"""
+
+
+@query(f"""WITH {_POINTS} SELECT f.symbol, f.date, row_number() OVER (PARTITION BY f.symbol, f.date ORDER BY t.date) - 1 AS pos, round(t.x, 4) AS x, round(t.y, 4) AS y
+FROM points f JOIN points t ON f.symbol = t.symbol AND t.rn BETWEEN f.rn AND f.rn + 5 WHERE f.rn <= 11 AND t.x IS NOT NULL AND t.y IS NOT NULL""", "date")
+def motion_paths(spark, sf_dir):
+    """Eleven frames of each symbol, each with a tail of five rows."""
+    found = H.motion(_panel(spark, sf_dir)).select("symbol", "date", F.posexplode("tail").alias("pos", "p"))
+    return I.rounded(found.select("symbol", "date", F.col("pos").cast("long").alias("pos"), F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y")))
+
+
+@query(f"""WITH {_POINTS}, s AS (SELECT symbol, rn - 1 AS k, lag(x) OVER w AS from_x, lag(y) OVER w AS from_y, x, y FROM points WHERE rn <= 6 WINDOW w AS (PARTITION BY symbol ORDER BY date))
+SELECT symbol, k, round(from_x, 4) AS from_x, round(from_y, 4) AS from_y, round(x, 4) AS x, round(y, 4) AS y, round(greatest(0.15::DOUBLE, least(0.5::DOUBLE, (5 - k + 1) / 6::DOUBLE)), 6) AS opacity
+FROM s WHERE from_x IS NOT NULL AND from_y IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL""")
+def motion_tails(spark, sf_dir):
+    found = H.tail_segments(_panel(spark, sf_dir))
+    return I.rounded(found.withColumns({c: F.round(c, 4) for c in ("from_x", "from_y", "x", "y")}))
+
+
 _CACHE = """cached AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, CASE s_suppkey % 3 WHEN 0 THEN '1y' WHEN 1 THEN '2y' ELSE '6mo' END AS period, (s_suppkey * 31 % 600) AS n_bars, DATE '2024-01-10' AS last_date FROM supplier WHERE s_suppkey % 5 <> 0),
 probe AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, DATE '2024-01-09' + CAST(s_suppkey % 4 AS INTEGER) AS probe_date FROM supplier WHERE s_suppkey % 7 <> 0)"""
 
@@ -416,10 +438,10 @@ def session_documents(spark, sf_dir):
     return found.select("session_id", "phase", F.size("final_ranking").cast("long").alias("n_symbols"), F.sha2(F.array_join("final_ranking", "\n"), 256).alias("digest"))
 
 
-_BARS = "bars AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_suppkey AS k, CAST(l_shipdate AS DATE) AS date FROM lineitem GROUP BY ALL)"
+_STORED = "bars AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_suppkey AS k, CAST(l_shipdate AS DATE) AS date FROM lineitem GROUP BY ALL)"
 
 
-@query(f"""WITH {_BARS}, old AS (SELECT symbol, any_value(k) AS k, count(*) AS n, max(date) AS d FROM bars WHERE k % 5 <> 0 AND (k % 3 = 0 OR date < DATE '1997-01-01') GROUP BY 1),
+@query(f"""WITH {_STORED}, old AS (SELECT symbol, any_value(k) AS k, count(*) AS n, max(date) AS d FROM bars WHERE k % 5 <> 0 AND (k % 3 = 0 OR date < DATE '1997-01-01') GROUP BY 1),
 fresh AS (SELECT symbol, any_value(k) AS k, count(*) AS n, max(date) AS d FROM bars GROUP BY 1),
 o AS (SELECT f.symbol, f.n, f.d, old.n AS old_n, old.d AS old_d, CASE WHEN old.d IS NULL THEN 'cold' WHEN f.k % 4 = 0 OR old.n < 80 THEN 'period_miss' WHEN f.k % 7 = 0 THEN 'stale_hit' WHEN f.d > old.d THEN 'miss' ELSE 'hit' END AS outcome FROM fresh f LEFT JOIN old USING (symbol))
 SELECT symbol, outcome, CASE WHEN outcome IN ('hit', 'stale_hit') THEN old_n ELSE n END AS n_bars, CAST(CASE WHEN outcome IN ('hit', 'stale_hit') THEN old_d ELSE d END AS VARCHAR) AS last_date, CASE WHEN outcome IN ('hit', 'stale_hit') THEN CASE WHEN CAST(symbol AS INTEGER) % 4 = 0 THEN '1mo' ELSE '2y' END ELSE '6mo' END AS period FROM o""")
@@ -447,3 +469,30 @@ def name_cache(spark, sf_dir):
     cache.save(rows.where(k % 3 == 0).select("symbol", old), "2024-02-05")
     found = rows.where(k % 11 != 0).select("symbol", F.col("s_name").alias("name"))
     return cache.read_through(rows, lambda symbols: found.join(symbols, "symbol", "left_semi"), "2024-02-10")
+
+
+_TRAITS = f"{SCORES}, traits AS (SELECT symbol, true_rank, score / 100 AS r_3m, (true_rank * 37 % 11) / 10::DOUBLE AS one, CASE WHEN true_rank % 9 > 0 THEN (true_rank * 53 % 7 - 3) / 10::DOUBLE END AS two FROM scores)"
+_LONG = f"{_TRAITS}, n AS (SELECT count(*) AS n, greatest(count(*) // 3, 1) AS third FROM traits), placed AS (SELECT traits.*, CASE WHEN true_rank <= third THEN 'TOP' WHEN true_rank > n - third THEN 'BOT' WHEN true_rank <= 2 * third THEN 'MID' END AS grp FROM traits, n), long AS (UNPIVOT placed ON r_3m, one, two INTO NAME feature VALUE v)"
+
+
+def _traits(spark, sf_dir):
+    rank = F.col("true_rank")
+    two = F.when(rank % 9 > 0, (rank * 53 % 7 - 3) / 10)
+    return _scores(spark, sf_dir).select("symbol", "true_rank", (F.col("score") / 100).alias("r_3m"), (rank * 37 % 11 / 10).alias("one"), two.alias("two"))
+
+
+@query(f"""WITH {_LONG}, g AS (SELECT feature, avg(v) FILTER (grp = 'TOP') AS t, avg(v) FILTER (grp = 'MID') AS m, avg(v) FILTER (grp = 'BOT') AS b FROM long GROUP BY 1)
+SELECT feature, round(t, 6) AS top, round(m, 6) AS mid, round(b, 6) AS bot, round(t - b, 6) AS contrast, CASE WHEN t > m AND m > b THEN 'rising' WHEN t < m AND m < b THEN 'falling' ELSE 'neither' END AS shape FROM g""")
+def pattern_contrasts(spark, sf_dir):
+    return I.rounded(N.contrasts(_traits(spark, sf_dir)))
+
+
+_RULES = (("return_floor", "r_3m", "<", 0.02, "BOT", 0.3), ("one_high", "one", ">=", 0.8, "TOP", 0.5), ("two_up", "two", ">", 0.0, "TOP", 0.2), ("never", "one", ">", 9.0, "TOP", 0.1))
+
+
+@query(f"""WITH {_LONG}, rules(rule, feature, sign, threshold, grp, least) AS (VALUES {", ".join(f"('{r}', '{f}', '{o}', {t}::DOUBLE, '{g}', {m}::DOUBLE)" for r, f, o, t, g, m in _RULES)}),
+e AS (SELECT rule, rules.grp AS wanted, least, CASE sign WHEN '<' THEN v < threshold WHEN '<=' THEN v <= threshold WHEN '>' THEN v > threshold ELSE v >= threshold END AS met, coalesce(long.grp = rules.grp, false) AS inside FROM rules JOIN long USING (feature)),
+s AS (SELECT rule, least, count(*) AS n, count(*) FILTER (met) AS n_met, count(*) FILTER (met AND inside) AS n_both, count(*) FILTER (inside) AS n_inside FROM e GROUP BY 1, 2)
+SELECT rule, n, n_met, n_both, round(n_both / greatest(n_met, 1), 6) AS share, round(n_inside / n, 6) AS base, n_met > 0 AND round(n_both / greatest(n_met, 1), 12) >= least AS holds FROM s""")
+def pattern_rules(spark, sf_dir):
+    return I.rounded(N.rule_evidence(_traits(spark, sf_dir), N.rules_table(spark, _RULES)))
