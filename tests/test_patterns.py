@@ -35,7 +35,7 @@ def test_motion_follows_the_points(spark):
     for r in frames:
         at = [d for d in days if (r["symbol"], d) in points and d <= r["date"]][-4:]
         want = [(100 * points[r["symbol"], d][0], points[r["symbol"], d][1]) for d in at if None not in points[r["symbol"], d]]
-        assert [tuple(p) for p in r["tail"]] == pytest.approx(want)
+        assert len(r["tail"]) == len(want) and all(tuple(p) == pytest.approx(w) for p, w in zip(r["tail"], want))
     pieces = {r["k"]: r for r in H.tail_segments(panel, 3, 15).where("symbol = 'a'").collect()}
     assert sorted(pieces) == [0, 1, 2] and all((pieces[k]["x"], pieces[k]["y"]) == (pieces[k - 1]["from_x"], pieces[k - 1]["from_y"]) for k in (1, 2))
     assert [pieces[k]["opacity"] for k in (0, 1, 2)] == pytest.approx([0.5, 0.5, 0.5])
