@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators.lists import market_of
 from tickerloom.operators.panel import BATCH_COVERAGE, KEY, VIEW_COVERAGE, align, align_market, clean, convert
+from tickerloom.operators.places import placed
 from tickerloom.operators.snapshot import changes, ranked
 from tickerloom.sources.market import MarketData
 
@@ -16,8 +17,8 @@ def chunked(symbols: DataFrame, size: int | None) -> DataFrame:
     first = symbols.groupBy("symbol").agg(F.min("ord").alias("ord"))
     if size is None:
         return first.select(F.lit("0").alias("panel_id"), "symbol")
-    place = F.row_number().over(Window.orderBy("ord", "symbol")) - 1  # a row a symbol of the universe
-    return first.select(F.floor(place / size).cast("string").alias("panel_id"), "symbol")
+    found = placed(first, [F.col("ord"), F.col("symbol")], "_place")
+    return found.select(F.floor((F.col("_place") - 1) / size).cast("string").alias("panel_id"), "symbol")
 
 
 def in_base_currency(panel: DataFrame, fx: DataFrame, drop_missing: bool, along: str, base: str, market: Column | None) -> DataFrame:

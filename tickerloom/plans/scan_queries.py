@@ -61,24 +61,41 @@ conv AS (SELECT 0 AS panel, symbol, date, CASE WHEN market = 'ASIA' THEN close E
 {_grid('conv', 0.5)}"""
 _WHOLE = f"{I.PRICES}, {I.aligned()}"
 assert _WHOLE in Q.SCORES
-_FLAGS = Q._TRADE.replace(I.PRICES + ", ", "") + """, flags AS (SELECT symbol, count(*) < 63 OR count(*) FILTER (rn <= 63 AND tr > 0.30) > 0 OR count(*) FILTER (rn <= 20 AND dl < -0.07) >= 4 AS dq FROM t GROUP BY 1)"""
+_FLAGS = Q._TRADE.replace(I.PRICES + ", ", "") + """, counts AS (SELECT symbol, count(*) AS n, count(*) FILTER (rn <= 63 AND tr > 0.30) AS wild, count(*) FILTER (rn <= 20 AND dl < -0.07) AS falls FROM t GROUP BY 1),
+flags AS (SELECT symbol, n < 63 OR wild > 0 OR falls >= 4 AS dq, CASE WHEN n < 63 THEN 'too few closes' WHEN wild > 0 OR falls >= 4 THEN concat_ws('; ', CASE WHEN wild > 0 THEN 'extreme range days: ' || wild END, CASE WHEN falls >= 4 THEN 'severe falls: ' || falls END) ELSE 'normal' END AS filter_status FROM counts)"""
+_BARS_NOW = "b AS (SELECT symbol, date, close AS p, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM aligned WHERE close > 0)"
+assert _BARS_NOW in Q.SCORES
 
 
 def _scan_sql(panel: str) -> str:
-    return f"""WITH {Q.SCORES.replace(_WHOLE, panel)}, {_FLAGS}, ret AS (SELECT symbol, {Q._RETURNS['r_1w']} AS r_1w, {Q._RETURNS['r_4m']} AS r_4m FROM b GROUP BY symbol)
-SELECT symbol, round(CASE WHEN dq THEN -999 ELSE fms END, 6) + 0.0 AS fms, round(r_1w, 6) + 0.0 AS r_1w, round(r_4m, 6) + 0.0 AS r_4m FROM scores JOIN flags USING (symbol) JOIN ret USING (symbol)"""
+    """Each symbol's score at the end of its panel's grid and less the scores 1 and 5 of the grid's rows before, with its returns."""
+
+    def at(lag: int) -> str:
+        cut = f"g_pos AS (SELECT panel, d AS date, row_number() OVER (PARTITION BY panel ORDER BY d DESC) AS pos FROM g_days), b AS (SELECT symbol, date, close AS p, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM aligned JOIN (SELECT DISTINCT panel, symbol FROM g_last) USING (symbol) JOIN g_pos USING (panel, date) WHERE close > 0 AND pos > {lag})"
+        return Q.SCORES.replace(_WHOLE, panel).replace(_BARS_NOW, cut)
+
+    returns = ", ".join(f"{Q._RETURNS[c]} AS {c}" for c in ("r_1w", "r_4m", "r_ytd"))
+    parts = [f"(WITH {at(lag)} SELECT symbol, fms FROM scores) s{lag}" for lag in (0, 1, 5)]
+    ret = f"(WITH {at(0)} SELECT symbol, {returns} FROM (SELECT *, max(date) OVER (PARTITION BY symbol) AS last_day FROM b) GROUP BY symbol) ret"
+    flags = f"(WITH {I.PRICES}, {_FLAGS} SELECT * FROM flags) flags"
+    delta = lambda lag: f"round(CASE WHEN dq THEN 0 ELSE s0.fms - s{lag}.fms END, 6) + 0.0"
+    return f"""SELECT symbol, round(CASE WHEN dq THEN -999 ELSE s0.fms END, 6) + 0.0 AS fms, {delta(1)} AS d1, {delta(5)} AS d5, round(r_1w, 6) + 0.0 AS r_1w, round(r_4m, 6) + 0.0 AS r_4m, round(r_ytd, 6) + 0.0 AS r_ytd, filter_status
+FROM {parts[0]} LEFT JOIN {parts[1]} USING (symbol) LEFT JOIN {parts[2]} USING (symbol) JOIN {ret} USING (symbol) JOIN {flags} USING (symbol)"""
+
+
+_SCANNED = ("symbol", "fms", "d1", "d5", "r_1w", "r_4m", "r_ytd", "filter_status")
 
 
 @query(_scan_sql(_BATCH))
 def batch_scan(spark, sf_dir):
     found = N.batch_scan(_source(spark, sf_dir), _universe(spark, sf_dir), CHUNK, base="ASIA", markets=I.markets(spark, sf_dir))
-    return I.rounded(found.select("symbol", "fms", "r_1w", "r_4m"))
+    return I.rounded(found.select(*_SCANNED))
 
 
 @query(_scan_sql(_VIEW))
 def view_scan(spark, sf_dir):
     found = N.view_scan(_source(spark, sf_dir), _universe(spark, sf_dir), base="ASIA", markets=I.markets(spark, sf_dir))
-    return I.rounded(found.select("symbol", "fms", "r_1w", "r_4m"))
+    return I.rounded(found.select(*_SCANNED))
 
 
 @query(f"WITH {_VIEW.replace('filled AS', 'unused AS (SELECT 1), filled AS')}, n AS (SELECT DISTINCT symbol FROM aligned) SELECT CAST(s_suppkey AS VARCHAR) AS symbol, CASE WHEN CAST(s_suppkey AS VARCHAR) IN (SELECT symbol FROM prices) THEN 'too few prices' ELSE 'no prices' END AS reason FROM supplier WHERE CAST(s_suppkey AS VARCHAR) NOT IN (SELECT symbol FROM n)")
