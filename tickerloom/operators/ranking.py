@@ -86,7 +86,7 @@ def _rising(blocks: DataFrame) -> DataFrame:
 
 
 def long_rank_metrics(scores: DataFrame, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """rank_metrics() of one score, of any length.
+    """rank_metrics() of one score, of any length. No rows: no row.
 
     t and m are a row's positions by true rank and by score. A pair is inverted if t rises where m falls. Both orders are cut
     into blocks of block_rows: pairs of one block of t are counted in it; of the others, pairs of one block of m in that; the
@@ -116,7 +116,7 @@ def long_rank_metrics(scores: DataFrame, block_rows: int = BLOCK_ROWS, part_rows
     apart = ranked.groupBy((F.col("true_rank") - F.col("m")).alias("d")).agg(F.count("*").alias("c"))
     along = running(apart, [F.col("d")], "upto", F.col("c"), part_rows, many)
     both = along.crossJoin(F.broadcast(totals)).agg(F.sum(F.col("d") * F.col("c") * (2 * F.col("upto") - F.col("c") - F.col("n"))).alias("gaps"))  # one row
-    found = totals.crossJoin(F.broadcast(inverted)).crossJoin(F.broadcast(both))  # one row each
+    found = totals.where("n > 0").crossJoin(F.broadcast(inverted)).crossJoin(F.broadcast(both))  # one row each
     pairs_ = F.col("n") * (F.col("n") - 1) / 2
     few = F.col("n") <= 1
     inversion, error = F.when(few, 0.0).otherwise(F.try_divide("inverted", pairs_)), F.when(few, 0.0).otherwise(F.try_divide("gaps", pairs_))
@@ -126,7 +126,7 @@ def long_rank_metrics(scores: DataFrame, block_rows: int = BLOCK_ROWS, part_rows
 def rank_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, inversion (share of pairs that the score orders the other way), pair_error (mean difference of the two
     orders' rank gaps), rho (correlation of true ranks and positions by score; NULL if constant). Rows without a score or
-    rank are left out. One row, or none: no inversion and no error, rho 1."""
+    rank are left out. One row: no inversion and no error, rho 1; none: no row."""
     if not by:
         return long_rank_metrics(scores)
     named = scores.select(*by, F.col("true_rank").cast("double").alias("true_rank"), F.col("score").cast("double").alias("score")).where("true_rank IS NOT NULL AND score IS NOT NULL")
