@@ -254,6 +254,17 @@ def filter_details(spark, sf_dir):
     return I.rounded(d.select("symbol", "last_date", "last_true_range", F.size("extreme").cast("long").alias("n_extreme"), F.get("extreme", F.lit(0))["date"].alias("first_extreme"), F.size("severe").cast("long").alias("n_severe"), worst.alias("worst")))
 
 
+@query(f"""WITH {I.OHLC}, raw AS (SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(date) OVER w AS pd, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+d AS (SELECT *, coalesce(high = 0 AND low = 0 AND pc > 0 AND ph > 0 AND pl > 0, false) AS mended FROM raw), e AS (SELECT *, CASE WHEN mended THEN ph ELSE high END AS h, CASE WHEN mended THEN pl ELSE low END AS l FROM d),
+g AS (SELECT *, greatest(h - l, abs(h - pc), abs(l - pc)) AS tr FROM e), k AS (SELECT symbol, count(*) FILTER (rn <= 63 AND tr / pc > 0.30) AS n_extreme, count(*) FILTER (rn <= 20 AND l / pc - 1 < -0.07) AS n_severe, round(max(round(tr / pc * 100, 2)) FILTER (rn <= 63 AND tr / pc > 0.30), 2) AS widest FROM g GROUP BY 1)
+SELECT symbol, n AS n_closes, date AS last_date, pd AS prev_date, round(close, 6) AS last_close, round(pc, 6) AS prev_close, round(h, 6) AS high, round(l, 6) AS low, mended, round(h - l, 6) AS high_minus_low, round(abs(h - pc), 6) AS high_gap, round(abs(l - pc), 6) AS low_gap,
+  round(tr, 6) AS true_range, round(tr / pc * 100, 6) AS true_range_pct, n_extreme, CASE WHEN n_severe >= 4 THEN n_severe END AS n_severe, widest FROM g JOIN k USING (symbol) WHERE rn = 1 AND n >= 63""", "last_date", "prev_date")
+def filter_components(spark, sf_dir):
+    found = R.filter_components(I.ohlc(spark, sf_dir)).where("n_closes >= 63")
+    lists = [F.size("extreme").cast("long").alias("n_extreme"), F.when(F.col("severe").isNotNull(), F.size("severe")).cast("long").alias("n_severe"), F.array_max(F.transform("extreme", lambda x: x["pct"])).alias("widest")]
+    return I.rounded(found.drop("raw_high", "raw_low").select("*", *lists).drop("extreme", "severe"))
+
+
 @query(f"""WITH {SCORES}, {_TRADE.replace(I.PRICES + ', ', '')}, c AS (SELECT symbol, count(*) < 63 OR count(*) FILTER (rn <= 63 AND tr > 0.30) > 0 OR count(*) FILTER (rn <= 20 AND dl < -0.07) >= 4 AS dq FROM t GROUP BY 1)
 SELECT symbol, round(CASE WHEN dq THEN -999 ELSE fms END, 6) + 0.0 AS fms, dq AS disqualified FROM scores JOIN c USING (symbol)""")
 def filtered_scan(spark, sf_dir):
