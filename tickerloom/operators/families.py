@@ -1,8 +1,9 @@
 """Search, refinement, nested validation and choice of score families, for all families, seeds and folds at once.
 
 A set of parameters is a row of one table with a column family; Spark scores every symbol under every set in one projection.
-A task gets whole sets (about TASK_ROWS scores), and works out their metrics together: over all rows, and over
-the training and the test rows of each split, so a set is scored once however many splits there are. What follows
+Scores travel packed, by arrays. A task gets whole sets (about TASK_ROWS scores, some splits), and works out their metrics
+together: over all rows, and over the training and the test rows of each split, so a set is scored and sorted once however
+many splits there are. Pairs that fall are counted once, by row; a split counts only those of its test rows anew. What follows
 (the best set of each split's training rows, its metrics on the test rows, means and the band) are aggregations and joins
 of rows of sets and splits. Sets are as many as are drawn, so they are broadcast.
 """
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickerloom.operators.places import tiled
-from tickerloom.operators.ranking import rising_pairs
+from tickerloom.operators.places import cut, placed, tiled
+from tickerloom.operators.ranking import falls, packed, rising_pairs, unpacked
 from tickerloom.operators.score import Family
 
 #: Budgets: draws of each family and seed, steps of a refinement and their rounds, repeats of the splits and their folds.
@@ -23,8 +24,10 @@ DRAWS, REFINEMENTS, ROUNDS, REPEATS, FOLDS = 2500, 250, 5, 3, 5
 #: The seeds; a multiplied parameter's spread; bounds of floors, edges and eps; families whose mean inversion in the
 #: splits is within the band of the best one's are chosen among; weights of inversion, correlation and rank gaps.
 SEEDS, SPREAD, BOUNDS, BAND, UTILITY = (20260802, 20260803, 20260811), 0.15, (1e-4, 0.5), 0.05, (-10.0, 3.0, -0.05)
-#: Scores of a task; compared numbers that are held at once, and rows up to which all pairs are compared.
-TASK_ROWS, HELD, FEW = 200_000, 4_000_000, 256
+#: Scores of a task, its repeats of splits, the least number of tasks, scores that are measured at once; compared numbers that
+#: are held at once, and rows up to which all pairs are compared.
+TASK_ROWS, TASK_REPEATS, TASKS, MEASURED = 4_000_000, 32, 32, 500_000
+HELD, FEW = 4_000_000, 256
 KEYS = ("family", "seed", "param_id")
 
 
@@ -69,54 +72,108 @@ def metrics_of_sets(scores: np.ndarray, ranks: np.ndarray | None = None) -> np.n
         model = np.empty((many, n))
         np.put_along_axis(model, np.argsort(-scores, axis=1, kind="stable"), np.arange(1.0, n + 1)[None, :].repeat(many, 0), axis=1)
         ranks = np.arange(1.0, n + 1) if ranks is None else ranks
-        pairs, gaps = n * (n - 1) / 2, ranks - model
         if n <= FEW:
             step = max(1, HELD // (n * n))
             upper = np.triu(np.ones((n, n), bool), 1)
-            falls = [((m[:, :, None] > m[:, None, :]) & upper).sum(axis=(1, 2)) for m in (model[at : at + step] for at in range(0, many, step))]
-            out[:, 0] = np.concatenate(falls) / pairs
+            inverted = np.concatenate([((m[:, :, None] > m[:, None, :]) & upper).sum(axis=(1, 2)) for m in (model[at : at + step] for at in range(0, many, step))])
         else:
-            out[:, 0] = [rising_pairs(-m) / pairs for m in model]
+            inverted = np.array([rising_pairs(-m) for m in model])
+        return _measured(model, inverted, ranks)
+    return np.column_stack([out, out[:, [0, 2, 1]] @ np.array(UTILITY)])
+
+
+def _measured(model: np.ndarray, inverted: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """inversion, pair_error, rho, utility of rows of positions from 1 on, of which so many pairs are inverted."""
+    many, n = model.shape
+    out = np.tile(np.array([0.0, 0.0, 1.0]), (many, 1))
+    if n > 1:
+        pairs, gaps, apart = n * (n - 1) / 2, ranks - model, ranks - ranks.mean()
+        out[:, 0] = inverted / pairs
         out[:, 1] = (np.sort(gaps, axis=1) * (2 * np.arange(n) - n + 1)).sum(axis=1) / pairs
-        apart = ranks - ranks.mean()
         out[:, 2] = (model - (n + 1) / 2) @ apart / np.sqrt(max((apart**2).sum(), 1e-300) * n * (n * n - 1.0) / 12)
     return np.column_stack([out, out[:, [0, 2, 1]] @ np.array(UTILITY)])
 
 
+def _split_metrics(scores: np.ndarray, ranks: np.ndarray, folds: np.ndarray, anew: bool, whole: bool) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By column of folds and fold, metrics_of_sets() of the rows that aren't in the fold and of those that are; whole: of all
+    and of none by (-1, -1). All of a set's cases come from one sort of its scores."""
+    (many, n), found = scores.shape, {}
+    cases = [(r, int(f)) for r in range(folds.shape[1]) for f in np.unique(folds[:, r])]
+    if not np.isfinite(scores).all():  # medians stand in for missing scores, case by case
+        for r, f in [(-1, -1)] * whole + cases:
+            test = folds[:, r] == f if r >= 0 else np.zeros(n, bool)
+            found[r, f] = tuple(metrics_of_sets(scores[:, some], None if anew else ranks[some]) for some in (~test, test))
+        return found
+    order, model = np.argsort(-scores, axis=1, kind="stable"), np.empty((many, n), np.int32)
+    np.put_along_axis(model, order, np.arange(n, dtype=np.int32)[None, :], axis=1)
+    part = falls(model, each=True)
+    total = part.sum(axis=1, dtype=np.int64) // 2
+    of = lambda some: np.arange(1.0, some.sum() + 1) if anew else ranks[some]
+    if whole:
+        every = np.ones(n, bool)
+        found[-1, -1] = _measured(model + 1, total, of(every)), _measured(model[:, :0], total, ranks[:0])
+    for r, f in cases:
+        test = folds[:, r] == f
+        held = test[order]
+        before = np.cumsum(held, axis=1, dtype=np.int32)
+        own = np.take_along_axis(before, model[:, test], 1)
+        rest = model[:, ~test]
+        rest = rest + 1 - np.take_along_axis(before, rest, 1)
+        inside = falls(own - 1)
+        found[r, f] = _measured(rest, total - np.where(held, part, 0).sum(axis=1, dtype=np.int64) + inside, of(~test)), _measured(own, inside, of(test))
+    return found
+
+
 def set_metrics(features: DataFrame, ranked: DataFrame, sets: DataFrame, families: dict[str, Family], anew: bool = True) -> DataFrame:
     """KEYS, repeat, fold, inversion, pair_error, rho, utility, test_inversion, test_pair_error, test_rho: over all rows (repeat
     and fold -1, no tests), and for each repeat and fold of ranked's folds over the rows that aren't in the fold, the tests over
     those that are. anew: ranks count from 1 on among the rows that are looked at."""
-    n_sets, n_rows = sets.count(), ranked.count()
-    tasks = max(1, -(-n_sets * n_rows // TASK_ROWS))
-    task = F.pmod(F.xxhash64(*KEYS), F.lit(tasks)).alias("task")
-    each = features.join(ranked, "symbol").crossJoin(F.broadcast(sets))  # as many sets as are drawn
-    scored = each.select(task, *KEYS, "true_rank", "symbol", "folds", score_of(families, sets.columns).alias("score"))
-
-    def measure(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(k, "ascending") for k in (*KEYS, "true_rank", "symbol")])
-        score = rows["score"].to_numpy()
-        first = np.flatnonzero(np.r_[True, np.any([rows[k].to_numpy()[1:] != rows[k].to_numpy()[:-1] for k in KEYS], axis=0)])
-        n = len(score) // len(first)  # each set scores all rows
-        score = score.reshape(len(first), n).astype(float)
-        folds = np.array(rows["folds"].slice(0, n).to_pylist(), int).reshape(n, -1)
-        keys, parts = rows.select(list(KEYS)).take(pa.array(first)), []
-        ranks = rows["true_rank"].slice(0, n).to_numpy().astype(float)
-        cases = [(-1, -1, np.zeros(n, bool))] + [(r, f, folds[:, r] == f) for r in range(folds.shape[1]) for f in np.unique(folds[:, r])]
-        for repeat, fold, test in cases:
-            train, held = (metrics_of_sets(score[:, some], None if anew else ranks[some]) for some in (~test, test))
-            part = keys
-            for name, values in (("repeat", repeat), ("fold", fold)):
-                part = part.append_column(name, pa.array(np.full(len(first), values, np.int32)))
-            for name, values in zip(("inversion", "pair_error", "rho", "utility"), train.T):
-                part = part.append_column(name, pa.array(values))
-            for name, values in zip(("test_inversion", "test_pair_error", "test_rho"), held.T):
-                part = part.append_column(name, pa.array(values, mask=np.full(len(first), repeat < 0)))
-            parts.append(part)
+    spark, n_sets = features.sparkSession, sets.count()
+    each = cut(placed(features.join(ranked, "symbol"), [F.col("true_rank"), F.col("symbol")], "place"))
+    n_rows, repeats = each.agg(F.count("*"), F.coalesce(F.max(F.size("folds")), F.lit(0))).first()
+    per = max(1, min(TASK_ROWS // max(n_rows, 1), -(-n_sets // TASKS)))
+    slices = max(1, -(-repeats // TASK_REPEATS))
+    numbered = placed(sets, [F.col(k) for k in KEYS], "number", rows=n_sets)
+    # a thousand rows a task or so, so that all cores score
+    spread = each.drop("folds", "symbol", "true_rank").repartition(max(1, min(1000, n_rows * n_sets // TASK_ROWS)), "place")
+    scored = spread.crossJoin(F.broadcast(numbered))  # as many sets as are drawn
+    scored = scored.select(F.floor((F.col("number") - 1) / per).cast("int").alias("task"), F.pmod(F.col("number") - 1, F.lit(per)).cast("int").alias("number"), F.col("place").cast("int"), score_of(families, sets.columns).alias("score"))
+    scores = packed(scored, ("task",), ("number", "place", "score")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def rows_of(batches):
+        for batch in batches:
+            folds = batch.column("folds").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), repeats)
+            some = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
+            for k in range(slices):
+                own = np.ascontiguousarray(folds[:, k * TASK_REPEATS : (k + 1) * TASK_REPEATS])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), some(batch.column("place")), some(batch.column("true_rank")), some(pa.array(own.ravel()))], names=["slice", "place", "true_rank", "folds"])
+
+    rows = each.select(F.col("place").cast("int"), F.col("true_rank").cast("double"), F.col("folds").cast("array<int>"))
+    rows = rows.mapInArrow(rows_of, "slice int, place array<int>, true_rank array<double>, folds array<int>")
+    rows = rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(-(-n_sets // per) - 1))))
+
+    def measure(key: tuple, scores: pa.Table, rows: pa.Table) -> pa.Table:
+        task, own = (k.as_py() for k in key)
+        place = unpacked(rows, "place") - 1
+        n, k = len(place), min(TASK_REPEATS, repeats - own * TASK_REPEATS)
+        ranks, folds = np.empty(n), np.empty((n, k), np.int32)
+        ranks[place], folds[place] = unpacked(rows, "true_rank"), unpacked(rows, "folds").reshape(n, k)
+        number = unpacked(scores, "number")
+        score = np.empty((int(number.max()) + 1, n))
+        score[number, unpacked(scores, "place") - 1] = unpacked(scores, "score")
+        parts, step = [], max(1, MEASURED // n)
+        for at in range(0, len(score), step):
+            for (repeat, fold), (train, held) in _split_metrics(score[at : at + step], ranks, folds, anew, own == 0).items():
+                some = np.arange(at, at + len(train)) + task * per + 1
+                repeat += own * TASK_REPEATS if repeat >= 0 else 0
+                names = [("number", some), ("repeat", np.full(len(some), repeat, np.int32)), ("fold", np.full(len(some), fold, np.int32)), *zip(("inversion", "pair_error", "rho", "utility"), train.T)]
+                tests = [pa.array(values, mask=np.full(len(some), repeat < 0)) for values in held.T[:3]]
+                parts.append(pa.table([*[pa.array(v) for _, v in names], *tests], names=[*[c for c, _ in names], "test_inversion", "test_pair_error", "test_rho"]))
         return pa.concat_tables(parts)
 
-    schema = "family string, seed long, param_id long, repeat int, fold int, inversion double, pair_error double, rho double, utility double, test_inversion double, test_pair_error double, test_rho double"
-    return scored.groupBy("task").applyInArrow(measure, schema)
+    schema = "number long, repeat int, fold int, inversion double, pair_error double, rho double, utility double, test_inversion double, test_pair_error double, test_rho double"
+    found = scores.groupBy("task", "slice").cogroup(rows.groupBy("task", "slice")).applyInArrow(measure, schema)
+    return found.join(F.broadcast(numbered.select("number", *KEYS)), "number").select(*KEYS, *[c for c in found.columns if c != "number"])  # as many sets as are drawn
 
 
 def best_sets(measured: DataFrame, by: tuple[str, ...]) -> DataFrame:

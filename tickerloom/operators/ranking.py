@@ -2,14 +2,16 @@
 
 Positions along a ranking of any length are told by range partitions (places.py). The metrics of one score over a ranking of
 any length come from blocks of both orders: pairs within a block are counted there, pairs across blocks by a histogram.
-Metrics of many scores of one ranking (by parameter set, fold, resample) are a group each, in n log n. Lists of pairs
-are for rankings of MOST_PAIRED symbols at most, and refused beyond.
+Metrics of many scores of one ranking (by parameter set, fold, resample) are a group each, in n log n; their rows travel packed.
+Lists of pairs are for rankings of MOST_PAIRED symbols at most, and refused beyond.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,38 @@ def with_model_rank(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scores.withColumn("model_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def falls(model: np.ndarray, each: bool = False) -> np.ndarray:
+    """Of each row, a permutation of 0.. n - 1, how many pairs i < j have model[i] > model[j]; each: for each number, of how many
+    of these it is one. Bit by bit from the highest: rows lie by the bits above, in their order, and are dealt by the next one."""
+    many, n = model.shape
+    at, part, total = model.astype(np.int32).ravel(), np.zeros(many * n, np.int32), np.zeros(many, np.int64)
+    place = np.tile(np.arange(n, dtype=np.int32), many)
+    row = np.repeat(np.arange(many, dtype=np.int64) * n, n)
+    for bit in reversed(range(max(n - 1, 0).bit_length())):
+        start = at >> (bit + 1) << (bit + 1)
+        one = (at >> bit & 1).astype(bool)
+        ones = np.cumsum(one.reshape(many, n), axis=1, dtype=np.int32).ravel() - one
+        ones -= ones[row + start]
+        zeros = place - start - ones
+        more = np.where(one, 0, ones)
+        total += more.reshape(many, n).sum(axis=1, dtype=np.int64)
+        to = row + start + np.where(one, (1 << bit) + ones, zeros)
+        if each:
+            after = np.empty_like(part)
+            after[to] = part + np.where(one, (1 << bit) - zeros, more)
+            part = after
+        after = np.empty_like(at)
+        after[to] = at
+        at = after
+    return part.reshape(many, n) if each else total
+
+
 def rising_pairs(values: np.ndarray) -> int:
-    """How many pairs i < j have values[i] < values[j]. Bit by bit of the values' dense ranks: pairs that agree in all
-    higher bits rise if the first has a 0 and the second a 1."""
+    """How many pairs i < j have values[i] < values[j]."""
+    model = np.empty(len(values), np.int32)
     _, code = np.unique(values, return_inverse=True)
-    total = 0
-    for bit in range(int(code.max(initial=0)).bit_length()):
-        order = np.argsort(code >> (bit + 1), kind="stable")  # groups, in each the order of the rows
-        group, one = (code >> (bit + 1))[order], (code >> bit & 1)[order]
-        zeros = np.cumsum(1 - one)
-        first = np.r_[True, group[1:] != group[:-1]]
-        before = (zeros - (1 - one))[first][np.cumsum(first) - 1]
-        total += int(((zeros - before) * one).sum())
-    return total
+    model[np.argsort(-code, kind="stable")] = np.arange(len(values))
+    return int(falls(model[None, :])[0]) if len(values) else 0
 
 
 def metrics_of(rank: np.ndarray, score: np.ndarray) -> tuple[float, float, float]:
@@ -72,6 +93,37 @@ def metrics_of(rank: np.ndarray, score: np.ndarray) -> tuple[float, float, float
     return rising_pairs(score) / (n * (n - 1) / 2), error, rho
 
 
+#: Values that a task of packed() holds.
+PACKED = 1_000_000
+
+
+def packed(rows: DataFrame, by: tuple[str, ...], values: tuple[str, ...], held: int = PACKED) -> DataFrame:
+    """by, and an array of each of values: rows as they come, PACKED at a time, so that a shuffle by by moves arrays."""
+    rows = rows.select(*by, *values)
+
+    def pack(batches):
+        some, n = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(some).group_by(list(by), use_threads=False).aggregate([(v, "list") for v in values])
+            return table.select([*by, *[f"{v}_list" for v in values]]).rename_columns([*by, *values]).combine_chunks().to_batches()
+
+        for batch in batches:
+            some, n = [*some, batch], n + len(batch)
+            if n >= held:
+                yield from flush()
+                some, n = [], 0
+        if n:
+            yield from flush()
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(pack, ", ".join([f"`{c}` {types[c]}" for c in by] + [f"`{v}` array<{types[v]}>" for v in values]))
+
+
+def unpacked(table: pa.Table, column: str) -> np.ndarray:
+    return pc.list_flatten(table[column]).to_numpy()
+
+
 #: Rows of a block of either order.
 BLOCK_ROWS = 100_000
 
@@ -132,10 +184,11 @@ def rank_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     named = scores.select(*by, F.col("true_rank").cast("double").alias("true_rank"), F.col("score").cast("double").alias("score")).where("true_rank IS NOT NULL AND score IS NOT NULL")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema if f.name in by] + ["inversion double", "pair_error double", "rho double"])
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key[: len(by)], *metrics_of(rows["true_rank"].to_numpy(), rows["score"].to_numpy()))], columns=[*by, "inversion", "pair_error", "rho"])
+    def one(rows: pa.Table) -> pa.Table:
+        found = metrics_of(unpacked(rows, "true_rank"), unpacked(rows, "score"))
+        return pa.table([*[rows[c].slice(0, 1) for c in by], *[pa.array([x], pa.float64()) for x in found]], names=[*by, "inversion", "pair_error", "rho"])
 
-    found = named.groupBy(*by).applyInPandas(one, schema)
+    found = packed(named, by, ("true_rank", "score")).groupBy(*by).applyInArrow(one, schema)
     return found.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
