@@ -3,7 +3,7 @@
 Positions along a ranking of any length are told by range partitions (places.py). The metrics of one score over a ranking of
 any length come from blocks of both orders: pairs within a block are counted there, pairs across blocks by a histogram.
 Metrics of many scores of one ranking (by parameter set, fold, resample) are a group each, in n log n; their rows travel packed.
-Lists of pairs are for rankings of MOST_PAIRED symbols at most, and refused beyond.
+The widest disagreeing pairs are looked for among the rows that the two orders place most differently.
 """
 
 from __future__ import annotations
@@ -25,18 +25,6 @@ def rank_methods(scores: DataFrame, by: str = "score", key: str = "symbol") -> D
     return first.join(ties, F.col(by).eqNullSafe(F.col("_value"))).drop("_value")
 
 
-MOST_PAIRED = 20_000
-
-
-def pairs(scores: DataFrame) -> DataFrame:
-    """Pairs of rows of (symbol, true_rank, score, model_rank): a ranks before b. Raises if there are too many rows."""
-    n = scores.count()
-    if n > MOST_PAIRED:
-        raise ValueError(f"pairs of {n} symbols are asked for; {MOST_PAIRED} is the most")
-    a, b = (scores.select(*[F.col(c).alias(f"{c}_{s}") for c in ("symbol", "true_rank", "score", "model_rank")]) for s in "ab")
-    return a.join(F.broadcast(b), F.col("true_rank_a") < F.col("true_rank_b"))  # MOST_PAIRED rows at most
-
-
 def with_model_rank(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     order = [F.desc_nulls_last("score"), F.col("true_rank")]
     if not by:
@@ -192,11 +180,32 @@ def rank_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return found.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
-def disagreements(scores: DataFrame, limit: int = 30) -> DataFrame:
-    """The pairs that the score orders the other way, the widest first."""
-    two = pairs(with_model_rank(scores)).where("score_a < score_b")
-    gap = (F.col("true_rank_b") - F.col("true_rank_a") + F.col("model_rank_a") - F.col("model_rank_b")).alias("gap")
-    return two.select("symbol_a", "symbol_b", gap).orderBy(F.desc("gap"), "symbol_a", "symbol_b").limit(limit)
+#: Rows of either end that are paired first.
+ENDS = 1000
+
+
+def disagreements(scores: DataFrame, limit: int = 30, ends: int = ENDS) -> DataFrame:
+    """The pairs that the score orders the other way, the widest first; ties by symbols.
+
+    A pair's gap is the later row's true_rank - model_rank less the earlier one's. So the rows with the largest and those with the
+    least difference are paired, and more of them, until no pair with another row can be as wide as the last one that is kept;
+    a disagreeing pair's gap is over 0."""
+    ranked = with_model_rank(scores).select("symbol", "true_rank", "score", (F.col("true_rank") - F.col("model_rank")).alias("d"))
+    ranked = cut(ranked.where("true_rank IS NOT NULL AND score IS NOT NULL"))
+    n, low, high = ranked.agg(F.count("*"), F.min("d"), F.max("d")).first()
+    while True:
+        down, up = ranked.orderBy("d", "symbol").limit(ends), ranked.orderBy(F.desc("d"), "symbol").limit(ends)
+        a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ranked.columns]) for s, rows in (("a", down), ("b", up)))
+        two = a.repartition(max(1, min(ends, n) // 1000), "symbol_a").join(F.broadcast(b), (F.col("true_rank_a") < F.col("true_rank_b")) & (F.col("score_a") < F.col("score_b")))  # ends rows at most
+        found = two.select("symbol_a", "symbol_b", (F.col("d_b") - F.col("d_a")).alias("gap")).orderBy(F.desc("gap"), "symbol_a", "symbol_b").limit(limit)
+        if n <= ends:
+            return found
+        found = cut(found)
+        kept, least = found.agg(F.count("*"), F.min("gap")).first()
+        beyond = max(high - down.agg(F.max("d")).first()[0], up.agg(F.min("d")).first()[0] - low)
+        if beyond <= 0 or (kept == limit and beyond < least):
+            return found.orderBy(F.desc("gap"), "symbol_a", "symbol_b")
+        ends *= 4
 
 
 def residuals(scores: DataFrame, limit: int = 25) -> DataFrame:
