@@ -26,10 +26,18 @@ def money(name: str) -> Column:
     return F.sum(F.col(name).cast("decimal(18,2)")).cast("double")
 
 
+#: Rows of a partition of prices.
+PART_ROWS = 500_000
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """panel_id, symbol, date, close: a supplier's mean price a day."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"))
-    daily = rows.agg(F.try_divide(money("l_extendedprice"), money("l_quantity")).alias("close"))
+    """panel_id, symbol, date, close: a supplier's mean price a day. Rows are dealt by symbol once, to as many partitions as their
+    number asks for, so that what follows by symbol (days, windows, features) needs no further shuffle, and a task's share
+    doesn't grow with the table."""
+    items = table(spark, sf_dir, "lineitem")
+    parts = max(spark.sparkContext.defaultParallelism, -(-items.count() // PART_ROWS))  # a count of Parquet rows reads no column
+    dealt = items.select(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_quantity").repartition(parts, "symbol")
+    daily = dealt.groupBy("symbol", "date").agg(F.try_divide(money("l_extendedprice"), money("l_quantity")).alias("close"))
     return daily.select(F.lit("all").alias("panel_id"), "symbol", "date", "close")
 
 
