@@ -38,24 +38,32 @@ def align(prices: DataFrame, coverage: float = BATCH_COVERAGE) -> DataFrame:
     A price stands for all days up to the next one, so each row is spread over the days it stands for: one pass over a
     symbol's rows in order, without a join to the grid. Coverage follows from the first and last price."""
     spans = prices.groupBy("panel_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    use = F.col("close").isNotNull() & weekday("date")
-    whole, order = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy(F.desc("use"), "date")
-    rows = prices.select(*KEY, "date", "close", use.alias("use")).select(
-        "*",
-        F.row_number().over(order).alias("place"),
-        F.when(F.lead("use").over(order), F.lead("date").over(order)).alias("next"),
-        F.max(F.when(F.col("close").isNotNull(), F.col("date"))).over(whole).alias("last"),
-        F.min(F.when(F.col("use"), F.col("date"))).over(whole).alias("first"),
-    )
-    rows = rows.where("use OR place = 1").join(F.broadcast(spans), "panel_id")  # a row for each panel
+    rows = _uses(prices, True).where("use OR place = 1").join(F.broadcast(spans), "panel_id")  # a row for each panel
     n_days = weekdays_to(F.col("hi")) - weekdays_to(F.date_sub("lo", 1))
     n_bars = F.coalesce(weekdays_to(F.col("last")) - weekdays_to(F.col("first")) + 1, F.lit(0))
-    rows = rows.where(n_bars >= F.lit(coverage) * n_days)
-    start = F.when(F.col("use"), F.col("date")).otherwise(F.date_add("hi", 1))
-    days = lambda lo, hi, value: F.when(lo <= hi, F.transform(F.filter(F.sequence(lo, F.greatest(lo, hi)), weekday), lambda d: F.struct(d.alias("date"), value(d).alias("close")))).otherwise(F.array())
-    before = F.when(F.col("place") == 1, days(F.col("lo"), F.date_sub(start, 1), lambda d: F.lit(None).cast("double"))).otherwise(F.array())
-    own = F.when(F.col("use"), days(start, F.coalesce(F.date_sub("next", 1), F.col("hi")), lambda d: F.when(d <= F.col("last"), F.col("close")))).otherwise(F.array())
-    return rows.select(*KEY, F.explode(F.concat(before, own)).alias("bar")).select(*KEY, "bar.date", "bar.close")
+    return _spread(rows.where(n_bars >= F.lit(coverage) * n_days), F.col("last"))
+
+
+def _uses(prices: DataFrame, whole: bool) -> DataFrame:
+    """prices and use (a price of a weekday), place among a symbol's (those that count first), next (the date of the next one that
+    counts); whole: the symbol's last price and first that counts."""
+    use = F.col("close").isNotNull() & weekday("date")
+    every, order = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy(F.desc("use"), "date")
+    ends = [F.max(F.when(F.col("close").isNotNull(), F.col("date"))).over(every).alias("last"), F.min(F.when(F.col("use"), F.col("date"))).over(every).alias("first")]
+    return prices.select(*KEY, "date", "close", use.alias("use")).select(
+        "*", F.row_number().over(order).alias("place"), F.when(F.lead("use").over(order), F.lead("date").over(order)).alias("next"), *(ends if whole else [])
+    )
+
+
+def _spread(rows: DataFrame, until: Column) -> DataFrame:
+    """A row for each weekday that a row stands for, the first row also for those before it (NULL); nothing after until."""
+    # plain numbers of days, so that the spread is one compiled loop
+    day = lambda c: F.unix_date(F.col(c))
+    lo, hi = F.when(F.col("place") == 1, day("lo")).otherwise(day("date")), F.when(F.col("use"), F.coalesce(day("next") - 1, day("hi"))).otherwise(day("hi"))
+    spread = rows.select("*", lo.alias("_lo"), hi.alias("_hi"), until.alias("_until")).where("_lo <= _hi").select("*", F.explode(F.sequence("_lo", "_hi")).alias("_day"))
+    dated = spread.select(*KEY, F.date_from_unix_date("_day").alias("_date"), "use", F.col("date").alias("_from"), "_until", "close").where(weekday("_date"))
+    held = F.col("use") & (F.col("_date") >= F.col("_from")) & (F.col("_date") <= F.col("_until"))
+    return dated.select(*KEY, F.col("_date").alias("date"), F.when(held, F.col("close")).alias("close"))
 
 
 def coverage_of(prices: DataFrame) -> DataFrame:
@@ -72,9 +80,8 @@ def coverage_of(prices: DataFrame) -> DataFrame:
 def align_market(prices: DataFrame) -> DataFrame:
     """The grid of each market by itself (market is part of panel_id then), filled to its end, no clip, all symbols."""
     spans = prices.groupBy("panel_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    grid = prices.select(*KEY).distinct().join(F.broadcast(spans), "panel_id").select(*KEY, F.explode(F.filter(F.sequence("lo", "hi"), weekday)).alias("date"))
-    by = Window.partitionBy(*KEY).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(prices.select(*KEY, "date", "close"), [*KEY, "date"], "left").withColumn("close", F.last("close", ignorenulls=True).over(by))
+    rows = _uses(prices, False).where("use OR place = 1").join(F.broadcast(spans), "panel_id")  # a row for each panel
+    return _spread(rows, F.col("hi"))
 
 
 def fx_crosses(fx: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators.lists import market_of
 from tickerloom.operators.panel import BATCH_COVERAGE, KEY, VIEW_COVERAGE, align, align_market, clean, convert
 from tickerloom.operators.places import placed
-from tickerloom.operators.snapshot import changes, ranked
+from tickerloom.operators.snapshot import deltas, ranked
 from tickerloom.sources.market import MarketData
 
 
@@ -39,14 +39,13 @@ def batch_scan(source: MarketData, symbols: DataFrame, size: int | None = None,
     if markets is not None:
         rows = rows.join(markets, "symbol")
     rows = in_base_currency(rows, source.fx(), False, "panel_id", base, market)
-    panel = align(clean(rows.select(*KEY, "date", "close")), coverage)
     ohlc, _ = source.ohlc(chunks)
-    found = changes(panel, ohlc)
+    found = deltas(clean(rows.select(*KEY, "date", "close")), ohlc, coverage)
     first = found.groupBy("symbol").agg(F.min_by(F.struct("fms", "d1", "d5", "r_1w", "r_4m", "r_ytd", "filter_status"), F.col("panel_id").cast("long")).alias("r"))
     return ranked(first.select("symbol", "r.*"))
 
 
-def base_panel(source: MarketData, symbols: DataFrame, coverage: float = BATCH_COVERAGE, base: str = "KOR", market: Column | None = None, markets: DataFrame | None = None, by_market: bool = False) -> DataFrame:
+def base_prices(source: MarketData, symbols: DataFrame, base: str = "KOR", market: Column | None = None, markets: DataFrame | None = None, by_market: bool = False) -> DataFrame:
     """panel_id, symbol, date, close of one panel in the base currency; each market's rates along its own dates, markets
     without rates left out. by_market: each market's weekdays are filled first, as a view of several markets does."""
     wanted = symbols.select("symbol").distinct()
@@ -57,14 +56,19 @@ def base_panel(source: MarketData, symbols: DataFrame, coverage: float = BATCH_C
         filled = align_market(clean(rows.withColumn("panel_id", F.col("market")).select(*KEY, "date", "close")))
         rows = filled.select(F.lit("0").alias("panel_id"), F.col("panel_id").alias("market"), "symbol", "date", "close")
     rows = convert(rows, source.fx(), True, base)
-    return align(clean(rows.select(*KEY, "date", "close")), coverage)
+    return clean(rows.select(*KEY, "date", "close"))
+
+
+def base_panel(source: MarketData, symbols: DataFrame, coverage: float = BATCH_COVERAGE, base: str = "KOR", market: Column | None = None, markets: DataFrame | None = None, by_market: bool = False) -> DataFrame:
+    """base_prices() on the grid."""
+    return align(base_prices(source, symbols, base, market, markets, by_market), coverage)
 
 
 def view_scan(source: MarketData, symbols: DataFrame, coverage: float = VIEW_COVERAGE, base: str = "KOR", market: Column | None = None, markets: DataFrame | None = None) -> DataFrame:
     """As batch_scan, for what a user looks at: one panel, filled market by market first, with less coverage asked for."""
-    panel = base_panel(source, symbols, coverage, base, market, markets, by_market=True)
+    prices = base_prices(source, symbols, base, market, markets, by_market=True)
     ohlc, _ = source.ohlc(symbols.select("symbol").distinct())
-    return ranked(changes(panel, ohlc).drop("panel_id"))
+    return ranked(deltas(prices, ohlc, coverage).drop("panel_id"))
 
 
 def left_out(source: MarketData, symbols: DataFrame, scan: DataFrame) -> DataFrame:

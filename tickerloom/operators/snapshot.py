@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.operators.features import at_lag, features, features_of, gathered
-from tickerloom.operators.panel import BATCH_COVERAGE, KEY, align
+from tickerloom.operators.features import at_lag, features_of, features_of_prices, gathered_prices
+from tickerloom.operators.panel import BATCH_COVERAGE, KEY
 from tickerloom.operators.score import scored
 from tickerloom.operators.tradeability import tradeability
 
@@ -24,7 +24,7 @@ def flagged(found: DataFrame, ohlc: DataFrame | None) -> DataFrame:
 
 def snapshot(prices: DataFrame, ohlc: DataFrame | None = None, coverage: float = BATCH_COVERAGE) -> DataFrame:
     """Every symbol's features, filter status and fms."""
-    return scored(flagged(features(align(prices, coverage)), ohlc))
+    return scored(flagged(features_of_prices(prices, coverage), ohlc))
 
 
 def deltas(prices: DataFrame, ohlc: DataFrame | None = None, coverage: float = BATCH_COVERAGE) -> DataFrame:
@@ -32,12 +32,7 @@ def deltas(prices: DataFrame, ohlc: DataFrame | None = None, coverage: float = B
 
     The earlier panels are the grid without its last rows, so a symbol that lags its panel may show no change. A symbol's
     bars are gathered once, with a few more, and cut for each lag afterwards. A panel of five rows or fewer has no d5."""
-    return changes(align(prices, coverage), ohlc)
-
-
-def changes(panel: DataFrame, ohlc: DataFrame | None = None) -> DataFrame:
-    """deltas() of an aligned panel."""
-    found = gathered(panel, more=max(LAGS))
+    found = gathered_prices(prices, coverage, max(LAGS))
     lags = found.withColumn("lag", F.explode(F.filter(F.array(*map(F.lit, LAGS)), lambda lag: lag < F.col("n_rows"))))
     every = features_of(at_lag(lags, F.col("lag")), (*KEY, "lag"))
     every = scored(flagged(every, ohlc))

@@ -8,7 +8,7 @@ from tickerloom.operators import addons as A
 from tickerloom.operators import calibrate as C
 from tickerloom.operators import families as S
 from tickerloom.operators import panel as P
-from tickerloom.operators.features import features
+from tickerloom.operators.features import features_of_prices
 from tickerloom.operators.places import cut
 from tickerloom.operators.score import FAMILIES, LEGACY_COLUMNS, direction
 from tickerloom.plans import inputs as I
@@ -22,7 +22,7 @@ DIRECTIONS = {c: direction(c) for c in COLUMNS}
 
 
 def _inputs(spark, sf_dir):
-    found = features(P.align(P.clean(I.prices(spark, sf_dir)))).select("symbol", "r_4m", "vol20_ann", "seg_ret_5_21", "seg_ret_21_63", "prior_support_sign", "mid_dip_recovery", "recent_up_days_5d", "recent_jump_share_5d", "jump_discontinuity_3m", "stale_after_run", "trend_efficiency_reward_15d", *COLUMNS)
+    found = features_of_prices(P.clean(I.prices(spark, sf_dir))).select("symbol", "r_4m", "vol20_ann", "seg_ret_5_21", "seg_ret_21_63", "prior_support_sign", "mid_dip_recovery", "recent_up_days_5d", "recent_jump_share_5d", "jump_discontinuity_3m", "stale_after_run", "trend_efficiency_reward_15d", *COLUMNS)
     return cut(found), _scores(spark, sf_dir).select("symbol", "true_rank")
 
 
@@ -78,7 +78,7 @@ def legacy_weight_search(spark, sf_dir):
 
 
 def _whole(spark, sf_dir):
-    return cut(features(P.align(P.clean(I.prices(spark, sf_dir)))).select("symbol", *LEGACY_COLUMNS))
+    return cut(features_of_prices(P.clean(I.prices(spark, sf_dir))).select("symbol", *LEGACY_COLUMNS))
 
 
 def legacy_volatility_grid(spark, sf_dir):

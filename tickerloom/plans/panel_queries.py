@@ -79,7 +79,7 @@ def fx_convert_batch(spark, sf_dir):
 
 
 def _bars(spark, sf_dir):
-    return G.visible(G.bars(P.align(P.clean(I.prices(spark, sf_dir)))))
+    return G.visible(G.bars_of_prices(P.clean(I.prices(spark, sf_dir))))
 
 
 def _chosen(spark, sf_dir, columns):

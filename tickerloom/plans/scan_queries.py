@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom.operators import features as G
 from tickerloom.operators import lists as L
 from tickerloom.operators import panel as P
 from tickerloom.operators import scan as N
@@ -101,8 +102,8 @@ def view_scan(spark, sf_dir):
 @query(f"WITH {_VIEW.replace('filled AS', 'unused AS (SELECT 1), filled AS')}, n AS (SELECT DISTINCT symbol FROM aligned) SELECT CAST(s_suppkey AS VARCHAR) AS symbol, CASE WHEN CAST(s_suppkey AS VARCHAR) IN (SELECT symbol FROM prices) THEN 'too few prices' ELSE 'no prices' END AS reason FROM supplier WHERE CAST(s_suppkey AS VARCHAR) NOT IN (SELECT symbol FROM n)")
 def scan_left_out(spark, sf_dir):
     source, universe = _source(spark, sf_dir), _universe(spark, sf_dir)
-    panel = N.base_panel(source, universe, P.VIEW_COVERAGE, "ASIA", markets=I.markets(spark, sf_dir), by_market=True)
-    return N.left_out(source, universe, panel.select("symbol").distinct())
+    prices = N.base_prices(source, universe, "ASIA", markets=I.markets(spark, sf_dir), by_market=True)
+    return N.left_out(source, universe, G.gathered_prices(prices, P.VIEW_COVERAGE).select("symbol").distinct())
 
 
 @query(f"""WITH {I.PRICES}, {I.aligned()}, c AS (SELECT symbol, date, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS change FROM aligned WHERE close > 0)

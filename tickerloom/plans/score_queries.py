@@ -40,7 +40,7 @@ features AS (SELECT *, price_vs_ema50 AS above_ema50, stale_age * greatest(seg_r
 
 def _features(spark, sf_dir):
     """A row a symbol, kept for the statistics over all of them that a score compares each with."""
-    return G.features(P.align(P.clean(I.prices(spark, sf_dir)))).cache()
+    return G.features_of_prices(P.clean(I.prices(spark, sf_dir))).cache()
 
 
 def _ss(x: str, low: str, high: str) -> str:
