@@ -43,8 +43,9 @@ def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """
     salts = salts or max(8, math.ceil(docs.count() / ROWS_PER_SALT))
     id_ = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"))
-    rows = docs.select(id_.alias("id"), normal_form(text_of()).alias("content"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
-    rows = rows.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
+    rows = docs.select(id_.alias("id"), normal_form(text_of()).alias("content"), F.coalesce(F.pmod(F.spark_partition_id(), F.lit(salts)), F.lit(0)).alias("salt"))
+    # keys that can't be null: a join's filter for nulls would go into one use of the parts only, and their shuffle not be shared
+    rows = rows.withColumn("digest", F.coalesce(F.sha2(F.col("content").cast("binary"), 256), F.lit("")))
     parts = rows.groupBy("digest", "content", "salt").agg(F.collect_list("id").alias("members"))
     best = F.array_min("members")
     winners = parts.select("digest", "content", "salt", F.struct(best["last"].alias("last"), best["doc_id"].alias("doc_id"), "salt").alias("best"), F.size("members").cast("long").alias("n"))
