@@ -10,6 +10,8 @@ of rows of sets and splits. Sets are as many as are drawn, so they are broadcast
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,12 +54,14 @@ def splits(ranking: DataFrame, repeats: int = REPEATS, folds: int = FOLDS, seed:
     return runs.select("symbol", "true_rank", (F.array(*each) if each else F.array().cast("array<int>")).alias("folds"))
 
 
-def score_of(families: dict[str, Family], columns: list[str]) -> Column:
-    out = F.lit(None).cast("double")
-    for name, one in families.items():
-        if all(f"q_{k}" in columns for k in one.middle):
-            out = F.when(F.col("family") == name, one.score({k: F.col(f"q_{k}") for k in one.middle})).otherwise(out)
-    return out
+def scores_of(rows: DataFrame, sets: DataFrame, families: dict[str, Family], columns: list[Column]) -> DataFrame:
+    """columns and score of every row under every set. Each family is scored by itself: all in one expression make a method that
+    is too large to be compiled."""
+    named = {n: one for n, one in families.items() if all(f"q_{k}" in sets.columns for k in one.middle)}
+    parts = [(F.col("family") == n, one.score({k: F.col(f"q_{k}") for k in one.middle})) for n, one in named.items()]
+    parts.append((F.col("family").isNull() | ~F.col("family").isin(list(named)), F.lit(None).cast("double")))
+    # as many sets as are drawn
+    return functools.reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(sets.where(own))).select(*columns, score.alias("score")) for own, score in parts])
 
 
 def metrics_of_sets(scores: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
@@ -136,8 +140,8 @@ def set_metrics(features: DataFrame, ranked: DataFrame, sets: DataFrame, familie
     numbered = placed(sets, [F.col(k) for k in KEYS], "number", rows=n_sets)
     # a thousand rows a task or so, so that all cores score
     spread = each.drop("folds", "symbol", "true_rank").repartition(max(1, min(1000, n_rows * n_sets // TASK_ROWS)), "place")
-    scored = spread.crossJoin(F.broadcast(numbered))  # as many sets as are drawn
-    scored = scored.select(F.floor((F.col("number") - 1) / per).cast("int").alias("task"), F.pmod(F.col("number") - 1, F.lit(per)).cast("int").alias("number"), F.col("place").cast("int"), score_of(families, sets.columns).alias("score"))
+    columns = [F.floor((F.col("number") - 1) / per).cast("int").alias("task"), F.pmod(F.col("number") - 1, F.lit(per)).cast("int").alias("number"), F.col("place").cast("int")]
+    scored = scores_of(spread, cut(numbered), families, columns)
     scores = packed(scored, ("task",), ("number", "place", "score")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def rows_of(batches):
