@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from tickerloom.operators.features import at_lag, features_of, features_of_prices, gathered_prices
 from tickerloom.operators.panel import BATCH_COVERAGE, KEY
 from tickerloom.operators.score import scored
-from tickerloom.operators.tradeability import tradeability
+from tickerloom.operators.tradeability import TOO_FEW, tradeability
 
 LAGS = (0, 1, 5)
 
 
 def flagged(found: DataFrame, ohlc: DataFrame | None) -> DataFrame:
-    """found with disqualified and filter_status; without OHLC nothing is filtered."""
+    """found with disqualified and filter_status; without OHLC nothing is filtered, symbols that it lacks are out.
+
+    Flags are told of all symbols of ohlc, so that found is worked out once, not again for its symbols."""
     if ohlc is None:
         return found.withColumns({"disqualified": F.lit(False), "filter_status": F.lit("normal")})
-    flags = tradeability(ohlc, found.select("symbol")).select("symbol", "disqualified", "filter_status")
-    joined = found.join(flags, "symbol", "left")
-    return joined.withColumns({"disqualified": F.coalesce("disqualified", F.lit(False)), "filter_status": F.coalesce("filter_status", F.lit("normal"))})
+    joined = found.join(tradeability(ohlc).select("symbol", "disqualified", "filter_status"), "symbol", "left")
+    named = F.col("symbol").isNotNull()
+    return joined.withColumns({"disqualified": F.coalesce("disqualified", named), "filter_status": F.coalesce("filter_status", F.when(named, TOO_FEW).otherwise("normal"))})
 
 
 def snapshot(prices: DataFrame, ohlc: DataFrame | None = None, coverage: float = BATCH_COVERAGE) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A day is extreme over this true range; so many severe falls in so many days are too many.
 WINDOW, EXTREME, FALL_WINDOW, FALL, FALLS = 63, 0.30, 20, -0.07, 4
+#: The status of a symbol with fewer closes than WINDOW, or none.
+TOO_FEW = "too few closes"
 
 
 def ranges(ohlc: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def tradeability(ohlc: DataFrame, symbols: DataFrame | None = None) -> DataFrame
     if symbols is not None:
         counts = symbols.select("symbol").distinct().join(counts, "symbol", "left").na.fill(0, ["n_closes", "extreme_days", "severe_days"])
     short, wild, falling = F.col("n_closes") < WINDOW, F.col("extreme_days") > 0, F.col("severe_days") >= FALLS
-    why = F.when(short, F.lit("too few closes")).otherwise(
+    why = F.when(short, F.lit(TOO_FEW)).otherwise(
         F.concat_ws("; ", F.when(wild, F.concat(F.lit("extreme range days: "), "extreme_days")), F.when(falling, F.concat(F.lit("severe falls: "), "severe_days")))
     )
     return counts.withColumn("disqualified", short | wild | falling).withColumn("filter_status", F.when(F.col("disqualified"), why).otherwise("normal"))
