@@ -58,3 +58,16 @@ def test_null_ids_repeats_and_no_rows(spark):
 def test_long_texts_are_linear(spark, text):
     got = token_alignment.align_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert got["n_groups"] > 0 and got["n_links"] == got["n_a"] + got["n_b"] - got["n_groups"]
+
+
+def test_ends_are_held_once_a_shape(spark):
+    """Where tokens end travels once for all units that are cut alike, and each unit's shape is its own."""
+    import public_tokenizers
+
+    path = {x: public_tokenizers.path(x) for x in ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")}
+    frame = spark.createDataFrame([(k, f"w{k} the an of tokenization {k} café 漢字") for k in range(300)], "doc_id long, text string").coalesce(1)
+    block = token_alignment.tokenised(frame, *path.values()).collect()
+    assert len(block) == 1
+    block = block[0]
+    assert len(block["shape"]) == len(block["tokens"]) > 600 and len(block["a_ends"]) == len(block["b_ends"]) == len(set(block["shape"])) < 100
+    assert all(len(x) == len(block["a_ends"][k]) + len(block["b_ends"][k]) for x, k in zip(block["tokens"], block["shape"]))

@@ -3,10 +3,10 @@
 1. Tokenising (Python, whole blocks of texts at once): a text is cut into units where neither tokenizer can have a token across,
    before a blank that follows something other than white space. A block's distinct units are tokenised once; a document
    is the numbers of its units. A row is a block: its documents, and of each unit both tokenizers' ids and byte ends.
-2. Groups and links (Spark's higher-order functions only, once for each distinct unit): the ends that both have, by
-   array_intersect, are the ends of the groups. The bytes of a unit get the number of their token, so the tokens that
-   meet at a byte are found by place, and whether a token of the one ends where one of the other does; between two
-   neighbouring ends of either tokenizer lies exactly one link.
+2. Groups and links (Spark's higher-order functions only): a unit's shape is where the tokens of both end; units share few of them. Once for
+   each shape of a block, the ends that both have, by array_intersect, are the ends of the groups. The bytes get the number of
+   their token, so the tokens that meet at a byte are found by place; between two neighbouring ends of either tokenizer lies
+   exactly one link. Each distinct unit reads its groups and links off its shape.
 3. A document adds up its units, and is exploded to its distinct id pairs, which Spark counts corpus-wide.
 4. Each unit's links are joined to these counts by id pair and added up by unit, and by document from there.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import forget, materialise, table, trim
 
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_500_000
 #: Links' id pairs that are broadcast with their counts: some 100 MB on an executor.
 BROADCAST_PAIRS = 2_000_000
 #: A blank beside other white space, where a token may reach over the blank.
@@ -100,12 +100,34 @@ def _lists(counts: np.ndarray, flat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
 
 
+def _taken(counts: np.ndarray, flat: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Of lists in flat, counts long, the elements of some."""
+    start = np.cumsum(counts) - counts
+    return flat[np.repeat(start[some] - np.cumsum(counts[some]) + counts[some], counts[some]) + np.arange(counts[some].sum())]
+
+
 def _one(values: pa.Array) -> pa.Array:
     """A list array with values as its only list."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-BLOCKS = "block long, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, units array<array<int>>, a array<array<int>>, a_ends array<array<int>>, b array<array<int>>, b_ends array<array<int>>"
+def _shapes(tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(each usable unit's shape, by number; of each shape one unit that has it). A shape is where the tokens of both end."""
+    known: dict[tuple[bytes, bytes], int] = {}
+    numbers, samples = [], []
+    (n_a, _, a), (n_b, _, b) = tokens.columns
+    stop_a, stop_b = (np.cumsum(n).tolist() for n in (n_a, n_b))
+    a, b = a.tobytes(), b.tobytes()
+    for k, (usable, i, n, j, m) in enumerate(zip(tokens.usable.tolist(), stop_a, n_a.tolist(), stop_b, n_b.tolist())):
+        if usable:
+            number = known.setdefault((a[4 * (i - n) : 4 * i], b[4 * (j - m) : 4 * j]), len(known))
+            if number == len(samples):
+                samples.append(k)
+            numbers.append(number)
+    return np.array(numbers, np.int32), np.array(samples, np.int64)
+
+
+BLOCKS = "block long, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, units array<array<int>>, tokens array<array<int>>, shape array<int>, a_ends array<array<int>>, b_ends array<array<int>>"
 
 
 def tokenised(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
@@ -128,9 +150,15 @@ def tokenised(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
         sizes, flat_units = np.array([len(x) for x in found]), np.fromiter((u for x in found for u in x), np.int64)
         of_docs = [np.add.reduceat(np.r_[counts[flat_units], 0], np.cumsum(sizes) - sizes) * (sizes > 0) for counts, *_ in tokens.columns]
         units = _lists(sizes, numbers[flat_units])
-        lists = [_one(_lists(counts[tokens.usable], flat[np.repeat(tokens.usable, counts)])) for counts, *both in tokens.columns for flat in both]
-        names = ["block", "doc_ids", "n_a", "n_b", "units", "a", "a_ends", "b", "b_ends"]
-        return pa.RecordBatch.from_arrays([pa.array([number]), _one(pa.array(ids, pa.int64())), *[_one(pa.array(x)) for x in of_docs], _one(units), *lists], names=names)
+        shapes, samples = _shapes(tokens)
+        (n_a, a, _), (n_b, b, _) = tokens.columns
+        n_both, of_a = n_a + n_b, np.repeat(np.tile([True, False], len(n_a)), np.column_stack([n_a, n_b]).ravel())
+        both = np.empty(len(of_a), np.int32)  # of each unit the ids of a, then those of b
+        both[of_a], both[~of_a] = a, b
+        both = _one(_lists(n_both[tokens.usable], both[np.repeat(tokens.usable, n_both)]))
+        ends = [_one(_lists(counts[samples], _taken(counts, flat, samples))) for counts, _, flat in tokens.columns]
+        names = ["block", "doc_ids", "n_a", "n_b", "units", "tokens", "shape", "a_ends", "b_ends"]
+        return pa.RecordBatch.from_arrays([pa.array([number]), _one(pa.array(ids, pa.int64())), *[_one(pa.array(x)) for x in of_docs], _one(units), both, _one(pa.array(shapes)), *ends], names=names)
 
     def tokenise(batches):
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -163,41 +191,37 @@ def _pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
 
-def _same_ends(x: Column) -> Column:
-    """aligned_unit() of a unit whose tokens all end alike: each is a group and a link."""
-    spelt = F.zip_with(x["a"].cast("array<string>"), x["b"].cast("array<string>"), lambda a, b: F.concat(a, F.lit("|"), b))
-    return F.struct(F.array_join(spelt, ";").alias("groups"), F.zip_with(x["a"], x["b"], _pair).alias("links"))
-
+def shape_of(x: Column) -> Column:
+    """Of one shape (a_ends, b_ends), a struct of links_a, links_b (each link's token of either side) of order, before: the
+    tokens as groups spell them, those of b counted on from a's, and what is written before each; and of n, how many groups. Tokens of b are
+    counted on from those of a."""
 
-def aligned_unit(x: Column) -> Column:
-    """Of one unit, a struct of a, a_ends, b, b_ends: groups (a1,a2|b1;...), links (a << 32 | b)."""
-
-    def parts(ids: Column, at: Column, common: Column) -> Column:
-        """The ids in decimal, a string for each group: those of the tokens from its first byte's to its last one's."""
-
-        def spelt(words: Column) -> Column:
-            def part(end: Column, i: Column) -> Column:
-                first, last = at[F.when(i > 0, common[i - 1]).otherwise(0)], at[end - 1]
-                several = F.array_join(F.transform(F.sequence(first, last), lambda k: words[k]), ",")
-                return F.when(first == last, words[first]).otherwise(several)
+    def whole(y: Column) -> Column:
+        def group(end: Column, i: Column) -> Column:
+            start = F.when(i > 0, y["common"][i - 1]).otherwise(0)
+            side = lambda at, shift, mark: F.transform(F.sequence(at[start], at[end - 1]), lambda k, j: F.struct((k + shift).alias("at"), F.when(j > 0, ",").otherwise(mark).alias("before")))
+            return F.concat(side(y["at_a"], F.lit(0), F.when(i > 0, ";").otherwise("")), side(y["at_b"], F.size(x["a_ends"]), F.lit("|")))
 
-            return F.transform(common, part)
+        links = F.array_union(x["a_ends"], x["b_ends"])
+        token = lambda at, shift: F.transform(links, lambda end: at[end - 1] + shift)
+        spelt = F.flatten(F.transform(y["common"], group))
+        return F.struct(token(y["at_a"], F.lit(0)).alias("links_a"), token(y["at_b"], F.size(x["a_ends"])).alias("links_b"), F.transform(spelt, lambda z: z["at"]).alias("order"), F.transform(spelt, lambda z: z["before"]).alias("before"), F.size(y["common"]).alias("n"))
 
-        return let(ids.cast("array<string>"), spelt)
+    return let(F.struct(F.array_intersect(x["a_ends"], x["b_ends"]).alias("common"), _token_at(x["a_ends"]).alias("at_a"), _token_at(x["b_ends"]).alias("at_b")), whole)
 
-    def whole(y: Column) -> Column:
-        groups = F.zip_with(parts(x["a"], y["at_a"], y["common"]), parts(x["b"], y["at_b"], y["common"]), lambda p, q: F.concat(p, F.lit("|"), q))
-        links = F.transform(F.array_union(x["a_ends"], x["b_ends"]), lambda end: _pair(x["a"][y["at_a"][end - 1]], x["b"][y["at_b"][end - 1]]))
-        return F.struct(F.array_join(groups, ";").alias("groups"), links.alias("links"))
 
-    meeting = let(F.struct(F.array_intersect(x["a_ends"], x["b_ends"]).alias("common"), _token_at(x["a_ends"]).alias("at_a"), _token_at(x["b_ends"]).alias("at_b")), whole)
-    return F.when(x["a_ends"] == x["b_ends"], _same_ends(x)).otherwise(meeting)
+def aligned_unit(tokens: Column, shape: Column) -> Column:
+    """Of one unit (the ids of a, then those of b) of that shape, a struct of groups (a1,a2|b1;...), their number n, and links (a << 32 | b)."""
+    words = tokens.cast("array<string>")
+    groups = let(words, lambda words: F.array_join(F.zip_with(shape["before"], shape["order"], lambda mark, k: F.concat(mark, words[k])), ""))
+    return F.struct(groups.alias("groups"), F.zip_with(shape["links_a"], shape["links_b"], lambda i, j: _pair(tokens[i], tokens[j])).alias("links"), shape["n"].alias("n"))
 
 
 def aligned_blocks(blocks: DataFrame) -> DataFrame:
     """block, docs (an array of doc_id, n_a, n_b, units, n_groups, groups_sha256, pairs: distinct ones) and links (of
-    each unit). Groups are told by array_intersect in each unit; a document's are as many as its groups spelt."""
-    unit = F.transform(F.arrays_zip("a", "a_ends", "b", "b_ends"), aligned_unit)
+    each unit). Where groups and links are is told by array_intersect once for each shape, and read off for each unit of it."""
+    shapes = F.transform(F.arrays_zip("a_ends", "b_ends"), shape_of)
+    unit = let(shapes, lambda shapes: F.zip_with("tokens", "shape", lambda tokens, k: let(shapes[k], lambda shape: aligned_unit(tokens, shape))))
 
     def documents(units: Column) -> Column:
         def document(numbers: Column, k: Column) -> Column:
@@ -205,9 +229,9 @@ def aligned_blocks(blocks: DataFrame) -> DataFrame:
             own = [F.col(c)[k].alias(name) for c, name in (("doc_ids", "doc_id"), ("n_a", "n_a"), ("n_b", "n_b"))]
 
             def spelt(groups: Column) -> Column:
-                n = F.when(groups != "", F.length(groups) - F.length(F.translate(groups, ";", "")) + 1).otherwise(0)
+                n = F.aggregate(numbers, F.lit(0).cast("long"), lambda n, u: n + units[u]["n"])
                 sha = F.when(groups != "", F.sha2(groups.cast("binary"), 256)).otherwise("")
-                return F.struct(*own, numbers.alias("units"), n.cast("long").alias("n_groups"), sha.alias("groups_sha256"), pairs.alias("pairs"))
+                return F.struct(*own, numbers.alias("units"), n.alias("n_groups"), sha.alias("groups_sha256"), pairs.alias("pairs"))
 
             return let(F.array_join(F.transform(numbers, lambda u: units[u]["groups"]), ";"), spelt)
 
@@ -237,7 +261,8 @@ def align_documents(docs: DataFrame, ranks: str | None = None, pieces: str | Non
     blocks = aligned_blocks(tokenised(docs, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pieces or public_tokenizers.path("piece_bpe_32k.model")))
     blocks = materialise(blocks, "aligned")
     counts = pair_counts(blocks)
-    links = blocks.select("block", F.posexplode("links").alias("unit", "pairs")).select("block", "unit", F.explode("pairs").alias("pair"))
+    dealt = blocks.select("block", "links").repartition("block")  # so that a block's sums need no shuffle of their own
+    links = dealt.select("block", F.posexplode("links").alias("unit", "pairs")).select("block", "unit", F.explode("pairs").alias("pair"))
     known = F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts
     sums = links.join(known, "pair").groupBy("block", "unit").agg(F.sum("n").alias("n"), F.count_if("best").alias("best"))
     by_block = sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("unit", "n", "best"))).alias("sums"))  # a block's units: bounded
