@@ -71,3 +71,24 @@ def test_ends_are_held_once_a_shape(spark):
     block = block[0]
     assert len(block["shape"]) == len(block["tokens"]) > 600 and len(block["a_ends"]) == len(block["b_ends"]) == len(set(block["shape"])) < 100
     assert all(len(x) == len(block["a_ends"][k]) + len(block["b_ends"][k]) for x, k in zip(block["tokens"], block["shape"]))
+
+
+def test_a_task_tells_each_unit_once(spark, monkeypatch):
+    """Blocks of one task share its units, and a block tells each id pair once, with its documents' number; the rest is packed."""
+    import public_tokenizers
+
+    monkeypatch.setattr(token_alignment, "BLOCK_CHARS", 200)
+    path = [public_tokenizers.path(x) for x in ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    frame = spark.createDataFrame([(k, f"the tokenization of {k % 7} café the") for k in range(60)], "doc_id long, text string").coalesce(1)
+    tokenised = token_alignment.tokenised(frame, *path)
+    blocks = sorted(tokenised.collect(), key=lambda r: r["block"])
+    assert len(blocks) > 5 and sum(len(r["tokens"]) for r in blocks) == 4 + 7
+    assert [r["known"] for r in blocks] == [sum(len(x["tokens"]) for x in blocks[:k]) for k in range(len(blocks))]
+    for r in token_alignment.placed(token_alignment.aligned_blocks(tokenised)).collect():
+        assert len(r["pairs"]) == len(set(r["pairs"])) == len(r["holders"]) and max(r["holders"]) == len(r["doc_ids"])
+        sizes, units, n_links, places = token_alignment._unpacked(r["packed"])
+        assert sizes.tolist() == [6] * len(r["doc_ids"]) and units.max() == len(n_links) - 1 and places.max() == len(r["pairs"]) - 1
+    # units are forgotten in between: the same rows
+    want = rows(token_alignment.align_documents(frame))
+    monkeypatch.setattr(token_alignment, "KNOWN_CHARS", 0)
+    assert rows(token_alignment.align_documents(frame)) == want
