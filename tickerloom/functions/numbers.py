@@ -1,10 +1,31 @@
-"""Scalar expressions. Missing numbers are NULL throughout: finite() turns NaN and infinities into NULL at each edge."""
+"""Scalar expressions. Missing numbers are NULL throughout: finite() turns NaN and infinities into NULL at each edge.
+
+clip(), smoothstep(), softplus() and signed_power() also take numpy arrays, in which NaN is missing, so that a formula can be worked
+out inside a task for many sets of parameters."""
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What maths() gives for arrays, by F's names.
+_ARRAYS = SimpleNamespace(
+    abs=np.abs, exp=np.exp, greatest=np.fmax, least=np.fmin, lit=lambda x: x, log1p=np.log1p, pow=np.power, signum=np.sign, sqrt=np.sqrt,
+    where=np.where, coalesce=lambda x, other: np.where(np.isnan(x), other, x), known=lambda x: ~np.isnan(x),
+)
+_COLUMNS = SimpleNamespace(
+    abs=F.abs, exp=F.exp, greatest=F.greatest, least=F.least, lit=F.lit, log1p=F.log1p, pow=F.pow, signum=F.signum, sqrt=F.sqrt,
+    where=lambda condition, x, other: F.when(condition, x).otherwise(other), coalesce=F.coalesce, known=lambda x: x.isNotNull(),
+)
+
+
+def maths(x: Column | np.ndarray) -> SimpleNamespace:
+    """Functions of columns, or of arrays."""
+    return _ARRAYS if isinstance(x, np.ndarray) else _COLUMNS
+
 
 def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
@@ -17,6 +38,8 @@ def positive(x: Column) -> Column:
 
 def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
     """NULL stays NULL."""
+    if isinstance(x, np.ndarray):
+        return x if low is None and high is None else np.clip(x, low, high)
     out = x
     if low is not None:
         out = F.greatest(out, F.lit(float(low)))
@@ -28,17 +51,19 @@ def clip(x: Column, low: float | None = None, high: float | None = None) -> Colu
 def smoothstep(x: Column, low: float, high: float) -> Column:
     """0 up to low, 1 from high on, a cubic between; 0 if both are equal."""
     if low == high:
-        return F.when(x.isNotNull(), F.lit(0.0))
+        return x * 0.0 if isinstance(x, np.ndarray) else F.when(x.isNotNull(), F.lit(0.0))
     t = clip((x - low) / (high - low), 0.0, 1.0)
     return t * t * (3.0 - 2.0 * t)
 
 
 def softplus(x: Column, beta: float = 8.0) -> Column:
-    return F.log1p(F.exp(clip(x * beta, -40.0, 40.0))) / beta
+    f = maths(x)
+    return f.log1p(f.exp(clip(x * beta, -40.0, 40.0))) / beta
 
 
 def signed_power(x: Column, power: Column | float) -> Column:
-    return F.signum(x) * F.pow(F.abs(x), power)
+    f = maths(x)
+    return f.signum(x) * f.pow(f.abs(x), power)
 
 
 def log_add_one(x: Column) -> Column:

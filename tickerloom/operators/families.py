@@ -3,7 +3,9 @@
 A set of parameters is a row of one table with a column family; Spark scores every symbol under every set in one projection.
 Scores travel packed, by arrays. A task gets whole sets (about TASK_ROWS scores, some splits), and works out their metrics
 together: over all rows, and over the training and the test rows of each split, so a set is scored and sorted once however
-many splits there are. Pairs that fall are counted once, by row; a split counts only those of its test rows anew. What follows
+many splits there are. Pairs that fall are counted once, by row; a split counts only those of its test rows anew. Where only the best
+sets are asked for and the scores also take arrays (leading()), no scores travel: a task gets some sets and the rows' features, and
+pairs that fall are counted only of sets that could still be the best if none fell but those that a coarse table tells. What follows
 (the best set of each split's training rows, its metrics on the test rows, means and the band) are aggregations and joins
 of rows of sets and splits. Sets are as many as are drawn, so they are broadcast.
 """
@@ -11,15 +13,17 @@ of rows of sets and splits. Sets are as many as are drawn, so they are broadcast
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators.places import cut, placed, tiled
-from tickerloom.operators.ranking import falls, packed, rising_pairs, unpacked
-from tickerloom.operators.score import Family
+from tickerloom.operators.ranking import descending, falls, packed, rising_pairs, unpacked
+from tickerloom.operators.score import Family, Inputs
 
 #: Budgets: draws of each family and seed, steps of a refinement and their rounds, repeats of the splits and their folds.
 DRAWS, REFINEMENTS, ROUNDS, REPEATS, FOLDS = 2500, 250, 5, 3, 5
@@ -30,6 +34,8 @@ SEEDS, SPREAD, BOUNDS, BAND, UTILITY = (20260802, 20260803, 20260811), 0.15, (1e
 #: are held at once, and rows up to which all pairs are compared.
 TASK_ROWS, TASK_REPEATS, TASKS, MEASURED = 4_000_000, 32, 32, 500_000
 HELD, FEW = 4_000_000, 256
+#: Of leading(): scores of a task, rows that are scored at once, scores of orders that are held, blocks of the coarse table.
+LED_ROWS, SCORED, ORDERS, COARSE = 128_000_000, 8192, 32_000_000, 128
 KEYS = ("family", "seed", "param_id")
 
 
@@ -128,6 +134,9 @@ def _split_metrics(scores: np.ndarray, ranks: np.ndarray, folds: np.ndarray, ane
     return found
 
 
+_MEASURED = "number long, repeat int, fold int, inversion double, pair_error double, rho double, utility double, test_inversion double, test_pair_error double, test_rho double"
+
+
 def set_metrics(features: DataFrame, ranked: DataFrame, sets: DataFrame, families: dict[str, Family], anew: bool = True) -> DataFrame:
     """KEYS, repeat, fold, inversion, pair_error, rho, utility, test_inversion, test_pair_error, test_rho: over all rows (repeat
     and fold -1, no tests), and for each repeat and fold of ranked's folds over the rows that aren't in the fold, the tests over
@@ -175,8 +184,160 @@ def set_metrics(features: DataFrame, ranked: DataFrame, sets: DataFrame, familie
                 parts.append(pa.table([*[pa.array(v) for _, v in names], *tests], names=[*[c for c, _ in names], "test_inversion", "test_pair_error", "test_rho"]))
         return pa.concat_tables(parts)
 
-    schema = "number long, repeat int, fold int, inversion double, pair_error double, rho double, utility double, test_inversion double, test_pair_error double, test_rho double"
-    found = scores.groupBy("task", "slice").cogroup(rows.groupBy("task", "slice")).applyInArrow(measure, schema)
+    found = scores.groupBy("task", "slice").cogroup(rows.groupBy("task", "slice")).applyInArrow(measure, _MEASURED)
+    return found.join(F.broadcast(numbered.select("number", *KEYS)), "number").select(*KEYS, *[c for c in found.columns if c != "number"])  # as many sets as are drawn
+
+
+def _gaps(along: np.ndarray) -> tuple[float, float]:
+    """pair_error, rho of ranks from 0 on, in the order of the scores."""
+    n = len(along)
+    if n < 2:
+        return 0.0, 1.0
+    place = np.arange(n, dtype=along.dtype)
+    apart = np.sort(along - place)
+    error = float(apart.astype(float) @ np.arange(1.0 - n, n, 2.0)) / (n * (n - 1) / 2)
+    return error, float((along - (n - 1) / 2) @ (place - (n - 1) / 2)) / (n * (n * n - 1.0) / 12)
+
+
+def _least_falls(along: np.ndarray) -> int:
+    """How many pairs of a permutation fall whose places and whose numbers lie in different blocks; no more pairs than those in one
+    block fall besides."""
+    n = len(along)
+    shift = max(0, (n // COARSE).bit_length())
+    blocks = ((n - 1) >> shift) + 1
+    shared = np.bincount(((np.arange(n, dtype=np.int32) >> shift) * blocks) + (along >> shift), minlength=blocks * blocks).reshape(blocks, blocks)
+    before = np.cumsum(shared, axis=0) - shared
+    return int((shared * (np.cumsum(before[:, ::-1], axis=1)[:, ::-1] - before)).sum())
+
+
+class _Cases:
+    """The rows of all, and of the training rows of each repeat and fold; ranks count from 0 on among them."""
+
+    def __init__(self, folds: np.ndarray):
+        self.keys = [(-1, -1), *((r, int(f)) for r in range(folds.shape[1]) for f in np.unique(folds[:, r]))]
+        self.tests = [None, *(folds[:, r] == f for r, f in self.keys[1:])]
+        self.ranks = [None, *(self._ranks(~test) for test in self.tests[1:])]
+
+    @staticmethod
+    def _ranks(some: np.ndarray) -> np.ndarray:
+        return np.where(some, np.cumsum(some) - 1, -1).astype(np.int32)
+
+    def along(self, case: int, order: np.ndarray, held: bool = False) -> np.ndarray:
+        """The case's ranks in the order of the scores; held: those of the other rows."""
+        if self.tests[case] is None:
+            return order[:0] if held else order
+        ranks = (self._ranks(self.tests[case]) if held else self.ranks[case])[order]
+        return ranks[ranks >= 0]
+
+    def most(self, case: int, order: np.ndarray) -> float:
+        """What the utility is at most."""
+        along = self.along(case, order)
+        error, rho = _gaps(along)
+        pairs = len(along) * (len(along) - 1) / 2
+        return float(np.dot((_least_falls(along) / pairs if pairs else 0.0, rho, error), UTILITY)) + 1e-9
+
+    def metrics(self, case: int, order: np.ndarray, held: bool = False) -> tuple[float, float, float]:
+        along = self.along(case, order, held)
+        n = len(along)
+        # falls along the order of scores are those along the ranks
+        return float(falls(along[None, :])[0]) / (n * (n - 1) / 2) if n > 1 else 0.0, *_gaps(along)
+
+
+def _leaders(score: Callable[[int], np.ndarray], groups: list[list[int]], folds: np.ndarray) -> Iterator[tuple]:
+    """(set, repeat, fold, inversion, pair_error, rho, and these three of the other rows) of the best set of each group (numbers that
+    score() takes) over all rows, and over each split's training rows: the first one of equal ones."""
+    cases, held = _Cases(folds), {}
+    holes: dict[int, dict] = {}
+
+    def order(k: int) -> np.ndarray | None:
+        """Rows by the scores of set k; None where some are missing, which medians stand in for, case by case."""
+        if k not in held:
+            one = score(k)
+            if not np.isfinite(one).all():
+                holes[k] = {key: (a[0], b[0]) for key, (a, b) in _split_metrics(one[None, :], np.arange(1.0, len(one) + 1), folds, True, True).items()}
+                return None
+            if len(held) >= max(1, ORDERS // len(one)):
+                held.pop(next(iter(held)))
+            held[k] = descending(one).astype(np.int32)
+        return held[k]
+
+    for group in groups:
+        most = np.full((len(group), len(cases.keys)), np.inf)
+        for at, k in enumerate(group):
+            if (rows := order(k)) is not None:
+                most[at] = [cases.most(case, rows) for case in range(len(cases.keys))]
+        for case, key in enumerate(cases.keys):
+            best = None
+            for at in np.argsort(-most[:, case], kind="stable"):
+                if best is not None and most[at, case] < -best[0] - 1e-9:
+                    break
+                k = group[at]
+                own = holes[k][key][0][:3] if k in holes else cases.metrics(case, order(k))
+                rank = (-round(float(np.dot(np.array(own)[[0, 2, 1]], UTILITY)), 12), k)
+                if best is None or rank < best[:2]:
+                    best = *rank, own
+            _, k, own = best
+            yield k, *key, *own, *(holes[k][key][1][:3] if k in holes else cases.metrics(case, order(k), True))
+
+
+def leading(features: DataFrame, ranked: DataFrame, sets: DataFrame, families: dict[str, Family]) -> DataFrame:
+    """The rows of set_metrics() of the sets that are the best of their family and seed among some of these, so that best_sets() finds
+    the same. A task gets a run of sets and all rows' features, which it scores some rows at a time."""
+    spark, n_sets = features.sparkSession, sets.count()
+    known = {n: one for n, one in families.items() if one.reads}
+    n_rows = ranked.count()
+    if len(known) < len(families) or n_rows <= FEW:
+        return set_metrics(features, ranked, sets, families)
+    each = cut(placed(features.join(ranked, "symbol"), [F.col("true_rank"), F.col("symbol")], "place", rows=n_rows))
+    repeats = each.agg(F.coalesce(F.max(F.size("folds")), F.lit(0))).first()[0]
+    tasks = min(n_sets, max(TASKS, -(-n_rows * n_sets // LED_ROWS)))
+    numbered = cut(placed(sets, [F.col(k) for k in KEYS], "number", rows=n_sets))
+    read = sorted({c for one in known.values() for c in one.reads})
+    rows = each.select(F.col("place").cast("int"), F.col("folds").cast("array<int>"), *[F.col(c).cast("double").alias(c) for c in read])
+
+    def pack(batches):
+        for batch in batches:
+            flat = [pc.list_flatten(c) if pa.types.is_list(c.type) else c for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in flat], names=batch.schema.names)
+
+    rows = rows.mapInArrow(pack, ", ".join(["place array<int>", "folds array<int>", *[f"{c} array<double>" for c in read]]))
+    rows = rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    runs = numbered.withColumn("task", F.floor((F.col("number") - 1) * tasks / n_sets).cast("int")).drop("param_id")
+    names = [c for c in sets.columns if c.startswith("q_")]
+
+    def lead(some: pa.Table) -> pa.Table:
+        own, table = (some.filter(pc.field("number").is_valid() == flag) for flag in (True, False))
+        place = unpacked(table, "place") - 1
+        n = len(place)
+        folds = np.empty((n, repeats), np.int32)
+        folds[place] = unpacked(table, "folds").reshape(n, repeats)
+        by_place = np.empty(n, np.int64)
+        by_place[place] = np.arange(n)
+        values = {c: unpacked(table, c)[by_place] for c in read}
+        inputs = [Inputs({c: v[at : at + SCORED] for c, v in values.items()}) for at in range(0, n, SCORED)]
+        del values
+        listed = sorted(own.to_pylist(), key=lambda r: r["number"])
+        q = [{c[2:]: r[c] for c in names if r[c] is not None} for r in listed]
+
+        def score(k: int) -> np.ndarray:
+            if listed[k]["family"] not in known:
+                return np.full(n, np.nan)
+            with np.errstate(all="ignore"):
+                return np.concatenate([known[listed[k]["family"]].score(q[k], x) for x in inputs])
+
+        groups: dict[tuple, list[int]] = {}
+        for k, r in enumerate(listed):
+            groups.setdefault((r["family"], r["seed"]), []).append(k)
+        found = list(_leaders(score, list(groups.values()), folds))
+        columns = list(zip(*found))
+        whole = [r < 0 for r in columns[1]]
+        out = [pa.array([listed[k]["number"] for k in columns[0]], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:3]), *(pa.array(c, pa.float64()) for c in columns[3:6])]
+        out.append(pa.array([float(np.dot((m[3], m[5], m[4]), UTILITY)) for m in found], pa.float64()))
+        out += [pa.array(c, pa.float64(), mask=np.array(whole)) for c in columns[6:9]]
+        return pa.Table.from_arrays(out, names=[f.split()[0] for f in _MEASURED.split(", ")])
+
+    both = rows.unionByName(runs, allowMissingColumns=True).repartitionByRange(tasks, "task")
+    found = both.groupBy("task").applyInArrow(lead, _MEASURED)
     return found.join(F.broadcast(numbered.select("number", *KEYS)), "number").select(*KEYS, *[c for c in found.columns if c != "number"])  # as many sets as are drawn
 
 
@@ -200,9 +361,9 @@ def refined(features: DataFrame, ranking: DataFrame, families: dict[str, Family]
     """(family, seed, drawn_utility, inversion, pair_error, rho, utility; the sets). From the best draw of each family and seed
     on, each round is one job over steps / rounds moved copies of every best set so far, which itself competes: never worse.
     The best sets, one for each family and seed, are what passes from round to round."""
-    spark, ranked = features.sparkSession, splits(ranking, 0)
+    spark, ranked = features.sparkSession, cut(splits(ranking, 0))
     tried = {(f, s, k): q for f, s, k, q in drawn(families, n, seeds)}
-    found = best_sets(set_metrics(features, ranked, sets_table(spark, [(*k, q) for k, q in tried.items()]), families), ("family", "seed")).collect()
+    found = best_sets(leading(features, ranked, sets_table(spark, [(*k, q) for k, q in tried.items()]), families), ("family", "seed")).collect()
     start = {(r["family"], r["seed"]): r for r in found}
     state = {key: tried[(*key, r["param_id"])] for key, r in start.items()}
     last = dict(start)
@@ -211,7 +372,7 @@ def refined(features: DataFrame, ranking: DataFrame, families: dict[str, Family]
         for number, (key, q) in enumerate(sorted(state.items())):
             rng = np.random.default_rng([key[1], number, k])
             tried |= {(*key, 0): q} | {(*key, j): moved(q, rng) for j in range(1, steps // rounds + 1)}
-        found = best_sets(set_metrics(features, ranked, sets_table(spark, [(*x, q) for x, q in tried.items()]), families), ("family", "seed")).collect()
+        found = best_sets(leading(features, ranked, sets_table(spark, [(*x, q) for x, q in tried.items()]), families), ("family", "seed")).collect()
         last = {(r["family"], r["seed"]): r for r in found}
         state = {key: tried[(*key, r["param_id"])] for key, r in last.items()}
     rows = [(*key, start[key]["utility"], r["inversion"], r["pair_error"], r["rho"], r["utility"]) for key, r in sorted(last.items())]

@@ -32,10 +32,42 @@ def with_model_rank(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scores.withColumn("model_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+#: Numbers of a permutation from which on its falls are counted by blocks; the least length of a block, and the most blocks.
+BY_BLOCKS, BLOCK, BLOCKS = 4096, 256, 2048
+
+
+def _falls_by_blocks(model: np.ndarray) -> int:
+    """falls() of one permutation. Both orders are cut into blocks: pairs of different blocks in either are counted by a table of
+    how many numbers each pair of blocks shares, pairs of one block by comparing its places with those so many behind."""
+    n = len(model)
+    size = BLOCK
+    while size * BLOCKS < n:
+        size *= 2
+    blocks = -(-n // size)
+    full = np.arange(blocks * size, dtype=np.int32)
+    full[:n] = model
+    place = np.empty_like(full)
+    place[full] = np.arange(len(full), dtype=np.int32)
+    small = np.uint16 if blocks * size <= 1 << 16 else np.int32
+    of_number, of_place = ((x // size).astype(np.uint8 if blocks <= 256 else np.uint16) for x in (full, place))
+    shared = np.bincount(np.repeat(np.arange(blocks) * blocks, size) + of_number, minlength=blocks * blocks).reshape(blocks, blocks)
+    before = np.cumsum(shared, axis=0) - shared
+    total = int((shared * (np.cumsum(before[:, ::-1], axis=1)[:, ::-1] - before)).sum())
+    # pairs of one block of places; then those of one block of numbers whose blocks of places differ
+    for values in (full.astype(small), of_place):
+        lying = np.ascontiguousarray(values.reshape(blocks, size).T)
+        found = np.empty(lying.shape, bool)
+        total += sum(int(np.count_nonzero(np.less(lying[k:], lying[:-k], out=found[k:]))) for k in range(1, size))
+    return total
+
+
 def falls(model: np.ndarray, each: bool = False) -> np.ndarray:
     """Of each row, a permutation of 0.. n - 1, how many pairs i < j have model[i] > model[j]; each: for each number, of how many
-    of these it is one. Bit by bit from the highest: rows lie by the bits above, in their order, and are dealt by the next one."""
+    of these it is one. Bit by bit from the highest: rows lie by the bits above, in their order, and are dealt by the next one.
+    Sums alone of long rows are counted by blocks."""
     many, n = model.shape
+    if n >= BY_BLOCKS and not each:
+        return np.array([_falls_by_blocks(m) for m in model], np.int64)
     at, part, total = model.astype(np.int32).ravel(), np.zeros(many * n, np.int32), np.zeros(many, np.int64)
     place = np.tile(np.arange(n, dtype=np.int32), many)
     row = np.repeat(np.arange(many, dtype=np.int64) * n, n)
@@ -58,9 +90,25 @@ def falls(model: np.ndarray, each: bool = False) -> np.ndarray:
     return part.reshape(many, n) if each else total
 
 
+def descending(values: np.ndarray) -> np.ndarray:
+    """The places of finite values from the highest on, equal ones in their order."""
+    order = np.argsort(-values)  # faster than a stable one; equal values are put in order next
+    along = values[order]
+    tied = np.r_[False, along[1:] == along[:-1], False]
+    if tied.any():
+        run, some = np.cumsum(~tied[:-1]), np.flatnonzero(tied[1:] | tied[:-1])
+        key = run[some] * len(values) + order[some]
+        key.sort()
+        order[some] = key % len(values)
+    return order
+
+
 def rising_pairs(values: np.ndarray) -> int:
     """How many pairs i < j have values[i] < values[j]."""
     model = np.empty(len(values), np.int32)
+    if values.dtype.kind == "f" and np.isfinite(values).all():
+        model[descending(values)] = np.arange(len(values), dtype=np.int32)
+        return int(falls(model[None, :])[0]) if len(values) else 0
     _, code = np.unique(values, return_inverse=True)
     model[np.argsort(-code, kind="stable")] = np.arange(len(values))
     return int(falls(model[None, :])[0]) if len(values) else 0
@@ -74,7 +122,7 @@ def metrics_of(rank: np.ndarray, score: np.ndarray) -> tuple[float, float, float
     order = np.argsort(rank, kind="stable")
     rank, score = rank[order].astype(float), score[order]
     model = np.empty(n)
-    model[np.argsort(-score, kind="stable")] = np.arange(1, n + 1)
+    model[descending(score) if np.isfinite(score).all() else np.argsort(-score, kind="stable")] = np.arange(1, n + 1)
     apart = np.sort(rank - model)  # the mean difference of two of these is that of the rank gaps
     error = float((apart * (2 * np.arange(n) - n + 1)).sum() / (n * (n - 1) / 2))
     rho = float(np.corrcoef(rank, model)[0, 1]) if np.ptp(rank) > 0 else float("nan")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.numbers import clip, finite, horizon_return, horizon_width, ratio, signed_power, smoothstep, softplus
+from tickerloom.functions.numbers import clip, finite, horizon_return, horizon_width, maths, ratio, signed_power, smoothstep, softplus
 
 DISQUALIFIED = -999.0
 #: Fixed values of the production score.
@@ -37,35 +37,57 @@ def feature(name: str, otherwise: float = 0.0) -> Column:
 Params = dict[str, float | Column]
 
 
+#: The features that the families' scores read.
+READ = (
+    "r_3m", "r2_3m", "vol20_ann", "seg_ret_0_5", "seg_ret_5_21", "seg_ret_21_63", "prior_support_sign", "mid_dip_recovery",
+    "trend_efficiency_reward_15d", "recent_up_days_5d", "recent_jump_share_5d", "jump_discontinuity_3m", "stale_age", "stale_after_run",
+)
+
+
 class Inputs:
-    """What the scores read of a feature table, with what counts where a feature is missing."""
+    """What the scores read of a feature table, with what counts where a feature is missing: columns, or where the features of
+    some rows are given by name, arrays."""
+
+    def __init__(self, of: dict[str, np.ndarray] | None = None):
+        def read(name: str, otherwise: float = 0.0) -> Column | np.ndarray:
+            return np.where(np.isfinite(of[name]), of[name], otherwise) if of is not None else feature(name, otherwise)
+
+        self._kept: dict[str, Column | np.ndarray] = {}
+        self.r3m, self.fit, self.vol = read("r_3m"), read("r2_3m", 0.5), read("vol20_ann", 0.2)
+        self.recent, self.mid, self.prior = read("seg_ret_0_5"), read("seg_ret_5_21"), read("seg_ret_21_63")
+        self.support, self.dip, self.eff = read("prior_support_sign"), read("mid_dip_recovery"), read("trend_efficiency_reward_15d")
+        self.breadth, self.share = read("recent_up_days_5d") / 5.0, clip(read("recent_jump_share_5d"), 0.0, 1.0)
+        f = maths(self.r3m)
+        self.jump, self.stale, self.stale_run = (f.greatest(read(c), f.lit(0.0)) for c in ("jump_discontinuity_3m", "stale_age", "stale_after_run"))
+
+    def once(self, name: str, value: Callable[[], Column | np.ndarray]) -> Column | np.ndarray:
+        """What no parameter changes; worked out once for these rows."""
+        if name not in self._kept:
+            self._kept[name] = value()
+        return self._kept[name]
 
-    def __init__(self):
-        self.r3m, self.fit, self.vol = feature("r_3m"), feature("r2_3m", 0.5), feature("vol20_ann", 0.2)
-        self.recent, self.mid, self.prior = feature("seg_ret_0_5"), feature("seg_ret_5_21"), feature("seg_ret_21_63")
-        self.support, self.dip, self.eff = feature("prior_support_sign"), feature("mid_dip_recovery"), feature("trend_efficiency_reward_15d")
-        self.breadth, self.share = feature("recent_up_days_5d") / 5.0, clip(feature("recent_jump_share_5d"), 0.0, 1.0)
-        self.jump, self.stale, self.stale_run = (F.greatest(feature(c), F.lit(0.0)) for c in ("jump_discontinuity_3m", "stale_age", "stale_after_run"))
+    def soft(self, name: str) -> Column | np.ndarray:
+        return self.once(name, lambda: softplus(getattr(self, name)))
 
 
-def alive_pullback(q: Params = ALIVE_PULLBACK) -> Column:
+def alive_pullback(q: Params = ALIVE_PULLBACK, x: Inputs | None = None) -> Column | np.ndarray:
     """Recent and older legs of a move, with credit for a pullback in a move that is alive, over penalties for jumps and
     for runs that went stale. Missing features count as 0, a missing fit as 0.5."""
-    x = Inputs()
+    x = x or Inputs()
     above = softplus(x.r3m - q["floor"])
-    grind = above * x.fit * (1.0 - x.share) * softplus(x.eff + 0.05)
+    grind = above * x.fit * (1.0 - x.share) * x.once("eff 0.05", lambda: softplus(x.eff + 0.05))
     body = (
         q["w_recent"] * signed_power(x.recent, q["pow_recent"])
-        + q["alive_boost"] * softplus(x.recent) * x.support
-        + q["w_mid_pos"] * softplus(x.mid)
+        + q["alive_boost"] * x.soft("recent") * x.support
+        + q["w_mid_pos"] * x.soft("mid")
         + q["w_mid_neg_forgive"] * x.dip * (0.5 + x.support)
         + q["w_prior"] * x.prior * (0.5 + x.support)
         + q["w_abs"] * above
         + q["w_breadth"] * x.breadth
         + q["w_grind"] * grind
-        + q["w_eff"] * softplus(x.eff)
+        + q["w_eff"] * x.soft("eff")
     )
-    return softplus(x.r3m - q["floor"] / 2.0) * body / (1.0 + q["w_stale_run"] * x.stale_run + q["w_jump_share"] * softplus(x.share - 0.55))
+    return softplus(x.r3m - q["floor"] / 2.0) * body / (1.0 + q["w_stale_run"] * x.stale_run + q["w_jump_share"] * x.once("share 0.55", lambda: softplus(x.share - 0.55)))
 
 
 def scored(features: DataFrame, score: Column | None = None) -> DataFrame:
@@ -299,9 +321,9 @@ def legacy_sweep(features: DataFrame, sets: list[LegacyParams]) -> DataFrame:
     return found.select("param_id", "symbol", F.col("legacy_fms").alias("score"))
 
 
-def _floor_gated(q: Params) -> Column:
+def _floor_gated(q: Params, x: Inputs | None = None) -> Column | np.ndarray:
     """Returns of three legs, gated by a floor of the absolute return and divided by jumps and staleness."""
-    x = Inputs()
+    x = x or Inputs()
     legs = q["w_recent"] * signed_power(x.recent, q["recent_pow"]) + q["w_mid"] * x.mid + q["w_prior"] * x.prior * (1.0 + q["support_boost"] * x.support)
     core = legs + q["w_abs"] * _step(x.r3m, q["r3m_floor"], q["r3m_full"]) * x.r3m
     return softplus(x.r3m - q["r3m_floor"]) * (1.0 + q["w_r2"] * x.fit) * core / (1.0 + q["w_jump"] * x.jump + q["w_stale"] * x.stale)
@@ -309,64 +331,73 @@ def _floor_gated(q: Params) -> Column:
 
 def _step(x: Column, low: float | Column, high: float | Column) -> Column:
     """smoothstep with edges that may be columns."""
+    if isinstance(x, np.ndarray):
+        if low == high:
+            return np.zeros_like(x)
+        t = np.fmin(np.fmax((x - low) / (high - low), 0.0), 1.0)
+        return t * t * (3.0 - 2.0 * t)
     low, high = (e if isinstance(e, Column) else F.lit(e) for e in (low, high))
     t = F.least(F.greatest(F.try_divide(x - low, high - low), F.lit(0.0)), F.lit(1.0))
     return F.when(low != high, t * t * (3.0 - 2.0 * t)).otherwise(F.lit(0.0))
 
 
-def _regime_switch(q: Params) -> Column:
+def _regime_switch(q: Params, x: Inputs | None = None) -> Column | np.ndarray:
     """The recent leg where the absolute return is weak, the older ones too where it is strong; less for paths like cash's."""
-    x = Inputs()
+    x = x or Inputs()
     weak, strong = 1.0 - _step(x.r3m, q["weak_edge"] * 0.5, q["weak_edge"]), _step(x.r3m, q["weak_edge"], q["strong_edge"])
     turn = signed_power(x.recent, q["pow_recent"])
     held = q["a_recent_strong"] * turn + q["a_prior_strong"] * x.prior * (0.5 + x.support) + 0.5 * x.mid
     body = weak * q["a_recent_weak"] * turn + strong * held + q["a_smooth"] * x.fit * strong
-    cash = (1.0 - smoothstep(x.r3m, 0.005, 0.03)) * (1.0 - smoothstep(x.vol, 0.005, 0.04))
-    return softplus(x.r3m - 0.005) * body / (1.0 + q["b_vol"] * cash + q["c_jump"] * x.jump)
+    cash = x.once("cash", lambda: (1.0 - smoothstep(x.r3m, 0.005, 0.03)) * (1.0 - smoothstep(x.vol, 0.005, 0.04)))
+    return x.once("r3m 0.005", lambda: softplus(x.r3m - 0.005)) * body / (1.0 + q["b_vol"] * cash + q["c_jump"] * x.jump)
 
 
-def _product(q: Params) -> Column:
+def _product(q: Params, x: Inputs | None = None) -> Column | np.ndarray:
     """The product of powers of all legs, so that each has to confirm the others."""
-    x = Inputs()
-    legs = ((softplus(x.recent), "a_recent"), (softplus(x.mid), "a_mid"), (softplus(x.prior * x.support), "a_prior"), (softplus(x.r3m - q["floor"]), "a_abs"))
-    out = 1.0 + q["w_eff"] * softplus(x.eff)
+    x = x or Inputs()
+    legs = ((x.soft("recent"), "a_recent"), (x.soft("mid"), "a_mid"), (x.once("backed", lambda: softplus(x.prior * x.support)), "a_prior"), (softplus(x.r3m - q["floor"]), "a_abs"))
+    out = 1.0 + q["w_eff"] * x.soft("eff")
     for leg, power in legs:
-        out = out * F.pow(leg + q["eps"], q[power])
+        out = out * maths(leg).pow(leg + q["eps"], q[power])
     return out / ((1.0 + q["w_jump"] * x.jump) * (1.0 + q["w_stale"] * x.stale))
 
 
-def _hybrid(q: Params) -> Column:
+def _hybrid(q: Params, x: Inputs | None = None) -> Column | np.ndarray:
     """A signed square of the recent leg, a root of the middle one times the older one, less the logarithm of jumps."""
-    x = Inputs()
-    root = F.sqrt(F.greatest(q["c1"] + x.mid, F.lit(1e-8)))
-    body = q["c0"] * signed_power(x.recent, 2.0) + root * x.prior * (0.5 + x.support) + q["c2"] * softplus(x.r3m - q["floor"]) - q["c3"] * F.log1p(1.23 * x.jump)
-    return softplus(x.r3m - q["floor"] * 0.5) * body / F.pow(1.0 + q["c4"] * x.stale, q["pow_den"])
+    x = x or Inputs()
+    f = maths(x.mid)
+    root = f.sqrt(f.greatest(q["c1"] + x.mid, f.lit(1e-8)))
+    body = q["c0"] * x.once("recent 2", lambda: signed_power(x.recent, 2.0)) + root * x.prior * (0.5 + x.support) + q["c2"] * softplus(x.r3m - q["floor"]) - q["c3"] * x.once("jump 1.23", lambda: f.log1p(1.23 * x.jump))
+    return softplus(x.r3m - q["floor"] * 0.5) * body / f.pow(1.0 + q["c4"] * x.stale, q["pow_den"])
 
 
-def _continuation(q: Params) -> Column:
+def _continuation(q: Params, x: Inputs | None = None) -> Column | np.ndarray:
     """A dip of the middle leg is forgiven where older and recent ones hold."""
-    x = Inputs()
-    mid = q["w_mid_pos"] * softplus(x.mid) + q["w_mid_neg_forgive"] * x.dip * x.support
-    body = q["w_recent"] * signed_power(x.recent, q["pow_recent"]) + mid + q["w_prior"] * x.prior * (0.5 + x.support) + q["w_abs"] * softplus(x.r3m - q["floor"]) + q["w_breadth"] * x.breadth + q["w_eff"] * softplus(x.eff)
-    return softplus(x.r3m - q["floor"] * 0.5) * body / (1.0 + q["w_stale_run"] * x.stale_run + q["w_jump_share"] * softplus(x.share - 0.55))
+    x = x or Inputs()
+    mid = q["w_mid_pos"] * x.soft("mid") + q["w_mid_neg_forgive"] * x.dip * x.support
+    body = q["w_recent"] * signed_power(x.recent, q["pow_recent"]) + mid + q["w_prior"] * x.prior * (0.5 + x.support) + q["w_abs"] * softplus(x.r3m - q["floor"]) + q["w_breadth"] * x.breadth + q["w_eff"] * x.soft("eff")
+    return softplus(x.r3m - q["floor"] * 0.5) * body / (1.0 + q["w_stale_run"] * x.stale_run + q["w_jump_share"] * x.once("share 0.55", lambda: softplus(x.share - 0.55)))
 
 
-def _anti_stale(q: Params) -> Column:
+def _anti_stale(q: Params, x: Inputs | None = None) -> Column | np.ndarray:
     """A large return counts as far as the path is alive and isn't one day's."""
-    x = Inputs()
+    x = x or Inputs()
     alive, spread = 1.0 - _step(x.stale_run, q["stale_edge0"], q["stale_edge1"]), 1.0 - _step(x.share, q["jump_edge0"], q["jump_edge1"])
-    legs = F.pow(softplus(x.r3m - q["floor"]), q["a_abs"]) * F.pow(softplus(x.recent), q["a_recent"]) * F.pow(softplus(x.prior) * (0.5 + x.support) + q["eps"], q["a_prior"])
-    return legs * (1.0 + q["w_mid"] * softplus(x.mid)) * (1.0 + q["a_r2"] * x.fit) * (0.4 + 0.6 * x.breadth) * (0.25 + 0.75 * alive) * (0.25 + 0.75 * spread)
+    f = maths(x.r3m)
+    legs = f.pow(softplus(x.r3m - q["floor"]), q["a_abs"]) * f.pow(x.soft("recent"), q["a_recent"]) * f.pow(x.soft("prior") * (0.5 + x.support) + q["eps"], q["a_prior"])
+    return legs * (1.0 + q["w_mid"] * x.soft("mid")) * (1.0 + q["a_r2"] * x.fit) * (0.4 + 0.6 * x.breadth) * (0.25 + 0.75 * alive) * (0.25 + 0.75 * spread)
 
 
 @dataclass(frozen=True)
 class Family:
-    """A score with parameters: the range that each is drawn from, evenly, or evenly in its logarithm."""
+    """A score with parameters: the range that each is drawn from, evenly, or evenly in its logarithm. reads: the features that
+    score(q, Inputs(features)) reads where it also takes arrays."""
 
     name: str
-    score: Callable[[Params], Column]
+    score: Callable[..., Column | np.ndarray]
     even: dict[str, tuple[float, float]]
     logarithmic: dict[str, tuple[float, float]]
+    reads: tuple[str, ...] = ()
 
     def draw(self, n: int, seed: int) -> list[dict[str, float]]:
         """n sets of parameters."""
@@ -382,7 +413,7 @@ class Family:
 
 #: The ranges of each family's parameters.
 FAMILIES = {
-    f.name: f
+    f.name: replace(f, reads=READ)
     for f in (
         Family(
             "floor_gated",

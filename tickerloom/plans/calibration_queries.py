@@ -29,7 +29,7 @@ def _inputs(spark, sf_dir):
 def family_search(spark, sf_dir):
     """The best of 2500 draws of each family's parameters."""
     found, ranking = _inputs(spark, sf_dir)
-    measured = S.set_metrics(found, S.splits(ranking, 0), S.sets_table(spark, S.drawn(FAMILIES, seeds=(20260729,))), FAMILIES)
+    measured = S.leading(found, S.splits(ranking, 0), S.sets_table(spark, S.drawn(FAMILIES, seeds=(20260729,))), FAMILIES)
     return I.rounded(S.best_sets(measured, ("family",)).select("family", "param_id", "inversion", "pair_error", "rho", "utility"))
 
 
@@ -41,7 +41,7 @@ def family_refined(spark, sf_dir):
 
 def _measured(spark, sf_dir):
     found, ranking = _inputs(spark, sf_dir)
-    return cut(S.set_metrics(found, S.splits(ranking), S.sets_table(spark, S.drawn(FAMILIES, seeds=S.SEEDS[:1])), FAMILIES))
+    return cut(S.leading(found, S.splits(ranking), S.sets_table(spark, S.drawn(FAMILIES, seeds=S.SEEDS[:1])), FAMILIES))
 
 
 def family_validation(spark, sf_dir):
