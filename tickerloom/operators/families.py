@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators.places import cut, placed, tiled
-from tickerloom.operators.ranking import descending, falls, packed, rising_pairs, unpacked
+from tickerloom.operators.ranking import batched, descending, falls, for_tasks, packed, rising_pairs, unpacked
 from tickerloom.operators.score import Family, Inputs
 
 #: Budgets: draws of each family and seed, steps of a refinement and their rounds, repeats of the splits and their folds.
@@ -294,14 +294,6 @@ def leading(features: DataFrame, ranked: DataFrame, sets: DataFrame, families: d
     numbered = cut(placed(sets, [F.col(k) for k in KEYS], "number", rows=n_sets))
     read = sorted({c for one in known.values() for c in one.reads})
     rows = each.select(F.col("place").cast("int"), F.col("folds").cast("array<int>"), *[F.col(c).cast("double").alias(c) for c in read])
-
-    def pack(batches):
-        for batch in batches:
-            flat = [pc.list_flatten(c) if pa.types.is_list(c.type) else c for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in flat], names=batch.schema.names)
-
-    rows = rows.mapInArrow(pack, ", ".join(["place array<int>", "folds array<int>", *[f"{c} array<double>" for c in read]]))
-    rows = rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     runs = numbered.withColumn("task", F.floor((F.col("number") - 1) * tasks / n_sets).cast("int")).drop("param_id")
     names = [c for c in sets.columns if c.startswith("q_")]
 
@@ -336,7 +328,7 @@ def leading(features: DataFrame, ranked: DataFrame, sets: DataFrame, families: d
         out += [pa.array(c, pa.float64(), mask=np.array(whole)) for c in columns[6:9]]
         return pa.Table.from_arrays(out, names=[f.split()[0] for f in _MEASURED.split(", ")])
 
-    both = rows.unionByName(runs, allowMissingColumns=True).repartitionByRange(tasks, "task")
+    both = for_tasks(batched(rows), tasks).unionByName(runs, allowMissingColumns=True).repartitionByRange(tasks, "task")
     found = both.groupBy("task").applyInArrow(lead, _MEASURED)
     return found.join(F.broadcast(numbered.select("number", *KEYS)), "number").select(*KEYS, *[c for c in found.columns if c != "number"])  # as many sets as are drawn
 

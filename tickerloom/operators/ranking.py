@@ -156,6 +156,24 @@ def packed(rows: DataFrame, by: tuple[str, ...], values: tuple[str, ...], held:
     return rows.mapInArrow(pack, ", ".join([f"`{c}` {types[c]}" for c in by] + [f"`{v}` array<{types[v]}>" for v in values]))
 
 
+def batched(rows: DataFrame) -> DataFrame:
+    """Each column as an array, flat where it held arrays: a row for each batch, so that many tasks can be given all rows."""
+
+    def pack(batches):
+        for batch in batches:
+            flat = [pc.list_flatten(c) if pa.types.is_list(c.type) else c for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in flat], names=batch.schema.names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # or one task would copy them for all tasks
+    return spread.mapInArrow(pack, ", ".join(f"`{c}` {k if k.startswith('array') else f'array<{k}>'}" for c, k in kinds.items()))
+
+
+def for_tasks(batches: DataFrame, tasks: int) -> DataFrame:
+    """batches and task: all of them for each task from 0 on."""
+    return batches.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+
 def unpacked(table: pa.Table, column: str) -> np.ndarray:
     return pc.list_flatten(table[column]).to_numpy()
 
