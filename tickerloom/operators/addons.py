@@ -6,16 +6,24 @@ them are scored once and measured over all rows and every split in one pass. The
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators import families as S
-from tickerloom.operators.places import tiled
+from tickerloom.operators.places import cut, placed, tiled
+from tickerloom.operators.ranking import batched, descending, falls, for_tasks, unpacked
 from tickerloom.operators.score import Family, LegacyParams, z_scores
 
 #: The weights that are tried; repeats of the splits, subsamples and their share; the seeds of both.
 REWARDS, PENALTIES = tuple(k / 10 for k in range(13)), tuple(k / 10 for k in range(11))
 REPEATS, SUBSAMPLES, SHARE, SEED, SUBSAMPLE_SEED = 40, 500, 0.8, 20260729, 20260730
+#: Tasks that share the subsamples.
+SUBSAMPLE_TASKS = 96
 NAME = "addons"
 _ADDONS = {NAME: Family(NAME, lambda q: F.col("score") + q["turned"] * F.col("turn") + q["reward"] * F.col("one") - q["penalty"] * F.col("two"), {"turned": (0.0, 1.0), "reward": (0.0, 1.2), "penalty": (0.0, 1.0)}, {})}
 
@@ -104,11 +112,55 @@ def subsamples(ranking: DataFrame, repeats: int = SUBSAMPLES, share: float = SHA
     return rows.groupBy("symbol", "true_rank").agg(F.transform(folds, lambda x: x["_out"]).alias("folds"))
 
 
+def _kept(symbols: list[bytes], repeat: int, share: float = SHARE, seed: int = SUBSAMPLE_SEED) -> np.ndarray:
+    """Which of the symbols, in the order of the ranking, stay in a subsample: those that subsamples() has as 0."""
+    head = f"{seed} {repeat} ".encode()
+    digests = [hashlib.sha256(head + s).digest() for s in symbols]
+    first = np.frombuffer(b"".join(digests), ">u8")[::4].astype(np.uint64)
+    out, at = np.ones(len(symbols), bool), 0
+    for size in (len(symbols) // 5 + (k < len(symbols) % 5) for k in range(5)):
+        most, own = max(round(size * share), 2), first[at : at + size]
+        if most < size:
+            last = np.partition(own, most - 1)[most - 1]
+            out[at : at + size] = own < last
+            rest = sorted(at + np.flatnonzero(own == last), key=lambda k: (digests[k], symbols[k]))
+            out[rest[: most - int((own < last).sum())]] = True
+        at += size
+    return out
+
+
+def _of_subsample(kept: np.ndarray, score: np.ndarray, order: np.ndarray | None, ranks: np.ndarray) -> np.ndarray:
+    """inversion, pair_error, rho of the rows that stay; order: all rows by score, or None where scores are missing."""
+    if order is None:
+        return S.metrics_of_sets(score[None, kept], ranks[kept])[0, :3]
+    along = (np.cumsum(kept, dtype=np.int32) - 1)[order[kept[order]]]
+    model = np.empty((1, len(along)))
+    model[0, along] = np.arange(1.0, len(along) + 1)
+    return S._measured(model, falls(along[None, :]), ranks[kept])[0, :3]
+
+
 def subsampled(features: DataFrame, ranking: DataFrame, candidate: dict[str, float], repeats: int = SUBSAMPLES) -> DataFrame:
-    """repeat, the candidate's metrics less the baseline's in each subsample, strict_win."""
-    found = measured(features, subsamples(ranking, repeats), [combinations()[0], candidate]).where("fold = 1")
-    one, base = (found.where(F.col("param_id") == k).select("repeat", *[F.col(c).alias(f"{p}_{c}") for c in ("inversion", "rho", "pair_error")]) for k, p in ((1, "own"), (0, "base")))
-    return one.join(base, "repeat").select("repeat", *_deltas("own_", "base_"))
+    """repeat, the candidate's metrics less the baseline's in each subsample, strict_win. A task draws and measures some of the
+    subsamples; no row is made for a symbol in a subsample."""
+    own, base = (_ADDONS[NAME].score(q).cast("double").alias(n) for n, q in (("own", candidate), ("base", combinations()[0])))
+    rows = placed(features.join(ranking.select("symbol", "true_rank"), "symbol"), [F.col("true_rank"), F.col("symbol")], "place")
+    each = cut(rows.select(F.col("place").cast("int"), "symbol", F.col("true_rank").cast("double"), own, base))
+    tasks = min(repeats, SUBSAMPLE_TASKS)
+    names = [f"{p}_{c}" for p in ("own", "base") for c in ("inversion", "pair_error", "rho")]
+
+    def measure(table: pa.Table) -> pa.Table:
+        by_place = np.argsort(unpacked(table, "place"))
+        symbols = [s.encode() for s in pc.list_flatten(table["symbol"]).take(pa.array(by_place)).to_pylist()]
+        ranks, *scores = (unpacked(table, c)[by_place] for c in ("true_rank", "own", "base"))
+        orders = [descending(s) if np.isfinite(s).all() else None for s in scores]
+        some, found = range(table["task"][0].as_py(), repeats, tasks), []
+        for repeat in some:
+            kept = _kept(symbols, repeat)
+            found.append(np.concatenate([_of_subsample(kept, s, o, ranks) for s, o in zip(scores, orders)]))
+        return pa.table([pa.array(some, pa.int32()), *(pa.array(v) for v in np.array(found).T)], names=["repeat", *names])
+
+    dealt = for_tasks(batched(each), tasks).repartitionByRange(tasks, "task")
+    return dealt.groupBy("task").applyInArrow(measure, "repeat int, " + ", ".join(f"{c} double" for c in names)).select("repeat", *_deltas("own_", "base_"))
 
 
 def subsample_summary(rows: DataFrame) -> DataFrame:
