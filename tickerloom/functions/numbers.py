@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 #: What maths() gives for arrays, by F's names.
 _ARRAYS = SimpleNamespace(
     abs=np.abs, exp=np.exp, greatest=np.fmax, least=np.fmin, lit=lambda x: x, log1p=np.log1p, pow=np.power, signum=np.sign, sqrt=np.sqrt,
-    where=np.where, coalesce=lambda x, other: np.where(np.isnan(x), other, x), known=lambda x: ~np.isnan(x),
+    where=np.where, known=lambda x: ~np.isnan(x), true=lambda condition: condition, missing=np.nan,
 )
 _COLUMNS = SimpleNamespace(
     abs=F.abs, exp=F.exp, greatest=F.greatest, least=F.least, lit=F.lit, log1p=F.log1p, pow=F.pow, signum=F.signum, sqrt=F.sqrt,
-    where=lambda condition, x, other: F.when(condition, x).otherwise(other), coalesce=F.coalesce, known=lambda x: x.isNotNull(),
+    where=lambda condition, x, other: F.when(condition, x).otherwise(other), known=lambda x: x.isNotNull(),
+    true=lambda condition: F.coalesce(condition, F.lit(False)), missing=None,
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, replace
 
 import numpy as np
@@ -230,35 +230,36 @@ EVEN = {"r2_transition_w": (0.005, 0.05), "gate_r3_w": (0.005, 0.03), "gate_r4_w
 VOLATILITY = {"vol_q_pct": (50.0, 55.0, 60.0, 65.0, 70.0), "vol_hard_power": (1.5, 1.75, 2.0, 2.25, 2.5), "vol_hard_scale": (0.25, 0.5, 0.75, 1.0, 1.25)}
 
 
-def _legacy_terms(q: Params) -> dict[str, Column]:
-    """What is made a z-score of, by term; the cap of volatility is a column _cap."""
-    r3, r4, r1, r10, slope, curve = (F.col(c) for c in ("r_3m", "r_4m", "r_1m", "r_10d", "ema20_slope_10d", "ema20_curv_20d"))
-    fit, fall, vol = clip(F.col("r2_3m"), 0.0, 1.0), clip(-F.col("max_dd_pct"), 0.0), clip(F.col("vol20_ann"), 0.0)
-    around = lambda x, centre, width: _step(x, F.lit(centre) - width, F.lit(centre) + width)
+def _legacy_terms(q: Params, of: Callable[[str], Column | np.ndarray] = F.col) -> dict[str, Column | np.ndarray]:
+    """What is made a z-score of, by term; of: a feature, by default a column; the cap of volatility is one more, _cap."""
+    r3, r4, r1, r10, slope, curve = (of(c) for c in ("r_3m", "r_4m", "r_1m", "r_10d", "ema20_slope_10d", "ema20_curv_20d"))
+    fit, fall, vol = clip(of("r2_3m"), 0.0, 1.0), clip(-of("max_dd_pct"), 0.0), clip(of("vol20_ann"), 0.0)
+    f = maths(r3)
+    around = lambda x, centre, width: _step(x, f.lit(centre) - width, f.lit(centre) + width)
     gate = around(r3, GATE_R3M, q["gate_r3_w"]) * around(r4, GATE_R4M, q["gate_r4_w"])
     level = _step(r3, GATE_R3M, q["level_r3_hi"]) * _step(r4, GATE_R4M, q["level_r4_hi"])
     steps = 0.2 + 0.4 * around(fit, 0.70, q["r2_transition_w"]) + 0.6 * around(fit, 0.90, q["r2_transition_w"])
-    strong = F.coalesce((r3 > STRONG_R3M) & (r4 > STRONG_R4M), F.lit(False))
-    quality = around(fit, QUALITY_CENTRE, q["r2_transition_w"]) * F.when(strong, 1.0).otherwise(0.0)
-    goes_on = F.coalesce((r10 > 0) & (slope > 0), F.lit(False))
+    strong = f.true((r3 > STRONG_R3M) & (r4 > STRONG_R4M))
+    quality = around(fit, QUALITY_CENTRE, q["r2_transition_w"]) * f.where(strong, f.lit(1.0), f.lit(0.0))
+    goes_on = f.true((r10 > 0) & (slope > 0))
     over = clip(fall - DRAWDOWN_CAP, 0.0)
     return {
         "r3": r3,
         "r4": r4,
         "r2": steps * fit * gate * (q["r2_floor"] + (1.0 - q["r2_floor"]) * level),
-        "ema": F.col("above_ema50"),
+        "ema": of("above_ema50"),
         "r1_pos": r1 * quality,
         "dd": clip(fall, None, DRAWDOWN_CAP) + over * over / 70.0,
-        "vol": F.when(vol.isNotNull(), F.least(vol, F.col("_cap")) + q["vol_hard_scale"] * F.pow(F.greatest(vol - F.col("_cap"), F.lit(0.0)), q["vol_hard_power"])),
-        "r1_neg": F.when((quality < QUALITY_FLOOR) & (r1 > STRONG_R1M) & ~goes_on, r1).otherwise(0.0),
+        "vol": f.where(f.known(vol), f.least(vol, of("_cap")) + q["vol_hard_scale"] * f.pow(f.greatest(vol - of("_cap"), f.lit(0.0)), q["vol_hard_power"]), f.missing),
+        "r1_neg": f.where((quality < QUALITY_FLOOR) & (r1 > STRONG_R1M) & ~goes_on, r1, f.lit(0.0)),
         "slope": slope,
         "curve_reward": clip(-curve, 0.0),
         "curve_penalty": clip(curve, 0.0),
-        "recent": r10 + 0.5 * F.col("r_5d"),
-        "break": F.when((quality >= QUALITY_FLOOR) & (r10 < 0), -r10).otherwise(0.0),
-        "down5": F.col("down_streak_5d"),
-        "under_depth": F.col("under_ema20_depth"),
-        "under_days": F.col("under_ema20_days"),
+        "recent": r10 + 0.5 * of("r_5d"),
+        "break": f.where((quality >= QUALITY_FLOOR) & (r10 < 0), -r10, f.lit(0.0)),
+        "down5": of("down_streak_5d"),
+        "under_depth": of("under_ema20_depth"),
+        "under_days": of("under_ema20_days"),
     }
 
 
@@ -272,9 +273,11 @@ def _caps(df: DataFrame, percentiles: list[float], name: str) -> DataFrame:
     return df.agg(F.create_map(*[x for p in percentiles for x in (F.lit(p), F.percentile(v, p / 100.0))]).alias(name))
 
 
-def _legacy(features: DataFrame, reference: DataFrame | None, q: Params, percentiles: list[float], by: tuple[str, ...]) -> DataFrame:
-    """features and legacy_fms; by are columns of sets of parameters, each compared within itself."""
-    caps = _caps(features if reference is None else reference, percentiles, "_ref").crossJoin(F.broadcast(_caps(features, percentiles, "_own")))  # one row each
+def _legacy(features: DataFrame, reference: DataFrame | None, q: Params, percentiles: list[float], by: tuple[str, ...], once: DataFrame | None = None) -> DataFrame:
+    """features and legacy_fms; by are columns of sets of parameters, each compared within itself; once: the features without the
+    sets, since a percentile of rows that come once for each set lies between other rows."""
+    once = features if once is None else once
+    caps = _caps(once if reference is None else reference, percentiles, "_ref").crossJoin(F.broadcast(_caps(once, percentiles, "_own")))  # one row each
     at = F.lit(q["vol_q_pct"]) if not isinstance(q["vol_q_pct"], Column) else q["vol_q_pct"]
     cap = F.coalesce(F.try_element_at("_ref", at), F.try_element_at("_own", at), F.lit(0.0))
     names = list(_legacy_terms(q))
@@ -296,10 +299,15 @@ def _legacy(features: DataFrame, reference: DataFrame | None, q: Params, percent
         spread = F.col(f"_s_{name}")
         return F.when(spread > 0, (F.col(f"_{name}") - F.col(f"_m_{name}")) / F.when(spread > 0, spread)).otherwise(F.col(f"_{name}") * 0.0)
 
+    return joined.select(*features.columns, _legacy_sum(q, z).alias("legacy_fms"))
+
+
+def _legacy_sum(q: Params, z: Callable[[str], Column | np.ndarray]) -> Column | np.ndarray:
+    """The archived score of its terms' z-scores."""
     shape = q["w_ema_slope_base"] * z("slope") + q["w_ema_curv_reward_base"] * z("curve_reward") - q["w_ema_curv_penalty_base"] * z("curve_penalty")
     gain = q["w_r3"] * z("r3") + q["w_r4"] * z("r4") + q["w_r2"] * z("r2") + q["w_ema"] * z("ema") + q["w_ema_shape"] * shape + q["w_recent"] * z("recent") + q["w_r1_pos"] * z("r1_pos")
     loss = q["w_dd"] * z("dd") + q["w_vol"] * z("vol") + q["w_r1_neg"] * z("r1_neg") + q["w_break"] * z("break") + q["w_down5"] * z("down5") + q["w_under_depth"] * z("under_depth") + q["w_under_days"] * z("under_days")
-    return joined.select(*features.columns, (gain - loss).alias("legacy_fms"))
+    return gain - loss
 
 
 def legacy_score(features: DataFrame, reference: DataFrame | None = None, q: LegacyParams = LegacyParams()) -> DataFrame:
@@ -312,12 +320,44 @@ def legacy_score(features: DataFrame, reference: DataFrame | None = None, q: Leg
 LEGACY_COLUMNS = ("r_1m", "r_3m", "r_4m", "r2_3m", "above_ema50", "vol20_ann", "max_dd_pct", "r_10d", "r_5d", "ema20_slope_10d", "ema20_curv_20d", "under_ema20_depth", "under_ema20_days", "down_streak_5d")
 
 
+#: The parameters that a term depends on besides its weight; the other terms on none.
+_TERM_PARAMS = {
+    "r2": ("r2_transition_w", "gate_r3_w", "gate_r4_w", "level_r3_hi", "level_r4_hi", "r2_floor"),
+    "r1_pos": ("r2_transition_w",),
+    "r1_neg": ("r2_transition_w",),
+    "break": ("r2_transition_w",),
+    "vol": ("vol_q_pct", "vol_hard_power", "vol_hard_scale"),
+}
+
+
+def legacy_scores(values: dict[str, np.ndarray], sets: list[LegacyParams]) -> Iterator[np.ndarray]:
+    """legacy_sweep() of arrays, NaN where it has NULL: the scores under each set. A term's z-scores are kept while its parameters stay."""
+    vol = clip(values["vol20_ann"], 0.0)
+    known = vol[~np.isnan(vol)]
+    kept: dict[str, tuple] = {}
+    for one in sets:
+        q = one.columns()
+        cap = np.full_like(vol, np.percentile(known, q["vol_q_pct"]) if len(known) else 0.0)
+        terms = _legacy_terms(q, lambda c: cap if c == "_cap" else values[c])
+
+        def z(name: str) -> np.ndarray:
+            key = tuple(q[p] for p in _TERM_PARAMS.get(name, ()))
+            if name not in kept or kept[name][0] != key:
+                x = terms[name]
+                some = x[~np.isnan(x)]
+                even = not len(some) or some.min() == some.max()
+                kept[name] = key, x * 0.0 if even else (x - some.mean()) / some.std()
+            return kept[name][1]
+
+        yield _legacy_sum(q, z)
+
+
 def legacy_sweep(features: DataFrame, sets: list[LegacyParams]) -> DataFrame:
     """param_id (a place in sets), symbol, score under each set of parameters, in one job."""
     names = list(LegacyParams().columns())
     params = features.sparkSession.createDataFrame([(k, *[float(v) for v in q.columns().values()]) for k, q in enumerate(sets)], "param_id long, " + ", ".join(f"q_{n} double" for n in names))
     each = features.select("symbol", *LEGACY_COLUMNS).crossJoin(F.broadcast(params))  # as many rows as sets
-    found = _legacy(each, None, {n: F.col(f"q_{n}") for n in names}, sorted({q.vol_q_pct for q in sets}), ("param_id",))
+    found = _legacy(each, None, {n: F.col(f"q_{n}") for n in names}, sorted({q.vol_q_pct for q in sets}), ("param_id",), features)
     return found.select("param_id", "symbol", F.col("legacy_fms").alias("score"))
 
 
